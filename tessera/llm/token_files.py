@@ -22,6 +22,7 @@ A boundary takes about 2 + log2(ids / documents) bits, and a select sample of
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -34,8 +35,15 @@ from .common import batch, documents, text_key, texts, tokenizer_path
 
 #: Ids after which a segment is closed; a longer document has a segment of its own.
 SEGMENT_IDS = 1 << 20
-#: A worker's memory of pieces is emptied at this many entries.
-MOST_PIECES = 400_000
+#: Pieces that a worker remembers, and how many new ones go through the library in one text.
+MOST_PIECES = 800_000
+LOT = 500
+#: Byte-level rules write each byte as a letter: printable ones as themselves, the others as letters from U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+SPACE_LETTER = BYTE_LETTERS[0x20]
+#: Here a space is followed by its letter: it parts words, and the letter belongs to the next one.
+BYTE_LETTERS[0x20] = " " + SPACE_LETTER
 #: Parts up to which their offsets are broadcast (24 bytes each); beyond, they are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -96,42 +104,94 @@ class EliasFano:
 class Encoder:
     """Ids of whole texts by the tokenizers library, end id appended.
 
-    A text is cut before each of its spaces.  The byte-level rules never join
-    characters across such a place, as long as no two spaces are adjacent, so
-    a piece has the same ids wherever it stands; each piece goes through the
-    library once.  Other texts go through it whole.
+    Byte-level rules never join characters across a space that follows another
+    character than a space, so a text is cut before each such space and a piece
+    has the same ids wherever it stands.  Pieces that aren't remembered go
+    through the library many at a time, one after another in one text; there, a
+    token that begins with a space begins a piece.  Texts with adjacent spaces,
+    and all texts under other rules, go through the library whole.
     """
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        rule = t.pre_tokenizer
+        self.cuts = isinstance(rule, pre_tokenizers.ByteLevel) and rule.use_regex and not rule.add_prefix_space and t.normalizer is None
+        size = max(t.get_vocab_size(), end_id + 1)
+        self.width = 2 if size <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.first: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.begins = np.zeros(size, bool)
+        self.begins[[i for x, i in t.get_vocab().items() if x.startswith(SPACE_LETTER)]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        if self.cuts:
+            self.words = Tokenizer(t.model)
+            self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+
+    def _ids(self, texts: list[str], by=None) -> list[np.ndarray]:
+        return [np.array(x.ids, self.kind) for x in (by or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _known(self, pieces: list[str], texts: list[str], by=None) -> None:
+        """Remembers pieces, given texts of LOT of them each, in which each piece begins with a space."""
+        for i, ids in enumerate(self._ids(texts, by)):
+            at = np.flatnonzero(self.begins[ids]) * self.width
+            raw = ids.tobytes()
+            self.young.update(zip(pieces[i * LOT : (i + 1) * LOT], map(raw.__getitem__, map(slice, at.tolist(), [*at[1:].tolist(), len(raw)])), strict=True))
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Remembers the ids of pieces that follow a space; of the others, those used last stay, in two halves.
+
+        A word of letters, with marks after it or none, needs no further cutting
+        by the tokenizer's rules: the word and the marks have their ids apart.
+        """
+        new = [x for x in pieces if x not in self.young]
+        if len(self.young) + len(new) > MOST_PIECES // 2:
+            self.young, self.old = {}, self.young
+            new = list(pieces)
+        old = [self.old.pop(x, None) for x in new]
+        self.young.update([(x, y) for x, y in zip(new, old, strict=True) if y])
+        words, marked, rest = [], [], []
+        for x, known in zip(new, old, strict=True):
+            if known:
+                continue
+            y = x.rstrip(".,;:!?")
+            if not (y.isalpha() and (y.isascii() or max(y) < "\u0500")):
+                rest.append(x)
+            elif len(y) == len(x):
+                words.append(x)
+            else:
+                marked.append((x, y, x[len(y) :]))
+        words = list({*words, *(y for _, y, _ in marked if y not in self.young)})
+        self._known(rest, ["".join([" " + x for x in rest[i : i + LOT]]) for i in range(0, len(rest), LOT)])
+        lots = [" ".join(words[i : i + LOT]) for i in range(0, len(words), LOT)]
+        self._known(words, [SPACE_LETTER + x.encode().decode("latin-1").translate(BYTE_LETTERS) for x in lots], self.words)
+        tails = list({m for *_, m in marked if m not in self.marks})
+        self.marks.update(zip(tails, [x.tobytes() for x in self._ids(tails)], strict=True))
+        self.young.update([(x, self.young[y] + self.marks[m]) for x, y, m in marked])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.spaced) > MOST_PIECES:
-            self.first, self.spaced = {}, {}
-        cut = [x.split(" ") for x in texts]
-        whole = {i for i, x in enumerate(cut) if len(x) > 1 and "" in x}
-        heads, tails = set(), set()
-        for i, x in enumerate(cut):
-            if i not in whole:
-                heads.add(x[0])
-                tails.update(x[1:])
-        for known, new, lead in ((self.first, heads - self.first.keys(), ""), (self.spaced, tails - self.spaced.keys(), " ")):
-            new = list(new)
-            known.update(zip(new, self._ids([lead + x for x in new]), strict=True))
-        alone = dict(zip(sorted(whole), self._ids([texts[i] for i in sorted(whole)]), strict=True))
-        get = self.spaced.__getitem__
-        return [(alone[i] if i in whole else self.first[x[0]] + b"".join(map(get, x[1:]))) + self.end for i, x in enumerate(cut)]
+        cut = [x.split(" ") if self.cuts else [x, ""] for x in texts]
+        whole = [len(x) > 1 and "" in x for x in cut]
+        self._learn({p for x, w in zip(cut, whole, strict=True) if not w for p in x[1:]})
+        heads = self._ids([t if w else x[0] for t, x, w in zip(texts, cut, whole, strict=True)])
+        get = self.young.__getitem__
+        return [h.tobytes() + self.end if w else h.tobytes() + b"".join(map(get, x[1:])) + self.end for h, x, w in zip(heads, cut, whole, strict=True)]
+
+
+#: A worker's encoders, with what they remember, serve its later tasks too.
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(path: str, end_id: int) -> Encoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    if (path, end_id) not in _encoders:
+        _encoders.clear()
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, segment_ids: int = SEGMENT_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -149,7 +209,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), Encoder(tokenizer, end_id)
+        part, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer, end_id)
         ids, seqs, size, seg, offset = [], [], 0, 0, 0
 
         def close():
