@@ -38,6 +38,8 @@ SEGMENT_IDS = 1 << 20
 #: Pieces that a worker remembers, and how many new ones go through the library in one text.
 MOST_PIECES = 800_000
 LOT = 500
+#: Marks that the byte-level rules set apart from the letters before them, and keep together.
+MARKS = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
 #: Byte-level rules write each byte as a letter: printable ones as themselves, the others as letters from U+0100 on.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LETTERS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
@@ -148,38 +150,47 @@ class Encoder:
         A word of letters, with marks after it or none, needs no further cutting
         by the tokenizer's rules: the word and the marks have their ids apart.
         """
-        new = [x for x in pieces if x not in self.young]
-        if len(self.young) + len(new) > MOST_PIECES // 2:
-            self.young, self.old = {}, self.young
-            new = list(pieces)
-        old = [self.old.pop(x, None) for x in new]
-        self.young.update([(x, y) for x, y in zip(new, old, strict=True) if y])
         words, marked, rest = [], [], []
-        for x, known in zip(new, old, strict=True):
-            if known:
+        for x in pieces:
+            if (known := self.old.pop(x, None)) is not None:
+                self.young[x] = known
                 continue
-            y = x.rstrip(".,;:!?")
+            y = x.rstrip(MARKS)
             if not (y.isalpha() and (y.isascii() or max(y) < "\u0500")):
                 rest.append(x)
             elif len(y) == len(x):
                 words.append(x)
             else:
-                marked.append((x, y, x[len(y) :]))
-        words = list({*words, *(y for _, y, _ in marked if y not in self.young)})
+                marked.append((x, y))
+        words = list({*words, *(y for _, y in marked if y not in self.young)})
         self._known(rest, ["".join([" " + x for x in rest[i : i + LOT]]) for i in range(0, len(rest), LOT)])
         lots = [" ".join(words[i : i + LOT]) for i in range(0, len(words), LOT)]
         self._known(words, [SPACE_LETTER + x.encode().decode("latin-1").translate(BYTE_LETTERS) for x in lots], self.words)
-        tails = list({m for *_, m in marked if m not in self.marks})
+        tails = list({x[len(y) :] for x, y in marked} - set(self.marks))
         self.marks.update(zip(tails, [x.tobytes() for x in self._ids(tails)], strict=True))
-        self.young.update([(x, self.young[y] + self.marks[m]) for x, y, m in marked])
+        self.young.update([(x, self.young[y] + self.marks[x[len(y) :]]) for x, y in marked])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.young) > MOST_PIECES // 2:
+            self.young, self.old = {}, self.young
+        if len(self.marks) > MOST_PIECES // 10:
+            self.marks = {}
         cut = [x.split(" ") if self.cuts else [x, ""] for x in texts]
         whole = [len(x) > 1 and "" in x for x in cut]
-        self._learn({p for x, w in zip(cut, whole, strict=True) if not w for p in x[1:]})
-        heads = self._ids([t if w else x[0] for t, x, w in zip(texts, cut, whole, strict=True)])
-        get = self.young.__getitem__
-        return [h.tobytes() + self.end if w else h.tobytes() + b"".join(map(get, x[1:])) + self.end for h, x, w in zip(heads, cut, whole, strict=True)]
+        heads = [x.tobytes() for x in self._ids([t if w else x[0] for t, x, w in zip(texts, cut, whole, strict=True)])]
+        found, new = [], set()
+        for x, w in zip(cut, whole, strict=True):
+            ids = [] if w else list(map(self.young.get, x))
+            gaps = [i for i, v in enumerate(ids) if v is None and i]
+            new.update([x[i] for i in gaps])
+            found.append((ids, gaps))
+        self._learn(new)
+        out = []
+        for h, x, (ids, gaps) in zip(heads, cut, found, strict=True):
+            for i in gaps:
+                ids[i] = self.young[x[i]]
+            out.append(h + b"".join(ids[1:]) + self.end)
+        return out
 
 
 #: A worker's encoders, with what they remember, serve its later tasks too.
@@ -207,8 +218,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     tokenizer = tokenizer or tokenizer_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
+
         from pyspark import TaskContext
 
+        gc.disable()  # there are no cycles here, and millions of small objects
         part, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer, end_id)
         ids, seqs, size, seg, offset = [], [], 0, 0, 0
 
@@ -217,9 +231,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             return batch(SEGMENTS, [part], [seg], [offset], [ids], [int(ends[-1])], [encoder.width], [b"".join(seqs)], *([x] for x in EliasFano.encode(ends).parts()))
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                these = [x or "" for x in b.column(1).slice(at, 256).to_pylist()]
-                for one, seq in zip(b.column(0).slice(at, 256).to_pylist(), encoder(these), strict=True):
+            for at in range(0, b.num_rows, 1000):
+                these = [x or "" for x in b.column(1).slice(at, 1000).to_pylist()]
+                for one, seq in zip(b.column(0).slice(at, 1000).to_pylist(), encoder(these), strict=True):
                     ids.append(one)
                     seqs.append(seq)
                     size += len(seq) // encoder.width
