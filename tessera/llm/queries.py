@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_rules, mixing, quality, secrets, shards, simhash, substrings, token_files
+from . import decontam, line_rules, mixing, pitman_yor, quality, secrets, shards, simhash, substrings, token_files
 from .common import Scratch
 
 
@@ -49,10 +49,14 @@ def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents")).drop("clean_text", "lost")
 
 
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.assign(shards.digest(table(spark, sf_dir, "documents")))
     return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_secrets, op4_simhash, op5_mixing, op6_quality, op7_substrings, op8_line_rules, op10_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_secrets, op4_simhash, op5_mixing, op6_quality, op7_substrings, op8_line_rules, op9_pitman_yor, op10_shards)}
 SQL: dict[str, str] = {}

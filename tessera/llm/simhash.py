@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, batch, documents, text_key, texts
@@ -315,3 +315,23 @@ def classes(docs: DataFrame, limit: int = 3, shingle: int = 3, id_col: str = "do
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = named.join(lowest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def distinct(docs: DataFrame, limit: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each component: that of the least id.
+
+    Of rows with that id one stays, with the least hash of its text.  A
+    component of null ids alone keeps one row.
+    """
+    names = docs.columns
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own_id = flat[f"c{names.index(id_col)}"].cast("long") if id_col in names else F.lit(None).cast("long")
+    text = flat[f"c{names.index(text_col)}"].cast("string") if text_col in names else F.lit(None).cast("string")
+    flat = flat.withColumn("own_id", own_id).withColumn("own_key", text_key(text))
+    found = classes(docs, limit, shingle, id_col, text_col)
+    first = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("x"))
+    first = first.select(F.col("x.doc_id").alias("doc_id"), F.col("x.key").alias("key"))
+    out = flat.join(first, flat["own_id"].eqNullSafe(first["doc_id"]) & (flat["own_key"] == first["key"]), "left_semi")
+    order = Window.partitionBy("own_id", "own_key").orderBy(*[F.col(f"c{i}").cast("string") for i, n in enumerate(names) if n not in (id_col, text_col)] or [F.lit(1)])
+    out = out.withColumn("place", F.row_number().over(order)).where("place = 1")
+    return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
