@@ -31,8 +31,10 @@ from .common import Scratch, batch, documents, text_key, texts
 BITS = 64
 #: Fingerprints from which groups and thresholds are planned.
 SAMPLE = 4_000
-#: Members from which a bucket is split further.
-MOST_IN_BUCKET = 1_000
+#: Members from which a bucket is split further, for each group that it is then split by: below, comparing all is cheaper.
+MOST_IN_BUCKET = 350
+#: Members up to which buckets are compared many at a time.
+FEW = 64
 #: Cost of an emitted key, in verified pairs.
 KEY_COST = 60
 
@@ -108,9 +110,9 @@ def plan(sample: np.ndarray, n: int, limit: int) -> list[tuple[list[int], int]]:
             for i in range(1, len(packed)):
                 near += np.bincount(np.bitwise_count(packed[:i] ^ packed[i]), minlength=BITS + 1)
             for t in range(min(limit, len(own)) + 1):
-                balls = np.cumsum([_choose(len(own), d) for d in range(t + 1)])
-                share = max(near[: t + 1].sum() / pairs, float(balls[-1]) / 2.0 ** len(own))
-                cost[g, t + 1] = share * n * n / 2 + KEY_COST * n * float(balls[-1])
+                balls = sum(_choose(len(own), d) for d in range(t + 1))
+                share = max(near[: t + 1].sum() / pairs, balls / 2.0 ** len(own))
+                cost[g, t + 1] = share * n * n / 2 + KEY_COST * n * (1 + len(own) / 2 if t == 1 else balls)
         total, choice = np.full((m + 1, limit + 2), np.inf), np.zeros((m + 1, limit + 2), int)
         total[0, 0] = 0
         for g in range(m):
@@ -148,24 +150,29 @@ def _mix(a: np.ndarray, salt: int) -> np.ndarray:
         return a ^ (a >> np.uint64(31))
 
 
-KEYS = pa.schema([("bucket", pa.int64()), ("fp", pa.int64()), ("probe", pa.bool_()), ("used", pa.int64())])
-KEYS_SQL = "bucket long, fp long, probe boolean, used long"
+KEYS = pa.schema([("bucket", pa.int64()), ("fp", pa.int64()), ("node", pa.int64()), ("probe", pa.bool_()), ("used", pa.int64())])
+KEYS_SQL = "bucket long, fp long, node long, probe boolean, used long"
 
 
 def _emit(chosen: list[tuple[list[int], int]]):
-    """Keys of each fingerprint: its own value in each group, and as a probe those up to the threshold away."""
+    """Keys of each fingerprint: its own value in each group, and as a probe those up to the threshold away.
+
+    With a threshold of one, of two that differ the one that lacks the bit probes.
+    """
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
-                fp = whole.column(0).slice(at, 4096).to_numpy().view(np.uint64)
+                fp, node = (whole.column(i).slice(at, 4096).to_numpy() for i in (0, 1))
+                fp = fp.view(np.uint64)
                 for g, (own, t) in enumerate(chosen):
                     mask = _mask(own)
                     for d in range(t + 1):
                         flips = np.array([_mask(c) for c in combinations(own, d)], np.uint64)
                         for some in np.array_split(flips, -(-len(flips) // 64)):
-                            value = (fp[:, None] & mask) ^ some[None, :]
-                            yield batch(KEYS, _mix(value.ravel(), g + 1).view(np.int64), np.repeat(fp, len(some)).view(np.int64), np.full(value.size, d > 0), np.full(value.size, mask).view(np.int64))
+                            i, j = np.nonzero((fp[:, None] & some[None, :]) == 0) if t == 1 else np.indices((len(fp), len(some))).reshape(2, -1)
+                            value = (fp[i] & mask) ^ some[j]
+                            yield batch(KEYS, _mix(value, g + 1).view(np.int64), fp[i].view(np.int64), node[i], np.full(len(i), d > 0), np.full(len(i), mask).view(np.int64))
 
     return run
 
@@ -175,89 +182,118 @@ def _refine(limit: int):
 
     def run(batches):
         for b in batches:
-            bucket, fp, probe, used = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            bucket, fp, node, probe, used = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             bucket, fp, used = bucket.view(np.uint64), fp.view(np.uint64), used.view(np.uint64)
             for mask in np.unique(used):
                 at = np.flatnonzero(used == mask)
                 free = [i for i in range(BITS) if not int(mask) >> i & 1]
-                for j in range(limit + 1):
+                for j in range(min(limit + 1, len(free))):
                     own = _mask(free[j :: limit + 1])
                     value = _mix(_mix(fp[at] & own, j + 101) ^ bucket[at], j + 201)
-                    yield batch(KEYS, value.view(np.int64), fp[at].view(np.int64), probe[at], np.full(len(at), mask | own).view(np.int64))
+                    yield batch(KEYS, value.view(np.int64), fp[at].view(np.int64), node[at], probe[at], np.full(len(at), mask | own).view(np.int64))
 
     return run
 
 
-def _forest(bucket: np.ndarray, fp: np.ndarray, probe: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of each bucket; the arrays are in order of the bucket."""
-    label, left, right = np.arange(len(bucket)), [], []
-    at, lag = np.arange(len(bucket)), 1
+def _near(bucket: np.ndarray, fp: np.ndarray, probe: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one bucket within the limit, not both probes, and their distances.
+
+    The arrays are in order of the bucket, in each with probes last.
+    """
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    size = np.diff(edge)
+    at, lag, found = np.flatnonzero(np.repeat(size <= FEW, size)), 1, []
     while len(at):
         at = at[at + lag < len(bucket)]
-        at = at[bucket[at] == bucket[at + lag]]
-        hit = at[(np.bitwise_count(fp[at] ^ fp[at + lag]) <= limit) & ~(probe[at] & probe[at + lag])]
-        left.append(hit)
-        right.append(hit + lag)
+        at = at[(bucket[at] == bucket[at + lag]) & ~probe[at]]
+        far = np.bitwise_count(fp[at] ^ fp[at + lag])
+        on = far <= limit
+        found.append((at[on], at[on] + lag, far[on]))
         lag += 1
-    a, b = np.concatenate(left or [at]), np.concatenate(right or [at])
-    if not len(a):
-        return fp[a], fp[a]
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    at = np.flatnonzero((label != np.arange(len(label))) & (fp != fp[label]))
-    return fp[at], fp[label[at]]
+    for a, n in zip(edge[:-1][size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+        own = fp[a : a + n]
+        rows = int(n - probe[a : a + n].sum())
+        step = max(1, (1 << 21) // n)
+        for i in range(0, rows, step):
+            far = np.bitwise_count(own[i : min(rows, i + step), None] ^ own[None, :])
+            x, y = np.nonzero(far <= limit)
+            up = y > x + i
+            found.append((a + i + x[up], a + y[up], far[x[up], y[up]]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+
+
+def _forest(bucket: np.ndarray, fp: np.ndarray, node: np.ndarray, probe: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a spanning forest of each bucket's links: from the nearest on, a link for each two trees that it joins."""
+    a, b, far = _near(bucket, fp, probe, limit)
+    label, left, right = np.arange(len(bucket)), [], []
+    for d in range(limit + 1):
+        on = (far == d) & (label[a] != label[b])
+        x, y = a[on], b[on]
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        _, first = np.unique(low * np.int64(len(bucket) + 1) + high, return_index=True)
+        left.append(node[x[first]])
+        right.append(node[y[first]])
+        low, high = low[first], high[first]
+        while len(low):
+            new = label.copy()
+            np.minimum.at(new, high, low)
+            np.minimum.at(new, low, new[high])
+            np.minimum.at(new, high, new[low])
+            new = new[new]
+            same = (new == label).all()
+            label = new
+            if same:
+                break
+        if len(low):
+            label = label[label]
+    left, right = np.concatenate(left), np.concatenate(right)
+    return left[left != right], right[left != right]
 
 
 def _links(limit: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
         for b in batches:
-            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last bucket may go on
             yield links(*[x[:done] for x in held])
             held = [x[done:] for x in held]
         yield links(*held)
 
-    def links(bucket, fp, probe):
-        a, b = _forest(bucket, fp.view(np.uint64), probe, limit)
-        return batch(schema, a.view(np.int64), b.view(np.int64))
+    def links(bucket, fp, node, probe):
+        a, b = _forest(bucket, fp.view(np.uint64), node, probe, limit) if len(bucket) else (node, node)
+        return batch(schema, np.minimum(a, b), np.maximum(a, b))
 
     return run
 
 
 def links(fps: DataFrame, scratch: Scratch, limit: int = 3) -> DataFrame:
-    """(a, b) long: enough of the pairs of fingerprints within the limit to connect all that pairs connect.
+    """(a, b) long: enough of the pairs of nodes within the limit to connect all that pairs connect.
 
-    fps: a table with a column ``fp`` of distinct fingerprints.
+    fps: a table with distinct ``node`` long and the fingerprint ``fp`` of each.
     """
     n = fps.count()
-    sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
-    chosen = plan(sample, n, limit)
-    rows, small = scratch.save(fps.select("fp").mapInArrow(_emit(chosen), KEYS_SQL), "keys0"), None
+    sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
+    chosen, most = plan(sample, n, limit), MOST_IN_BUCKET * (limit + 1)
+    rows, small = scratch.save(fps.select("fp", "node").mapInArrow(_emit(chosen), KEYS_SQL), "keys0"), None
     for level in range(1, BITS):
-        crowded = scratch.save(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > MOST_IN_BUCKET).select("bucket"), f"crowded{level}")
+        crowded = scratch.save(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most).select("bucket"), f"crowded{level}")
         if crowded.isEmpty():
             small = rows if small is None else small.unionByName(rows)
             break
-        cold = rows.join(crowded, "bucket", "left_anti").select("bucket", "fp", "probe", "used")
+        # rows that share all bits can't be split; nodes of one fingerprint are linked below
+        cold = rows.join(crowded, "bucket", "left_anti").select(*rows.columns)
         small = cold if small is None else small.unionByName(cold)
-        full = F.col("used") == -1
-        hot = rows.join(crowded, "bucket", "left_semi").select("bucket", "fp", "probe", "used")
-        rows = scratch.save(hot.where(~full).mapInArrow(_refine(limit), KEYS_SQL), f"keys{level}")
-    small = small.select("bucket", "fp", "probe").repartition("bucket").sortWithinPartitions("bucket", "fp")
-    return small.mapInArrow(_links(limit), "a long, b long").distinct()
+        hot = rows.join(crowded, "bucket", "left_semi").select(*rows.columns)
+        rows = scratch.save(hot.where("used != -1").mapInArrow(_refine(limit), KEYS_SQL), f"keys{level}")
+    small = small.select("bucket", "fp", "node", "probe").repartition("bucket").sortWithinPartitions("bucket", "probe", "fp", "node")
+    found = small.mapInArrow(_links(limit), "a long, b long")
+    equal = fps.groupBy("fp").agg(F.min("node").alias("a"))
+    equal = fps.join(equal, "fp").where("node != a").select("a", F.col("node").alias("b"))
+    return found.unionByName(equal).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -309,7 +345,7 @@ def classes(docs: DataFrame, limit: int = 3, shingle: int = 3, id_col: str = "do
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs, shingle, id_col, text_col), "rows")
     fps = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "fps")
-    root = components(links(fps, scratch, limit), scratch)
+    root = components(links(fps.withColumn("node", F.col("fp")), scratch, limit), scratch)
     named = fps.join(root, fps["fp"] == root["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = scratch.save(named, "named")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -317,8 +353,73 @@ def classes(docs: DataFrame, limit: int = 3, shingle: int = 3, id_col: str = "do
     return rows.join(named, "fp").select("doc_id", "key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def distinct(docs: DataFrame, limit: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with one row of each component: that of the least id.
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of the distinct word shingles, in order."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))], np.uint64))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, limit: int = 11, probe_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, key, component_id long.
+
+    Texts are linked if their sets of ``shingle`` words have a Jaccard
+    similarity of ``similarity`` or more and their fingerprints, of shingles of
+    ``probe_shingle`` words, are within ``limit`` bits (99 % of texts with 0.8
+    and more are).  Texts that differ in case and white space alone are one
+    node.  Texts without words are one node.
+    """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("fp", pa.int64())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                own = [b" ".join(x.lower().split()) for x in texts(b.column(1))]
+                nodes = np.array([xxhash.xxh64_intdigest(x, 7) for x in own], np.uint64).view(np.int64)
+                yield batch(schema, b.column(0), b.column(2), nodes, np.array([fingerprint(x, probe_shingle) for x in own], np.uint64).view(np.int64))
+
+    source = documents(docs, id_col, text_col).withColumn("key", text_key(F.col("text")))
+    rows = scratch.save(source.mapInArrow(mark, "doc_id long, key long, node long, fp long"), "rows")
+    nodes = scratch.save(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "key")).alias("of")), "nodes")
+    pairs = scratch.save(links(nodes.select("node", "fp"), scratch, limit), "pairs")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    need = nodes.join(ends, "node").select("node", F.col("of.doc_id").alias("of_id"), F.col("of.key").alias("of_key"))
+    sets = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                yield batch(sets, b.column(0), [shingle_set(x.lower().split(), shingle).tobytes() for x in texts(b.column(1))])
+
+    found = source.join(need, source["doc_id"].eqNullSafe(need["of_id"]) & (source["key"] == need["of_key"])).select("node", "text")
+    found = scratch.save(found.mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    kept = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                on = []
+                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    on.append(common >= similarity * (len(x) + len(y) - common))
+                yield batch(kept, b.column(0), b.column(1)).filter(pa.array(on, pa.bool_()))
+
+    root = components(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), scratch)
+    named = nodes.join(root.withColumnRenamed("node", "own"), nodes["node"] == F.col("own"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    named = scratch.save(named, "named")
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = named.join(lowest, "root").select("node", "root", "component_id")
+    return rows.join(named, "node").select("doc_id", "key", "root", "component_id")
+
+
+def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs, all columns, with one row of each component of near duplicates: that of the least id.
 
     Of rows with that id one stays, with the least hash of its text.  A
     component of null ids alone keeps one row.
@@ -328,8 +429,8 @@ def distinct(docs: DataFrame, limit: int = 3, shingle: int = 3, id_col: str = "d
     own_id = flat[f"c{names.index(id_col)}"].cast("long") if id_col in names else F.lit(None).cast("long")
     text = flat[f"c{names.index(text_col)}"].cast("string") if text_col in names else F.lit(None).cast("string")
     flat = flat.withColumn("own_id", own_id).withColumn("own_key", text_key(text))
-    found = classes(docs, limit, shingle, id_col, text_col)
-    first = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("x"))
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("x"))
     first = first.select(F.col("x.doc_id").alias("doc_id"), F.col("x.key").alias("key"))
     out = flat.join(first, flat["own_id"].eqNullSafe(first["doc_id"]) & (flat["own_key"] == first["key"]), "left_semi")
     order = Window.partitionBy("own_id", "own_key").orderBy(*[F.col(f"c{i}").cast("string") for i, n in enumerate(names) if n not in (id_col, text_col)] or [F.lit(1)])
