@@ -110,7 +110,7 @@ class _Tokens:
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (context, token) in order, as context, token, training count, and the pair of each token."""
         code, inverse = np.unique(self.context * np.int64(len(self.keys)) + self.token, return_inverse=True)
-        return code // len(self.keys), code % len(self.keys), np.bincount(inverse[self.train], minlength=len(code)), inverse
+        return (code // len(self.keys)).astype(np.int32), (code % len(self.keys)).astype(np.int32), np.bincount(inverse[self.train], minlength=len(code)), inverse
 
     def context_counts(self, seen: np.ndarray) -> np.ndarray:
         """Customers of each context: as often as its word is there; a text begins as often as it ends; nothing follows an end."""
@@ -119,12 +119,18 @@ class _Tokens:
         return out
 
 
-def _word_counts(columns: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
-    own, inverse = np.unique(np.concatenate([c[0] for c in columns]), return_inverse=True)
-    total = np.zeros(len(own), np.int64)
-    np.add.at(total, inverse, np.concatenate([c[1] for c in columns]).astype(np.int64))
-    stats = np.array([(total > 0).sum(), total.sum()], np.int64)
-    return [[x, stats] for x in np.split(total[inverse], np.cumsum([len(c[0]) for c in columns])[:-1])]
+def _word_counts(word_parts: int):
+    """Count of each word, and its number: its rank in its part, times the number of parts, and the part."""
+
+    def reply(columns: list[list[np.ndarray]], part: int) -> list[list[np.ndarray]]:
+        own, inverse = np.unique(np.concatenate([c[0] for c in columns]), return_inverse=True)
+        total = np.zeros(len(own), np.int64)
+        np.add.at(total, inverse, np.concatenate([c[1] for c in columns]).astype(np.int64))
+        stats = np.array([(total > 0).sum(), total.sum()], np.int64)
+        cuts = np.cumsum([len(c[0]) for c in columns])[:-1]
+        return [[x, (y * word_parts + part).astype(np.uint64), stats] for x, y in zip(np.split(total[inverse], cuts), np.split(inverse, cuts), strict=True)]
+
+    return reply
 
 
 def _stats(replies: DataFrame, column: int) -> np.ndarray:
@@ -134,53 +140,63 @@ def _stats(replies: DataFrame, column: int) -> np.ndarray:
 
 
 def _part_of(context: np.ndarray, token: np.ndarray, counts: np.ndarray, hot: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Part of each pair, and over how many parts its context is spread."""
+    """Part of each pair of word numbers, and over how many parts its context is spread."""
     spread = np.minimum(parts, 1 + counts // max(1, hot)).astype(np.int64)
-    home = np.searchsorted(tb.edges(parts), context, side="right") - 1
-    return (home + (tb.mixed(token) % spread.astype(np.uint64)).astype(np.int64)) % parts, spread
+    home, step = tb.mixed(context + np.uint64(1)) % np.uint64(parts), tb.mixed(token + np.uint64(1)) % spread.astype(np.uint64)
+    return ((home + step) % np.uint64(parts)).astype(np.int32), spread
+
+
+def _coded(counts: np.ndarray) -> np.ndarray:
+    """Counts to within 3 %, in a byte or two."""
+    return np.rint(16 * np.log2(counts + 1.0)).astype(np.uint16)
 
 
-def _sweep(hot: int, parts: int, word_parts: int, known: int, total: int, seed: int):
+def _sweep(parts: int, word_parts: int, known: int, total: int, seed: int):
     """For one part: customers less discounts of each pair, and tables of each context, averaged; tables of each dish for the parent."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         asked = [[tb.unpack(c) for c in r["columns"]] for r in rows]
-        part = rows[0]["part"]
-        # columns: contexts, pairs of each, customers of each, parts of each; words, counts of each; word of each pair, training count
-        context = np.concatenate([np.repeat(c[0], c[1]) for c in asked])
-        spread = np.concatenate([np.repeat(c[3], c[1]) for c in asked])
-        word = np.concatenate([c[4][c[6]] for c in asked])
-        count_of_word = np.concatenate([c[5][c[6]] for c in asked])
-        with np.errstate(over="ignore"):
-            pair = tb.mixed(context * np.uint64(0x9E3779B97F4A7C15) + word)
-        _, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
-        count = np.zeros(len(first), np.int64)
-        np.add.at(count, inverse, np.concatenate([c[7] for c in asked]).astype(np.int64))
-        contexts, of = np.unique(context[first], return_inverse=True)
-        share = spread[first].astype(float)
-        parent = (count_of_word[first] + 1.0) / (total + known + 1.0)
+        part, sizes = rows[0]["part"], [len(r[3]) for r in asked]
+        # columns: contexts, pairs of each, parts of each; word of each pair, training count, its code of the word's count
+        pair = np.concatenate([np.repeat(c[0], c[1]) << np.uint64(32) | c[3] for c in asked])
+        pair, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
+        inverse = inverse.astype(np.int32)
+        count = np.bincount(inverse, np.concatenate([c[4] for c in asked]), len(pair)).astype(np.int64)
+        share = np.concatenate([np.repeat(c[2], c[1]) for c in asked])[first].astype(np.float32)
+        parent = (np.exp2(np.concatenate([c[5] for c in asked])[first] / 16.0) / (total + known + 1.0)).astype(np.float32)
+        contexts, of = np.unique(pair >> np.uint64(32), return_inverse=True)
         rng, stirling = np.random.default_rng([seed, part]), log_stirling(DISCOUNT)
         t = np.minimum(count, 1)
-        mean_t, mean_all = np.zeros(len(t)), np.zeros(len(contexts))
+        mean_t, mean_all = np.zeros(len(t), np.float32), np.zeros(len(contexts))
         busy = np.flatnonzero(count > 1)
         for sweep in range(BURN_IN + SWEEPS):
             everywhere = np.bincount(of, t, len(contexts))
-            t[busy] = tables(rng, count[busy], everywhere[of[busy]] * share[busy] - t[busy], parent[busy], DISCOUNT, STRENGTH, stirling)
+            t[busy] = tables(rng, count[busy], everywhere[of[busy]] * share[busy] - t[busy], parent[busy].astype(float), DISCOUNT, STRENGTH, stirling)
             if sweep >= BURN_IN:
-                mean_t += t / SWEEPS
+                mean_t += t / np.float32(SWEEPS)
                 mean_all += np.bincount(of, t, len(contexts)) / SWEEPS
-        left = (count - DISCOUNT * mean_t).astype(np.float32)
-        cuts = np.cumsum([len(c[6]) for c in asked])[:-1]
-        found = [(part, r["batch"], [tb.pack(x), tb.pack(mean_all[np.searchsorted(contexts, c[0])].astype(np.float32))]) for r, c, x in zip(rows, asked, np.split(left[inverse], cuts), strict=True)]
-        dishes, own = np.unique(word[first], return_inverse=True)
+        left, at, found = (count - DISCOUNT * mean_t).astype(np.float32), 0, []
+        for r, c, n in zip(rows, asked, sizes, strict=True):
+            found.append((part, r["batch"], [tb.pack(left[inverse[at : at + n]]), tb.pack(mean_all[np.searchsorted(contexts, c[0])].astype(np.float32))]))
+            at += n
+        dishes, own = np.unique(pair & np.uint64(0xFFFFFFFF), return_inverse=True)
         sums = np.bincount(own, mean_t, len(dishes)).astype(np.float32)
-        found += [(p, -1 - part, c) for p, _, c in tb.deal(0, dishes[sums > 0], word_parts, sums[sums > 0])]
+        found += [(p, -1 - part, c) for p, c in _by_word_part(dishes[sums > 0], word_parts, sums[sums > 0])]
         return pa.Table.from_batches([batch(tb.QUESTIONS, *[list(x) for x in zip(*found, strict=True)])])
 
     return run
 
 
+def _by_word_part(numbers: np.ndarray, word_parts: int, *values: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    """(part, packed ranks and values) of word numbers, in the order that the numbers have."""
+    part, rank = (numbers % np.uint64(word_parts)).astype(np.int64), (numbers // np.uint64(word_parts)).astype(np.uint32)
+    for p in range(word_parts):
+        on = part == p
+        if on.any():
+            yield p, [tb.pack(rank[on]), *[tb.pack(v[on]) for v in values]]
+
+
 def _seat_root(known: int, seed: int):
     """For one part of the words: customers of each word in the parent less its discount, for each batch that asks."""
 
@@ -188,7 +204,7 @@ def _seat_root(known: int, seed: int):
         rows = table.to_pylist()
         sent = [[tb.unpack(c) for c in r["columns"]] for r in rows if r["batch"] < 0]
         asked = [(r["batch"], tb.unpack(r["columns"][0])) for r in rows if r["batch"] >= 0]
-        keys, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *[c[0] for c in sent]]), return_inverse=True)
+        keys, inverse = np.unique(np.concatenate([np.zeros(0, np.uint32), *[c[0] for c in sent]]), return_inverse=True)
         customers = np.bincount(inverse, np.concatenate([np.zeros(0, np.float32), *[c[1] for c in sent]]), len(keys)) if len(keys) else np.zeros(0)
         whole = np.maximum(1, np.rint(customers)).astype(np.int64)
         rng, stirling, parent = np.random.default_rng([seed, 1, rows[0]["part"]]), log_stirling(ROOT_DISCOUNT), np.full(len(keys), 1.0 / (known + 1.0))
@@ -222,38 +238,38 @@ def score(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str
     """
     scratch = Scratch(docs.sparkSession, "lm")
     batches = tb.build(docs, scratch, True, None, id_col, text_col)
-    from .substrings import _total
-
-    size = _total(batches)
-    word_parts, parts = tb.parts_for(size, 4_000_000), tb.parts_for(size, PART_PAIRS)
+    size = tb.total_words(batches)
+    word_parts, parts = tb.parts_for(size, 8_000_000), tb.parts_for(size, PART_PAIRS)
 
     def words(row):
         t = _Tokens(row)
         return tb.deal(t.b.number, t.keys, word_parts, t.counts().astype(np.int32))
 
-    asked = tb.ask(batches, words)
-    seen = scratch.save(tb.answer(asked, _word_counts), "seen")
-    known, total = (int(x) for x in _stats(seen, 1))
+    seen = scratch.save(tb.answer(tb.ask(batches, words), _word_counts(word_parts)), "seen")
+    known, total = (int(x) for x in _stats(seen, 2))
     hot = max(1000, total // (4 * parts))
     rows = tb.joined(batches, seen, "seen")
 
     def pairs(row):
         t = _Tokens(row)
-        every = tb.gathered(row["seen"], 0)
+        every, number = tb.gathered(row["seen"], 0), tb.gathered(row["seen"], 1)
         customers = t.context_counts(every)
         context, token, count, _ = t.pairs()
-        part, spread = _part_of(t.keys[context], t.keys[token], customers[context], hot, parts)
+        part, spread = _part_of(number[context], number[token], customers[context], hot, parts)
         order = np.argsort(part, kind="stable")
-        at = np.searchsorted(part[order], np.arange(parts + 1))
+        at, code = np.searchsorted(part[order], np.arange(parts + 1)), _coded(every)
         for p in np.flatnonzero(np.diff(at)).tolist():
             own = order[at[p] : at[p + 1]]
             new = np.flatnonzero(np.diff(np.concatenate([[-1], context[own]])))
-            dishes, dish = np.unique(token[own], return_inverse=True)
             head = own[new]
-            yield p, t.b.number, [tb.pack(x) for x in (t.keys[context[head]], np.diff(np.append(new, len(own))).astype(np.int32), customers[context[head]], spread[head].astype(np.int32), t.keys[dishes], every[dishes], dish.astype(np.int32), count[own].astype(np.int32))]
+            yield p, t.b.number, [tb.pack(x) for x in (number[context[head]], np.diff(np.append(new, len(own))).astype(np.int32), spread[head].astype(np.int32), number[token[own]], count[own].astype(np.int32), code[token[own]])]
+
+    def asked_of_root(row):
+        number = tb.gathered(row["seen"], 1)
+        return ((p, row["batch"], c) for p, c in _by_word_part(number, word_parts))
 
-    swept = scratch.save(tb.ask(rows, pairs).groupBy("part").applyInArrow(_sweep(hot, parts, word_parts, known, total, seed), tb.QUESTIONS_SQL), "swept")
-    to_root = tb.ask(batches, lambda row: ((p, n, c[:1]) for p, n, c in words(row))).unionByName(swept.where("batch < 0"))
+    swept = scratch.save(tb.ask(rows, pairs).groupBy("part").applyInArrow(_sweep(parts, word_parts, known, total, seed), tb.QUESTIONS_SQL), "swept")
+    to_root = tb.ask(tb.joined(batches.select("batch"), seen, "seen"), asked_of_root).unionByName(swept.where("batch < 0"))
     root = scratch.save(to_root.groupBy("part").applyInArrow(_seat_root(known, seed), tb.QUESTIONS_SQL), "root")
     root_customers, root_tables = (float(x) for x in _stats(root, 1))
     rows = tb.joined(tb.joined(rows, swept.where("batch >= 0"), "swept"), root, "root")
@@ -264,10 +280,10 @@ def score(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str
             for i in range(some.num_rows):
                 row = some.slice(i, 1).to_pylist()[0]
                 t = _Tokens(row)
-                every = tb.gathered(row["seen"], 0)
+                every, number = tb.gathered(row["seen"], 0), tb.gathered(row["seen"], 1)
                 customers = t.context_counts(every)
                 context, token, _, pair = t.pairs()
-                part, _ = _part_of(t.keys[context], t.keys[token], customers[context], hot, parts)
+                part, _ = _part_of(number[context], number[token], customers[context], hot, parts)
                 order = np.argsort(part, kind="stable")
                 at = np.searchsorted(part[order], np.arange(parts + 1))
                 left, open_ = np.zeros(len(context)), np.zeros(len(t.keys))
@@ -276,7 +292,10 @@ def score(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str
                     left[own] = tb.unpack(r["columns"][0])
                     open_[context[own[np.flatnonzero(np.diff(np.concatenate([[-1], context[own]])))]]] += tb.unpack(r["columns"][1])
                 share = (ROOT_STRENGTH + ROOT_DISCOUNT * root_tables) / (known + 1.0)
-                parent = (tb.gathered(row["root"], 0) + share) / (ROOT_STRENGTH + root_customers)
+                by_root = np.zeros(len(number))
+                for r in row["root"]:
+                    by_root[number % np.uint64(word_parts) == r["part"]] = tb.unpack(r["columns"][0])
+                parent = (by_root + share) / (ROOT_STRENGTH + root_customers)
                 p = (left + (STRENGTH + DISCOUNT * open_[context]) * parent[token]) / (STRENGTH + customers[context])
                 base = np.log10((every[t.token] + 1.0) / (total + known + 1.0))
                 yield batch(schema, t.b.doc_ids, t.held_out, t.b.sizes + 1, np.add.reduceat((every[t.token] > 0).astype(np.int64), t.starts), np.full(len(t.starts), total), np.add.reduceat(base, t.starts), np.add.reduceat(np.log10(p)[pair], t.starts))

@@ -100,7 +100,7 @@ def _distinct(w: _Windows, bits: np.ndarray):
     return on, number, a[first], b[first], low
 
 
-def _which_are_shared(columns: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+def _which_are_shared(columns: list[list[np.ndarray]], part: int) -> list[list[np.ndarray]]:
     keys = np.concatenate([c[0] for c in columns])
     own, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
     shared = count > 1
@@ -109,7 +109,7 @@ def _which_are_shared(columns: list[list[np.ndarray]]) -> list[list[np.ndarray]]
     return [[x.astype(np.uint8)] for x in np.split(shared[inverse], cuts)]
 
 
-def _least_ids(columns: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+def _least_ids(columns: list[list[np.ndarray]], part: int) -> list[list[np.ndarray]]:
     a, b, low = (np.concatenate([c[k] for c in columns]) for k in range(3))
     order = np.lexsort((b, a))
     new = np.ones(len(order), bool)
@@ -132,7 +132,7 @@ def dedup(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id_col: str
     """
     scratch = Scratch(docs.sparkSession, "substrings")
     batches = tb.build(docs, scratch, False, lambda words: hashlib.sha256(b" ".join(words)).digest(), id_col, text_col)
-    parts = tb.parts_for(_total(batches))
+    parts = tb.parts_for(tb.total_words(batches))
 
     # copies: rows of whole texts that a smaller id has; least of each text by a partial aggregation
     whole = pa.schema([("batch", pa.int64()), ("place", pa.int32()), ("id", pa.int64()), ("text", pa.binary())])
@@ -195,14 +195,3 @@ def dedup(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id_col: str
                 yield batch(schema, row["doc_ids"], b.sizes, removed, shas, spans)
 
     return rows.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>")
-
-
-def _total(batches: DataFrame) -> int:
-    """Words of all batches."""
-    schema = pa.schema([("n", pa.int64())])
-
-    def run(rows):
-        for b in rows:
-            yield batch(schema, [int(tb.unpack(x).sum()) for x in b.column(0).to_pylist()])
-
-    return batches.select("sizes").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

@@ -142,8 +142,8 @@ def ask(batches: DataFrame, questions: Callable[[dict], Iterator[tuple[int, int,
     return batches.mapInArrow(run, QUESTIONS_SQL)
 
 
-def answer(questions: DataFrame, reply: Callable[[list[list[np.ndarray]]], list[list[np.ndarray]]]) -> DataFrame:
-    """(batch, part, columns): for each part, from the columns of all its batches, columns for each of them.
+def answer(questions: DataFrame, reply: Callable[[list[list[np.ndarray]], int], list[list[np.ndarray]]]) -> DataFrame:
+    """(batch, part, columns): for each part, from the columns of all its batches and its number, columns for each of them.
 
     A part has a bounded number of entries if ``parts`` follows the corpus, as
     ``parts_for`` has it.
@@ -151,7 +151,7 @@ def answer(questions: DataFrame, reply: Callable[[list[list[np.ndarray]]], list[
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        out = reply([[unpack(c) for c in r["columns"]] for r in rows])
+        out = reply([[unpack(c) for c in r["columns"]] for r in rows], rows[0]["part"])
         return pa.Table.from_batches([batch(QUESTIONS, [r["part"] for r in rows], [r["batch"] for r in rows], [[pack(c) for c in x] for x in out])])
 
     return questions.groupBy("part").applyInArrow(run, QUESTIONS_SQL)
@@ -188,3 +188,14 @@ def sequence_hash(values: np.ndarray, at: np.ndarray | slice, length: int, facto
             own = values[at.start + j : at.stop + j] if isinstance(at, slice) else values[at + j]
             out = out * np.uint64(factor) + own
     return mixed(out)
+
+
+def total_words(batches: DataFrame) -> int:
+    """Words of all batches."""
+    schema = pa.schema([("n", pa.int64())])
+
+    def run(rows):
+        for b in rows:
+            yield batch(schema, [int(unpack(x).sum()) for x in b.column(0).to_pylist()])
+
+    return batches.select("sizes").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
