@@ -134,18 +134,24 @@ def dedup(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id_col: str
     batches = tb.build(docs, scratch, False, lambda words: hashlib.sha256(b" ".join(words)).digest(), id_col, text_col)
     parts = tb.parts_for(tb.total_words(batches))
 
-    # copies: rows of whole texts that a smaller id has; least of each text by a partial aggregation
-    whole = pa.schema([("batch", pa.int64()), ("place", pa.int32()), ("id", pa.int64()), ("text", pa.binary())])
+    # copies: documents whose whole text a smaller id has; a batch has one row for each of its texts
+    whole = pa.schema([("text", pa.binary()), ("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
 
     def identities(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for r in b.to_pylist():
-                n = len(r["doc_ids"])
-                yield batch(whole, [r["batch"]] * n, np.arange(n, dtype=np.int32), _order(r["doc_ids"]), [r["extra"][32 * i : 32 * i + 32] for i in range(n)])
-
-    each = batches.select("batch", "doc_ids", "extra").mapInArrow(identities, "batch long, place int, id long, text binary")
-    first = each.groupBy("text").agg(F.min("id").alias("low"))
-    copies = each.join(first, "text").where("id > low").groupBy("batch").agg(F.collect_list("place").alias("copies"))
+                own: dict[bytes, tuple[list[int], list[int]]] = {}
+                for i, one in enumerate(_order(r["doc_ids"]).tolist()):
+                    ids, places = own.setdefault(r["extra"][32 * i : 32 * i + 32], ([], []))
+                    ids.append(one)
+                    places.append(i)
+                yield batch(whole, list(own), [r["batch"]] * len(own), [x for x, _ in own.values()], [y for _, y in own.values()])
+
+    each = scratch.save(batches.select("batch", "doc_ids", "extra").mapInArrow(identities, "text binary, batch long, ids array<long>, places array<int>"), "texts")
+    first = each.groupBy("text").agg(F.min(F.array_min("ids")).alias("low"))
+    later = F.filter(F.arrays_zip("ids", "places"), lambda x: x["ids"] > F.col("low"))
+    copies = each.join(first, "text").select("batch", F.transform(later, lambda x: x["places"]).alias("places"))
+    copies = copies.groupBy("batch").agg(F.flatten(F.collect_list("places")).alias("copies"))
     copies = scratch.save(copies, "copies")
     rows = batches.join(copies, "batch", "left")
 
