@@ -36,7 +36,7 @@ from .common import batch, documents, text_key, texts, tokenizer_path
 #: Ids after which a segment is closed; a longer document has a segment of its own.
 SEGMENT_IDS = 1 << 20
 #: Pieces that a worker remembers, and how many new ones go through the library in one text.
-MOST_PIECES = 800_000
+MOST_PIECES = 1_000_000
 LOT = 500
 #: Marks that the byte-level rules set apart from the letters before them, and keep together.
 MARKS = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
@@ -103,6 +103,18 @@ class EliasFano:
         return ((ones - np.arange(self.n)) << self.low_bits) | self._low(np.arange(self.n))
 
 
+def _is_word(x: str) -> bool:
+    """Letters alone, of scripts whose letters have long been settled."""
+    return x.isalpha() and (x.isascii() or max(x) < "\u0500")
+
+
+def _around_line_end(x: str) -> tuple[str, str, str] | None:
+    """Of a word, marks or none, a line end, a word, marks or none: what is before the end, the word and the marks after it."""
+    a, _, b = x.partition("\n")
+    h = b.rstrip(MARKS)
+    return (a, h, b[len(h) :]) if _is_word(h) and _is_word(a.rstrip(MARKS)) else None
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, end id appended.
 
@@ -130,6 +142,8 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.line_end = self._ids(["\n"])[0].tobytes()
         if self.cuts:
             self.words = Tokenizer(t.model)
             self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -149,32 +163,43 @@ class Encoder:
 
         A word of letters, with marks after it or none, needs no further cutting
         by the tokenizer's rules: the word and the marks have their ids apart.
+        So have two of them with one line end between.
         """
-        words, marked, rest = [], [], []
+        young, lines, plain, words, marked, rest = self.young, [], set(), [], [], []
         for x in pieces:
             if (known := self.old.pop(x, None)) is not None:
-                self.young[x] = known
-                continue
+                young[x] = known
+            elif "\n" in x and (ends := _around_line_end(x)):
+                lines.append((x, *ends))
+                if ends[0] not in young:
+                    plain.add(ends[0])
+            else:
+                plain.add(x)
+        for x in plain:
             y = x.rstrip(MARKS)
-            if not (y.isalpha() and (y.isascii() or max(y) < "\u0500")):
+            if not _is_word(y):
                 rest.append(x)
             elif len(y) == len(x):
                 words.append(x)
             else:
                 marked.append((x, y))
-        words = list({*words, *(y for _, y in marked if y not in self.young)})
+        words = list({*words, *(y for _, y in marked if y not in young)})
         self._known(rest, ["".join([" " + x for x in rest[i : i + LOT]]) for i in range(0, len(rest), LOT)])
         lots = [" ".join(words[i : i + LOT]) for i in range(0, len(words), LOT)]
         self._known(words, [SPACE_LETTER + x.encode().decode("latin-1").translate(BYTE_LETTERS) for x in lots], self.words)
-        tails = list({x[len(y) :] for x, y in marked} - set(self.marks))
+        tails = {x[len(y) :] for x, y in marked} | {m for *_, m in lines}
+        tails = list(tails.difference(self.marks))
         self.marks.update(zip(tails, [x.tobytes() for x in self._ids(tails)], strict=True))
-        self.young.update([(x, self.young[y] + self.marks[x[len(y) :]]) for x, y in marked])
+        young.update([(x, young[y] + self.marks[x[len(y) :]]) for x, y in marked])
+        heads = list({h for _, _, h, _ in lines if h not in self.heads})
+        self.heads.update(zip(heads, [x.tobytes() for x in self._ids(heads)], strict=True))
+        young.update([(x, young[a] + self.line_end + self.heads[h] + self.marks[m]) for x, a, h, m in lines])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > MOST_PIECES // 2:
             self.young, self.old = {}, self.young
-        if len(self.marks) > MOST_PIECES // 10:
-            self.marks = {}
+        if len(self.marks) + len(self.heads) > MOST_PIECES // 5:
+            self.marks, self.heads = {}, {}
         cut = [x.split(" ") if self.cuts else [x, ""] for x in texts]
         whole = [len(x) > 1 and "" in x for x in cut]
         heads = [x.tobytes() for x in self._ids([t if w else x[0] for t, x, w in zip(texts, cut, whole, strict=True)])]
