@@ -16,14 +16,14 @@ from .common import documents
 SPACE = r"\x20\x09-\x0D"
 #: What a line of boilerplate says, in lower case.
 BOILERPLATE = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "accept cookies", "enable javascript", "javascript is disabled", "click here", "sign up for our newsletter", "lorem ipsum")
-#: A symbol that words of prose don't hold; a line may have one for every four words.
+#: Symbols that words of prose don't hold; a line fails with more than one for every four words.
 SYMBOLS = "#*$%&|<>"
 #: A line fails if it has this many columns, set apart by a bar, or more.
 MOST_BARS = 3
-#: A line fails if its words end in runs of exclamation marks this often for each word.
-SHOUTS_A_WORD = 0.25
-#: A line of so many words or more has to have a mark that ends or divides a sentence.
-LONG_LINE = 60
+#: A line with so many exclamation marks, and one for every two words, fails.
+SHOUTS = 4
+#: A line of so many characters has to have a mark that ends or divides a sentence.
+LONG_LINE = 400
 #: A document is rejected if lines with more than this part of its characters fail.
 MOST_LOST = 0.5
 
@@ -33,24 +33,43 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def without(text: Column, chars: str) -> Column:
+    """text without these characters, each one removed by a plain search."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.length(text) - F.length(without(text, chars))
+
 
+def split_words(text: Column) -> Column:
+    """Words between white space."""
+    for c in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.filter(F.split(text, " "), lambda w: w != "")
 
-def line_words(line: Column) -> Column:
-    marks = F.regexp_replace(line, f"[^{SPACE}]+", "x")
-    return F.length(F.translate(marks, " \t\n\x0b\f\r", ""))
+
+def line_fails(line: Column, doc: DataFrame) -> Column:
+    """Punctuation, navigation and boilerplate rules for one line that has a word.
+
+    Spaces count the words.  A rule is looked at only in documents that have
+    what it looks for.
+    """
+    words = count_of(line, " ") + 1
+    symbols = doc["has_symbols"] & ((count_of(line, SYMBOLS) * 4 > words) | (count_of(line, "|") >= MOST_BARS))
+    shouts = doc["has_shouts"] & let(count_of(line, "!"), lambda n: (n >= SHOUTS) & (n * 2 >= words))
+    endless = (F.length(line) >= LONG_LINE) & ~line.rlike("[.,;:!?…]")
+    boilerplate = doc["has_phrase"] & has_phrase(line)
+    return symbols | shouts | endless | boilerplate
 
 
-def line_fails(line: Column) -> Column:
-    """Punctuation, navigation and boilerplate rules for one line that has a word."""
-    words = line_words(line)
-    symbols = count_of(line, SYMBOLS) * 4 > words
-    navigation = count_of(line, "|") >= MOST_BARS
-    shouts = count_of(line, "!") >= 2 * SHOUTS_A_WORD * words
-    endless = (words >= LONG_LINE) & (count_of(line, ".,;:!?…") == 0)
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
-    return symbols | navigation | (shouts & (count_of(line, "!") >= 4)) | endless | boilerplate
+def has_phrase(text: Column) -> Column:
+    out = F.lit(False)
+    for phrase in BOILERPLATE:
+        out = out | F.contains(F.lower(text), F.lit(phrase))
+    return out
 
 
 def repeated(hashes: Column, width: int) -> Column:
@@ -77,24 +96,25 @@ def judge(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str
     and ties play no part; an empty table gives no rows.
     """
     rows = documents(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("words", F.filter(F.split("text", f"[{SPACE}]+"), lambda w: w != "")).withColumn("lines", F.split("text", "\n"))
-    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    full = lambda x: x.rlike(f"[^{SPACE}]")
+    rows = rows.withColumn("words", split_words(F.col("text"))).withColumn("lines", F.split("text", "\n"))
+    rows = rows.withColumn("n_symbols", count_of(F.col("text"), SYMBOLS)).withColumn("has_symbols", F.col("n_symbols") > 0).withColumn("has_shouts", F.contains("text", F.lit("!"))).withColumn("has_phrase", has_phrase(F.col("text")))
     n = F.size("words")
-    window = lambda h, i: F.xxhash64(h, *[F.get(F.col("hashes"), i + d) for d in range(1, width)])
-    rows = rows.withColumn("windows", F.when(n < width, F.array().cast("array<bigint>")).otherwise(F.transform(F.slice("hashes", F.lit(1), F.greatest(n - width + 1, F.lit(0))), window)))
-    rows = rows.withColumn("full_lines", F.filter("lines", lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0))
-    rows = rows.withColumn("failing", F.filter("full_lines", line_fails))
+    window = lambda w, i: F.xxhash64(w, *[F.get(F.col("words"), i + d) for d in range(1, width)])
+    rows = rows.withColumn("windows", F.when(n < width, F.array().cast("array<bigint>")).otherwise(F.transform(F.slice("words", F.lit(1), F.greatest(n - width + 1, F.lit(0))), window)))
+    rows = rows.withColumn("full_lines", F.filter("lines", full))
+    rows = rows.withColumn("failing", F.filter("full_lines", lambda x: line_fails(x, rows)))
     chars = lambda lines: F.length(F.array_join(lines, ""))
     lost = F.coalesce(chars(F.col("failing")) / F.nullif(chars(F.col("full_lines")), F.lit(0)), F.lit(0.0))
     out = rows.select(
         "doc_id",
         n.cast("long").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        count_of(F.col("text"), "#*$%&|<>").cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.col("n_symbols").cast("long").alias("n_symbols"),
         (F.size("full_lines") - F.size(F.array_distinct("full_lines"))).cast("long").alias("n_dup_lines"),
         F.when(n < width, F.lit(0)).otherwise(repeated(F.col("windows"), width)).cast("long").alias("n_repeat_words"),
         lost.alias("lost"),
-        F.when(F.size("failing") == 0, F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x: (F.length(F.translate(x, " \t\n\x0b\f\r", "")) == 0) | ~line_fails(x)), "\n")).alias("clean_text"),
+        F.when(F.size("failing") == 0, F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x: ~full(x) | ~line_fails(x, rows)), "\n")).alias("clean_text"),
     )
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= MOST_LOST))
