@@ -165,9 +165,9 @@ class Encoder:
         by the tokenizer's rules: the word and the marks have their ids apart.
         So have two of them with one line end between.
         """
-        young, lines, plain, words, marked, rest = self.young, [], set(), [], [], []
+        young, old, lines, plain, words, marked, rest = self.young, self.old, [], set(), [], [], []
         for x in pieces:
-            if (known := self.old.pop(x, None)) is not None:
+            if (known := old.get(x)) is not None:
                 young[x] = known
             elif "\n" in x and (ends := _around_line_end(x)):
                 lines.append((x, *ends))
@@ -185,8 +185,10 @@ class Encoder:
                 marked.append((x, y))
         words = list({*words, *(y for _, y in marked if y not in young)})
         self._known(rest, ["".join([" " + x for x in rest[i : i + LOT]]) for i in range(0, len(rest), LOT)])
-        lots = [" ".join(words[i : i + LOT]) for i in range(0, len(words), LOT)]
-        self._known(words, [SPACE_LETTER + x.encode().decode("latin-1").translate(BYTE_LETTERS) for x in lots], self.words)
+        plain, rest = [x for x in words if x.isascii()], [x for x in words if not x.isascii()]
+        self._known(plain, [SPACE_LETTER + (" " + SPACE_LETTER).join(plain[i : i + LOT]) for i in range(0, len(plain), LOT)], self.words)
+        lots = [" ".join(rest[i : i + LOT]) for i in range(0, len(rest), LOT)]
+        self._known(rest, [SPACE_LETTER + x.encode().decode("latin-1").translate(BYTE_LETTERS) for x in lots], self.words)
         tails = {x[len(y) :] for x, y in marked} | {m for *_, m in lines}
         tails = list(tails.difference(self.marks))
         self.marks.update(zip(tails, [x.tobytes() for x in self._ids(tails)], strict=True))
