@@ -51,7 +51,7 @@ def split_words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-def line_fails(line: Column, doc: DataFrame) -> Column:
+def line_fails(line: Column, doc: Column) -> Column:
     """Punctuation, navigation and boilerplate rules for one line that has a word.
 
     Spaces count the words.  A rule is looked at only in documents that have
@@ -86,6 +86,33 @@ def repeated(hashes: Column, width: int) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(pairs, covered))
 
 
+def _verdict(text: Column, width: int) -> Column:
+    """All of judge's columns as one struct: a filter on one of them that Spark moves down works it out once more, and no part of it for each word."""
+    full = lambda x: x.rlike(f"[^{SPACE}]")
+    chars = lambda lines: F.length(F.array_join(lines, ""))
+
+    def windows(words: Column) -> Column:
+        hash_ = lambda w, i: F.xxhash64(w, *[F.get(words, i + d) for d in range(1, width)])
+        return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(0))), hash_)
+
+    def result(words: Column, lines: Column, doc: Column, lines_full: Column, failing: Column) -> Column:
+        lost = F.coalesce(chars(failing) / F.nullif(chars(lines_full), F.lit(0)), F.lit(0.0))
+        left = F.filter(lines, lambda x: ~full(x) | ~line_fails(x, doc))
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            doc["n_symbols"].cast("long").alias("n_symbols"),
+            (F.size(lines_full) - F.size(F.array_distinct(lines_full))).cast("long").alias("n_dup_lines"),
+            F.when(F.size(words) < width, F.lit(0)).otherwise(let(windows(words), lambda h: repeated(h, width))).cast("long").alias("n_repeat_words"),
+            lost.alias("lost"),
+            F.when(F.size(failing) > 0, F.array_join(left, "\n")).alias("changed_text"),
+        )
+
+    doc = lambda n: F.struct(n.alias("n_symbols"), (n > 0).alias("has_symbols"), F.contains(text, F.lit("!")).alias("has_shouts"), has_phrase(text).alias("has_phrase"))
+    known = lambda words, d, lines: let(F.filter(lines, full), lambda f: let(F.filter(f, lambda x: line_fails(x, d)), lambda failing: result(words, lines, d, f, failing)))
+    return let(split_words(text), lambda words: let(let(count_of(text, SYMBOLS), doc), lambda d: let(F.split(text, "\n"), lambda lines: known(words, d, lines))))
+
+
 def judge(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: counts, the verdict and the cleaned text.
 
@@ -96,25 +123,7 @@ def judge(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str
     and ties play no part; an empty table gives no rows.
     """
     rows = documents(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    full = lambda x: x.rlike(f"[^{SPACE}]")
-    rows = rows.withColumn("words", split_words(F.col("text"))).withColumn("lines", F.split("text", "\n"))
-    rows = rows.withColumn("n_symbols", count_of(F.col("text"), SYMBOLS)).withColumn("has_symbols", F.col("n_symbols") > 0).withColumn("has_shouts", F.contains("text", F.lit("!"))).withColumn("has_phrase", has_phrase(F.col("text")))
-    n = F.size("words")
-    window = lambda w, i: F.xxhash64(w, *[F.get(F.col("words"), i + d) for d in range(1, width)])
-    rows = rows.withColumn("windows", F.when(n < width, F.array().cast("array<bigint>")).otherwise(F.transform(F.slice("words", F.lit(1), F.greatest(n - width + 1, F.lit(0))), window)))
-    rows = rows.withColumn("full_lines", F.filter("lines", full))
-    rows = rows.withColumn("failing", F.filter("full_lines", lambda x: line_fails(x, rows)))
-    chars = lambda lines: F.length(F.array_join(lines, ""))
-    lost = F.coalesce(chars(F.col("failing")) / F.nullif(chars(F.col("full_lines")), F.lit(0)), F.lit(0.0))
-    out = rows.select(
-        "doc_id",
-        n.cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.col("n_symbols").cast("long").alias("n_symbols"),
-        (F.size("full_lines") - F.size(F.array_distinct("full_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(n < width, F.lit(0)).otherwise(repeated(F.col("windows"), width)).cast("long").alias("n_repeat_words"),
-        lost.alias("lost"),
-        F.when(F.size("failing") == 0, F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x: ~full(x) | ~line_fails(x, rows)), "\n")).alias("clean_text"),
-    )
+    out = rows.select("doc_id", "text", _verdict(F.col("text"), width).alias("v"))
+    out = out.select("doc_id", *[F.col("v")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost")], F.coalesce(F.col("v")["changed_text"], F.col("text")).alias("clean_text"))
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= MOST_LOST))
