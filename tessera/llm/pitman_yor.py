@@ -60,6 +60,8 @@ def tables(rng: np.random.Generator, counts: np.ndarray, others: np.ndarray, par
     that grow with the number seated.
     """
     out = np.minimum(counts, 1).astype(np.int64)
+    if not len(counts):
+        return out
     order = np.argsort(counts, kind="stable")
     sizes, first = np.unique(counts[order], return_index=True)
     for c, a, z in zip(sizes.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
