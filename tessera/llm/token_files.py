@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,27 +198,43 @@ class Encoder:
         self.heads.update(zip(heads, [x.tobytes() for x in self._ids(heads)], strict=True))
         young.update([(x, young[a] + self.line_end + self.heads[h] + self.marks[m]) for x, a, h, m in lines])
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text, in order; the pieces of all texts are told apart at once, so each is looked up once."""
+        if not self.cuts:
+            return [x.tobytes() + self.end for x in self._ids(texts.to_pylist())]
         if len(self.young) > MOST_PIECES // 2:
             self.young, self.old = {}, self.young
         if len(self.marks) + len(self.heads) > MOST_PIECES // 5:
             self.marks, self.heads = {}, {}
-        cut = [x.split(" ") if self.cuts else [x, ""] for x in texts]
-        whole = [len(x) > 1 and "" in x for x in cut]
-        heads = [x.tobytes() for x in self._ids([t if w else x[0] for t, x, w in zip(texts, cut, whole, strict=True)])]
-        found, new = [], set()
-        for x, w in zip(cut, whole, strict=True):
-            ids = [] if w else list(map(self.young.get, x))
-            gaps = [i for i, v in enumerate(ids) if v is None and i]
-            new.update([x[i] for i in gaps])
-            found.append((ids, gaps))
-        self._learn(new)
-        out = []
-        for h, x, (ids, gaps) in zip(heads, cut, found, strict=True):
-            for i in gaps:
-                ids[i] = self.young[x[i]]
-            out.append(h + b"".join(ids[1:]) + self.end)
-        return out
+        cut = pc.split_pattern(texts, " ")
+        coded, starts = cut.flatten().dictionary_encode(), cut.offsets.to_numpy().astype(np.int64)
+        starts, piece, pieces = starts - starts[0], coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        count = np.diff(starts)
+        blank = pieces.index("") if "" in pieces else -1
+        whole = np.zeros(len(texts), bool)
+        whole[np.searchsorted(starts, np.flatnonzero(piece == blank), side="right") - 1] = True
+        whole &= count > 1
+        ids = list(map(self.young.get, pieces))
+        gaps = [i for i, x in enumerate(ids) if x is None and i != blank]
+        self._learn({pieces[i] for i in gaps})
+        for i in gaps:
+            ids[i] = self.young[pieces[i]]
+        if blank >= 0:
+            ids[blank] = b""
+        heads = [pieces[i] for i in piece[starts[:-1]].tolist()]
+        for i in np.flatnonzero(whole).tolist():
+            heads[i] = texts[i].as_py()
+        heads = self._ids(heads)
+        # each text's pieces after the first, as places in all known ids
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        first = np.cumsum(size) - size
+        length = size[piece]
+        length[starts[:-1]] = 0
+        length[np.repeat(whole, count)] = 0
+        end = np.concatenate([[0], np.cumsum(length)])
+        place = np.arange(end[-1]) + np.repeat(first[piece] - end[:-1], length)
+        body, end = np.frombuffer(b"".join(ids), self.kind)[place], end[starts].tolist()
+        return [h.tobytes() + body[a:z].tobytes() + self.end for h, a, z in zip(heads, end, end[1:], strict=False)]
 
 
 #: A worker's encoders, with what they remember, serve its later tasks too.
@@ -259,7 +276,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
         for b in batches:
             for at in range(0, b.num_rows, 1000):
-                these = [x or "" for x in b.column(1).slice(at, 1000).to_pylist()]
+                these = pc.fill_null(b.column(1).slice(at, 1000), "")
                 for one, seq in zip(b.column(0).slice(at, 1000).to_pylist(), encoder(these), strict=True):
                     ids.append(one)
                     seqs.append(seq)
