@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,11 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text, text.isNull())
 
 
+@lru_cache
+def _own_folder(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix=f"tessera-{application}-")
+
+
 class Scratch:
     """Tables in the folder that driver and executors share, as spark.checkpoint.dir names it.
 
@@ -48,10 +54,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-            spark.conf.set("spark.checkpoint.dir", base)
+        base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
         self.spark, self.path = spark, f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex[:12]}"
 
     def at(self, name: str) -> str:
