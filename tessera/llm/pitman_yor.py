@@ -36,7 +36,9 @@ BURN_IN, SWEEPS = 2, 3
 #: Counts up to which the number of tables is drawn from its exact conditional.
 EXACT = 48
 #: Pairs that one task sweeps.
-PART_PAIRS = 3_000_000
+PART_PAIRS = 2_000_000
+#: Weights of tables held at once.
+CELLS = 1 << 20
 #: Stand for the end of a text and for its beginning.
 END, BEGIN = np.uint64(0x7F4A7C159E3779B9), np.uint64(0x165667B19E3779F9)
 
@@ -66,8 +68,8 @@ def tables(rng: np.random.Generator, counts: np.ndarray, others: np.ndarray, par
     sizes, first = np.unique(counts[order], return_index=True)
     for c, a, z in zip(sizes.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
         if 2 <= c <= EXACT:
-            for at in range(a, z, 1 << 18):
-                rows = order[at : min(z, at + (1 << 18))]
+            for at in range(a, z, CELLS // c):
+                rows = order[at : min(z, at + CELLS // c)]
                 t = np.arange(1, c + 1)
                 open_ = np.log(strength + discount * (others[rows, None] + t - 1)) + np.log(parent[rows, None])
                 weight = np.cumsum(open_, axis=1) + stirling[c, 1 : c + 1]
