@@ -104,6 +104,7 @@ def build(docs: DataFrame, scratch: Scratch, lower: bool, extra: Callable[[list[
                         number, ids, sizes, flat, more = number + 1, [], [], [], []
         if ids:
             yield close()
+        gc.enable()
 
     spark, name = docs.sparkSession, f"tessera_{uuid.uuid4().hex[:16]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))

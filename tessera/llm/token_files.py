@@ -286,6 +286,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
                         ids, seqs, size, seg, offset = [], [], 0, seg + 1, offset + size
         if ids:
             yield close()
+        gc.enable()
 
     rows = documents(docs, id_col, text_col).withColumn("key", text_key(F.col("text")))
     rows = rows.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key").select("doc_id", "text")
