@@ -6,7 +6,8 @@ i.  Bits that vary together go into one group, so that the other groups tell
 fingerprints apart; a dynamic program gives each group the threshold (-1: not
 probed) that makes the fewest candidates as estimated from a sample.  The
 sample steers only the cost: every split and every allocation finds every link.
-Candidates are then verified on all bits.
+Candidates are then verified on all bits.  Near duplicates by Jaccard similarity
+don't use fingerprints, but prefixes of shingle sets.
 
 Only distinct fingerprints are probed, so copies cost nothing.  A bucket of too
 many fingerprints is split by the bits that it doesn't share, again by the
@@ -18,7 +19,7 @@ never all its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,16 @@ MOST_IN_BUCKET = 350
 FEW = 64
 #: Cost of an emitted key, in verified pairs.
 KEY_COST = 60
+#: Texts of which shingles are counted, to have those of many texts last in prefixes.
+HOT_SAMPLE = 10_000
+#: Texts, about, from which a shingle is hot.
+HOT = 30
+#: Rows of texts or sets that go to a worker at once.
+WIDE_ROWS = 500
+#: Bits of the sketches by which pairs are ruled out before their sets are fetched.
+SKETCH_BITS = 1024
+#: Hot shingles that are sent to all tasks.
+MOST_HOT = 200_000
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -357,60 +368,228 @@ def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
     """Hashes of the distinct word shingles, in order."""
     if not words:
         return np.zeros(0, np.uint64)
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))], np.uint64))
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
+    flat = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    ends = (starts + sizes)[shingle - 1 :]
+    return np.unique(np.array([xxhash.xxh64_intdigest(flat[a:z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=False)], np.uint64))
+
+
+def prefix(own: np.ndarray, similarity: float, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in one order of all shingles: by hash, but hot ones last and by their counts.
+
+    Two sets of the similarity or more share one of these: what either has
+    after them is too little to hold all that they have in common.
+    """
+    size = len(own)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+        own = own[np.lexsort((own, np.where(hot[at] == own, counts[at], 0)))]
+    return own[: size - int(np.ceil(similarity * size - 1e-6)) + 1]
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """Bits that each shingle of a set flips one of: those of two sets differ in no more bits than the sets in shingles."""
+    flips = np.bincount((own >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
+    return np.packbits(flips & 1).tobytes()
+
+
+def reachable(size_a, place_a, size_b, place_b, similarity: float, least=np.minimum):
+    """If two sets may be similar whose first shingle in common has these places in their orders."""
+    return least(size_a - place_a, size_b - place_b) >= (size_a + size_b) * (similarity / (1 + similarity)) - 1e-6
+
+
+SHARED = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("low", pa.int64()), ("low_size", pa.int32()), ("low_place", pa.int32())])
+SHARED_SQL = "bucket long, node long, size int, place int, low long, low_size int, low_place int"
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch], thin=lambda columns: columns) -> Iterator[list[np.ndarray]]:
+    """Columns of some whole buckets at a time; rows come in the order of the buckets."""
+    parts, rows = [], 0
+    for b in chain(batches, [None]):
+        if b is not None and b.num_rows:
+            parts.append([c.to_numpy() for c in b.columns])
+            rows += b.num_rows
+        if not parts or (b is not None and rows < 1 << 16):
+            continue
+        held = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        if not len(held[0]):
+            continue
+        held = thin(held)
+        done = len(held[0]) if b is None else int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on
+        if done:
+            yield [x[:done] for x in held]
+        parts, rows = [[x[done:] for x in held]], 0
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of the buckets of two nodes or more, with the least one beside it; rows come in the order of bucket and node."""
+
+    def once(columns):
+        bucket, node = columns[:2]
+        on = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])])
+        return [x[on] for x in columns]
+
+    for bucket, node, size, place in _whole_buckets(batches, once):
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        n = np.diff(edge)
+        many, first = np.repeat(n > 1, n), np.repeat(edge[:-1], n)
+        first = first[many]
+        yield batch(SHARED, bucket[many], node[many], size[many], place[many], node[first], size[first], place[first])
+
+
+def _all_pairs(similarity: float):
+    """Pairs of nodes of a bucket that are in different components so far and may be similar."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, node, size, place, label in _whole_buckets(batches):
+            at, lag = np.arange(len(bucket)), 1
+            while len(at):
+                at = at[at + lag < len(bucket)]
+                at = at[bucket[at] == bucket[at + lag]]
+                to = at + lag
+                on = (label[at] != label[to]) & reachable(size[at], place[at], size[to], place[to], similarity)
+                x, y = node[at[on]], node[to[on]]
+                if len(x):
+                    yield batch(LINKS, np.minimum(x, y), np.maximum(x, y))
+                lag += 1
+
+    return run
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, limit: int = 11, probe_shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, key, component_id long.
 
     Texts are linked if their sets of ``shingle`` words have a Jaccard
-    similarity of ``similarity`` or more and their fingerprints, of shingles of
-    ``probe_shingle`` words, are within ``limit`` bits (99 % of texts with 0.8
-    and more are).  Texts that differ in case and white space alone are one
-    node.  Texts without words are one node.
+    similarity of ``similarity`` or more, and components are those of all such
+    links.  Candidates share a shingle of their prefixes, which all such texts
+    do, and each is verified on the sets unless its two texts are in one
+    component by links that were.  So that a large group of near copies isn't
+    compared pair by pair, a bucket first tries one of its nodes with all, then
+    of the others the one with most links, and only then all that is left.
+    Texts that differ in case and white space alone are one node.  Texts
+    without words are one node.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("fp", pa.int64())])
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64())])
+
+    def save_wide(df: DataFrame, name: str) -> DataFrame:
+        """Scratch.save of a table made from texts or sets: few rows are with a worker at once."""
+        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, str(min(int(before), WIDE_ROWS) if int(before) > 0 else WIDE_ROWS))
+        try:
+            return scratch.save(df, name)
+        finally:
+            spark.conf.set(setting, before)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                own = [b" ".join(x.lower().split()) for x in texts(b.column(1))]
-                nodes = np.array([xxhash.xxh64_intdigest(x, 7) for x in own], np.uint64).view(np.int64)
-                yield batch(schema, b.column(0), b.column(2), nodes, np.array([fingerprint(x, probe_shingle) for x in own], np.uint64).view(np.int64))
+                yield whole.slice(at, 1000)
+
+    def node_of(words: list[bytes]) -> int:
+        return xxhash.xxh64_intdigest(b" ".join(words), 7)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            yield batch(schema, b.column(0), b.column(2), np.array([node_of(x.lower().split()) for x in texts(b.column(1))], np.uint64).view(np.int64))
 
     source = documents(docs, id_col, text_col).withColumn("key", text_key(F.col("text")))
-    rows = scratch.save(source.mapInArrow(mark, "doc_id long, key long, node long, fp long"), "rows")
-    nodes = scratch.save(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "key")).alias("of")), "nodes")
-    pairs = scratch.save(links(nodes.select("node", "fp"), scratch, limit), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = nodes.join(ends, "node").select("node", F.col("of.doc_id").alias("of_id"), F.col("of.key").alias("of_key"))
-    sets = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+    rows = scratch.save(source.mapInArrow(mark, "doc_id long, key long, node long"), "rows")
+    nodes = scratch.save(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "key")).alias("of")), "nodes")
+    n = max(1, nodes.count())
+
+    counted = pa.schema([("shingle", pa.int64())])
+
+    def shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            for x in texts(b.column(0)):
+                yield batch(counted, shingle_set(x.lower().split(), shingle).view(np.int64))
+
+    # the sample steers only the cost: any order of shingles finds every pair
+    sample = source.where(F.pmod("key", F.lit(max(1, n // HOT_SAMPLE))) == 0).dropDuplicates(["key"])
+    least = max(2, HOT * min(1.0, HOT_SAMPLE / n))
+    hot_rows = sample.select("text").mapInArrow(shingles_of, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "shingle").limit(MOST_HOT).collect()
+    hot, counts = np.array([r.shingle for r in hot_rows], np.int64).view(np.uint64), np.array([r.n for r in hot_rows], np.int64)
+    counts, hot = counts[np.argsort(hot)], np.sort(hot)
+    keys = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 100):
+                done = {}
+                for x in texts(whole.column(0).slice(at, 100)):
+                    words = x.lower().split()
+                    if words and (node := node_of(words)) not in done:
+                        own = shingle_set(words, shingle)
+                        done[node] = len(own), prefix(own, similarity, hot, counts)
+                if done:
+                    sizes, found = [x[0] for x in done.values()], [x[1] for x in done.values()]
+                    many = [len(x) for x in found]
+                    place = np.concatenate([np.arange(x, dtype=np.int32) for x in many])
+                    yield batch(keys, np.concatenate(found).view(np.int64), np.repeat(np.array(list(done), np.uint64).view(np.int64), many), np.repeat(np.array(sizes, np.int32), many), place)
+
+    buckets = source.select("text").mapInArrow(keys_of, "bucket long, node long, size int, place int").repartition("bucket").sortWithinPartitions("bucket", "node")
+    shared = scratch.save(buckets.mapInArrow(_shared, SHARED_SQL), "shared")
+    row_key = lambda i, key: F.xxhash64(i, F.col(i).isNull(), key)
+    need = nodes.join(shared.select("node").distinct(), "node").select("node", row_key("of.doc_id", "of.key").alias("row"))
+    sets = pa.schema([("node", pa.int64()), ("sketch", pa.binary()), ("size", pa.int32()), ("shingles", pa.binary())])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                yield batch(sets, b.column(0), [shingle_set(x.lower().split(), shingle).tobytes() for x in texts(b.column(1))])
+        for b in parts(batches):
+            own = [shingle_set(x.lower().split(), shingle) for x in texts(b.column(1))]
+            yield batch(sets, b.column(0), [sketch(x) for x in own], [len(x) for x in own], [x.tobytes() for x in own])
 
-    found = source.join(need, source["doc_id"].eqNullSafe(need["of_id"]) & (source["key"] == need["of_key"])).select("node", "text")
-    found = scratch.save(found.mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"]), "sets")
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    kept = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    # repeated rows are thinned by the join's own key, so texts move once
+    found = source.select(row_key("doc_id", "key").alias("row"), "text").join(need, "row").groupBy("row", "node").agg(F.first("text").alias("text"))
+    found = save_wide(found.select("node", "text").mapInArrow(sets_of, "node long, sketch binary, size int, shingles binary"), "sets")
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (2, 4))
+                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                size = b.column(3).to_numpy().astype(np.int64) + b.column(5).to_numpy()
+                yield batch(LINKS, b.column(0), b.column(1)).filter(pa.array(differ <= size * ((1 - similarity) / (1 + similarity)) + 1e-6))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                on = []
-                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    on.append(common >= similarity * (len(x) + len(y) - common))
-                yield batch(kept, b.column(0), b.column(1)).filter(pa.array(on, pa.bool_()))
-
-    root = components(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), scratch)
+        for b in parts(batches):
+            on = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                on.append(common >= similarity * (len(x) + len(y) - common))
+            yield batch(LINKS, b.column(0), b.column(1)).filter(pa.array(on, pa.bool_()))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{name}")
+        light = lambda own, x, n: found.select(F.col("node").alias(own), F.col("sketch").alias(x), F.col("size").alias(n))
+        pairs = pairs.join(light("a", "x", "n"), "a").join(light("b", "y", "m"), "b").select("a", "b", "x", "n", "y", "m")
+        pairs = scratch.save(pairs.mapInArrow(maybe, "a long, b long"), f"maybe-{name}")
+        both = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        return save_wide(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), f"links-{name}")
+
+    def open_buckets(edges: DataFrame, name: str) -> DataFrame:
+        """Rows of the buckets that still have two components or more, with the component and number of links of each node."""
+        ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
+        known = scratch.save(components(edges, scratch).join(ends, "node"), f"known-{name}")
+        now = shared.join(known, "node", "left").select(*shared.columns, F.coalesce("root", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        mixed = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
+        return scratch.save(now.join(mixed, "bucket", "left_semi").select(*now.columns), f"open-{name}")
+
+    near = lambda *names: reachable(*map(F.col, names), similarity, F.least)
+    edges = verified(shared.where("node != low").where(near("size", "place", "low_size", "low_place")).select(F.col("node").alias("a"), F.col("low").alias("b")), "least")
+    left = open_buckets(edges, "least")
+    hub = left.where("node != low").groupBy("bucket").agg(F.max(F.struct("degree", "node", "size", "place", "label")).alias("hub"))
+    tried = left.join(hub, "bucket").where("label != hub.label").where(near("size", "place", "hub.size", "hub.place"))
+    edges = edges.unionByName(verified(tried.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), "hub"))
+    left = open_buckets(edges, "hub").select("bucket", "node", "size", "place", "label").repartition("bucket").sortWithinPartitions("bucket", "node")
+    edges = edges.unionByName(verified(left.mapInArrow(_all_pairs(similarity), "a long, b long"), "all"))
+    root = components(edges, scratch)
     named = nodes.join(root.withColumnRenamed("node", "own"), nodes["node"] == F.col("own"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     named = scratch.save(named, "named")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -96,3 +96,23 @@ def test_distinct_keeps_one_of_each_group(spark):
     assert out.columns == table(spark, docs).columns
     assert sorted(map(repr, (r.doc_id for r in out.collect()))) == sorted(map(repr, [0, 10, 20, 100, 101, 103, None]))
     assert sh.distinct(empty(spark)).count() == 0
+
+
+def components_by_brute_force(docs):
+    """The least id of the component of each document; ids ascend."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (text.split() for _, text in docs)]
+    near = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return near, {docs[i][0]: docs[r][0] for i, r in enumerate(roots(len(docs), near))}
+
+
+def test_near_copies_of_one_original_are_all_found(spark):
+    rng = np.random.default_rng(11)
+    base = [f"w{v}" for v in rng.integers(0, 5000, 200)]
+    docs = []
+    for k in range(300):  # each alike to the original, few to each other
+        at = int(rng.integers(0, 170))
+        docs.append((k, " ".join([*base[:at], *[f"x{k}y{i}" for i in range(17)], *base[at + 17 :]])))
+    docs.append((300, " ".join(base)))
+    near, want = components_by_brute_force(docs)
+    assert len(near) < 0.5 * 300 * 301 / 2 and set(want.values()) == {0}
+    assert {r.doc_id: r.component_id for r in sh.near_duplicates(table(spark, docs)).collect()} == want
