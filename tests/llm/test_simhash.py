@@ -116,3 +116,29 @@ def test_near_copies_of_one_original_are_all_found(spark):
     near, want = components_by_brute_force(docs)
     assert len(near) < 0.5 * 300 * 301 / 2 and set(want.values()) == {0}
     assert {r.doc_id: r.component_id for r in sh.near_duplicates(table(spark, docs)).collect()} == want
+
+
+@pytest.mark.parametrize("low", [0.80, 0.85])
+def test_pairs_near_the_threshold_are_all_found(spark, low):
+    rng, docs = np.random.default_rng(12), []
+    fresh = lambda n: [f"w{v}" for v in rng.integers(0, 10**6, n)]
+    while len(docs) < 800:
+        n = int(rng.choice([60, 150, 400]))
+        base, share, kind = fresh(n), float(rng.uniform(low, low + 0.05)), len(docs) // 2 % 4
+        if kind == 0:  # a passage replaced
+            m = round(n * (1 - share) / (1 + share))
+            at = int(rng.integers(0, n - m))
+            other = base[:at] + fresh(m) + base[at + m :]
+        elif kind == 1:  # text added
+            other = base + fresh(round(n * (1 / share - 1)))
+        elif kind == 2:  # the tail cut
+            other = base[: round(n * share)]
+        else:  # single words replaced
+            other = list(base)
+            for at in rng.choice(n, max(1, round(n * (1 - share) / (1 + share) / 5)), replace=False):
+                other[at] = fresh(1)[0]
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (base, other))
+        if low <= len(x & y) / len(x | y) <= low + 0.05:
+            docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in sh.near_duplicates(table(spark, docs)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(docs))}
