@@ -134,9 +134,11 @@ def hamming_lsh(queries: DataFrame, base: DataFrame, k: int = 2, tables: int = 6
 
 
 def sign_bits(descriptor: Column) -> Column:
-    """A real descriptor of up to 63 used dimensions as one long of sign bits: bit k is set if dimension k is positive."""
-    bits = F.transform(F.slice(descriptor, 1, 62), lambda v, k: F.when(v > 0, F.expr("1L")).otherwise(F.expr("0L")))
-    return F.aggregate(F.reverse(bits), F.expr("0L"), lambda acc, b: acc * 2 + b)
+    """A real descriptor as longs of 64 sign bits each: bit k % 64 of long k // 64 is set if dimension k is positive."""
+    words = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(descriptor) / 64).cast("int") - 1))
+    bit = lambda v, k: F.when(v > 0, F.call_function("shiftleft", F.expr("1L"), k)).otherwise(F.expr("0L"))
+    word = lambda w: F.aggregate(F.transform(F.slice(descriptor, w * 64 + 1, 64), bit), F.expr("0L"), lambda acc, b: acc.bitwiseOR(b))
+    return F.when(descriptor.isNotNull(), F.transform(words, word))
 
 
 def match(queries: DataFrame, base: DataFrame, method: str = "nn", ratio: float = 0.75, cross_check: bool = False) -> DataFrame:

@@ -132,3 +132,13 @@ def test_geometry_columns_invert(spark):
     assert spark.range(1).select(geo.inverse3(geo.matrix([1, 2, 3, 2, 4, 6, 1, 1, 1])).alias("m")).first().m == [None] * 9
     turned = spark.range(1).select(geo.rotate_intrinsics(k, F.lit(640), F.lit(480), F.lit(0)).alias("a"), geo.rotate_intrinsics(k, F.lit(640), F.lit(480), F.lit(3)).alias("b")).first()
     assert turned.a == turned.b
+
+
+def test_sign_bits_have_every_dimension(spark):
+    rng = np.random.default_rng(5)
+    for n in (1, 62, 63, 64, 65, 128, 130):
+        x = rng.normal(size=(20, n))
+        got = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>").select("i", knn.sign_bits(F.col("v")).alias("w")).collect()
+        for r in got:
+            bits = [int(w) >> k & 1 for w in r.w for k in range(64)]
+            assert len(r.w) == -(-n // 64) and bits == [*(x[r.i] > 0).astype(int), *[0] * (64 * len(r.w) - n)]
