@@ -48,13 +48,18 @@ def _own_folder(application: str) -> str:
 class Scratch:
     """Tables in the folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only a session without that setting, as in tests, gets a temporary folder.
-    Tables that a result still reads must outlive the call, so they stay until
+    Only a local session without that setting, as in tests, gets a temporary
+    folder; on a cluster, executors could not see it, so the setting has to be
+    there.  Tables that a result still reads must outlive the call, so they stay until
     ``drop`` or ``clear``, or until the cluster's shared folder is emptied.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+            base = _own_folder(spark.sparkContext.applicationId)
         self.spark, self.path = spark, f"{base.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex[:12]}"
 
     def at(self, name: str) -> str:

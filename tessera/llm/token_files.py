@@ -32,21 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, documents, text_key, texts, tokenizer_path
+from .common import batch, documents, text_key, tokenizer_path
 
 #: Ids after which a segment is closed; a longer document has a segment of its own.
 SEGMENT_IDS = 1 << 20
-#: Pieces that a worker remembers, and how many new ones go through the library in one text.
-MOST_PIECES = 1_000_000
-LOT = 500
-#: Marks that the byte-level rules set apart from the letters before them, and keep together.
-MARKS = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
-#: Byte-level rules write each byte as a letter: printable ones as themselves, the others as letters from U+0100 on.
-_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-BYTE_LETTERS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
-SPACE_LETTER = BYTE_LETTERS[0x20]
-#: Here a space is followed by its letter: it parts words, and the letter belongs to the next one.
-BYTE_LETTERS[0x20] = " " + SPACE_LETTER
+#: Characters that go through the library at once; a longer text goes alone.
+BATCH_CHARS = 1 << 20
 #: Parts up to which their offsets are broadcast (24 bytes each); beyond, they are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -104,140 +95,26 @@ class EliasFano:
         return ((ones - np.arange(self.n)) << self.low_bits) | self._low(np.arange(self.n))
 
 
-def _is_word(x: str) -> bool:
-    """Letters alone, of scripts whose letters have long been settled."""
-    return x.isalpha() and (x.isascii() or max(x) < "\u0500")
-
-
-def _around_line_end(x: str) -> tuple[str, str, str] | None:
-    """Of a word, marks or none, a line end, a word, marks or none: what is before the end, the word and the marks after it."""
-    a, _, b = x.partition("\n")
-    h = b.rstrip(MARKS)
-    return (a, h, b[len(h) :]) if _is_word(h) and _is_word(a.rstrip(MARKS)) else None
-
-
 class Encoder:
     """Ids of whole texts by the tokenizers library, end id appended.
 
-    Byte-level rules never join characters across a space that follows another
-    character than a space, so a text is cut before each such space and a piece
-    has the same ids wherever it stands.  Pieces that aren't remembered go
-    through the library many at a time, one after another in one text; there, a
-    token that begins with a space begins a piece.  Texts with adjacent spaces,
-    and all texts under other rules, go through the library whole.
+    A text goes through the library as it is and in one piece; the strings of
+    special tokens become their ids, as the library has it by default.
     """
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        rule = t.pre_tokenizer
-        self.cuts = isinstance(rule, pre_tokenizers.ByteLevel) and rule.use_regex and not rule.add_prefix_space and t.normalizer is None
-        size = max(t.get_vocab_size(), end_id + 1)
-        self.width = 2 if size <= 1 << 16 else 4
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.end = np.array([end_id], self.kind).tobytes()
-        self.begins = np.zeros(size, bool)
-        self.begins[[i for x, i in t.get_vocab().items() if x.startswith(SPACE_LETTER)]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.line_end = self._ids(["\n"])[0].tobytes()
-        if self.cuts:
-            self.words = Tokenizer(t.model)
-            self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-
-    def _ids(self, texts: list[str], by=None) -> list[np.ndarray]:
-        return [np.array(x.ids, self.kind) for x in (by or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _known(self, pieces: list[str], texts: list[str], by=None) -> None:
-        """Remembers pieces, given texts of LOT of them each, in which each piece begins with a space."""
-        for i, ids in enumerate(self._ids(texts, by)):
-            at = np.flatnonzero(self.begins[ids]) * self.width
-            raw = ids.tobytes()
-            self.young.update(zip(pieces[i * LOT : (i + 1) * LOT], map(raw.__getitem__, map(slice, at.tolist(), [*at[1:].tolist(), len(raw)])), strict=True))
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Remembers the ids of pieces that follow a space; of the others, those used last stay, in two halves.
-
-        A word of letters, with marks after it or none, needs no further cutting
-        by the tokenizer's rules: the word and the marks have their ids apart.
-        So have two of them with one line end between.
-        """
-        young, old, lines, plain, words, marked, rest = self.young, self.old, [], set(), [], [], []
-        for x in pieces:
-            if (known := old.get(x)) is not None:
-                young[x] = known
-            elif "\n" in x and (ends := _around_line_end(x)):
-                lines.append((x, *ends))
-                if ends[0] not in young:
-                    plain.add(ends[0])
-            else:
-                plain.add(x)
-        for x in plain:
-            y = x.rstrip(MARKS)
-            if not _is_word(y):
-                rest.append(x)
-            elif len(y) == len(x):
-                words.append(x)
-            else:
-                marked.append((x, y))
-        words = list({*words, *(y for _, y in marked if y not in young)})
-        self._known(rest, ["".join([" " + x for x in rest[i : i + LOT]]) for i in range(0, len(rest), LOT)])
-        plain, rest = [x for x in words if x.isascii()], [x for x in words if not x.isascii()]
-        self._known(plain, [SPACE_LETTER + (" " + SPACE_LETTER).join(plain[i : i + LOT]) for i in range(0, len(plain), LOT)], self.words)
-        lots = [" ".join(rest[i : i + LOT]) for i in range(0, len(rest), LOT)]
-        self._known(rest, [SPACE_LETTER + x.encode().decode("latin-1").translate(BYTE_LETTERS) for x in lots], self.words)
-        tails = {x[len(y) :] for x, y in marked} | {m for *_, m in lines}
-        tails = list(tails.difference(self.marks))
-        self.marks.update(zip(tails, [x.tobytes() for x in self._ids(tails)], strict=True))
-        young.update([(x, young[y] + self.marks[x[len(y) :]]) for x, y in marked])
-        heads = list({h for _, _, h, _ in lines if h not in self.heads})
-        self.heads.update(zip(heads, [x.tobytes() for x in self._ids(heads)], strict=True))
-        young.update([(x, young[a] + self.line_end + self.heads[h] + self.marks[m]) for x, a, h, m in lines])
-
-    def __call__(self, texts: pa.Array) -> list[bytes]:
-        """Ids of each text, in order; the pieces of all texts are told apart at once, so each is looked up once."""
-        if not self.cuts:
-            return [x.tobytes() + self.end for x in self._ids(texts.to_pylist())]
-        if len(self.young) > MOST_PIECES // 2:
-            self.young, self.old = {}, self.young
-        if len(self.marks) + len(self.heads) > MOST_PIECES // 5:
-            self.marks, self.heads = {}, {}
-        cut = pc.split_pattern(texts, " ")
-        coded, starts = cut.flatten().dictionary_encode(), cut.offsets.to_numpy().astype(np.int64)
-        starts, piece, pieces = starts - starts[0], coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        count = np.diff(starts)
-        blank = pieces.index("") if "" in pieces else -1
-        whole = np.zeros(len(texts), bool)
-        whole[np.searchsorted(starts, np.flatnonzero(piece == blank), side="right") - 1] = True
-        whole &= count > 1
-        ids = list(map(self.young.get, pieces))
-        gaps = [i for i, x in enumerate(ids) if x is None and i != blank]
-        self._learn({pieces[i] for i in gaps})
-        for i in gaps:
-            ids[i] = self.young[pieces[i]]
-        if blank >= 0:
-            ids[blank] = b""
-        heads = [pieces[i] for i in piece[starts[:-1]].tolist()]
-        for i in np.flatnonzero(whole).tolist():
-            heads[i] = texts[i].as_py()
-        heads = self._ids(heads)
-        # each text's pieces after the first, as places in all known ids
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
-        first = np.cumsum(size) - size
-        length = size[piece]
-        length[starts[:-1]] = 0
-        length[np.repeat(whole, count)] = 0
-        end = np.concatenate([[0], np.cumsum(length)])
-        place = np.arange(end[-1]) + np.repeat(first[piece] - end[:-1], length)
-        body, end = np.frombuffer(b"".join(ids), self.kind)[place], end[starts].tolist()
-        return [h.tobytes() + body[a:z].tobytes() + self.end for h, a, z in zip(heads, end, end[1:], strict=False)]
-
-
-#: A worker's encoders, with what they remember, serve its later tasks too.
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.kind).tobytes() + self.end for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+#: A worker's encoder serves its later tasks too.
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
@@ -249,6 +126,16 @@ def encoder_of(path: str, end_id: int) -> Encoder:
     return _encoders[path, end_id]
 
 
+def _lots(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Some rows of (id, text) at a time, BATCH_CHARS together, or one longer text."""
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64))])
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, size[at] + BATCH_CHARS, side="right")) - 1)
+        yield b.slice(at, to - at)
+        at = to
+
+
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, segment_ids: int = SEGMENT_IDS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes the texts of docs and writes them below path in ascending order of the id.
 
@@ -262,11 +149,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     tokenizer = tokenizer or tokenizer_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
-
         from pyspark import TaskContext
 
-        gc.disable()  # there are no cycles here, and millions of small objects
         part, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer, end_id)
         ids, seqs, size, seg, offset = [], [], 0, 0, 0
 
@@ -275,9 +159,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             return batch(SEGMENTS, [part], [seg], [offset], [ids], [int(ends[-1])], [encoder.width], [b"".join(seqs)], *([x] for x in EliasFano.encode(ends).parts()))
 
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                these = pc.fill_null(b.column(1).slice(at, 1000), "")
-                for one, seq in zip(b.column(0).slice(at, 1000).to_pylist(), encoder(these), strict=True):
+            for some in _lots(b):
+                for one, seq in zip(some.column(0).to_pylist(), encoder([x or "" for x in some.column(1).to_pylist()]), strict=True):
                     ids.append(one)
                     seqs.append(seq)
                     size += len(seq) // encoder.width
@@ -286,7 +169,6 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
                         ids, seqs, size, seg, offset = [], [], 0, seg + 1, offset + size
         if ids:
             yield close()
-        gc.enable()
 
     rows = documents(docs, id_col, text_col).withColumn("key", text_key(F.col("text")))
     rows = rows.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key").select("doc_id", "text")
@@ -318,7 +200,11 @@ def _documents(b: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start long, n_tokens long, ids array<long>) of every stored document."""
+    """(doc_id, start long, n_tokens long, ids array<long>) of every stored document.
+
+    A null or empty text has the end id alone; repeated rows have a row each;
+    files of an empty table give no rows.
+    """
 
     def decode(batches):
         for b in batches:
@@ -331,7 +217,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every stored document, from the files alone."""
+    """(doc_id, start, n_tokens, ids_crc32) of every stored document, from the files alone.
+
+    A null or empty text has the end id alone; repeated rows have a row each;
+    files of an empty table give no rows.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def decode(batches):
@@ -344,7 +234,35 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_range(spark: SparkSession, path: str, start: int, stop: int) -> np.ndarray:
-    """Ids [start, stop) of the whole array, as a training reader fetches them; reads only their segments."""
+    """Ids [start, stop) of the whole array, as a training reader fetches them; reads only their segments.
+
+    What is beyond the array has no ids, so files of an empty table give none.
+    """
     rows = segments(spark, path).where((F.col("base") < stop) & (F.col("base") + F.col("n_ids") > start)).orderBy("base").select("base", "n_ids", "width", "ids").collect()
     got = [np.frombuffer(r.ids, f"<u{r.width}").astype(np.uint32)[max(0, start - r.base) : max(0, stop - r.base)] for r in rows]
     return np.concatenate(got) if got else np.zeros(0, np.uint32)
+
+
+def document(spark: SparkSession, path: str, number: int) -> tuple[int | None, int, np.ndarray]:
+    """(doc_id, start, ids) of the document of this number, from 0 in stored order; only its segment is read.
+
+    Its place in the segment's ids is selected from the coded boundaries, the
+    others of which aren't decoded.  A number that isn't there is an IndexError.
+    """
+    stored = spark.read.schema(SEGMENTS_SQL).parquet(f"{path}/segments")
+    left = number
+    for part in spark.read.parquet(f"{path}/parts").orderBy("part").toLocalIterator():
+        if 0 <= left < part.n_docs:
+            break
+        left -= part.n_docs
+    else:
+        raise IndexError(number)
+    own = stored.where(F.col("part") == part.part)
+    for seg, size in own.select("seg", F.size("doc_ids")).orderBy("seg").toLocalIterator():
+        if left < size:
+            break
+        left -= size
+    r = own.where(F.col("seg") == seg).first()
+    ends = EliasFano(size, r.low_bits, r.low, r.high, r.samples)
+    a, z = ends.select(left - 1) if left else 0, ends.select(left)
+    return r.doc_ids[left], part.base + r.part_offset + a, np.frombuffer(r.ids, f"<u{r.width}")[a:z].astype(np.uint32)

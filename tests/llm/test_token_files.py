@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -31,18 +32,26 @@ def reference(texts, end=2):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tf.tokenizer_path())
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
 
 
-def test_encoder_equals_the_library_on_odd_texts(monkeypatch):
-    monkeypatch.setattr(tf, "MOST_PIECES", 200)
+SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+PARTS = ["a", "Bc", "é", " ", "  ", "\n", "\n\n", "\t", ".", ",", "'", "'s", "12", "<|endoftext|>", "中", "\xa0", " \xa0 \xa0 ", "\x0b. \xa0 \xa0\n\\", "\xaa-\xa9", "😀", "&&&", "don't", "\r\n", "the", "İ", "\u0301", *SPACES]
+
+
+def test_encoder_equals_the_library_on_odd_texts():
     rng = random.Random(5)
-    parts = ["a", "Bc", "é", " ", "  ", "\n", "\n\n", "\t", ".", ",", "'", "'s", "12", "<|endoftext|>", "中", " ", "😀", "&&&", "don't", "\r\n", "the", "İ", "́", "　"]
-    fuzz = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    fuzz = ["a \xa0 \xa0 b", "price \xa0 \xa0 10", "a <|endoftext|> b", *SPACES, *("".join(rng.choice(PARTS) for _ in range(rng.randrange(25))) for _ in range(3000))]
     encoder = tf.Encoder(tf.tokenizer_path(), 2)
-    got = [x for i in range(0, len(fuzz), 100) for x in encoder(pa.array(fuzz).slice(i, 100))]
-    assert [np.frombuffer(x, encoder.kind).tolist() for x in got] == reference(fuzz)
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder(fuzz)] == reference(fuzz)
+    assert 50256 in np.frombuffer(encoder(["a <|endoftext|> b"])[0], encoder.kind)
+
+
+def test_lots_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(tf, "BATCH_CHARS", 10)
+    b = pa.record_batch({"i": pa.array(range(6)), "x": pa.array(["abc", None, "", "x" * 50, "defghij", "k"])})
+    lots = [x.column(0).to_pylist() for x in tf._lots(b)]
+    assert lots == [[0, 1, 2], [3], [4, 5]]
 
 
 def test_files_hold_every_document(spark, tmp_path):
@@ -61,6 +70,11 @@ def test_files_hold_every_document(spark, tmp_path):
     assert {(r.doc_id, r.start): r.ids_crc32 for r in tf.digest(spark, path).collect()} == crc
     whole = [i for r in got for i in r.ids]
     assert tf.token_range(spark, path, 3, 2500).tolist() == whole[3:2500]
+    for n, r in enumerate(got):
+        doc, start, ids = tf.document(spark, path, n)
+        assert (doc, start, ids.tolist()) == (r.doc_id, r.start, r.ids)
+    with pytest.raises(IndexError):
+        tf.document(spark, path, len(got))
 
 
 def test_empty_table(spark, tmp_path):
