@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -45,6 +47,18 @@ def _own_folder(application: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix=f"tessera-{application}-")
 
 
+@contextmanager
+def few_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside give Python workers at most so many rows at once."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 class Scratch:
     """Tables in the folder that driver and executors share, as spark.checkpoint.dir names it.
 
@@ -70,6 +84,24 @@ class Scratch:
         df.write.options(**options).mode("overwrite").parquet(self.at(name))
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
+    def bucketed(self, df: DataFrame, name: str, key: str, rows: int = 4) -> DataFrame:
+        """A table stored in buckets by ``key``, as many as there are shuffle partitions: joins on it move only the other side.
+
+        Its rows are wide, so few are with a worker at once.  The catalog keeps no entry.
+        """
+        spark, table = self.spark, f"tessera_{uuid.uuid4().hex[:16]}"
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        with few_rows(spark, rows):
+            df.write.format("parquet").bucketBy(buckets, key).option("path", self.at(name)).option("compression", "uncompressed").saveAsTable(table)
+        out = spark.table(table)
+        spark.sql(f"DROP TABLE {table}")  # of an outside path: the entry goes, the files stay
+        return out
+
+    def save_wide(self, df: DataFrame, name: str, rows: int = 4, **options) -> DataFrame:
+        """save of a table that is made from wide rows."""
+        with few_rows(self.spark, rows):
+            return self.save(df, name, **options)
+
     def drop(self, name: str = "") -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.at(name) if name else self.path)

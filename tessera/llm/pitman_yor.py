@@ -3,21 +3,28 @@
 Each context, the word before, is a restaurant of a Pitman-Yor process; all
 restaurants share one parent, whose own parent is uniform over the known words
 and one unknown.  Training words are customers: where one opens a table in its
-restaurant, a customer goes to the parent.  Gibbs sweeps redraw the number of
-tables of each dish in each restaurant given all others; after the first
-sweeps, predictive probabilities are averaged over the sweeps.
-
-Restaurants are independent given their parent, so they are dealt out by
-context, and all dishes of a restaurant are redrawn side by side, with its
-number of tables brought up to date between sweeps.  The parent's probabilities
-that the sweeps use are those of its dishes' counts; it is seated afterwards,
-from the tables that the sweeps left.  A very frequent context is split by its
-dishes over several tasks, each of which takes its share to be as full as the
-others.
+restaurant, a customer goes to the parent.  Gibbs sweeps redraw the seating of
+all restaurants and of the parent in turn; after the first sweeps, predictive
+probabilities are averaged over the sweeps.
+
+A sweep draws blocks whose parts are independent, so it needs no order.  Given
+the customers that it was sent, the parent is seated and its distribution G is
+drawn.  Given G, restaurants are independent, and a restaurant with T tables
+gets an auxiliary u ~ Gamma(strength / discount + T), given which its dishes
+are: t tables of c customers have the weight S(c, t) (discount u G)^t, with the
+generalised Stirling numbers S.  So the seatings themselves are summed out.
+Small counts are drawn from all their weights, large ones by Metropolis steps
+on the same weights, whose Stirling numbers are contour integrals.  What of the
+parent no table holds is spread over the words evenly, at its mean.
+
+Restaurants are dealt out by context.  A very frequent context is spread by its
+dishes over several tasks; they share its u and its number of tables, which go
+through the parent's tasks from sweep to sweep.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -33,61 +40,138 @@ DISCOUNT, STRENGTH = 0.8, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 #: Sweeps that are forgotten, and sweeps that are averaged.
 BURN_IN, SWEEPS = 2, 3
-#: Counts up to which the number of tables is drawn from its exact conditional.
-EXACT = 48
-#: Pairs that one task sweeps.
-PART_PAIRS = 2_000_000
+#: Counts whose number of tables is drawn from a table of all its weights; of more, by Metropolis steps.
+EXACT = 256
+#: Metropolis steps of a sweep, and their lengths as parts of the spread.
+MOVES = (2.4, 0.5, 2.4, 6.0, 1.0, 2.4)
+#: Training words, about, whose pairs one task sweeps, and of the words that one task of the parent seats.
+PART_PAIRS, PART_WORDS = 1_000_000, 3_000_000
 #: Weights of tables held at once.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Stand for the end of a text and for its beginning.
 END, BEGIN = np.uint64(0x7F4A7C159E3779B9), np.uint64(0x165667B19E3779F9)
 
+_lgamma = np.frompyfunc(math.lgamma, 1, 1)
+
 
 def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
-    """Logs of the generalised Stirling numbers: seatings of c customers at t tables, up to factors that t doesn't change."""
+    """Logs of the generalised Stirling numbers: seatings of c customers at t tables, each table of s weighing (1 - d) ... (s - 1 - d)."""
     out = np.full((most + 1, most + 1), -np.inf)
     out[0, 0] = 0
-    for c in range(most):
-        for t in range(c + 2):
-            old = out[c, t] + np.log(c - discount * t) if 0 < t <= c else -np.inf
-            out[c + 1, t] = np.logaddexp(old, out[c, t - 1] if t else -np.inf)
+    with np.errstate(divide="ignore"):
+        for c in range(most):
+            t = np.arange(c + 2)
+            old = out[c, : c + 2] + np.log(np.maximum(0.0, c - discount * t))
+            out[c + 1, : c + 2] = np.logaddexp(old, np.concatenate([[-np.inf], out[c, : c + 1]]))
     return out
 
 
-def tables(rng: np.random.Generator, counts: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, strength: float, stirling: np.ndarray) -> np.ndarray:
-    """Tables of each dish: counts of its customers, tables of the other dishes there, its parent probability.
+def _log_rest(z: np.ndarray) -> np.ndarray:
+    """log(1 - e^z) of z < 0, where e^z is small and where it is near 1."""
+    with np.errstate(divide="ignore"):
+        return np.where(z < -0.7, np.log1p(-np.exp(z)), np.log(-np.expm1(z)))
+
+
+def _saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """z < 0 where t d e^z (1 - e^z)^(d - 1) = c (1 - (1 - e^z)^d), by halving."""
+    low, high = np.full(len(c), -4.0), np.full(len(c), 40.0)  # of -log(-z)
+    for _ in range(36):
+        mid = (low + high) / 2
+        z = -np.exp(-mid)
+        rest = _log_rest(z)
+        small = t * d * np.exp(z + (d - 1) * rest) < -c * np.expm1(d * rest)
+        low, high = np.where(small, mid, low), np.where(small, high, mid)
+    return z
+
+
+def _on_circle(c: np.ndarray, t: np.ndarray, z0: np.ndarray, d: float) -> np.ndarray:
+    phase = lambda z: t * np.log(-np.expm1(d * np.log1p(-np.exp(z)))) - c * z
+    k = np.arange(129)
+    top = phase(z0.astype(complex)).real
+    f = np.exp(phase(z0 + 1j * np.pi * k / 128) - top).real * np.where((k > 0) & (k < 128), 1.0, 0.5)
+    return top[:, 0] + np.log(f.sum(axis=1) / 128)
+
+
+def _on_parabola(c: np.ndarray, t: np.ndarray, z0: np.ndarray, d: float) -> np.ndarray:
+    phase = lambda z: t * np.log(-np.expm1(d * np.log(-np.expm1(z)))) - c * z
+    s = np.arange(90) * 0.07
+    scale = np.sqrt(-c * z0)
+    top = phase(z0.astype(complex)).real
+    along = 1 + 1j * s / scale
+    f = (np.exp(phase(z0 * along**2) - top) * along).real * np.where(s > 0, 2.0, 1.0)
+    return top[:, 0] + np.log(f.sum(axis=1) * 0.07 / np.pi) + np.log(-z0 / scale)[:, 0]
+
 
-    Up to EXACT customers, a draw from the conditional given the rest, with the
-    seating itself summed out.  More are seated after one another, in blocks
-    that grow with the number seated.
+def log_stirling_of(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """The same numbers without their table, up to a factor that t doesn't change: t^-1! d^-t [x^c] f^t, f = 1 - (1 - x)^d.
+
+    The coefficient is an integral around zero through the saddle point of its
+    integrand: on a circle, or, where the saddle is near the branch point at 1,
+    on a parabola around the cut.  Sums over either converge like a power of
+    the number of points, so errors of a weight are about 10^-5 at most.
     """
+    c, t = np.asarray(c, float), np.asarray(t, float)
+    out = np.full(len(c), -np.inf)
+    inside = (t >= 1) & (t < c)
+    z0 = np.zeros(len(c))
+    z0[inside] = _saddle(c[inside], t[inside], d)
+    for way, on in ((_on_circle, inside & (z0 < -0.3)), (_on_parabola, inside & (z0 >= -0.3))):
+        rows = np.flatnonzero(on)
+        for at in range(0, len(rows), 1000):
+            own = rows[at : at + 1000]
+            out[own] = way(c[own, None], t[own, None], z0[own, None], d)
+    out[t == c] = c[t == c] * np.log(d)
+    return out - _lgamma(np.maximum(t, 0) + 1).astype(float) - t * np.log(d)
+
+
+def tables(rng: np.random.Generator, counts: np.ndarray, log_x: np.ndarray, now: np.ndarray, discount: float, stirling: np.ndarray) -> np.ndarray:
+    """Tables of each dish, drawn with weight S(count, t) e^(t log_x); of large counts, Metropolis steps from ``now`` (0: from the mode)."""
     out = np.minimum(counts, 1).astype(np.int64)
     if not len(counts):
         return out
     order = np.argsort(counts, kind="stable")
     sizes, first = np.unique(counts[order], return_index=True)
+    most = len(stirling) - 1
     for c, a, z in zip(sizes.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
-        if 2 <= c <= EXACT:
-            for at in range(a, z, CELLS // c):
-                rows = order[at : min(z, at + CELLS // c)]
-                t = np.arange(1, c + 1)
-                open_ = np.log(strength + discount * (others[rows, None] + t - 1)) + np.log(parent[rows, None])
-                weight = np.cumsum(open_, axis=1) + stirling[c, 1 : c + 1]
+        if 2 <= c <= most:
+            for at in range(a, z, max(1, CELLS // c)):
+                rows = order[at : min(z, at + max(1, CELLS // c))]
+                weight = log_x[rows, None] * np.arange(1, c + 1) + stirling[c, 1 : c + 1]
                 weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
                 out[rows] = 1 + (weight < rng.random((len(rows), 1)) * weight[:, -1:]).sum(axis=1)
-    rows = np.flatnonzero(counts > EXACT)
-    seated = np.ones(len(rows), np.int64)
-    while len(rows):
-        block = np.minimum(np.maximum(1, seated // 16), counts[rows] - seated)
-        fresh = (strength + discount * (others[rows] + out[rows])) * parent[rows]
-        out[rows] += rng.binomial(block, fresh / (fresh + seated - discount * out[rows]))
-        out[rows] = np.minimum(out[rows], seated + block)
-        seated = seated + block
-        left = seated < counts[rows]
-        rows, seated = rows[left], seated[left]
+    rows = np.flatnonzero(counts > most)
+    if len(rows):
+        out[rows] = _metropolis(rng, counts[rows].astype(float), log_x[rows], now[rows], discount)
     return out
 
 
+def _metropolis(rng: np.random.Generator, c: np.ndarray, log_x: np.ndarray, now: np.ndarray, d: float) -> np.ndarray:
+    # with e^log_x / d tables expected at x = 1: the mode has t = lam f(x) and c = lam x f'(x)
+    lam, low, high = np.exp(np.minimum(log_x, 600.0)) / d, np.full(len(c), -7.0), np.full(len(c), 40.0)
+    for _ in range(36):
+        mid = (low + high) / 2
+        z = -np.exp(-mid)
+        small = lam * d * np.exp(z + (d - 1) * _log_rest(z)) < c
+        low, high = np.where(small, mid, low), np.where(small, high, mid)
+    rest = -np.expm1(z)
+    mode = lam * -np.expm1(d * _log_rest(z))
+    square = lam * d * np.exp(z) * rest ** (d - 2) * (rest + (1 - d) * np.exp(z))
+    spread = np.sqrt(np.maximum(0.25, mode - c * c / np.maximum(square, 1e-300)))
+    t = np.where(now > 0, np.minimum(now, c), np.clip(np.rint(mode), 1, c))
+    weight = lambda t: log_x * t + log_stirling_of(c, t, d)
+    have = weight(t)
+    for length in MOVES:
+        step = np.rint(rng.normal(size=len(c)) * spread * length)
+        to = t + np.where(step == 0, np.where(rng.random(len(c)) < 0.5, 1, -1), step)
+        new = np.full(len(c), -np.inf)
+        inside = (to >= 1) & (to <= c)
+        if inside.any():
+            new[inside] = log_x[inside] * to[inside] + log_stirling_of(c[inside], to[inside], d)
+        go = np.log(rng.random(len(c))) < new - have
+        t, have = np.where(go, to, t), np.where(go, new, have)
+    return t.astype(np.int64)
+
+
 class _Tokens:
     """A batch with the ends of texts: ``token`` and ``context`` index ``keys``, the distinct hashes in order."""
 
@@ -130,17 +214,25 @@ def _word_counts(word_parts: int):
         own, inverse = np.unique(np.concatenate([c[0] for c in columns]), return_inverse=True)
         total = np.zeros(len(own), np.int64)
         np.add.at(total, inverse, np.concatenate([c[1] for c in columns]).astype(np.int64))
-        stats = np.array([(total > 0).sum(), total.sum()], np.int64)
+        stats = np.array([(total > 0).sum(), total.sum(), len(own)], np.int64)
         cuts = np.cumsum([len(c[0]) for c in columns])[:-1]
         return [[x, (y * word_parts + part).astype(np.uint64), stats] for x, y in zip(np.split(total[inverse], cuts), np.split(inverse, cuts), strict=True)]
 
     return reply
 
 
-def _stats(replies: DataFrame, column: int) -> np.ndarray:
-    """Sum over parts of what each part says of itself; one short row for each part comes to the driver."""
-    rows = replies.where("batch >= 0").groupBy("part").agg(F.first(F.col("columns")[column]).alias("s")).collect()
-    return np.sum([tb.unpack(r.s) for r in rows], axis=0) if rows else np.zeros(2)
+def _totals(seen: DataFrame) -> tuple[int, int, int]:
+    """Known words, training tokens, and most words of a part: sums over what each part says of itself."""
+    schema = pa.schema([("known", pa.int64()), ("total", pa.int64()), ("most", pa.int64())])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            told = [tb.unpack(c[0]) for c in b.column(0).to_pylist()]
+            yield batch(schema, *([int(x[k]) for x in told] for k in range(3)))
+
+    one = seen.groupBy("part").agg(F.min(F.array(F.col("columns")[2])).alias("stats")).select("stats")
+    r = one.mapInArrow(run, "known long, total long, most long").agg(F.sum("known"), F.sum("total"), F.max("most")).first()
+    return tuple(int(x or 0) for x in r)
 
 
 def _part_of(context: np.ndarray, token: np.ndarray, counts: np.ndarray, hot: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,83 +242,179 @@ def _part_of(context: np.ndarray, token: np.ndarray, counts: np.ndarray, hot: in
     return ((home + step) % np.uint64(parts)).astype(np.int32), spread
 
 
-def _coded(counts: np.ndarray) -> np.ndarray:
-    """Counts to within 3 %, in a byte or two."""
-    return np.rint(16 * np.log2(counts + 1.0)).astype(np.uint16)
-
-
-def _sweep(parts: int, word_parts: int, known: int, total: int, seed: int):
-    """For one part: customers less discounts of each pair, and tables of each context, averaged; tables of each dish for the parent."""
+ROWS = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("columns", pa.list_(pa.binary())), ("stats", pa.list_(pa.float64()))])
+ROWS_SQL = "part int, batch long, columns array<binary>, stats array<double>"
+
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    return batch(ROWS, *[list(x) for x in zip(*found, strict=True)]) if found else pa.RecordBatch.from_pylist([], ROWS)
+
+
+def _by_word_part(numbers: np.ndarray, word_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of word numbers by part and rank, the parts that are there, and where each begins in that order."""
+    part = numbers % np.uint64(word_parts)
+    order = np.lexsort((numbers, part))
+    parts, first = np.unique(part[order], return_index=True)
+    return order, parts.astype(np.int64), np.append(first, len(order))
+
+
+class _Restaurants:
+    """The contexts of one part: pairs in order, each with its word as a place in ``words``."""
+
+    def __init__(self, columns: list[bytes], word_parts: int):
+        self.contexts, sizes, self.customers, self.spread, self.words, self.word, self.count = (tb.unpack(c) for c in columns)
+        self.of = np.repeat(np.arange(len(sizes)), sizes)
+        self.busy = np.flatnonzero(self.count > 1)
+        self.hot = np.flatnonzero(self.spread > 1)
+        self.word_parts = word_parts
+        # words are in the order of _by_word_part already
+        self.parts, first = np.unique(self.words % np.uint64(word_parts), return_index=True)
+        self.first = np.append(first, len(self.words))
+        self.hot_order, self.hot_parts, self.hot_first = _by_word_part(self.contexts[self.hot], word_parts)
+
+    def hot_of(self, part: int) -> np.ndarray:
+        """Places of the spread contexts whose totals this part of the words keeps."""
+        i = int(np.searchsorted(self.hot_parts, part))
+        on = i < len(self.hot_parts) and self.hot_parts[i] == part
+        return self.hot[self.hot_order[self.hot_first[i] : self.hot_first[i + 1]]] if on else np.zeros(0, np.int64)
+
+    def ask(self, part: int, t: np.ndarray) -> Iterator[tuple[int, int, list[bytes], None]]:
+        """To each part of the words: ranks and tables of the words, and those of the spread contexts."""
+        by_word = np.bincount(self.word, t, len(self.words)).astype(np.int64)
+        by_context = np.bincount(self.of, t, len(self.contexts)).astype(np.int64)
+        rank = (self.words // np.uint64(self.word_parts)).astype(np.uint32)
+        own = {int(p): slice(a, z) for p, a, z in zip(self.parts, self.first, self.first[1:], strict=False)}
+        for p in sorted({*own, *self.hot_parts.tolist()}):
+            some, hot = own.get(p, slice(0, 0)), self.hot_of(p)
+            hot_rank = (self.contexts[hot] // np.uint64(self.word_parts)).astype(np.uint32)
+            yield p, part, [tb.pack(x) for x in (rank[some], by_word[some], hot_rank, by_context[hot])], None
+
+    def told(self, replies: list[dict], t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Left mass and drawn mass of each word in the parent, and tables of each context."""
+        left, drawn = np.zeros(len(self.words)), np.zeros(len(self.words))
+        everywhere = np.bincount(self.of, t, len(self.contexts)).astype(np.int64)
+        at = {int(p): slice(a, z) for p, a, z in zip(self.parts, self.first, self.first[1:], strict=False)}
+        for r in replies:
+            a, b, hot = (tb.unpack(c) for c in r["columns"])
+            if r["batch"] in at:
+                left[at[r["batch"]]], drawn[at[r["batch"]]] = a, b
+            everywhere[self.hot_of(r["batch"])] = hot
+        return left, drawn, everywhere
+
+
+def _open(word_parts: int):
+    """For one part: a row of its restaurants (batch -1), one of its first tables (batch -2), and for each batch which pairs it asked about."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         asked = [[tb.unpack(c) for c in r["columns"]] for r in rows]
-        part, sizes = rows[0]["part"], [len(r[3]) for r in asked]
-        # columns: contexts, pairs of each, parts of each; word of each pair, training count, its code of the word's count
-        pair = np.concatenate([np.repeat(c[0], c[1]) << np.uint64(32) | c[3] for c in asked])
-        pair, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
-        inverse = inverse.astype(np.int32)
-        count = np.bincount(inverse, np.concatenate([c[4] for c in asked]), len(pair)).astype(np.int64)
-        share = np.concatenate([np.repeat(c[2], c[1]) for c in asked])[first].astype(np.float32)
-        parent = (np.exp2(np.concatenate([c[5] for c in asked])[first] / 16.0) / (total + known + 1.0)).astype(np.float32)
-        contexts, of = np.unique(pair >> np.uint64(32), return_inverse=True)
-        rng, stirling = np.random.default_rng([seed, part]), log_stirling(DISCOUNT)
-        t = np.minimum(count, 1)
-        mean_t, mean_all = np.zeros(len(t), np.float32), np.zeros(len(contexts))
-        busy = np.flatnonzero(count > 1)
-        for sweep in range(BURN_IN + SWEEPS):
-            everywhere = np.bincount(of, t, len(contexts))
-            t[busy] = tables(rng, count[busy], everywhere[of[busy]] * share[busy] - t[busy], parent[busy].astype(float), DISCOUNT, STRENGTH, stirling)
-            if sweep >= BURN_IN:
-                mean_t += t / np.float32(SWEEPS)
-                mean_all += np.bincount(of, t, len(contexts)) / SWEEPS
-        left, at, found = (count - DISCOUNT * mean_t).astype(np.float32), 0, []
-        for r, c, n in zip(rows, asked, sizes, strict=True):
-            found.append((part, r["batch"], [tb.pack(left[inverse[at : at + n]]), tb.pack(mean_all[np.searchsorted(contexts, c[0])].astype(np.float32))]))
-            at += n
-        dishes, own = np.unique(pair & np.uint64(0xFFFFFFFF), return_inverse=True)
-        sums = np.bincount(own, mean_t, len(dishes)).astype(np.float32)
-        found += [(p, -1 - part, c) for p, c in _by_word_part(dishes[sums > 0], word_parts, sums[sums > 0])]
-        return pa.Table.from_batches([batch(tb.QUESTIONS, *[list(x) for x in zip(*found, strict=True)])])
+        part = rows[0]["part"]
+        # columns: contexts, pairs of each, customers of each, parts of each; word of each pair, training count
+        pair = np.concatenate([np.repeat(c[0], c[1]) << np.uint64(32) | c[4] for c in asked])
+        pair, inverse = np.unique(pair, return_inverse=True)
+        count = np.zeros(len(pair), np.int64)
+        at, found = 0, []
+        for r, c in zip(rows, asked, strict=True):
+            own = inverse[at : at + len(c[4])]
+            count[own] += c[5]  # a batch asks about a pair once
+            found.append((part, r["batch"], [tb.pack(own.astype(np.int32))], None))
+            at += len(own)
+        contexts, sizes = np.unique(pair >> np.uint64(32), return_counts=True)
+        customers, spread = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int32)
+        for c in asked:
+            where = np.searchsorted(contexts, c[0])
+            customers[where], spread[where] = c[2], c[3]
+        words, word = np.unique(pair & np.uint64(0xFFFFFFFF), return_inverse=True)
+        order, _, _ = _by_word_part(words, word_parts)
+        place = np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words))
+        kept = (contexts.astype(np.uint32), sizes.astype(np.int32), customers, spread, words[order].astype(np.uint32), place[word], count)
+        found.append((part, -1, [tb.pack(x) for x in kept], None))
+        return pa.Table.from_batches([_rows(found)])
 
     return run
 
 
-def _by_word_part(numbers: np.ndarray, word_parts: int, *values: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    """(part, packed ranks and values) of word numbers, in the order that the numbers have."""
-    part, rank = (numbers % np.uint64(word_parts)).astype(np.int64), (numbers // np.uint64(word_parts)).astype(np.uint32)
-    for p in range(word_parts):
-        on = part == p
-        if on.any():
-            yield p, [tb.pack(rank[on]), *[tb.pack(v[on]) for v in values]]
+def _unpacked(row: dict, word_parts: int) -> tuple[_Restaurants, np.ndarray]:
+    """A part's restaurants, and their tables: those of pairs with several customers are stored, others have one a customer."""
+    own = _Restaurants(row["columns"], word_parts)
+    own.contexts, own.words = own.contexts.astype(np.uint64), own.words.astype(np.uint64)
+    t = np.minimum(own.count, 1)
+    if row["state"]:
+        t[own.busy] = tb.unpack(row["state"][0])
+    return own, t
 
 
-def _seat_root(known: int, seed: int):
-    """For one part of the words: customers of each word in the parent less its discount, for each batch that asks."""
+def _sweep(sweep: int, seed: int, word_parts: int, known: int, root: dict | None):
+    """One sweep over a part's restaurants given what the parent told; averaged probabilities grow by those before it.
+
+    Sweep 0 seats each dish at one table; the sweep after the last one only adds
+    probabilities, and answers the batches.
+    """
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stirling = log_stirling(DISCOUNT, EXACT)
+        for some in rows:
+            for i in range(some.num_rows):
+                row = some.slice(i, 1).to_pylist()[0]
+                part = row["part"]
+                own, t = _unpacked(row, word_parts)
+                total = tb.unpack(row["state"][1]) if row["state"] else np.zeros(0, np.float32)
+                if root:
+                    left, drawn, everywhere = own.told(row["replies"] or [], t)
+                    if sweep > BURN_IN + 1:
+                        parent = (left + (ROOT_STRENGTH + ROOT_DISCOUNT * root["tables"]) / (known + 1.0)) / (ROOT_STRENGTH + root["customers"])
+                        p = own.count - DISCOUNT * t + (STRENGTH + DISCOUNT * everywhere)[own.of] * parent[own.word]
+                        p /= (STRENGTH + own.customers)[own.of]
+                        total = (total + p if len(total) else p).astype(np.float32)
+                    if sweep <= BURN_IN + SWEEPS:
+                        rng = np.random.default_rng([seed, sweep, part])
+                        u = rng.gamma(STRENGTH / DISCOUNT + everywhere)
+                        for k in own.hot.tolist():  # all parts of a context draw the same
+                            u[k] = np.random.default_rng([seed, sweep, 1 << 32, int(own.contexts[k])]).gamma(STRENGTH / DISCOUNT + everywhere[k])
+                        drawn = (drawn + root["rest"] / (known + 1.0)) / (root["drawn"] + root["rest"])
+                        log_x = np.log(DISCOUNT * u[own.of[own.busy]]) + np.log(drawn[own.word[own.busy]])
+                        t[own.busy] = tables(rng, own.count[own.busy], log_x, t[own.busy] if sweep > 1 else np.zeros(len(own.busy)), DISCOUNT, stirling)
+                if sweep <= BURN_IN + SWEEPS:
+                    yield _rows([(part, -1, [tb.pack(t[own.busy]), tb.pack(total)], None)])
+                    for word_part, _, columns, stats in own.ask(part, t):
+                        yield _rows([(word_part, part, columns, stats)])
+                else:
+                    total /= np.float32(SWEEPS)
+                    for asked in row["asked"]:
+                        yield _rows([(part, asked["batch"], [tb.pack(total[tb.unpack(asked["columns"][0])])], None)])
+
+    return run
+
+
+def _seat_root(sweep: int, seed: int, known: int, u: float):
+    """For one part of the words: seats the customers that the restaurants sent, and tells each of them what is left and drawn.
+
+    Rows from part -1 are its own tables of the sweep before.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        sent = [[tb.unpack(c) for c in r["columns"]] for r in rows if r["batch"] < 0]
-        asked = [(r["batch"], tb.unpack(r["columns"][0])) for r in rows if r["batch"] >= 0]
-        keys, inverse = np.unique(np.concatenate([np.zeros(0, np.uint32), *[c[0] for c in sent]]), return_inverse=True)
-        customers = np.bincount(inverse, np.concatenate([np.zeros(0, np.float32), *[c[1] for c in sent]]), len(keys)) if len(keys) else np.zeros(0)
-        whole = np.maximum(1, np.rint(customers)).astype(np.int64)
-        rng, stirling, parent = np.random.default_rng([seed, 1, rows[0]["part"]]), log_stirling(ROOT_DISCOUNT), np.full(len(keys), 1.0 / (known + 1.0))
-        t, mean = np.minimum(whole, 1), np.zeros(len(keys))
-        for sweep in range(BURN_IN + SWEEPS):
-            t = tables(rng, whole, np.full(len(keys), float(known)), parent, ROOT_DISCOUNT, ROOT_STRENGTH, stirling)
-            if sweep >= BURN_IN:
-                mean += t / SWEEPS
-        left = np.maximum(0.0, customers - ROOT_DISCOUNT * np.minimum(mean, customers))
-        stats = np.array([customers.sum(), np.minimum(mean, customers).sum()])
-        out = []
-        for number, words in asked:
-            at = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
-            got = np.where(keys[at] == words, left[at], 0.0) if len(keys) else np.zeros(len(words))
-            out.append((rows[0]["part"], number, [tb.pack(got.astype(np.float32)), tb.pack(stats)]))
-        if not out:
-            return pa.Table.from_batches([], tb.QUESTIONS)
-        return pa.Table.from_batches([batch(tb.QUESTIONS, *[list(x) for x in zip(*out, strict=True)])])
+        rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
+        word_part, before = rows[0]["part"], [r for r in rows if r["batch"] < 0]
+        sent = [(r["batch"], [tb.unpack(c) for c in r["columns"]]) for r in rows if r["batch"] >= 0]
+        ranks, inverse = np.unique(np.concatenate([c[0] for _, c in sent]), return_inverse=True)
+        customers = np.zeros(len(ranks), np.int64)
+        np.add.at(customers, inverse, np.concatenate([c[1] for _, c in sent]))
+        hot, hot_inverse = np.unique(np.concatenate([c[2] for _, c in sent]), return_inverse=True)
+        everywhere = np.zeros(len(hot), np.int64)
+        np.add.at(everywhere, hot_inverse, np.concatenate([c[3] for _, c in sent]))
+        now = tb.unpack(before[0]["columns"][0]) if before else np.zeros(len(ranks), np.int64)
+        rng = np.random.default_rng([seed, sweep, 1 << 33, word_part])
+        log_x = np.full(len(ranks), math.log(ROOT_DISCOUNT * u / (known + 1.0)))
+        t = tables(rng, customers, log_x, np.minimum(now, customers), ROOT_DISCOUNT, log_stirling(ROOT_DISCOUNT, EXACT))
+        left = customers - ROOT_DISCOUNT * t
+        drawn = np.where(left > 0, rng.gamma(np.maximum(left, 1e-9)), 0.0)
+        found, at, hot_at = [(word_part, -1, [tb.pack(t)], [float(customers.sum()), float(t.sum()), float(drawn.sum())])], 0, 0
+        for part, c in sent:
+            own, more = inverse[at : at + len(c[0])], hot_inverse[hot_at : hot_at + len(c[2])]
+            found.append((part, word_part, [tb.pack(left[own].astype(np.float32)), tb.pack(drawn[own].astype(np.float32)), tb.pack(everywhere[more])], None))
+            at, hot_at = at + len(own), hot_at + len(more)
+        return pa.Table.from_batches([_rows(found)])
 
     return run
 
@@ -239,18 +427,21 @@ def score(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str
     learned from.  A null or empty text is an end alone.  Repeated rows count as
     often as they are there.  If nothing is learned from, each token has the
     same probability as the one unknown word, 1.  An empty table gives no rows.
+    Reruns agree.  There is room for 2^32 distinct words; more are an error.
     """
     scratch = Scratch(docs.sparkSession, "lm")
     batches = tb.build(docs, scratch, True, None, id_col, text_col)
     size = tb.total_words(batches)
-    word_parts, parts = tb.parts_for(size, 8_000_000), tb.parts_for(size, PART_PAIRS)
+    word_parts, parts = tb.parts_for(size, PART_WORDS), tb.parts_for(size, PART_PAIRS)
 
     def words(row):
         t = _Tokens(row)
         return tb.deal(t.b.number, t.keys, word_parts, t.counts().astype(np.int32))
 
-    seen = scratch.save(tb.answer(tb.ask(batches, words), _word_counts(word_parts)), "seen")
-    known, total = (int(x) for x in _stats(seen, 2))
+    seen = scratch.save_wide(tb.answer(tb.ask(batches, words), _word_counts(word_parts)), "seen")
+    known, total, most = _totals(seen)
+    if most * word_parts >= 1 << 32:
+        raise ValueError("more distinct words than numbers for them")
     hot = max(1000, total // (4 * parts))
     rows = tb.joined(batches, seen, "seen")
 
@@ -261,22 +452,47 @@ def score(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str
         context, token, count, _ = t.pairs()
         part, spread = _part_of(number[context], number[token], customers[context], hot, parts)
         order = np.argsort(part, kind="stable")
-        at, code = np.searchsorted(part[order], np.arange(parts + 1)), _coded(every)
+        at = np.searchsorted(part[order], np.arange(parts + 1))
         for p in np.flatnonzero(np.diff(at)).tolist():
             own = order[at[p] : at[p + 1]]
             new = np.flatnonzero(np.diff(np.concatenate([[-1], context[own]])))
             head = own[new]
-            yield p, t.b.number, [tb.pack(x) for x in (number[context[head]], np.diff(np.append(new, len(own))).astype(np.int32), spread[head].astype(np.int32), number[token[own]], count[own].astype(np.int32), code[token[own]])]
-
-    def asked_of_root(row):
-        number = tb.gathered(row["seen"], 1)
-        return ((p, row["batch"], c) for p, c in _by_word_part(number, word_parts))
-
-    swept = scratch.save(tb.ask(rows, pairs).groupBy("part").applyInArrow(_sweep(parts, word_parts, known, total, seed), tb.QUESTIONS_SQL), "swept")
-    to_root = tb.ask(tb.joined(batches.select("batch"), seen, "seen"), asked_of_root).unionByName(swept.where("batch < 0"))
-    root = scratch.save(to_root.groupBy("part").applyInArrow(_seat_root(known, seed), tb.QUESTIONS_SQL), "root")
-    root_customers, root_tables = (float(x) for x in _stats(root, 1))
-    rows = tb.joined(tb.joined(rows, swept.where("batch >= 0"), "swept"), root, "root")
+            yield p, t.b.number, [tb.pack(x) for x in (number[context[head]], np.diff(np.append(new, len(own))).astype(np.int32), customers[context[head]], spread[head].astype(np.int32), number[token[own]], count[own].astype(np.int32))]
+
+    opened = tb.ask(rows, pairs).groupBy("part").applyInArrow(_open(word_parts), ROWS_SQL)
+    static = scratch.bucketed(opened, "restaurants", "part")
+    restaurants = static.where("batch = -1").select("part", "columns")
+    state, replies, root, root_tables = None, None, None, float(known)
+    rng = np.random.default_rng([seed, 1 << 34])
+    for sweep in range(BURN_IN + SWEEPS + 2):
+        last = sweep > BURN_IN + SWEEPS
+        own = restaurants.withColumn("state", F.lit(None).cast("array<binary>")) if state is None else restaurants.join(state.where("batch = -1").select("part", F.col("columns").alias("state")), "part")
+        if replies is None:
+            own = own.withColumn("replies", F.lit(None).cast("array<struct<batch:long,columns:array<binary>>>"))
+        else:
+            told = replies.where("batch >= 0").groupBy("part").agg(F.collect_list(F.struct("batch", "columns")).alias("replies"))
+            own = own.join(told, "part", "left")
+        if last:
+            own = own.join(static.where("batch >= 0").groupBy("part").agg(F.collect_list(F.struct("batch", "columns")).alias("asked")), "part")
+        swept = own.mapInArrow(_sweep(sweep, seed, word_parts, known, root), ROWS_SQL)
+        if last:
+            predicted = scratch.save_wide(swept.select("part", "batch", "columns"), "predicted")
+            break
+        new = scratch.bucketed(swept, f"swept{sweep}", "part")
+        u = rng.gamma(ROOT_STRENGTH / ROOT_DISCOUNT + root_tables)
+        to_root = new.where("batch >= 0")
+        if replies is not None:
+            to_root = to_root.unionByName(replies.where("batch = -1").withColumn("stats", F.lit(None).cast("array<double>")))
+        told = scratch.save_wide(to_root.groupBy("part").applyInArrow(_seat_root(sweep, seed, known, u), ROWS_SQL), f"root{sweep}")
+        sums = told.where("batch = -1").agg(*[F.sum(F.col("stats")[k]) for k in range(3)]).first()
+        customers, root_tables, drawn = (float(x or 0.0) for x in sums)
+        root = {"customers": customers, "tables": root_tables, "drawn": drawn, "rest": rng.gamma(ROOT_STRENGTH + ROOT_DISCOUNT * root_tables)}
+        if sweep:
+            scratch.drop(f"swept{sweep - 1}")
+            scratch.drop(f"root{sweep - 1}")
+        state, replies = new, told
+
+    rows = tb.joined(tb.joined(batches, seen, "seen"), predicted, "predicted")
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,18 +506,13 @@ def score(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str
                 part, _ = _part_of(number[context], number[token], customers[context], hot, parts)
                 order = np.argsort(part, kind="stable")
                 at = np.searchsorted(part[order], np.arange(parts + 1))
-                left, open_ = np.zeros(len(context)), np.zeros(len(t.keys))
-                for r in row["swept"]:
-                    own = order[at[r["part"]] : at[r["part"] + 1]]
-                    left[own] = tb.unpack(r["columns"][0])
-                    open_[context[own[np.flatnonzero(np.diff(np.concatenate([[-1], context[own]])))]]] += tb.unpack(r["columns"][1])
-                share = (ROOT_STRENGTH + ROOT_DISCOUNT * root_tables) / (known + 1.0)
-                by_root = np.zeros(len(number))
-                for r in row["root"]:
-                    by_root[number % np.uint64(word_parts) == r["part"]] = tb.unpack(r["columns"][0])
-                parent = (by_root + share) / (ROOT_STRENGTH + root_customers)
-                p = (left + (STRENGTH + DISCOUNT * open_[context]) * parent[token]) / (STRENGTH + customers[context])
+                p = np.zeros(len(context))
+                for r in row["predicted"]:
+                    p[order[at[r["part"]] : at[r["part"] + 1]]] = tb.unpack(r["columns"][0])
                 base = np.log10((every[t.token] + 1.0) / (total + known + 1.0))
                 yield batch(schema, t.b.doc_ids, t.held_out, t.b.sizes + 1, np.add.reduceat((every[t.token] > 0).astype(np.int64), t.starts), np.full(len(t.starts), total), np.add.reduceat(base, t.starts), np.add.reduceat(np.log10(p)[pair], t.starts))
 
-    return rows.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = scratch.save_wide(rows.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores", rows=1)
+    for name in ("batches", "seen", "restaurants", f"swept{BURN_IN + SWEEPS}", f"root{BURN_IN + SWEEPS}", "predicted"):
+        scratch.drop(name)
+    return out

@@ -13,7 +13,6 @@ to tasks that see all entries of a key, and joins the replies back.  Keys are
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +25,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, batch, documents, texts
 
 #: Words after which a batch is closed; a longer document is a batch of its own.
-BATCH_WORDS = 1_000_000
+BATCH_WORDS = 500_000
+
+#: Rows of texts that go to a worker at once.
+TEXT_ROWS = 1000
 
 SCHEMA = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary()), ("index", pa.binary()), ("extra", pa.binary())])
 SQL = "batch long, doc_ids array<long>, sizes binary, words binary, index binary, extra binary"
@@ -72,11 +74,8 @@ def build(docs: DataFrame, scratch: Scratch, lower: bool, extra: Callable[[list[
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
-
         from pyspark import TaskContext
 
-        gc.disable()  # there are no cycles here, and millions of small objects
         number, ids, sizes, flat, more = TaskContext.get().partitionId() << 32, [], [], [], []
 
         def close():
@@ -104,13 +103,8 @@ def build(docs: DataFrame, scratch: Scratch, lower: bool, extra: Callable[[list[
                         number, ids, sizes, flat, more = number + 1, [], [], [], []
         if ids:
             yield close()
-        gc.enable()
 
-    spark, name = docs.sparkSession, f"tessera_{uuid.uuid4().hex[:16]}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = documents(docs, id_col, text_col).mapInArrow(run, SQL)
-    rows.write.format("parquet").bucketBy(buckets, "batch").option("path", scratch.at("batches")).option("compression", "uncompressed").saveAsTable(name)
-    return spark.table(name)
+    return scratch.bucketed(documents(docs, id_col, text_col).mapInArrow(run, SQL), "batches", "batch", TEXT_ROWS)
 
 
 def edges(parts: int) -> np.ndarray:
