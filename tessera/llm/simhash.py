@@ -7,7 +7,8 @@ fingerprints apart; a dynamic program gives each group the threshold (-1: not
 probed) that makes the fewest candidates as estimated from a sample.  The
 sample steers only the cost: every split and every allocation finds every link.
 Candidates are then verified on all bits.  Near duplicates by Jaccard similarity
-don't use fingerprints, but prefixes of shingle sets.
+are probed the same way and verified on their shingle sets; as similar texts
+may have distant fingerprints, prefixes of the sets find the rest.
 
 Only distinct fingerprints are probed, so copies cost nothing.  A bucket of too
 many fingerprints is split by the bits that it doesn't share, again by the
@@ -189,7 +190,7 @@ def _emit(chosen: list[tuple[list[int], int]]):
 
 
 def _refine(limit: int):
-    """Keys of crowded buckets, split by limit + 1 groups of the bits that are still unused."""
+    """Keys of crowded buckets, split by limit + 1 groups of the bits that are still unused, of which there are more than limit."""
 
     def run(batches):
         for b in batches:
@@ -285,24 +286,29 @@ def links(fps: DataFrame, scratch: Scratch, limit: int = 3) -> DataFrame:
     """(a, b) long: enough of the pairs of nodes within the limit to connect all that pairs connect.
 
     fps: a table with distinct ``node`` long and the fingerprint ``fp`` of each.
+    One node of each fingerprint is probed.  A bucket with at most ``limit``
+    free bits isn't split further: it holds at most the fingerprints within its
+    group's threshold, times 2^limit.
     """
-    n = fps.count()
-    sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
+    equal = scratch.save(fps.groupBy("fp").agg(F.min("node").alias("a")), "equal")
+    own = equal.withColumnRenamed("a", "node")
+    n = own.count()
+    sample = np.array([r.fp for r in own.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
     chosen, most = plan(sample, n, limit), MOST_IN_BUCKET * (limit + 1)
-    rows, small = scratch.save(fps.select("fp", "node").mapInArrow(_emit(chosen), KEYS_SQL), "keys0"), None
+    rows, small = scratch.save(own.select("fp", "node").mapInArrow(_emit(chosen), KEYS_SQL), "keys0"), None
     for level in range(1, BITS):
         crowded = scratch.save(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most).select("bucket"), f"crowded{level}")
         if crowded.isEmpty():
             small = rows if small is None else small.unionByName(rows)
             break
-        # rows that share all bits can't be split; nodes of one fingerprint are linked below
         cold = rows.join(crowded, "bucket", "left_anti").select(*rows.columns)
         small = cold if small is None else small.unionByName(cold)
         hot = rows.join(crowded, "bucket", "left_semi").select(*rows.columns)
-        rows = scratch.save(hot.where("used != -1").mapInArrow(_refine(limit), KEYS_SQL), f"keys{level}")
+        split = F.bit_count("used") < BITS - limit
+        small = small.unionByName(hot.where(~split))
+        rows = scratch.save(hot.where(split).mapInArrow(_refine(limit), KEYS_SQL), f"keys{level}")
     small = small.select("bucket", "fp", "node", "probe").repartition("bucket").sortWithinPartitions("bucket", "probe", "fp", "node")
     found = small.mapInArrow(_links(limit), "a long, b long")
-    equal = fps.groupBy("fp").agg(F.min("node").alias("a"))
     equal = fps.join(equal, "fp").where("node != a").select("a", F.col("node").alias("b"))
     return found.unionByName(equal).distinct()
 
@@ -401,8 +407,8 @@ def reachable(size_a, place_a, size_b, place_b, similarity: float, least=np.mini
     return least(size_a - place_a, size_b - place_b) >= (size_a + size_b) * (similarity / (1 + similarity)) - 1e-6
 
 
-SHARED = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("low", pa.int64()), ("low_size", pa.int32()), ("low_place", pa.int32())])
-SHARED_SQL = "bucket long, node long, size int, place int, low long, low_size int, low_place int"
+SHARED = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
+SHARED_SQL = "bucket long, node long, size int, place int"
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -411,7 +417,7 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], thin=lambda columns: colum
     parts, rows = [], 0
     for b in chain(batches, [None]):
         if b is not None and b.num_rows:
-            parts.append([c.to_numpy() for c in b.columns])
+            parts.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
             rows += b.num_rows
         if not parts or (b is not None and rows < 1 << 16):
             continue
@@ -426,7 +432,7 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], thin=lambda columns: colum
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each node of the buckets of two nodes or more, with the least one beside it; rows come in the order of bucket and node."""
+    """Each node of the buckets of two nodes or more; rows come in the order of bucket and node."""
 
     def once(columns):
         bucket, node = columns[:2]
@@ -436,55 +442,51 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket, node, size, place in _whole_buckets(batches, once):
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
         n = np.diff(edge)
-        many, first = np.repeat(n > 1, n), np.repeat(edge[:-1], n)
-        first = first[many]
-        yield batch(SHARED, bucket[many], node[many], size[many], place[many], node[first], size[first], place[first])
+        many = np.repeat(n > 1, n)
+        yield batch(SHARED, bucket[many], node[many], size[many], place[many])
 
 
 def _all_pairs(similarity: float):
-    """Pairs of nodes of a bucket that are in different components so far and may be similar."""
+    """Pairs of nodes of a bucket that are in different components so far and may be similar, by sizes, places and sketches."""
+    most = (1 - similarity) / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, node, size, place, label in _whole_buckets(batches):
-            at, lag = np.arange(len(bucket)), 1
+        for bucket, node, size, place, label, drawn in _whole_buckets(batches):
+            bits, at, lag = np.frombuffer(b"".join(drawn), np.uint64).reshape(len(bucket), -1), np.arange(len(bucket)), 1
             while len(at):
                 at = at[at + lag < len(bucket)]
                 at = at[bucket[at] == bucket[at + lag]]
-                to = at + lag
-                on = (label[at] != label[to]) & reachable(size[at], place[at], size[to], place[to], similarity)
-                x, y = node[at[on]], node[to[on]]
-                if len(x):
+                a = at[(label[at] != label[at + lag]) & reachable(size[at], place[at], size[at + lag], place[at + lag], similarity)]
+                if len(a):
+                    differ = np.bitwise_count(bits[a] ^ bits[a + lag]).sum(axis=1, dtype=np.int64)
+                    a = a[differ <= (size[a].astype(np.int64) + size[a + lag]) * most + 1e-6]
+                    x, y = node[a], node[a + lag]
                     yield batch(LINKS, np.minimum(x, y), np.maximum(x, y))
                 lag += 1
 
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, key, component_id long.
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, probe: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, key, root, component_id long.
 
     Texts are linked if their sets of ``shingle`` words have a Jaccard
     similarity of ``similarity`` or more, and components are those of all such
-    links.  Candidates share a shingle of their prefixes, which all such texts
-    do, and each is verified on the sets unless its two texts are in one
-    component by links that were.  So that a large group of near copies isn't
-    compared pair by pair, a bucket first tries one of its nodes with all, then
-    of the others the one with most links, and only then all that is left.
-    Texts that differ in case and white space alone are one node.  Texts
-    without words are one node.
+    links.  Candidates have fingerprints within ``probe`` bits, or share a
+    shingle of their prefixes, which all such texts do; each is verified on the
+    sets unless its two texts are in one component by links that were.  So that
+    a large group of near copies isn't compared pair by pair, a bucket first
+    tries the one of its nodes with most links with all others, twice, and only
+    then all that is left.  Texts that differ in case and white space alone are
+    one node, and so are repeated rows, and texts without words, nulls among
+    them.  Null ids are passed over where another id is in the component.  An
+    empty table gives no rows.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("fp", pa.int64())])
 
     def save_wide(df: DataFrame, name: str) -> DataFrame:
-        """Scratch.save of a table made from texts or sets: few rows are with a worker at once."""
-        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = spark.conf.get(setting)
-        spark.conf.set(setting, str(min(int(before), WIDE_ROWS) if int(before) > 0 else WIDE_ROWS))
-        try:
-            return scratch.save(df, name)
-        finally:
-            spark.conf.set(setting, before)
+        return scratch.save_wide(df, name, WIDE_ROWS)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -496,11 +498,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            yield batch(schema, b.column(0), b.column(2), np.array([node_of(x.lower().split()) for x in texts(b.column(1))], np.uint64).view(np.int64))
+            own = texts(b.column(1))
+            yield batch(schema, b.column(0), b.column(2), *(np.array(x, np.uint64).view(np.int64) for x in ([node_of(x.lower().split()) for x in own], [fingerprint(x, shingle) for x in own])))
 
     source = documents(docs, id_col, text_col).withColumn("key", text_key(F.col("text")))
-    rows = scratch.save(source.mapInArrow(mark, "doc_id long, key long, node long"), "rows")
-    nodes = scratch.save(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "key")).alias("of")), "nodes")
+    rows = scratch.save(source.mapInArrow(mark, "doc_id long, key long, node long, fp long"), "rows")
+    nodes = scratch.save(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "key")).alias("of"), F.min("fp").alias("fp")), "nodes")
     n = max(1, nodes.count())
 
     counted = pa.schema([("shingle", pa.int64())])
@@ -536,7 +539,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     buckets = source.select("text").mapInArrow(keys_of, "bucket long, node long, size int, place int").repartition("bucket").sortWithinPartitions("bucket", "node")
     shared = scratch.save(buckets.mapInArrow(_shared, SHARED_SQL), "shared")
     row_key = lambda i, key: F.xxhash64(i, F.col(i).isNull(), key)
-    need = nodes.join(shared.select("node").distinct(), "node").select("node", row_key("of.doc_id", "of.key").alias("row"))
+    probed = scratch.save(links(nodes.select("node", "fp"), scratch, probe), "probed")
+    asked = shared.select("node").unionByName(probed.select(F.col("a").alias("node"))).unionByName(probed.select(F.col("b").alias("node"))).distinct()
+    need = nodes.join(asked, "node").select("node", row_key("of.doc_id", "of.key").alias("row"))
     sets = pa.schema([("node", pa.int64()), ("sketch", pa.binary()), ("size", pa.int32()), ("shingles", pa.binary())])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -571,7 +576,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         pairs = pairs.join(light("a", "x", "n"), "a").join(light("b", "y", "m"), "b").select("a", "b", "x", "n", "y", "m")
         pairs = scratch.save(pairs.mapInArrow(maybe, "a long, b long"), f"maybe-{name}")
         both = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        return save_wide(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), f"links-{name}")
+        out = save_wide(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), f"links-{name}")
+        scratch.drop(f"pairs-{name}")
+        scratch.drop(f"maybe-{name}")
+        return out
 
     def open_buckets(edges: DataFrame, name: str) -> DataFrame:
         """Rows of the buckets that still have two components or more, with the component and number of links of each node."""
@@ -582,12 +590,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         return scratch.save(now.join(mixed, "bucket", "left_semi").select(*now.columns), f"open-{name}")
 
     near = lambda *names: reachable(*map(F.col, names), similarity, F.least)
-    edges = verified(shared.where("node != low").where(near("size", "place", "low_size", "low_place")).select(F.col("node").alias("a"), F.col("low").alias("b")), "least")
-    left = open_buckets(edges, "least")
-    hub = left.where("node != low").groupBy("bucket").agg(F.max(F.struct("degree", "node", "size", "place", "label")).alias("hub"))
-    tried = left.join(hub, "bucket").where("label != hub.label").where(near("size", "place", "hub.size", "hub.place"))
-    edges = edges.unionByName(verified(tried.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), "hub"))
-    left = open_buckets(edges, "hub").select("bucket", "node", "size", "place", "label").repartition("bucket").sortWithinPartitions("bucket", "node")
+    edges = verified(probed, "probed")
+    for turn in ("first", "second"):
+        left = open_buckets(edges, turn)
+        hub = left.groupBy("bucket").agg(F.max(F.struct("degree", "node", "size", "place", "label")).alias("hub"))
+        tried = left.join(hub, "bucket").where("label != hub.label").where(near("size", "place", "hub.size", "hub.place"))
+        edges = edges.unionByName(verified(tried.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), turn))
+        scratch.drop(f"open-{turn}")
+    left = open_buckets(edges, "all").select("bucket", "node", "size", "place", "label").join(found.select("node", "sketch"), "node")
+    left = left.select("bucket", "node", F.col("size"), "place", "label", "sketch").repartition("bucket").sortWithinPartitions("bucket", "node")
     edges = edges.unionByName(verified(left.mapInArrow(_all_pairs(similarity), "a long, b long"), "all"))
     root = components(edges, scratch)
     named = nodes.join(root.withColumnRenamed("node", "own"), nodes["node"] == F.col("own"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))

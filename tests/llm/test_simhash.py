@@ -142,3 +142,42 @@ def test_pairs_near_the_threshold_are_all_found(spark, low):
             docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(other))]
     got = {r.doc_id: r.component_id for r in sh.near_duplicates(table(spark, docs)).collect()}
     assert got == {i: i // 2 * 2 for i in range(len(docs))}
+
+
+def test_templated_texts_on_near_fingerprints_are_all_found(spark):
+    """A long template and unique tails: fingerprints are close for all, texts alike in pairs only."""
+    rng, docs = np.random.default_rng(21), []
+    template = [f"t{i}" for i in range(60)]
+    for k in range(60):
+        tail = [f"w{v}" for v in rng.integers(0, 10**6, 60)]
+        docs += [(2 * k, " ".join(template + tail)), (2 * k + 1, " ".join(template + tail[:-6] + ["x", "y", str(k)]))]
+    near, want = components_by_brute_force(docs)
+    assert len(near) == 60
+    assert {r.doc_id: r.component_id for r in sh.near_duplicates(table(spark, docs)).collect()} == want
+
+
+def test_texts_on_one_fingerprint_are_told_apart(spark, monkeypatch):
+    """As if all fingerprints were equal, thousands of texts of which few are alike."""
+    monkeypatch.setattr(sh, "fingerprint", lambda text, shingle: 5)
+    rng, docs = np.random.default_rng(22), []
+    for k in range(2500):
+        words = [f"w{v}" for v in rng.integers(0, 10**6, 30)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "end"]))]
+    got = {r.doc_id: r.component_id for r in sh.near_duplicates(table(spark, docs)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(5000)}
+
+
+def test_a_crowded_ball_loses_no_link(spark, monkeypatch):
+    """One group of all bits with threshold 2, whose buckets can't be split."""
+    monkeypatch.setattr(sh, "plan", lambda sample, n, limit: [(list(range(64)), 2)])
+    monkeypatch.setattr(sh, "MOST_IN_BUCKET", 2)
+    fp = np.array([0] + [1 << a for a in range(40)] + [1 << a | 1 << b for a in range(20) for b in range(a)], np.uint64)
+    fps = spark.createDataFrame([(int(v), i) for i, v in enumerate(fp.view(np.int64))], "fp long, node long")
+    got = [(r.a, r.b) for r in sh.links(fps, Scratch(spark, "test"), 2).collect()]
+    assert roots(len(fp), got) == [0] * len(fp)
+
+
+def test_near_duplicates_of_messy_and_empty_tables(spark):
+    got = rows_of(sh.near_duplicates(messy(spark)), "doc_id", "component_id")
+    assert len(got) == len(MESSY) and {c for i, c in got if i in (1, 2)} == {1} and {c for i, c in got if i in (3, 4, 5)} == {3}
+    assert sh.near_duplicates(empty(spark)).count() == 0
