@@ -44,8 +44,10 @@ BURN_IN, SWEEPS = 2, 3
 EXACT = 256
 #: Metropolis steps of a sweep, and their lengths as parts of the spread.
 MOVES = (2.4, 0.5, 2.4, 6.0, 1.0, 2.4)
-#: Training words, about, whose pairs one task sweeps, and of the words that one task of the parent seats.
-PART_PAIRS, PART_WORDS = 1_000_000, 3_000_000
+#: Training words, about, whose pairs are one part of the restaurants, and of the words that one part of the parent seats.
+PART_PAIRS, PART_WORDS = 250_000, 3_000_000
+#: Parts that batches ask at once, so that questions are fewer while rows stay narrow.
+GROUP = 4
 #: Weights of tables held at once.
 CELLS = 1 << 18
 #: Stand for the end of a text and for its beginning.
@@ -303,21 +305,29 @@ class _Restaurants:
 
 
 def _open(word_parts: int):
-    """For one part: a row of its restaurants (batch -1), one of its first tables (batch -2), and for each batch which pairs it asked about."""
+    """For each part of a group: a row of its restaurants (batch -1), and for each batch which pairs it asked about."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         asked = [[tb.unpack(c) for c in r["columns"]] for r in rows]
-        part = rows[0]["part"]
+        group, batches, found = rows[0]["part"], [r["batch"] for r in rows], []
+        del rows
+        for k in range(GROUP):
+            found += one_part(group * GROUP + k, batches, [list(_of_part(c, k)) for c in asked])
+        return pa.Table.from_batches([_rows(found)])
+
+    def one_part(part: int, batches: list[int], asked: list[list[np.ndarray]]) -> Iterator[tuple]:
         # columns: contexts, pairs of each, customers of each, parts of each; word of each pair, training count
         pair = np.concatenate([np.repeat(c[0], c[1]) << np.uint64(32) | c[4] for c in asked])
+        if not len(pair):
+            return
         pair, inverse = np.unique(pair, return_inverse=True)
-        count = np.zeros(len(pair), np.int64)
-        at, found = 0, []
-        for r, c in zip(rows, asked, strict=True):
+        count, at = np.zeros(len(pair), np.int64), 0
+        for one, c in zip(batches, asked, strict=True):
             own = inverse[at : at + len(c[4])]
             count[own] += c[5]  # a batch asks about a pair once
-            found.append((part, r["batch"], [tb.pack(own.astype(np.int32))], None))
+            if len(own):
+                yield part, one, [tb.pack(own.astype(np.int32))], None
             at += len(own)
         contexts, sizes = np.unique(pair >> np.uint64(32), return_counts=True)
         customers, spread = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int32)
@@ -329,12 +339,20 @@ def _open(word_parts: int):
         place = np.empty(len(words), np.int32)
         place[order] = np.arange(len(words))
         kept = (contexts.astype(np.uint32), sizes.astype(np.int32), customers, spread, words[order].astype(np.uint32), place[word], count)
-        found.append((part, -1, [tb.pack(x) for x in kept], None))
-        return pa.Table.from_batches([_rows(found)])
+        yield part, -1, [tb.pack(x) for x in kept], None
 
     return run
 
 
+def _of_part(columns: list[np.ndarray], k: int) -> Iterator[np.ndarray]:
+    """The columns of the k-th part of a group; the first two say how many contexts and pairs each part has."""
+    heads, pairs = (np.concatenate([[0], np.cumsum(c)]) for c in columns[:2])
+    for c in columns[2:6]:
+        yield c[heads[k] : heads[k + 1]]
+    for c in columns[6:]:
+        yield c[pairs[k] : pairs[k + 1]]
+
+
 def _unpacked(row: dict, word_parts: int) -> tuple[_Restaurants, np.ndarray]:
     """A part's restaurants, and their tables: those of pairs with several customers are stored, others have one a customer."""
     own = _Restaurants(row["columns"], word_parts)
@@ -452,12 +470,18 @@ def score(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str
         context, token, count, _ = t.pairs()
         part, spread = _part_of(number[context], number[token], customers[context], hot, parts)
         order = np.argsort(part, kind="stable")
-        at = np.searchsorted(part[order], np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(at)).tolist():
-            own = order[at[p] : at[p + 1]]
-            new = np.flatnonzero(np.diff(np.concatenate([[-1], context[own]])))
-            head = own[new]
-            yield p, t.b.number, [tb.pack(x) for x in (number[context[head]], np.diff(np.append(new, len(own))).astype(np.int32), customers[context[head]], spread[head].astype(np.int32), number[token[own]], count[own].astype(np.int32))]
+        part, context, token, count, spread = (x[order] for x in (part, context, token, count, spread))
+        new = np.ones(len(part), bool)
+        new[1:] = (part[1:] != part[:-1]) | (context[1:] != context[:-1])
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, len(part))).astype(np.int32)
+        every_part = np.arange(parts + GROUP)
+        pair_at, head_at = np.searchsorted(part, every_part), np.searchsorted(part[head], every_part)
+        for g in np.unique(part // GROUP).tolist():
+            a, z = (x[[g * GROUP, (g + 1) * GROUP]] for x in (pair_at, head_at))
+            heads, pairs_ = head[z[0] : z[1]], slice(a[0], a[1])
+            shares = [np.diff(x[g * GROUP : (g + 1) * GROUP + 1]).astype(np.int32) for x in (head_at, pair_at)]
+            yield g, t.b.number, [tb.pack(x) for x in (*shares, number[context[heads]], size[z[0] : z[1]], customers[context[heads]], spread[heads].astype(np.int32), number[token[pairs_]], count[pairs_].astype(np.int32))]
 
     opened = tb.ask(rows, pairs).groupBy("part").applyInArrow(_open(word_parts), ROWS_SQL)
     static = scratch.bucketed(opened, "restaurants", "part")
