@@ -2,15 +2,17 @@
 
 Anchors are word k-grams picked by winnowing: of the k-grams in any window of
 the threshold's length, the one with the least hash, so equal windows have
-equal anchors.  Documents meet on anchors that several of them have.  From
-each such anchor the match is extended both ways: all windows of the
-threshold's length that have it as their anchor are compared, to its left and to
-its right, by 128-bit hashes.  Windows that an earlier document has too are
-merged into maximal repeats, and those go.
-
-Extending from each pair of documents would cost the square of a passage's
-popularity, so what meets is a window and the least id among its documents.
-Whole copies of an earlier document are told by one hash and need no anchors.
+equal anchors at equal places.  Occurrences of an anchor meet if several
+documents have it, each with the words around it and its document's id.  All
+occurrences of an anchor are extended at once, word by word, to the right and to
+the left: where words differ, the group parts, and an occurrence that is alone
+is extended no further.  A window is an extension to both sides; of those that
+reach it together, the least id is its first document.  Windows that an earlier
+document has too are merged into maximal repeats, and those go.
+
+No pair of documents is ever formed, so a passage of many documents costs as
+much as its occurrences, and a batch sends occurrences with equal surroundings
+once.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import token_batches as tb
 from .common import Scratch, batch
@@ -29,6 +30,8 @@ from .common import Scratch, batch
 #: Words of a repeat, at least, and of an anchor.
 LEAST = 13
 ANCHOR = 7
+#: Words, about, whose anchors one task extends.
+PART_WORDS = 1_000_000
 _NULL_ID = -(2**63)
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -39,65 +42,105 @@ def _order(doc_ids: list[int | None]) -> np.ndarray:
     return np.array([_NULL_ID if i is None else i for i in doc_ids], np.int64)
 
 
-class _Windows:
-    """Of a batch: ``at``, the places where a window starts, and ``seed``, the hash of its anchor."""
+def _groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's group of equal (a, b), and the first row of each group in the order given."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
+
+
+class _Seeds:
+    """Of a batch: ``at``, the places where a window starts, ``of``, each one's anchor, and ``place``, where the anchors stand."""
 
     def __init__(self, row: dict, least: int, anchor: int):
         self.b = b = tb.Batch(row)
-        self.values = tb.mixed(b.hashes() + np.uint64(1))[b.index] if len(b.words) else np.zeros(0, np.uint64)
-        self.copies = np.zeros(len(b.sizes), bool)
-        self.copies[row["copies"] or []] = True
-        room = np.where(self.copies, 0, np.maximum(0, b.sizes - least + 1))
-        first = np.repeat(b.starts[:-1], room) - np.repeat(np.cumsum(room) - room, room)
-        self.at = np.arange(int(room.sum())) + first
-        self.doc = np.repeat(np.arange(len(room)), room)
-        n = len(self.values)
-        low = tb.sequence_hash(self.values, slice(0, max(0, n - anchor + 1)), anchor, _FACTORS[0]) if n >= anchor else np.zeros(0, np.uint64)
-        have, want = 1, least - anchor + 1
-        while have < want:
-            step = min(have, want - have)
-            low = np.minimum(low[: len(low) - step], low[step:])
+        self.least, self.anchor, self.side = least, anchor, least - anchor
+        self.hashes = tb.mixed(b.hashes() + np.uint64(1))
+        values = self.hashes[b.index]
+        room = np.maximum(0, b.sizes - least + 1)
+        self.at = np.arange(int(room.sum())) + np.repeat(b.starts[:-1] - np.cumsum(room) + room, room)
+        n = max(0, len(values) - anchor + 1)
+        low = tb.sequence_hash(values, slice(0, n), anchor, _FACTORS[0]) if n else np.zeros(0, np.uint64)
+        gram, where, have = low, np.arange(n), 1
+        while have < self.side + 1 and len(low):  # the first place of the least hash among the next side + 1
+            step = min(have, self.side + 1 - have)
+            later = low[step:] < low[: len(low) - step]
+            low, where = np.where(later, low[step:], low[: len(low) - step]), np.where(later, where[step:], where[: len(where) - step])
             have += step
-        self.seed = low[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        self.place, self.of = np.unique(where[self.at], return_inverse=True) if len(self.at) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.doc = np.searchsorted(b.starts, self.place, side="right") - 1
+        self.key = gram[self.place] if len(self.place) else np.zeros(0, np.uint64)
 
-    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors in order, and which of them several documents of the batch have."""
-        new = np.ones(len(self.seed), bool)
-        new[1:] = (self.seed[1:] != self.seed[:-1]) | (self.doc[1:] != self.doc[:-1])
-        seed, doc = self.seed[new], self.doc[new]
-        order = np.argsort(seed, kind="stable")  # documents stay in order
-        seed, doc = seed[order], doc[order]
-        key, first, count = np.unique(seed, return_index=True, return_counts=True)
+        order = np.argsort(self.key, kind="stable")  # documents stay in order
+        key, first, count = np.unique(self.key[order], return_index=True, return_counts=True)
+        doc = self.doc[order]
         return key, doc[first] != doc[first + count - 1]
 
-    def shared(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places whose anchor other documents have, and the two hashes of the windows there."""
-        keys, _ = self.seeds()
-        on = np.zeros(len(self.at), bool)
-        if len(keys):
-            on = bits[np.searchsorted(keys, self.seed)] > 0
-        at = self.at[on]
-        return np.flatnonzero(on), *(tb.sequence_hash(self.values, at, self.least, f) for f in _FACTORS)
-
-
-def _windows(row: dict, least: int, anchor: int) -> _Windows:
-    out = _Windows(row, least, anchor)
-    out.least = least
+    def around(self, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Words to the right of anchors and, from there on, to the left, outwards; -1 beyond the text."""
+        b = self.b
+        steps = np.arange(self.side)
+        at = np.concatenate([place[:, None] + self.anchor + steps, place[:, None] - 1 - steps], axis=1)
+        inside = (at >= b.starts[doc, None]) & (at < b.starts[doc + 1, None])
+        return np.where(inside, b.index[np.clip(at, 0, max(0, len(b.index) - 1))], -1)
+
+    def occurrences(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the anchors that other documents have: which, the number of the surroundings of each, and of each
+        surroundings in the order of the anchor the anchor, the least id and the words around it."""
+        keys, _ = self.keys()
+        on = np.flatnonzero(shared[np.searchsorted(keys, self.key)] > 0) if len(keys) else np.zeros(0, np.int64)
+        words = self.around(self.place[on], self.doc[on])
+        a = self.key[on]
+        with np.errstate(over="ignore"):
+            second = a.copy()
+            for j in range(words.shape[1]):
+                second = tb.mixed(second * np.uint64(_FACTORS[1]) + words[:, j].astype(np.uint64))
+        number, first = _groups(a, second)
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, _order(self.b.doc_ids)[self.doc[on]])
+        return on, number, a[first], least, words[first]
+
+
+def _extended(start: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """Groups of equal extensions by 0, 1, ... words from groups ``start``; -1 where an occurrence is alone."""
+    size = np.bincount(start)
+    now = np.where(size[start] > 1, start, -1)
+    out, active = [now], np.flatnonzero(now >= 0)
+    for j in range(words.shape[1]):
+        active = active[words[active, j] >= 0]
+        code = now[active].astype(np.int64) * (int(words.max(initial=0)) + 1) + words[active, j]
+        _, group, size = np.unique(code, return_inverse=True, return_counts=True)
+        more = size[group] > 1
+        now = np.full(len(start), -1, np.int64)
+        now[active[more]] = group[more]
+        active = active[more]
+        out.append(now)
     return out
 
 
-def _distinct(w: _Windows, bits: np.ndarray):
-    """Of the windows to extend to: places, the number of each one's distinct window, and the windows' hashes and least ids."""
-    on, a, b = w.shared(bits)
-    order = np.lexsort((b, a))
-    new = np.ones(len(order), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    first = order[new]
-    low = np.full(len(first), np.iinfo(np.int64).max)
-    np.minimum.at(low, number, _order(w.b.doc_ids)[w.doc[on]])
-    return on, number, a[first], b[first], low
+def extend(anchors: np.ndarray, ids: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Bits of each occurrence: bit l if the window that begins l words before its anchor is in a document of a smaller id.
+
+    ``words``: to the right and then to the left of each anchor, as many each as
+    a window has beside its anchor; -1 beyond a text.
+    """
+    side = words.shape[1] // 2
+    _, start = np.unique(anchors, return_inverse=True)
+    right, left = _extended(start, words[:, :side]), _extended(start, words[:, side:])
+    out = np.zeros(len(anchors), np.uint32)
+    for k in range(side + 1):
+        on = np.flatnonzero((left[k] >= 0) & (right[side - k] >= 0))
+        if len(on):
+            group, _ = _groups(left[k][on], right[side - k][on])
+            least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, group, ids[on])
+            out[on] |= (least[group] < ids[on]).astype(np.uint32) << np.uint32(k)
+    return out
 
 
 def _which_are_shared(columns: list[list[np.ndarray]], part: int) -> list[list[np.ndarray]]:
@@ -109,16 +152,15 @@ def _which_are_shared(columns: list[list[np.ndarray]], part: int) -> list[list[n
     return [[x.astype(np.uint8)] for x in np.split(shared[inverse], cuts)]
 
 
-def _least_ids(columns: list[list[np.ndarray]], part: int) -> list[list[np.ndarray]]:
-    a, b, low = (np.concatenate([c[k] for c in columns]) for k in range(3))
-    order = np.lexsort((b, a))
-    new = np.ones(len(order), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    least = np.minimum.reduceat(low[order], np.flatnonzero(new)) if len(order) else low
-    cuts = np.cumsum([len(c[0]) for c in columns])[:-1]
-    return [[x] for x in np.split(least[number], cuts)]
+def _extend_all(columns: list[list[np.ndarray]], part: int) -> list[list[np.ndarray]]:
+    """columns: anchors, ids, the message's distinct words as hashes, and of each occurrence the words around it as places in those."""
+    every, sizes = np.unique(np.concatenate([c[2] for c in columns])), [len(c[0]) for c in columns]
+    words = []
+    for c in columns:
+        place = np.append(np.searchsorted(every, c[2]), -1)  # -1 stays -1
+        words.append(place[c[3].astype(np.int64)].reshape(len(c[0]), -1))
+    bits = extend(np.concatenate([c[0] for c in columns]), np.concatenate([c[1] for c in columns]), np.concatenate(words))
+    return [[x] for x in np.split(bits, np.cumsum(sizes)[:-1])]
 
 
 def dedup(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,74 +172,64 @@ def dedup(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id_col: str
     rows among them, take nothing from each other.  A null id is smaller than
     all others.  An empty table gives no rows.
     """
+    if not 0 < anchor <= least <= anchor + 31:
+        raise ValueError("an anchor has to be shorter than a window by 31 words at most")
     scratch = Scratch(docs.sparkSession, "substrings")
-    batches = tb.build(docs, scratch, False, lambda words: hashlib.sha256(b" ".join(words)).digest(), id_col, text_col)
-    parts = tb.parts_for(tb.total_words(batches))
-
-    # copies: documents whose whole text a smaller id has; a batch has one row for each of its texts
-    whole = pa.schema([("text", pa.binary()), ("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
-
-    def identities(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            for r in b.to_pylist():
-                own: dict[bytes, tuple[list[int], list[int]]] = {}
-                for i, one in enumerate(_order(r["doc_ids"]).tolist()):
-                    ids, places = own.setdefault(r["extra"][32 * i : 32 * i + 32], ([], []))
-                    ids.append(one)
-                    places.append(i)
-                yield batch(whole, list(own), [r["batch"]] * len(own), [x for x, _ in own.values()], [y for _, y in own.values()])
-
-    each = scratch.save(batches.select("batch", "doc_ids", "extra").mapInArrow(identities, "text binary, batch long, ids array<long>, places array<int>"), "texts")
-    first = each.groupBy("text").agg(F.min(F.array_min("ids")).alias("low"))
-    later = F.filter(F.arrays_zip("ids", "places"), lambda x: x["ids"] > F.col("low"))
-    copies = each.join(first, "text").select("batch", F.transform(later, lambda x: x["places"]).alias("places"))
-    copies = copies.groupBy("batch").agg(F.flatten(F.collect_list("places")).alias("copies"))
-    copies = scratch.save(copies, "copies")
-    rows = batches.join(copies, "batch", "left")
+    batches = tb.build(docs, scratch, False, None, id_col, text_col)
+    parts = tb.parts_for(tb.total_words(batches), PART_WORDS)
 
     def seeds(row):
-        w = _windows(row, least, anchor)
-        keys, several = w.seeds()
-        return tb.deal(w.b.number, keys, parts, several.astype(np.uint8))
-
-    shared = scratch.save(tb.answer(tb.ask(rows, seeds), _which_are_shared), "shared")
-    rows = tb.joined(rows, shared, "shared")
-
-    def windows(row):
-        w = _windows(row, least, anchor)
-        _, _, a, b, low = _distinct(w, tb.gathered(row["shared"], 0))
-        return tb.deal(w.b.number, a, parts, b, low)
-
-    lows = scratch.save(tb.answer(tb.ask(rows, windows), _least_ids), "lows")
-    rows = tb.joined(rows, lows, "lows")
+        s = _Seeds(row, least, anchor)
+        keys, several = s.keys()
+        return tb.deal(s.b.number, keys, parts, several.astype(np.uint8))
+
+    shared = scratch.save_wide(tb.answer(tb.ask(batches, seeds), _which_are_shared), "shared")
+    rows = tb.joined(batches, shared, "shared")
+
+    def occurrences(row):
+        s = _Seeds(row, least, anchor)
+        _, _, key, ids, words = s.occurrences(tb.gathered(row["shared"], 0))
+        at = np.append(np.searchsorted(key, tb.edges(parts)), len(key))
+        for part in np.flatnonzero(np.diff(at)).tolist():
+            own = slice(at[part], at[part + 1])
+            used, place = np.unique(words[own], return_inverse=True)
+            beyond = int(used[0] < 0)
+            place = place.ravel() - beyond
+            yield part, s.b.number, [tb.pack(x) for x in (key[own], ids[own], s.hashes[used[beyond:]], place.astype(np.int32))]
+
+    told = scratch.save_wide(tb.answer(tb.ask(rows, occurrences), _extend_all), "told")
+    rows = tb.joined(rows, told, "told")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", span)])
 
-    def remove(rows):
+    def remove(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in rows:
             for i in range(some.num_rows):
                 row = some.slice(i, 1).to_pylist()[0]
-                w = _windows(row, least, anchor)
-                b, ids = w.b, _order(row["doc_ids"])
-                on, number, *_ = _distinct(w, tb.gathered(row["shared"], 0))
-                low = tb.gathered(row["lows"], 0)
-                hit = on[low[number] < ids[w.doc[on]]] if len(on) else on
+                s = _Seeds(row, least, anchor)
+                b, ids = s.b, _order(row["doc_ids"])
+                on, number, _, first, _ = s.occurrences(tb.gathered(row["shared"], 0))
+                bits = tb.gathered(row["told"], 0).astype(np.uint32)
+                # of windows with one anchor and equal surroundings, those of the least id here are its own
+                known = np.full(len(s.place), 0, np.uint32)
+                if len(on):
+                    later = ids[s.doc[on]] > first[number]
+                    known[on] = np.where(later, np.uint32(0xFFFFFFFF), bits[number])
+                hit = s.at[(known[s.of] >> (s.place[s.of] - s.at).astype(np.uint32) & 1) > 0]
                 cover = np.zeros(len(b.index) + 1, np.int32)
-                np.add.at(cover, w.at[hit], 1)
-                np.add.at(cover, w.at[hit] + least, -1)
+                cover[hit] += 1  # each place once
+                cover[hit + least] -= 1
                 gone = np.cumsum(cover)[:-1] > 0
-                gone |= np.repeat(w.copies & (b.sizes >= least), b.sizes)
                 removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[b.starts])
                 shas, spans = [], []
                 for d, (a, z) in enumerate(zip(b.starts[:-1].tolist(), b.starts[1:].tolist(), strict=True)):
-                    if not removed[d]:
-                        shas.append(row["extra"][32 * d : 32 * d + 32].hex())
-                        spans.append([])
-                        continue
-                    kept = [b.words[k] for k in b.index[a:z][~gone[a:z]].tolist()]
-                    shas.append(hashlib.sha256(b" ".join(kept)).hexdigest() if kept else _EMPTY)
-                    cuts = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:z], [0]]))).reshape(-1, 2)
-                    spans.append([{"start": s, "end": e} for s, e in cuts.tolist()])
+                    kept = b.index[a:z][~gone[a:z]] if removed[d] else b.index[a:z]
+                    shas.append(hashlib.sha256(b" ".join(map(b.words.__getitem__, kept.tolist()))).hexdigest() if len(kept) else _EMPTY)
+                    cuts = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:z], [0]]))).reshape(-1, 2) if removed[d] else np.zeros((0, 2), int)
+                    spans.append([{"start": x, "end": y} for x, y in cuts.tolist()])
                 yield batch(schema, row["doc_ids"], b.sizes, removed, shas, spans)
 
-    return rows.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    out = scratch.save_wide(rows.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>"), "kept", rows=1)
+    for name in ("batches", "shared", "told"):
+        scratch.drop(name)
+    return out

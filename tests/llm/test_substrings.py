@@ -49,3 +49,31 @@ def test_overlapping_repeats_equal_brute_force(spark, monkeypatch):
     for r in out.collect():
         spans = [(s.start, s.end) for s in r.spans]
         assert sum(e - s for s, e in spans) == r.n_removed and all(e - s >= 13 for s, e in spans) and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_extension_equals_all_windows():
+    """Of a few anchors with random words around them."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    n, side = 400, 6
+    anchors, ids = rng.integers(0, 6, n).astype(np.uint64), rng.integers(0, 60, n)
+    words = rng.integers(0, 2, (n, 2 * side))
+    for r in range(0, n, 7):  # texts that end
+        words[r, rng.integers(0, side) : side] = -1
+    got = ss.extend(anchors, ids, words)
+    for i in range(n):
+        for k in range(side + 1):
+            own = [*words[i, side : side + k], *words[i, : side - k]]
+            same = [j for j in range(n) if anchors[j] == anchors[i] and [*words[j, side : side + k], *words[j, : side - k]] == own]
+            assert bool(got[i] >> k & 1) == (-1 not in own and min(ids[same]) < ids[i])
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    from tessera.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    want = duckdb.sql(queries.SQL["op7_substrings"].replace("FROM documents", f"FROM '{folder}/documents.parquet'")).fetchall()
+    assert rows_of(queries.op7_substrings(spark, folder), *NAMES) == sorted(want, key=repr)
