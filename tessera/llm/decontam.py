@@ -1,37 +1,37 @@
 """Benchmark decontamination with an FM-index of each training shard.
 
-A shard is a run of documents of one partition.  Its words become symbols, and
-its FM-index (Burrows-Wheeler transform in a wavelet matrix, with sampled
-suffix positions) answers all test windows at once: backward search gives each
-window's rows, walking back to a sampled position gives its places, and the
-places merge into removal spans.
-
-Words that no test item has can't be in an occurrence, and neither can a run of
-test words that is shorter than the shortest window.  So such words all become
-one separator, and such runs are left out before the suffixes are sorted.
+A shard is a run of documents of one partition.  All its words become symbols,
+and its FM-index (Burrows-Wheeler transform in a wavelet matrix, with sampled
+suffix positions) is a row of a stored table: a new benchmark searches the same
+index.  Backward search gives each test window's rows, walking back to a sampled
+position gives its places, and the places merge into removal spans.
+
+Test items are searched in blocks of a bounded size, one job after another; only
+the block of the running job is broadcast.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, documents, pick, texts
+from .common import Scratch, batch, documents, pick, text_key, texts
 
 WINDOW = 10
 #: Words after which a shard is closed; a longer document is a shard of its own.
-SHARD_WORDS = 3_000_000
-#: Bytes of test texts in one block; more are searched block after block in each shard.
+SHARD_WORDS = 400_000
+#: Bytes of test texts in one block.
 BLOCK_BYTES = 16 << 20
 #: Every so many text positions, a suffix position is kept.
 SAMPLE_EVERY = 8
+#: Texts that go to a worker at once, and shards.
+TEXT_ROWS, SHARD_ROWS = 500, 2
 
 #: Bytes of words: digits, letters in lower case, and all of U+0080 and above.
 _WORD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 32 for b in range(256))
@@ -44,12 +44,17 @@ def words_of(text: bytes) -> list[bytes]:
 class BitVector:
     """Bits with a running count for every 64 of them."""
 
-    def __init__(self, bits: np.ndarray):
-        packed = np.packbits(bits, bitorder="little")
-        self.words = np.zeros(len(bits) // 64 + 1, np.uint64)
-        self.words.view(np.uint8)[: len(packed)] = packed
+    def __init__(self, words: np.ndarray):
+        self.words = words
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)]).astype(np.int32)
 
+    @classmethod
+    def of(cls, bits: np.ndarray) -> BitVector:
+        packed = np.packbits(bits, bitorder="little")
+        words = np.zeros(len(bits) // 64 + 1, np.uint64)
+        words.view(np.uint8)[: len(packed)] = packed
+        return cls(words)
+
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before position i."""
         word, bit = i >> 6, (i & 63).astype(np.uint64)
@@ -60,13 +65,20 @@ class BitVector:
 
 
 class WaveletMatrix:
-    def __init__(self, values: np.ndarray, symbols: int):
-        self.levels, self.zeros = [], []
+    """Bits of the symbols, level by level from the highest; ``zeros`` of each level."""
+
+    def __init__(self, levels: list[BitVector], zeros: list[int]):
+        self.levels, self.zeros = list(zip(range(len(levels) - 1, -1, -1), levels, strict=True)), zeros
+
+    @classmethod
+    def of(cls, values: np.ndarray, symbols: int) -> WaveletMatrix:
+        levels, zeros = [], []
         for level in range(max(1, (symbols - 1).bit_length()) - 1, -1, -1):
-            bits = (values >> level) & 1
-            self.levels.append((level, BitVector(bits.astype(np.uint8))))
-            self.zeros.append(int(len(bits) - bits.sum()))
-            values = np.concatenate([values[bits == 0], values[bits == 1]])
+            bits = (values >> level & 1).astype(bool)
+            levels.append(BitVector.of(bits))
+            zeros.append(int(len(bits) - bits.sum()))
+            values = np.concatenate([values[~bits], values[bits]])
+        return cls(levels, zeros)
 
     def down(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Where position i comes to lie as symbols are sorted out level by level."""
@@ -85,36 +97,60 @@ class WaveletMatrix:
         return symbol, i
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """By prefix doubling; symbol 0 ends a suffix: each one differs from all others, in text order."""
-    n, ends = len(text), text == 0
-    rank = np.where(ends, np.cumsum(ends) - 1, text.astype(np.int64) + int(ends.sum()))
-    step = 1
+def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
+    """Symbol 0 ends a suffix: each one differs from all others, in text order.
+
+    Suffixes are sorted by as many symbols as fit in a word; those that are
+    still alike are told apart by the ranks of what follows, over doubled
+    lengths, and only they are sorted again.
+    """
+    n, bits = len(text), max(1, (symbols - 1).bit_length())
+    step = max(1, 62 // bits)
+    key, running = np.zeros(n, np.int64), np.ones(n, bool)
+    padded = np.concatenate([text.astype(np.int64), np.zeros(step, np.int64)])
+    for k in range(step):
+        own = padded[k : k + n]
+        running &= own > 0
+        key = key << bits | np.where(running, own, 0)
+    order = np.argsort(key, kind="stable")  # of equal suffixes with their end, the first in the text comes first
+    new = np.ones(n, bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    new |= ~running[order]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     while True:
-        key = rank * np.int64(rank.max() + 2)
-        key[: n - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        if rank[order[-1]] == n - 1:
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        slots = np.flatnonzero(~alone)
+        if not len(slots):
             return order
+        own = order[slots]
+        group, after = rank[own], rank[own + step]
+        again = np.lexsort((after, group))
+        own, group, after = own[again], group[again], after[again]
+        order[slots] = own
+        first = np.ones(len(slots), bool)
+        first[1:] = (group[1:] != group[:-1]) | (after[1:] != after[:-1])
+        new[slots] = first
+        rank[own] = np.maximum.accumulate(np.where(first, slots, 0))
         step *= 2
 
 
 class FMIndex:
     """Of symbols 1 to ``symbols`` - 1; 0 separates, and has to come last."""
 
-    def __init__(self, text: np.ndarray, symbols: int):
-        self.n = len(text)
-        sa = suffix_array(text)
-        self.wavelet = WaveletMatrix(text[sa - 1].astype(np.int64), symbols)
-        first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))[:-1]])
-        every = np.arange(symbols)
-        self.base = first - self.wavelet.down(every, np.zeros(symbols, np.int64))
+    def __init__(self, counts: np.ndarray, wavelet: WaveletMatrix, kept: BitVector, samples: np.ndarray):
+        self.counts, self.wavelet, self.kept, self.samples = counts, wavelet, kept, samples
+        self.n, every = int(counts.sum()), np.arange(len(counts))
+        self.base = np.concatenate([[0], np.cumsum(counts)[:-1]]) - wavelet.down(every, np.zeros(len(counts), np.int64))
+
+    @classmethod
+    def of(cls, text: np.ndarray, symbols: int) -> FMIndex:
+        sa = suffix_array(text, symbols)
+        before = text[sa - 1]
         # walking back never crosses a separator: where a run begins, the position is kept too
-        kept = (sa % SAMPLE_EVERY == 0) | (text[sa - 1] == 0)
-        self.kept, self.samples = BitVector(kept.astype(np.uint8)), sa[kept].astype(np.int32)
+        kept = (sa % SAMPLE_EVERY == 0) | (before == 0)
+        return cls(np.bincount(text, minlength=symbols), WaveletMatrix.of(before.astype(np.int32), symbols), BitVector.of(kept), sa[kept].astype(np.int32))
 
     def search(self, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [low, high) of each window; windows are padded on the right."""
@@ -139,108 +175,175 @@ class FMIndex:
         return out
 
 
+class Shard:
+    """An FM-index of documents, the symbols of its words, and where each document begins."""
+
+    def __init__(self, place: dict[bytes, int], index: FMIndex, sizes: np.ndarray):
+        self.place, self.index, self.sizes = place, index, sizes
+        self.starts = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int64)
+
+    @classmethod
+    def of(cls, docs: list[list[bytes]]) -> Shard:
+        place: dict[bytes, int] = {}
+        for d in docs:
+            for w in d:
+                if w not in place:
+                    place[w] = len(place) + 1
+        sizes = np.array([len(d) for d in docs], np.int64)
+        ids, at = np.zeros(int((sizes + 1).sum()), np.int32), 0
+        for d in docs:
+            ids[at : at + len(d)] = list(map(place.__getitem__, d))
+            at += len(d) + 1
+        return cls(place, FMIndex.of(ids, len(place) + 1), sizes)
+
+    def parts(self) -> list:
+        i = self.index
+        levels = b"".join(bits.words.tobytes() for _, bits in i.wavelet.levels)
+        return [self.sizes.tolist(), zstandard.compress(b" ".join(self.place), 1), zstandard.compress(i.counts.astype("<i4").tobytes(), 1), levels, i.wavelet.zeros, i.kept.words.tobytes(), i.samples.tobytes()]
+
+    @classmethod
+    def stored(cls, sizes, words, counts, levels, zeros, kept, samples) -> Shard:
+        words = zstandard.decompress(words).split()
+        levels = np.frombuffer(levels, np.uint64).reshape(len(zeros), -1)
+        counts = np.frombuffer(zstandard.decompress(counts), "<i4").astype(np.int64)
+        index = FMIndex(counts, WaveletMatrix([BitVector(x) for x in levels], zeros), BitVector(np.frombuffer(kept, np.uint64)), np.frombuffer(samples, np.int32))
+        return cls(dict(zip(words, range(1, len(words) + 1), strict=True)), index, np.array(sizes, np.int64))
+
+
 class Phrases:
-    """Windows of test items, as symbols."""
+    """Windows of test items, as numbers of their words."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int):
-        self.symbol: dict[bytes, int] = {}
+        number: dict[bytes, int] = {}
         self.ids = sorted({i for i, _ in items}, key=lambda i: (i is not None, str(i)))
         place = {x: k for k, x in enumerate(self.ids)}
         found: dict[tuple[int, ...], set[int]] = {}
         for i, text in items:
-            symbols = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in words_of((text or "").encode())]
-            for at in range(max(1, len(symbols) - window + 1) if symbols else 0):
-                found.setdefault(tuple(symbols[at : at + window]), set()).add(place[i])
+            own = [number.setdefault(w, len(number)) for w in words_of((text or "").encode())]
+            for at in range(max(1, len(own) - window + 1) if own else 0):
+                found.setdefault(tuple(own[at : at + window]), set()).add(place[i])
+        self.words = list(number)
         self.lengths = np.array([len(w) for w in found], np.int64)
-        self.windows = np.zeros((len(found), window), np.int32)
+        self.windows = np.full((len(found), window), -1, np.int32)
         for k, w in enumerate(found):
             self.windows[k, : len(w)] = w
         self.first = np.concatenate([[0], np.cumsum([len(x) for x in found.values()])]).astype(np.int64)
         self.items = np.array([i for x in found.values() for i in sorted(x)], np.int64)
-        self.shortest = int(self.lengths.min()) if len(found) else 0
-
-
-def find(docs: list[list[bytes]], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the shard of these documents: covered words, one after another with a separator behind each document; (document, item) pairs."""
-    sizes = np.array([len(d) for d in docs], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-    ids = np.zeros(int(starts[-1]), np.int32)
-    for d, at in zip(docs, starts.tolist(), strict=False):
-        ids[at : at + len(d)] = list(map(phrases.symbol.get, d, repeat(0)))
-    covered = np.zeros(len(ids) + 1, np.int32)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], ids != 0, [0]])))
-    begin, end = edges[::2], edges[1::2]
-    long = end - begin >= phrases.shortest
-    begin, end = begin[long], end[long]
-    if not len(begin) or not len(phrases.lengths):
-        return covered[:-1] > 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = np.zeros(len(ids) + 1, np.int32)
-    np.add.at(inside, begin, 1)
-    np.add.at(inside, end + 1, -1)  # with the separator after each run
-    place = np.flatnonzero(np.cumsum(inside)[:-1])
-    index = FMIndex(ids[place], len(phrases.symbol) + 1)
-    low, high = index.search(phrases.windows, phrases.lengths)
-    window = np.repeat(np.arange(len(low)), np.maximum(0, high - low))
-    rows = np.arange(len(window)) + np.repeat(low - np.concatenate([[0], np.cumsum(np.maximum(0, high - low))[:-1]]), np.maximum(0, high - low))
-    at = place[index.locate(rows)]
-    np.add.at(covered, at, 1)
-    np.add.at(covered, at + phrases.lengths[window], -1)
-    doc = np.searchsorted(starts, at, side="right") - 1
-    seen = np.unique(doc * len(low) + window)
-    doc, window = seen // len(low), seen % len(low)
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each range, one range after another."""
+    return np.arange(int(count.sum())) + np.repeat(first - np.cumsum(count) + count, count)
+
+
+def find(shard: Shard, phrases: Phrases) -> tuple[dict[int, list[tuple[int, int]]], dict[int, list[int]]]:
+    """Of the documents that have windows: merged spans of their words, and the items, by places."""
+    if not len(phrases.lengths) or not len(shard.place):
+        return {}, {}
+    symbol = np.array([*(shard.place.get(w, 0) for w in phrases.words), 0], np.int64)  # 0 also pads
+    windows = symbol[phrases.windows]
+    known = np.flatnonzero(((windows > 0) | (phrases.windows < 0)).all(axis=1))
+    lengths = phrases.lengths[known]
+    low, high = shard.index.search(windows[known], lengths)
+    many = np.maximum(0, high - low)
+    at, window = shard.index.locate(_ranges(low, many)), np.repeat(np.arange(len(known)), many)
+    cover = np.zeros(shard.index.n + 1, np.int32)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + lengths[window], -1)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(cover)[:-1] > 0, [0]])))
+    spans: dict[int, list[tuple[int, int]]] = {}
+    owner = np.searchsorted(shard.starts, edges[::2], side="right") - 1
+    for d, a, z in zip(owner.tolist(), (edges[::2] - shard.starts[owner]).tolist(), (edges[1::2] - shard.starts[owner]).tolist(), strict=True):
+        spans.setdefault(d, []).append((a, z))
+    doc = np.searchsorted(shard.starts, at, side="right") - 1
+    pair = np.unique(doc * np.int64(len(phrases.lengths)) + known[window])
+    doc, window = pair // len(phrases.lengths), pair % len(phrases.lengths)
     count = phrases.first[window + 1] - phrases.first[window]
-    item = phrases.items[np.repeat(phrases.first[window] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))]
-    pair = np.unique(np.repeat(doc, count) * len(phrases.ids) + item)
-    return np.cumsum(covered)[:-1] > 0, pair // len(phrases.ids), pair % len(phrases.ids)
-
-
-class Found:
-    """What a shard's search found, by document."""
-
-    def __init__(self, docs: list[list[bytes]], blocks):
-        self.docs = docs
-        starts = np.concatenate([[0], np.cumsum([len(d) + 1 for d in docs])]).astype(np.int64)
-        hit = np.zeros(int(starts[-1]), bool)
-        self.items: list[list] = [[] for _ in docs]
-        for block in blocks:
-            phrases = block.value
-            covered, doc, item = find(docs, phrases)
-            hit |= covered
-            for d, i in zip(doc.tolist(), item.tolist(), strict=True):
-                self.items[d].append(phrases.ids[i])
-        self.n_hit = np.add.reduceat(hit, starts[:-1]) if len(docs) else np.zeros(0, np.int64)
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
-        self.spans: list[list[tuple[int, int]]] = [[] for _ in docs]
-        owner = np.searchsorted(starts, edges[::2], side="right") - 1
-        for d, a, z in zip(owner.tolist(), edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            self.spans[d].append((a - int(starts[d]), z - int(starts[d])))
-
-
-def _blocks(bench: DataFrame, window: int, item_col: str, text_col: str) -> list:
-    """Test items, broadcast in blocks of a bounded size; an item is in one block."""
+    pair = np.unique(np.repeat(doc, count) * len(phrases.ids) + phrases.items[_ranges(phrases.first[window], count)])
+    items: dict[int, list[int]] = {}
+    for d, i in zip((pair // len(phrases.ids)).tolist(), (pair % len(phrases.ids)).tolist(), strict=True):
+        items.setdefault(d, []).append(i)
+    return spans, items
+
+
+INDEX = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("counts", pa.binary()), ("levels", pa.binary()), ("zeros", pa.list_(pa.int32())), ("kept", pa.binary()), ("samples", pa.binary())])
+INDEX_SQL = "shard long, doc_ids array<long>, keys array<long>, sizes array<int>, words binary, counts binary, levels binary, zeros array<int>, kept binary, samples binary"
+SPANS_SQL = "array<struct<start:long,end:long>>"
+
+
+def index(docs: DataFrame, scratch: Scratch, name: str = "index", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A stored row for each shard of docs: its documents, and the FM-index of all their words.
+
+    Null and empty texts have no words but their place.  An empty table has no
+    shards.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, ids, keys, held, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+        for b in batches:
+            for one, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), strict=True):
+                ids.append(one)
+                keys.append(key)
+                held.append(words_of(text))
+                size += len(held[-1])
+                if size >= SHARD_WORDS:
+                    yield batch(INDEX, [number], [ids], [keys], *([x] for x in Shard.of(held).parts()))
+                    number, ids, keys, held, size = number + 1, [], [], [], 0
+        if ids:
+            yield batch(INDEX, [number], [ids], [keys], *([x] for x in Shard.of(held).parts()))
+
+    rows = documents(docs, id_col, text_col).select("doc_id", text_key(F.col("text")).alias("key"), "text")
+    return scratch.save_wide(rows.mapInArrow(run, INDEX_SQL), name, TEXT_ROWS, compression="uncompressed")
+
+
+def hits(shards: DataFrame, bench: DataFrame, scratch: Scratch, window: int = WINDOW, name: str = "hits", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(shard, place, spans, items) of the documents that have windows of test items; spans of several blocks may overlap.
+
+    An item is in one block.
+    """
     items = pick(bench, item=item_col, text=text_col).select(F.col("item").cast("long"), F.col("text").cast("string"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
-    own = F.pmod(F.xxhash64("item"), F.lit(n))
-    sc = bench.sparkSession.sparkContext
-    return [sc.broadcast(Phrases([(r.item, r.text) for r in (items.where(own == k) if n > 1 else items).collect()], window)) for k in range(n)]
-
-
-def _shards(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Rows and their words, so many at a time that a shard is full."""
-    held, docs, size = [], [], 0
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            b = whole.slice(at, 500)
-            new = [words_of(x) for x in texts(b.column(text_at))]
-            held.append(b)
-            docs += new
-            size += sum(map(len, new))
-            if size >= SHARD_WORDS:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], docs
-                held, docs, size = [], [], 0
-    if docs:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], docs
+    own, sc, out = F.pmod(F.xxhash64("item"), F.lit(n)), bench.sparkSession.sparkContext, None
+    schema = pa.schema([("shard", pa.int64()), ("place", pa.int32()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+    for k in range(n):
+        block = sc.broadcast(Phrases([(r.item, r.text) for r in (items.where(own == k) if n > 1 else items).collect()], window))
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    r = b.slice(i, 1).to_pylist()[0]
+                    phrases = block.value
+                    spans, found = find(Shard.stored(*(r[c] for c in ("sizes", "words", "counts", "levels", "zeros", "kept", "samples"))), phrases)
+                    yield batch(schema, [r["shard"]] * len(spans), list(spans), [[{"start": a, "end": z} for a, z in x] for x in spans.values()], [[str(phrases.ids[i]) for i in found[d]] for d in spans])
+
+        some = scratch.save_wide(shards.drop("doc_ids", "keys").mapInArrow(run, f"shard long, place int, spans {SPANS_SQL}, items array<string>"), f"{name}-{k}", SHARD_ROWS)
+        out = some if out is None else out.unionByName(some)
+        block.destroy()
+    return out
+
+
+def _merged(spans: Column) -> Column:
+    """Spans in order, those that meet made one."""
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when(F.size(acc) == 0, F.array(x)).when(x["start"] <= last["end"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS_SQL), step)
+
+
+def _found(shards: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, key, n_words, spans, items) of every document of the shards."""
+    places = shards.select("shard", F.posexplode(F.arrays_zip("doc_ids", "keys", "sizes")).alias("place", "x"))
+    places = places.select("shard", "place", F.col("x.doc_ids").alias("doc_id"), F.col("x.keys").alias("key"), F.col("x.sizes").cast("long").alias("n_words"))
+    each = found.groupBy("shard", "place").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    out = places.join(each.withColumn("spans", _merged(F.col("spans"))), ["shard", "place"], "left")
+    none = F.array()
+    return out.select("doc_id", "key", "n_words", F.coalesce("spans", none.cast(SPANS_SQL)).alias("spans"), F.array_sort(F.array_distinct(F.coalesce("items", none.cast("array<string>")))).alias("items"))
 
 
 def search(docs: DataFrame, bench: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -253,17 +356,11 @@ def search(docs: DataFrame, bench: DataFrame, window: int = WINDOW, id_col: str
     alone, so repeated rows and ties play no part.  Without documents there are
     no rows; without items nothing is hit.
     """
-    blocks = _blocks(bench, window, item_col, item_text_col)
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", span)])
-
-    def run(batches):
-        for rows, words in _shards(batches, 1):
-            found = Found(words, blocks)
-            names = [sorted(map(str, set(x))) for x in found.items]
-            yield batch(schema, rows.column(0), [len(x) for x in words], found.n_hit, [len(x) for x in names], [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], found.n_hit > 0, [[{"start": a, "end": z} for a, z in x] for x in found.spans])
-
-    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>")
+    scratch = Scratch(docs.sparkSession, "decontam")
+    shards = index(docs, scratch, "index", id_col, text_col)
+    rows = _found(shards, hits(shards, bench, scratch, window, "hits", item_col, item_text_col))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans")
 
 
 _SPELLED = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -279,44 +376,45 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, text_col: str = "text", chars_col: str = "n_chars", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs, all columns, without the removal spans; documents with no word left go.
 
     Where a removal brings the words of another window together, that goes as
-    well.  ``chars_col``, where it is there, follows the text.  Documents
-    without a hit stay as they are, null and empty texts among them.
+    well: what was changed is indexed and searched again until nothing is found.
+    ``chars_col``, where it is there, follows the text.  Documents without a hit
+    stay as they are, null and empty texts among them.  Repeated rows are each
+    cleaned alike.  An empty table, or one without texts, stays as it is.
     """
     names = docs.columns
     if text_col not in names:
         return docs
-    blocks, text_at = _blocks(bench, window, item_col, item_text_col), names.index(text_col)
-    chars_at = names.index(chars_col) if chars_col in names else -1
-
-    def run(batches):
-        for rows, words in _shards(batches, text_at):
-            found, new = Found(words, blocks), {}
-            todo = [(i, s) for i, s in enumerate(found.spans) if s]
-            old = rows.column(text_at)
-            while todo:
-                for i, spans in todo:
-                    new[i] = cut(new.get(i) or old[i].as_py().encode(), spans)
-                again = [i for i, _ in todo if new[i]]
-                spans = Found([words_of(new[i]) for i in again], blocks).spans if again else []
-                todo = [(i, s) for i, s in zip(again, spans, strict=True) if s]
-            if new:
-                changed = old.to_pylist()
-                for i, x in new.items():
-                    changed[i] = x.decode()
-                columns = rows.columns
-                columns[text_at] = pa.array(changed, old.type)
-                if chars_at >= 0:
-                    counts = rows.column(chars_at).to_pylist()
-                    for i in new:
-                        counts[i] = len(changed[i])
-                    columns[chars_at] = pa.array(counts, rows.column(chars_at).type)
-                rows = pa.RecordBatch.from_arrays(columns, schema=rows.schema)
-                rows = rows.filter(pa.array([i not in new or bool(words_of(new[i])) for i in range(rows.num_rows)]))
-            yield rows
-
+    scratch, spark = Scratch(docs.sparkSession, "clean"), docs.sparkSession
+    text_at, chars_at = names.index(text_col), names.index(chars_col) if chars_col in names else -1
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    return flat.mapInArrow(run, flat.schema).toDF(*names)
+    text = F.col(f"c{text_at}").cast("string")
+    own_id = F.col(f"c{names.index(id_col)}").cast("long") if id_col in names else F.lit(None).cast("long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            old, spans = b.column(text_at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+            new = [cut(x.encode(), [(s["start"], s["end"]) for s in y]).decode() for x, y in zip(old, spans, strict=True)]
+            columns = b.columns[:-1]
+            columns[text_at] = pa.array(new, columns[text_at].type)
+            if chars_at >= 0:
+                columns[chars_at] = pa.array(list(map(len, new))).cast(columns[chars_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1]).filter(pa.array([bool(words_of(x.encode())) for x in new], pa.bool_()))
+
+    todo, out, turn = flat, None, 0
+    while True:
+        shards = index(todo, scratch, f"index{turn}", f"c{names.index(id_col)}" if id_col in names else "none", f"c{text_at}")
+        found = hits(shards, bench, scratch, window, f"hits{turn}", item_col, item_text_col)
+        bad = _found(shards, found).where(F.size("spans") > 0).select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key"), "spans")
+        bad = scratch.save(bad.groupBy("bad_id", "bad_key").agg(F.first("spans").alias("spans")), f"bad{turn}")
+        scratch.drop(f"index{turn}")
+        mine = own_id.eqNullSafe(bad["bad_id"]) & (text_key(text) == bad["bad_key"])
+        kept = todo.join(bad, mine, "left_anti") if not bad.isEmpty() else todo
+        out = kept if out is None else out.unionByName(kept)
+        if kept is todo:
+            return out.toDF(*names)
+        changed = todo.join(bad, mine).select(*flat.columns, "spans").mapInArrow(run, flat.schema)
+        todo, turn = scratch.save_wide(changed, f"changed{turn}", TEXT_ROWS), turn + 1

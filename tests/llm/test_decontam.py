@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from tessera.llm import decontam as dc
 
-from .helpers import empty, messy, table
+from .helpers import empty, messy, rows_of, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -30,21 +32,36 @@ def brute(docs, items, window):
     return out
 
 
-class Block:
-    def __init__(self, value):
-        self.value = value
-
-
 def test_index_equals_brute_force():
     rng = random.Random(1)
     for trial in range(150):
         vocabulary, window = rng.choice([2, 4, 30]), rng.choice([2, 3, 10])
         docs = [" ".join(f"w{rng.randrange(vocabulary + 2)}" for _ in range(rng.choice([0, 1, 5, 40]))) for _ in range(rng.randrange(8))]
         items = [(i, " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(rng.choice([0, 1, 3, 12])))) for i in range(rng.randrange(6))]
-        found = dc.Found([dc.words_of(d.encode()) for d in docs], [Block(dc.Phrases(items, window))])
+        shard = dc.Shard.stored(*dc.Shard.of([dc.words_of(d.encode()) for d in docs]).parts())
+        spans, found = dc.find(shard, dc.Phrases(items, window))
         for k, (_, hit, ids) in enumerate(brute(docs, items, window)):
-            assert found.n_hit[k] == len(hit) and set(found.items[k]) == ids, trial
-            assert {p for a, z in found.spans[k] for p in range(a, z)} == hit
+            assert set(found.get(k, [])) == {sorted({i for i, _ in items}, key=str).index(i) for i in ids}, trial
+            assert {p for a, z in spans.get(k, []) for p in range(a, z)} == hit
+
+
+def test_suffixes_are_in_order():
+    rng = np.random.default_rng(4)
+    for n, symbols in ((1, 2), (7, 2), (200, 3), (3000, 4), (3000, 500)):
+        text = rng.integers(0, symbols, n)
+        text[-1] = 0
+        ends, at = np.flatnonzero(text == 0), 0
+        key = []
+        for i in range(n):
+            at = int(ends[np.searchsorted(ends, i)])
+            key.append(([(1, int(v)) for v in text[i:at]] + [(0, at)], i))
+        assert dc.suffix_array(text, symbols).tolist() == [i for _, i in sorted(key)]
+    copies = np.tile(rng.integers(1, 50, 2000), 4)  # long repeats
+    copies[1999::2000] = 0
+    sa = dc.suffix_array(copies, 50)
+    assert sorted(sa.tolist()) == list(range(8000))
+    index = dc.FMIndex.of(copies, 50)
+    assert index.locate(np.arange(8000)).tolist() == sa.tolist()
 
 
 def test_search_of_messy_tables(spark):
@@ -81,3 +98,13 @@ def test_clean_leaves_no_window(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got == {1: ("Some words, ! And more.", 23), 4: ("clean words here", 16), 5: (None, None), 6: ("", 0)}
     assert dc.search(out, bench).where("contaminated").count() == 0
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    from tessera.llm import queries
+
+    folder, names = "/root/testdata/sf0.001", ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    sql = queries.SQL["op2_decontamination"].replace("FROM documents", f"FROM '{folder}/documents.parquet'").replace("FROM benchmark", f"FROM '{folder}/benchmark.parquet'")
+    assert rows_of(queries.op2_decontamination(spark, folder), *names) == sorted(duckdb.sql(sql).fetchall(), key=repr)
