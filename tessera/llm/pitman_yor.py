@@ -45,9 +45,9 @@ EXACT = 256
 #: Metropolis steps of a sweep, and their lengths as parts of the spread.
 MOVES = (2.4, 0.5, 2.4, 6.0, 1.0, 2.4)
 #: Training words, about, whose pairs are one part of the restaurants, and of the words that one part of the parent seats.
-PART_PAIRS, PART_WORDS = 250_000, 3_000_000
+PART_PAIRS, PART_WORDS = 500_000, 6_000_000
 #: Parts that batches ask at once, so that questions are fewer while rows stay narrow.
-GROUP = 4
+GROUP = 2
 #: Weights of tables held at once.
 CELLS = 1 << 18
 #: Stand for the end of a text and for its beginning.
@@ -129,18 +129,16 @@ def log_stirling_of(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
 def tables(rng: np.random.Generator, counts: np.ndarray, log_x: np.ndarray, now: np.ndarray, discount: float, stirling: np.ndarray) -> np.ndarray:
     """Tables of each dish, drawn with weight S(count, t) e^(t log_x); of large counts, Metropolis steps from ``now`` (0: from the mode)."""
     out = np.minimum(counts, 1).astype(np.int64)
-    if not len(counts):
-        return out
-    order = np.argsort(counts, kind="stable")
-    sizes, first = np.unique(counts[order], return_index=True)
-    most = len(stirling) - 1
-    for c, a, z in zip(sizes.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
-        if 2 <= c <= most:
-            for at in range(a, z, max(1, CELLS // c)):
-                rows = order[at : min(z, at + max(1, CELLS // c))]
-                weight = log_x[rows, None] * np.arange(1, c + 1) + stirling[c, 1 : c + 1]
-                weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-                out[rows] = 1 + (weight < rng.random((len(rows), 1)) * weight[:, -1:]).sum(axis=1)
+    most, low = len(stirling) - 1, 2
+    while low <= most:  # counts that share the width of a table of weights
+        high = min(most, low if low <= 4 else 2 * low - 1)
+        of, t = np.flatnonzero((counts >= low) & (counts <= high)), np.arange(1, high + 1)
+        for at in range(0, len(of), max(1, CELLS // high)):
+            rows = of[at : at + max(1, CELLS // high)]
+            weight = log_x[rows, None] * t + stirling[counts[rows], 1 : high + 1]
+            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            out[rows] = 1 + (weight < rng.random((len(rows), 1)) * weight[:, -1:]).sum(axis=1)
+        low = high + 1
     rows = np.flatnonzero(counts > most)
     if len(rows):
         out[rows] = _metropolis(rng, counts[rows].astype(float), log_x[rows], now[rows], discount)
@@ -261,47 +259,51 @@ def _by_word_part(numbers: np.ndarray, word_parts: int) -> tuple[np.ndarray, np.
 
 
 class _Restaurants:
-    """The contexts of one part: pairs in order, each with its word as a place in ``words``."""
+    """The contexts of one part: pairs in order, each with its word as a place in ``words``.
+
+    Pairs of one customer have one table in any case, so only the others,
+    ``busy``, and their words take part in sweeps.
+    """
 
     def __init__(self, columns: list[bytes], word_parts: int):
         self.contexts, sizes, self.customers, self.spread, self.words, self.word, self.count = (tb.unpack(c) for c in columns)
+        self.contexts, self.words, self.word_parts = self.contexts.astype(np.uint64), self.words.astype(np.uint64), word_parts
         self.of = np.repeat(np.arange(len(sizes)), sizes)
         self.busy = np.flatnonzero(self.count > 1)
-        self.hot = np.flatnonzero(self.spread > 1)
-        self.word_parts = word_parts
-        # words are in the order of _by_word_part already
-        self.parts, first = np.unique(self.words % np.uint64(word_parts), return_index=True)
-        self.first = np.append(first, len(self.words))
-        self.hot_order, self.hot_parts, self.hot_first = _by_word_part(self.contexts[self.hot], word_parts)
-
-    def hot_of(self, part: int) -> np.ndarray:
-        """Places of the spread contexts whose totals this part of the words keeps."""
-        i = int(np.searchsorted(self.hot_parts, part))
-        on = i < len(self.hot_parts) and self.hot_parts[i] == part
-        return self.hot[self.hot_order[self.hot_first[i] : self.hot_first[i + 1]]] if on else np.zeros(0, np.int64)
-
-    def ask(self, part: int, t: np.ndarray) -> Iterator[tuple[int, int, list[bytes], None]]:
-        """To each part of the words: ranks and tables of the words, and those of the spread contexts."""
-        by_word = np.bincount(self.word, t, len(self.words)).astype(np.int64)
-        by_context = np.bincount(self.of, t, len(self.contexts)).astype(np.int64)
-        rank = (self.words // np.uint64(self.word_parts)).astype(np.uint32)
-        own = {int(p): slice(a, z) for p, a, z in zip(self.parts, self.first, self.first[1:], strict=False)}
-        for p in sorted({*own, *self.hot_parts.tolist()}):
-            some, hot = own.get(p, slice(0, 0)), self.hot_of(p)
-            hot_rank = (self.contexts[hot] // np.uint64(self.word_parts)).astype(np.uint32)
-            yield p, part, [tb.pack(x) for x in (rank[some], by_word[some], hot_rank, by_context[hot])], None
-
-    def told(self, replies: list[dict], t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Left mass and drawn mass of each word in the parent, and tables of each context."""
-        left, drawn = np.zeros(len(self.words)), np.zeros(len(self.words))
-        everywhere = np.bincount(self.of, t, len(self.contexts)).astype(np.int64)
-        at = {int(p): slice(a, z) for p, a, z in zip(self.parts, self.first, self.first[1:], strict=False)}
-        for r in replies:
-            a, b, hot = (tb.unpack(c) for c in r["columns"])
-            if r["batch"] in at:
-                left[at[r["batch"]]], drawn[at[r["batch"]]] = a, b
-            everywhere[self.hot_of(r["batch"])] = hot
-        return left, drawn, everywhere
+        self.busy_words, self.busy_word = np.unique(self.word[self.busy], return_inverse=True)
+        hot = np.flatnonzero(self.spread > 1)
+        order, _, _ = _by_word_part(self.contexts[hot], word_parts)
+        self.hot = hot[order]
+
+    def _parts(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the numbers of each part of the words begin; they are in the order of _by_word_part."""
+        return np.searchsorted(numbers % np.uint64(self.word_parts), np.arange(self.word_parts + 1)), (numbers // np.uint64(self.word_parts)).astype(np.uint32)
+
+    def everywhere(self, t: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """Tables of each context, given tables of the busy pairs and, of spread contexts, those of all parts."""
+        out = np.bincount(self.of, np.minimum(self.count, 1), len(self.contexts)).astype(np.int64)
+        out += np.bincount(self.of[self.busy], t - 1, len(self.contexts)).astype(np.int64)
+        if len(hot):
+            out[self.hot] = hot
+        return out
+
+    def ask(self, part: int, t: np.ndarray, first: bool, last: bool) -> Iterator[tuple[int, int, list[bytes], None]]:
+        """To each part of the words: ranks of busy words and their tables, and those of spread contexts; at first and last all ranks."""
+        sums = np.bincount(self.busy_word, t, len(self.busy_words)).astype(np.int64)
+        own = self.everywhere(t, np.zeros(0, np.int64))[self.hot]
+        base = np.bincount(self.word, (self.count == 1).astype(float), len(self.words)).astype(np.int64)
+        (at, rank), (hot_at, hot_rank), (all_at, all_rank) = (self._parts(x) for x in (self.words[self.busy_words], self.contexts[self.hot], self.words))
+        for p in range(self.word_parts):
+            some, hot, every = (slice(x[p], x[p + 1]) for x in (at, hot_at, all_at))
+            if every.stop > every.start or hot.stop > hot.start:
+                columns = [rank[some], sums[some], hot_rank[hot], own[hot], *([all_rank[every]] if first or last else []), *([base[every]] if first else [])]
+                yield p, part, [tb.pack(x) for x in columns], None
+
+
+def _told(replies: list[dict] | None) -> list[np.ndarray]:
+    """Columns that the parts of the words replied, in the order of the words."""
+    rows = sorted(replies or [], key=lambda r: r["batch"])
+    return [np.concatenate([tb.unpack(r["columns"][k]) for r in rows]) for k in range(len(rows[0]["columns"]))] if rows else []
 
 
 def _open(word_parts: int):
@@ -312,28 +314,32 @@ def _open(word_parts: int):
         asked = [[tb.unpack(c) for c in r["columns"]] for r in rows]
         group, batches, found = rows[0]["part"], [r["batch"] for r in rows], []
         del rows
+        hot = np.unique(np.stack([np.concatenate([c[k].astype(np.int64) for c in asked]) for k in (2, 3)]), axis=1)
         for k in range(GROUP):
-            found += one_part(group * GROUP + k, batches, [list(_of_part(c, k)) for c in asked])
+            found += one_part(group * GROUP + k, batches, [list(_of_part(c, k)) for c in asked], hot)
         return pa.Table.from_batches([_rows(found)])
 
-    def one_part(part: int, batches: list[int], asked: list[list[np.ndarray]]) -> Iterator[tuple]:
-        # columns: contexts, pairs of each, customers of each, parts of each; word of each pair, training count
-        pair = np.concatenate([np.repeat(c[0], c[1]) << np.uint64(32) | c[4] for c in asked])
+    def one_part(part: int, batches: list[int], asked: list[list[np.ndarray]], hot: np.ndarray) -> Iterator[tuple]:
+        # columns: contexts, pairs of each, parts of each; word of each pair, training count
+        pair = np.concatenate([np.repeat(c[0], c[1]) << np.uint64(32) | c[3] for c in asked])
         if not len(pair):
             return
         pair, inverse = np.unique(pair, return_inverse=True)
         count, at = np.zeros(len(pair), np.int64), 0
         for one, c in zip(batches, asked, strict=True):
-            own = inverse[at : at + len(c[4])]
-            count[own] += c[5]  # a batch asks about a pair once
+            own = inverse[at : at + len(c[3])]
+            count[own] += c[4]  # a batch asks about a pair once
             if len(own):
                 yield part, one, [tb.pack(own.astype(np.int32))], None
             at += len(own)
-        contexts, sizes = np.unique(pair >> np.uint64(32), return_counts=True)
-        customers, spread = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int32)
+        contexts, first, sizes = np.unique(pair >> np.uint64(32), return_index=True, return_counts=True)
+        customers, spread = np.add.reduceat(count, first), np.ones(len(contexts), np.int32)
         for c in asked:
-            where = np.searchsorted(contexts, c[0])
-            customers[where], spread[where] = c[2], c[3]
+            spread[np.searchsorted(contexts, c[0])] = c[2]
+        if hot.shape[1]:  # of a spread context, the customers of all parts
+            place = np.minimum(np.searchsorted(contexts, hot[0].astype(np.uint64)), len(contexts) - 1)
+            here = contexts[place] == hot[0].astype(np.uint64)
+            customers[place[here]] = hot[1][here]
         words, word = np.unique(pair & np.uint64(0xFFFFFFFF), return_inverse=True)
         order, _, _ = _by_word_part(words, word_parts)
         place = np.empty(len(words), np.int32)
@@ -345,29 +351,20 @@ def _open(word_parts: int):
 
 
 def _of_part(columns: list[np.ndarray], k: int) -> Iterator[np.ndarray]:
-    """The columns of the k-th part of a group; the first two say how many contexts and pairs each part has."""
+    """The columns of the k-th part of a group; the first two say how many contexts and pairs each part has, the next two are of the group."""
     heads, pairs = (np.concatenate([[0], np.cumsum(c)]) for c in columns[:2])
-    for c in columns[2:6]:
+    for c in columns[4:7]:
         yield c[heads[k] : heads[k + 1]]
-    for c in columns[6:]:
+    for c in columns[7:]:
         yield c[pairs[k] : pairs[k + 1]]
 
 
-def _unpacked(row: dict, word_parts: int) -> tuple[_Restaurants, np.ndarray]:
-    """A part's restaurants, and their tables: those of pairs with several customers are stored, others have one a customer."""
-    own = _Restaurants(row["columns"], word_parts)
-    own.contexts, own.words = own.contexts.astype(np.uint64), own.words.astype(np.uint64)
-    t = np.minimum(own.count, 1)
-    if row["state"]:
-        t[own.busy] = tb.unpack(row["state"][0])
-    return own, t
+def _sweep(sweep: int, seed: int, word_parts: int, known: int, roots: list[dict]):
+    """One sweep over a part's restaurants, given what the parent drew after the one before.
 
-
-def _sweep(sweep: int, seed: int, word_parts: int, known: int, root: dict | None):
-    """One sweep over a part's restaurants given what the parent told; averaged probabilities grow by those before it.
-
-    Sweep 0 seats each dish at one table; the sweep after the last one only adds
-    probabilities, and answers the batches.
+    Sweep 0 seats each dish at one table.  The state has the tables of the busy
+    pairs and, of each sweep that is averaged, these and the totals of spread
+    contexts.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,63 +372,98 @@ def _sweep(sweep: int, seed: int, word_parts: int, known: int, root: dict | None
         for some in rows:
             for i in range(some.num_rows):
                 row = some.slice(i, 1).to_pylist()[0]
-                part = row["part"]
-                own, t = _unpacked(row, word_parts)
-                total = tb.unpack(row["state"][1]) if row["state"] else np.zeros(0, np.float32)
-                if root:
-                    left, drawn, everywhere = own.told(row["replies"] or [], t)
+                part, own, kept = row["part"], _Restaurants(row["columns"], word_parts), []
+                t = np.ones(len(own.busy), np.int64)
+                if sweep:
+                    t, *kept = (tb.unpack(c) for c in row["state"])
+                    drawn, hot = _told(row["replies"])
                     if sweep > BURN_IN + 1:
-                        parent = (left + (ROOT_STRENGTH + ROOT_DISCOUNT * root["tables"]) / (known + 1.0)) / (ROOT_STRENGTH + root["customers"])
-                        p = own.count - DISCOUNT * t + (STRENGTH + DISCOUNT * everywhere)[own.of] * parent[own.word]
-                        p /= (STRENGTH + own.customers)[own.of]
-                        total = (total + p if len(total) else p).astype(np.float32)
-                    if sweep <= BURN_IN + SWEEPS:
-                        rng = np.random.default_rng([seed, sweep, part])
-                        u = rng.gamma(STRENGTH / DISCOUNT + everywhere)
-                        for k in own.hot.tolist():  # all parts of a context draw the same
-                            u[k] = np.random.default_rng([seed, sweep, 1 << 32, int(own.contexts[k])]).gamma(STRENGTH / DISCOUNT + everywhere[k])
-                        drawn = (drawn + root["rest"] / (known + 1.0)) / (root["drawn"] + root["rest"])
-                        log_x = np.log(DISCOUNT * u[own.of[own.busy]]) + np.log(drawn[own.word[own.busy]])
-                        t[own.busy] = tables(rng, own.count[own.busy], log_x, t[own.busy] if sweep > 1 else np.zeros(len(own.busy)), DISCOUNT, stirling)
-                if sweep <= BURN_IN + SWEEPS:
-                    yield _rows([(part, -1, [tb.pack(t[own.busy]), tb.pack(total)], None)])
-                    for word_part, _, columns, stats in own.ask(part, t):
-                        yield _rows([(word_part, part, columns, stats)])
-                else:
-                    total /= np.float32(SWEEPS)
-                    for asked in row["asked"]:
-                        yield _rows([(part, asked["batch"], [tb.pack(total[tb.unpack(asked["columns"][0])])], None)])
+                        kept += [t, hot]
+                    everywhere, root = own.everywhere(t, hot), roots[-1]
+                    rng = np.random.default_rng([seed, sweep, part])
+                    u = rng.gamma(STRENGTH / DISCOUNT + everywhere)
+                    for k in own.hot.tolist():  # all parts of a context draw the same
+                        u[k] = np.random.default_rng([seed, sweep, 1 << 32, int(own.contexts[k])]).gamma(STRENGTH / DISCOUNT + everywhere[k])
+                    drawn = np.log((drawn + root["rest"] / (known + 1.0)) / (root["drawn"] + root["rest"]))
+                    log_x = np.log(DISCOUNT * u)[own.of[own.busy]] + drawn[own.busy_word]
+                    t = tables(rng, own.count[own.busy], log_x, t if sweep > 1 else np.zeros(len(t)), DISCOUNT, stirling)
+                yield _rows([(part, -1, [tb.pack(x) for x in (t, *kept)], None), *own.ask(part, t, sweep == 0, sweep == BURN_IN + SWEEPS)])
+
+    return run
+
+
+def _predict(word_parts: int, known: int, roots: list[dict]):
+    """Probabilities of a part's pairs, averaged over the sweeps after the first, for each batch that asked."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in rows:
+            for i in range(some.num_rows):
+                row = some.slice(i, 1).to_pylist()[0]
+                own, (t, *kept) = _Restaurants(row["columns"], word_parts), [tb.unpack(c) for c in row["state"]]
+                hot, *told = _told(row["replies"])
+                kept += [t, hot]
+                total = np.zeros(len(own.word))
+                for k in range(SWEEPS):
+                    customers, seated, root = told[2 * k], told[2 * k + 1], roots[BURN_IN + 1 + k]
+                    parent = (customers - ROOT_DISCOUNT * seated + (ROOT_STRENGTH + ROOT_DISCOUNT * root["tables"]) / (known + 1.0)) / (ROOT_STRENGTH + root["customers"])
+                    of_pair = np.minimum(own.count, 1)
+                    of_pair[own.busy] = kept[2 * k]
+                    open_ = STRENGTH + DISCOUNT * own.everywhere(kept[2 * k], kept[2 * k + 1])
+                    total += own.count - DISCOUNT * of_pair + open_[own.of] * parent[own.word]
+                total = (total / (SWEEPS * (STRENGTH + own.customers[own.of]))).astype(np.float32)
+                for asked in row["asked"]:
+                    yield _rows([(row["part"], asked["batch"], [tb.pack(total[tb.unpack(asked["columns"][0])])], None)])
 
     return run
 
 
 def _seat_root(sweep: int, seed: int, known: int, u: float):
-    """For one part of the words: seats the customers that the restaurants sent, and tells each of them what is left and drawn.
+    """For one part of the words: seats the customers that the restaurants sent, and tells each of them what is drawn.
 
-    Rows from part -1 are its own tables of the sweep before.
+    After the last sweep it tells the customers and tables of all words instead,
+    for each sweep that is averaged.  Its own state is the row of part -1:
+    ranks, customers from pairs of one, tables, and those of averaged sweeps.
     """
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
-        word_part, before = rows[0]["part"], [r for r in rows if r["batch"] < 0]
-        sent = [(r["batch"], [tb.unpack(c) for c in r["columns"]]) for r in rows if r["batch"] >= 0]
-        ranks, inverse = np.unique(np.concatenate([c[0] for _, c in sent]), return_inverse=True)
-        customers = np.zeros(len(ranks), np.int64)
-        np.add.at(customers, inverse, np.concatenate([c[1] for _, c in sent]))
-        hot, hot_inverse = np.unique(np.concatenate([c[2] for _, c in sent]), return_inverse=True)
+        word_part = rows[0]["part"]
+        before = [tb.unpack(c) for r in rows if r["batch"] < 0 for c in r["columns"]]
+        parts = [r["batch"] for r in rows if r["batch"] >= 0]
+        sent = [[tb.unpack(c) for c in r["columns"]] for r in rows if r["batch"] >= 0]
+        del rows
+        if before:
+            ranks, base, now, *kept = before
+        else:
+            ranks, inverse = np.unique(np.concatenate([c[4] for c in sent]), return_inverse=True)
+            base, kept = np.zeros(len(ranks), np.int64), []
+            np.add.at(base, inverse, np.concatenate([c[5] for c in sent]))
+            now = np.zeros(len(ranks), np.int64)
+        customers = base.copy()
+        place = [np.searchsorted(ranks, c[0]) for c in sent]
+        for own, c in zip(place, sent, strict=True):
+            customers[own] += c[1]  # a part has a word once
+        hot, hot_inverse = np.unique(np.concatenate([c[2] for c in sent]), return_inverse=True)
         everywhere = np.zeros(len(hot), np.int64)
-        np.add.at(everywhere, hot_inverse, np.concatenate([c[3] for _, c in sent]))
-        now = tb.unpack(before[0]["columns"][0]) if before else np.zeros(len(ranks), np.int64)
+        np.add.at(everywhere, hot_inverse, np.concatenate([c[3] for c in sent]))
         rng = np.random.default_rng([seed, sweep, 1 << 33, word_part])
         log_x = np.full(len(ranks), math.log(ROOT_DISCOUNT * u / (known + 1.0)))
         t = tables(rng, customers, log_x, np.minimum(now, customers), ROOT_DISCOUNT, log_stirling(ROOT_DISCOUNT, EXACT))
         left = customers - ROOT_DISCOUNT * t
         drawn = np.where(left > 0, rng.gamma(np.maximum(left, 1e-9)), 0.0)
-        found, at, hot_at = [(word_part, -1, [tb.pack(t)], [float(customers.sum()), float(t.sum()), float(drawn.sum())])], 0, 0
-        for part, c in sent:
-            own, more = inverse[at : at + len(c[0])], hot_inverse[hot_at : hot_at + len(c[2])]
-            found.append((part, word_part, [tb.pack(left[own].astype(np.float32)), tb.pack(drawn[own].astype(np.float32)), tb.pack(everywhere[more])], None))
-            at, hot_at = at + len(own), hot_at + len(more)
+        if sweep > BURN_IN:
+            kept += [customers, t]
+        found = [(word_part, -1, [tb.pack(x) for x in (ranks, base, t, *kept)], [float(customers.sum()), float(t.sum()), float(drawn.sum())])]
+        hot_at = 0
+        for part, own, c in zip(parts, place, sent, strict=True):
+            more = everywhere[hot_inverse[hot_at : hot_at + len(c[2])]]
+            hot_at += len(c[2])
+            if sweep < BURN_IN + SWEEPS:
+                columns = [drawn[own].astype(np.float32), more]
+            else:
+                every = np.searchsorted(ranks, c[4])
+                columns = [more, *[x[every] for x in kept]]
+            found.append((part, word_part, [tb.pack(x) for x in columns], None))
         return pa.Table.from_batches([_rows(found)])
 
     return run
@@ -481,41 +513,36 @@ def score(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str
             a, z = (x[[g * GROUP, (g + 1) * GROUP]] for x in (pair_at, head_at))
             heads, pairs_ = head[z[0] : z[1]], slice(a[0], a[1])
             shares = [np.diff(x[g * GROUP : (g + 1) * GROUP + 1]).astype(np.int32) for x in (head_at, pair_at)]
-            yield g, t.b.number, [tb.pack(x) for x in (*shares, number[context[heads]], size[z[0] : z[1]], customers[context[heads]], spread[heads].astype(np.int32), number[token[pairs_]], count[pairs_].astype(np.int32))]
+            wide = context[heads[spread[heads] > 1]]
+            yield g, t.b.number, [tb.pack(x) for x in (*shares, number[wide], customers[wide], number[context[heads]], size[z[0] : z[1]], spread[heads].astype(np.int32), number[token[pairs_]], count[pairs_].astype(np.int32))]
 
     opened = tb.ask(rows, pairs).groupBy("part").applyInArrow(_open(word_parts), ROWS_SQL)
     static = scratch.bucketed(opened, "restaurants", "part")
     restaurants = static.where("batch = -1").select("part", "columns")
-    state, replies, root, root_tables = None, None, None, float(known)
+    state, replies, roots, root_tables = None, None, [], float(known)
     rng = np.random.default_rng([seed, 1 << 34])
-    for sweep in range(BURN_IN + SWEEPS + 2):
-        last = sweep > BURN_IN + SWEEPS
-        own = restaurants.withColumn("state", F.lit(None).cast("array<binary>")) if state is None else restaurants.join(state.where("batch = -1").select("part", F.col("columns").alias("state")), "part")
-        if replies is None:
-            own = own.withColumn("replies", F.lit(None).cast("array<struct<batch:long,columns:array<binary>>>"))
-        else:
-            told = replies.where("batch >= 0").groupBy("part").agg(F.collect_list(F.struct("batch", "columns")).alias("replies"))
-            own = own.join(told, "part", "left")
-        if last:
-            own = own.join(static.where("batch >= 0").groupBy("part").agg(F.collect_list(F.struct("batch", "columns")).alias("asked")), "part")
-        swept = own.mapInArrow(_sweep(sweep, seed, word_parts, known, root), ROWS_SQL)
-        if last:
-            predicted = scratch.save_wide(swept.select("part", "batch", "columns"), "predicted")
-            break
-        new = scratch.bucketed(swept, f"swept{sweep}", "part")
-        u = rng.gamma(ROOT_STRENGTH / ROOT_DISCOUNT + root_tables)
+
+    def with_replies() -> DataFrame:
+        own = restaurants.join(state.where("batch = -1").select("part", F.col("columns").alias("state")), "part")
+        told = replies.where("batch >= 0").groupBy("part").agg(F.collect_list(F.struct("batch", "columns")).alias("replies"))
+        return own.join(told, "part", "left")
+
+    for sweep in range(BURN_IN + SWEEPS + 1):
+        new = scratch.bucketed((with_replies() if sweep else restaurants).mapInArrow(_sweep(sweep, seed, word_parts, known, roots[-1:]), ROWS_SQL), f"swept{sweep}", "part")
         to_root = new.where("batch >= 0")
-        if replies is not None:
-            to_root = to_root.unionByName(replies.where("batch = -1").withColumn("stats", F.lit(None).cast("array<double>")))
+        if sweep:
+            to_root = to_root.unionByName(replies.where("batch = -1"))
+        u = rng.gamma(ROOT_STRENGTH / ROOT_DISCOUNT + root_tables)
         told = scratch.save_wide(to_root.groupBy("part").applyInArrow(_seat_root(sweep, seed, known, u), ROWS_SQL), f"root{sweep}")
         sums = told.where("batch = -1").agg(*[F.sum(F.col("stats")[k]) for k in range(3)]).first()
         customers, root_tables, drawn = (float(x or 0.0) for x in sums)
-        root = {"customers": customers, "tables": root_tables, "drawn": drawn, "rest": rng.gamma(ROOT_STRENGTH + ROOT_DISCOUNT * root_tables)}
+        roots.append({"customers": customers, "tables": root_tables, "drawn": drawn, "rest": rng.gamma(ROOT_STRENGTH + ROOT_DISCOUNT * root_tables)})
         if sweep:
             scratch.drop(f"swept{sweep - 1}")
             scratch.drop(f"root{sweep - 1}")
         state, replies = new, told
-
+    asked = static.where("batch >= 0").groupBy("part").agg(F.collect_list(F.struct("batch", "columns")).alias("asked"))
+    predicted = scratch.save_wide(with_replies().join(asked, "part").mapInArrow(_predict(word_parts, known, roots), ROWS_SQL).select("part", "batch", "columns"), "predicted")
     rows = tb.joined(tb.joined(batches, seen, "seen"), predicted, "predicted")
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 

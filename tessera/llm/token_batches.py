@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, batch, documents, texts
 
 #: Words after which a batch is closed; a longer document is a batch of its own.
-BATCH_WORDS = 200_000
+BATCH_WORDS = 300_000
 
 #: Rows of texts that go to a worker at once.
 TEXT_ROWS = 1000
