@@ -14,12 +14,38 @@ from pyspark.sql import functions as F
 from .common import documents
 
 SPACE = r"\x20\x09-\x0D"
+BLANKS = " \t\n\x0b\f\r"
 #: What a line of boilerplate says, in lower case.
-BOILERPLATE = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "accept cookies", "enable javascript", "javascript is disabled", "click here", "sign up for our newsletter", "lorem ipsum")
+BOILERPLATE = (
+    "all rights reserved",
+    "privacy policy",
+    "terms of use",
+    "terms of service",
+    "cookie policy",
+    "accept cookies",
+    "enable javascript",
+    "javascript is disabled",
+    "click here",
+    "sign up for our newsletter",
+    "lorem ipsum",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "cookies akzeptieren",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "accepter les cookies",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "aceptar cookies",
+)
 #: Symbols that words of prose don't hold; a line fails with more than one for every four words.
 SYMBOLS = "#*$%&|<>"
-#: A line fails if it has this many columns, set apart by a bar, or more.
-MOST_BARS = 3
+#: Marks that set apart the entries of a menu; a line with this many fails.
+BARS, MOST_BARS = "|»›·•", 3
+#: A line with so many links, or with one and so few words, fails.
+LINK, MOST_LINKS, LINK_WORDS = "://", 2, 3
+#: Marks that end a sentence or what is quoted; a line of so many words has to end with one.
+ENDS, FULL_LINE = ".!?…:;,\"'”’»)]", 20
 #: A line with so many exclamation marks, and one for every two words, fails.
 SHOUTS = 4
 #: A line of so many characters has to have a mark that ends or divides a sentence.
@@ -44,6 +70,10 @@ def count_of(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(without(text, chars))
 
 
+def count_of_text(text: Column, part: str) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / F.lit(len(part))
+
+
 def split_words(text: Column) -> Column:
     """Words between white space."""
     for c in "\t\n\x0b\f\r":
@@ -58,11 +88,14 @@ def line_fails(line: Column, doc: Column) -> Column:
     what it looks for.
     """
     words = count_of(line, " ") + 1
-    symbols = doc["has_symbols"] & ((count_of(line, SYMBOLS) * 4 > words) | (count_of(line, "|") >= MOST_BARS))
+    symbols = doc["has_symbols"] & (count_of(line, SYMBOLS) * 4 > words)
+    menu = doc["has_bars"] & (count_of(line, BARS) >= MOST_BARS)
+    links = doc["has_links"] & let(count_of_text(line, LINK), lambda n: (n >= MOST_LINKS) | ((n >= 1) & (words <= LINK_WORDS)))
+    unfinished = (words >= FULL_LINE) & ~F.right(F.rtrim(line, F.lit(BLANKS)), F.lit(1)).isin(*ENDS)
     shouts = doc["has_shouts"] & let(count_of(line, "!"), lambda n: (n >= SHOUTS) & (n * 2 >= words))
     endless = (F.length(line) >= LONG_LINE) & ~line.rlike("[.,;:!?…]")
     boilerplate = doc["has_phrase"] & has_phrase(line)
-    return symbols | shouts | endless | boilerplate
+    return symbols | menu | links | shouts | unfinished | endless | boilerplate
 
 
 def has_phrase(text: Column) -> Column:
@@ -108,7 +141,7 @@ def _verdict(text: Column, width: int) -> Column:
             F.when(F.size(failing) > 0, F.array_join(left, "\n")).alias("changed_text"),
         )
 
-    doc = lambda n: F.struct(n.alias("n_symbols"), (n > 0).alias("has_symbols"), F.contains(text, F.lit("!")).alias("has_shouts"), has_phrase(text).alias("has_phrase"))
+    doc = lambda n: F.struct(n.alias("n_symbols"), (n > 0).alias("has_symbols"), F.contains(text, F.lit("!")).alias("has_shouts"), (count_of(text, BARS) >= MOST_BARS).alias("has_bars"), F.contains(text, F.lit(LINK)).alias("has_links"), has_phrase(text).alias("has_phrase"))
     known = lambda words, d, lines: let(F.filter(lines, full), lambda f: let(F.filter(f, lambda x: line_fails(x, d)), lambda failing: result(words, lines, d, f, failing)))
     return let(split_words(text), lambda words: let(let(count_of(text, SYMBOLS), doc), lambda d: let(F.split(text, "\n"), lambda lines: known(words, d, lines))))
 

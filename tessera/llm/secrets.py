@@ -18,14 +18,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_upper", "entropy_lower", "entropy_base64")
 
 #: A candidate is a run of these characters of at least WINDOW.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Character classes: pattern, and the bits a character from which a window counts.
-CLASSES = {"entropy_hex": (re.compile(r"[0-9A-Fa-f]{20,}"), 3.0), "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.9)}
-#: What looks random and is no secret: numbers, words without a digit, UUIDs, paths of words, counting and placeholders.
+CLASSES = {
+    "entropy_hex": (re.compile(r"[0-9A-Fa-f]{20,}"), 3.0),
+    "entropy_upper": (re.compile(r"[0-9A-Z]{20,}"), 3.5),
+    "entropy_lower": (re.compile(r"[0-9a-z]{20,}"), 3.5),
+    "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.8),
+}
+#: What looks random and is no secret: numbers, words without a digit (random letters alone are passed over with them), UUIDs, paths of words, counting and placeholders.
 ALLOWED = (
     re.compile(r"[0-9+/_=-]*"),
     re.compile(r"[A-Za-z+/_=-]*"),
@@ -91,12 +96,14 @@ def entropy_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def scan_text(text: str) -> tuple[list, list]:
-    """Base spans, and all spans; a span of high entropy inside another one adds nothing."""
-    base = base_spans(text)
-    out = list(base)
-    for x in entropy_spans(text):
-        if not any(s <= x[0] and x[1] <= e for s, e, _ in out):
+    """Base spans, and all spans; a span of high entropy inside a base span, or inside a longer or earlier one of its kind, adds nothing."""
+    base, out, end = base_spans(text), [], 0
+    order = lambda x: (x[0], -x[1], KINDS.index(x[2]))
+    for x in sorted([*base, *entropy_spans(text)], key=order):  # an end so far tells of all spans that start before
+        known = x[2] in LEAST
+        if known or x[1] > end:
             out.append(x)
+        end = max(end, x[1])
     return base, sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -107,7 +114,8 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, n_assign, n_access, n_hex long, base_sha256 string, spans string.
 
-    Positions are code points, ends exclusive.  A null or empty text has no
+    The counts and base_sha256 are of the known shapes; spans has those of high
+    entropy as well.  Positions are code points, ends exclusive.  A null or empty text has no
     spans.  Rows are scanned alone, so repeated rows and ties play no part; an
     empty table gives no rows.
     """

@@ -37,16 +37,36 @@ def matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Hypergeometric; beyond 10^9 rows a side, the generator's limit, the normal of the same moments, rounded. Sums are exact in any case."""
+    """Hypergeometric: how many of n are good that are drawn from so many without replacement.
+
+    NumPy draws for up to 10^9 a side.  Beyond, everything is drawn with
+    probability n / (good + bad) first, two binomials; then as many as are too
+    many or missing, about the root of n, are picked one by one.
+    """
     if n == 0 or good == 0:
         return 0
     if bad == 0:
         return n
     if max(good, bad) < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, n))
-    mean, total = n * good / (good + bad), good + bad
-    sd = np.sqrt(mean * (bad / total) * ((total - n) / max(1, total - 1)))
-    return int(min(good, n, max(0, n - bad, round(rng.normal(mean, sd)))))
+    p = n / (good + bad)
+    x, y = int(rng.binomial(good, p)), int(rng.binomial(bad, p))
+    if x + y >= n:  # of those drawn, some go back
+        return x - _picked(rng, x, y, x + y - n)
+    return x + _picked(rng, good - x, bad - y, n - x - y)
+
+
+def _picked(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """The same for few n, by places drawn one after another, none twice."""
+    if n == 0:
+        return 0
+    seen, found = set(), 0
+    while len(seen) < n:
+        for place in rng.integers(0, good + bad, n - len(seen)).tolist():
+            if place not in seen:
+                seen.add(place)
+                found += place < good
+    return found
 
 
 def assign(df: DataFrame, shards: int = 24, seed: int = 17, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -63,32 +83,42 @@ def assign(df: DataFrame, shards: int = 24, seed: int = 17, block_rows: int = BL
     carried = [f"c{i}" for i in range(len(names))]
     flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
     flat = flat.select(*[flat[f"_{df.columns.index(c)}"].alias(n) for c, n in zip(names, carried, strict=True)])
-    rows = scratch.save(flat.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.shiftright("row", 33)), "rows")
+    # the local permutation: each partition is sorted where it is, and its rows numbered in the new order
+    rows = flat.withColumn("row", F.monotonically_increasing_id())
+    rows = rows.sortWithinPartitions(F.xxhash64(F.lit(seed), "row"), "row").withColumn("place", F.monotonically_increasing_id())
+    rows = scratch.save(rows.select(*carried, "row", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1)).alias("rank")), "rows")
     # one row for each input partition
     counts = {r.part: r.n for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
     parts = sorted(counts)
     sent = matrix([counts[p] for p in parts], shards, seed)
     table = spark.createDataFrame([(p, n.cumsum().tolist()) for p, n in zip(parts, sent, strict=True)], "part long, until array<long>")
-    local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), "row"), "row")
-    dealt = rows.withColumn("rank", F.row_number().over(local)).join(table, "part")
-    dealt = dealt.withColumn("shard", F.size(F.filter("until", lambda u: u < F.col("rank"))))
+    dealt = rows.join(table, "part")
+    dealt = dealt.withColumn("shard", F.size(F.filter("until", lambda u: u <= F.col("rank"))))
     blocks = max(1, -(-sum(counts.values()) // (shards * block_rows)))
     dealt = dealt.withColumn("key", F.xxhash64(F.lit(seed + 1), "row")).withColumn("block", F.pmod(F.shiftright("key", 20), F.lit(blocks)))
-    dealt = scratch.save(dealt.select("shard", "block", "key", "row", *carried), "dealt")
-    scratch.drop("rows")
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("shard", "block").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    # the exchange, and the second permutation in each block of a shard
     again = Window.partitionBy("shard", "block").orderBy("key", "row")
-    out = dealt.withColumn("rank", F.row_number().over(again)).join(starts, ["shard", "block"])
+    out = dealt.select("shard", "block", "key", "row", *carried).withColumn("rank", F.row_number().over(again)).join(starts, ["shard", "block"])
     return out.select(*[F.col(n).alias(c) for n, c in zip(carried, names, strict=True)], "shard", (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"))
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-    """(doc_id, size, text_crc32) of each document: what a shard's manifest keeps; null has no bytes."""
+    """(doc_id, size, text_crc32) of each row of docs: what a shard's manifest keeps.
+
+    A null or empty text has no bytes, and the size and the checksum of none.
+    Repeated rows each have their row; an empty table gives none.
+    """
     text = F.coalesce("text", F.lit(""))
     return documents(docs, id_col, text_col).select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
 
 
 def write(docs: DataFrame, path: str, shards: int = 24, seed: int = 17) -> None:
-    """Whole rows of docs, written as one folder for each shard, each file in the order of ``slot``."""
-    assign(docs, shards, seed).repartition("shard", F.floor(F.col("slot") / BLOCK_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    """Whole rows of docs, written as one folder for each shard.
+
+    They are stored once in their local order and exchanged once: each task
+    writes the blocks of shards that it got, in order of ``slot``.  Nulls and
+    repeated rows are written like others; an empty table gives an empty folder.
+    """
+    assign(docs, shards, seed).write.partitionBy("shard").mode("overwrite").parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .line_rules import BOILERPLATE, LONG_LINE, MOST_BARS, MOST_LOST, SHOUTS, SYMBOLS
+from .line_rules import BARS, BOILERPLATE, ENDS, FULL_LINE, LINK, LINK_WORDS, LONG_LINE, MOST_BARS, MOST_LINKS, MOST_LOST, SHOUTS, SYMBOLS
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -27,8 +27,13 @@ c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 _PHRASES = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
-_FAILS = f"""((length(x) - length(translate(x, '{SYMBOLS}', ''))) * 4 > length(x) - length(replace(x, ' ', '')) + 1 OR length(x) - length(replace(x, '|', '')) >= {MOST_BARS}
-OR (length(x) - length(replace(x, '!', '')) >= {SHOUTS} AND (length(x) - length(replace(x, '!', ''))) * 2 >= length(x) - length(replace(x, ' ', '')) + 1)
+_ENDS = ", ".join("'" + c.replace("'", "''") + "'" for c in ENDS)
+_SPACES = "length(x) - length(replace(x, ' ', '')) + 1"
+_LINKS = f"(length(x) - length(replace(x, '{LINK}', ''))) // {len(LINK)}"
+_FAILS = f"""((length(x) - length(translate(x, '{SYMBOLS}', ''))) * 4 > {_SPACES} OR length(x) - length(translate(x, '{BARS}', '')) >= {MOST_BARS}
+OR {_LINKS} >= {MOST_LINKS} OR ({_LINKS} >= 1 AND {_SPACES} <= {LINK_WORDS})
+OR ({_SPACES} >= {FULL_LINE} AND right(rtrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ({_ENDS}))
+OR (length(x) - length(replace(x, '!', '')) >= {SHOUTS} AND (length(x) - length(replace(x, '!', ''))) * 2 >= {_SPACES})
 OR (length(x) >= {LONG_LINE} AND NOT regexp_matches(x, '[.,;:!?…]')) OR {_PHRASES})"""
 
 OP8 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),

@@ -53,3 +53,20 @@ def test_clean_documents_stay(spark):
     rows = line_rules.judge(docs).join(marks, "doc_id").where("NOT base_failed").collect()
     good, bad = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
     assert sum(r.kept for r in good) > 0.99 * len(good) and sum(r.kept for r in bad) < 0.05 * len(bad)
+
+
+def test_query_equals_its_sql(spark, tmp_path):
+    """Also on lines that each rule is about."""
+    import duckdb
+
+    from tessera.llm import queries
+
+    prose = "This is a plain sentence of ten words, it ends here."
+    odd = ["see https://a.b/c and https://d.e/f for more of this and that", "https://a.b/c here", "Start » News › Sport · Contact", "Alle Rechte vorbehalten", " ".join(f"w{i}" for i in range(25)), " ".join(f"w{i}" for i in range(25)) + ".  \r", "\x0b\t", "x", "", "a | b"]
+    rows = [(i, "\n".join([prose, *odd[i % 10 : i % 10 + 1 + i // 10]])) for i in range(30)] + [(100, None), (101, "")]
+    docs = table(spark, rows)
+    docs.write.parquet(f"file://{tmp_path}/sf/documents.parquet")
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    for folder, files in ((f"file://{tmp_path}/sf", f"{tmp_path}/sf/documents.parquet/*.parquet"), ("/root/testdata/sf0.001", "/root/testdata/sf0.001/documents.parquet")):
+        want = duckdb.sql(queries.SQL["op8_line_rules"].replace("FROM documents", f"FROM '{files}'")).fetchall()
+        assert rows_of(queries.op8_line_rules(spark, folder), *names) == sorted(want, key=repr)

@@ -2,6 +2,10 @@ import hashlib
 import math
 import random
 import re
+import time
+from unittest.mock import patch
+
+import pytest
 
 from tessera.llm import secrets as sc
 
@@ -54,3 +58,30 @@ def test_spans_are_code_points_in_order(spark):
     assert (r.n_assign, r.n_access, r.n_hex) == (1, 1, 1)
     assert r.spans == "assign:3:28,access:30:50,hex:51:67"
     assert r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("letters", ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+@pytest.mark.parametrize(("length", "least"), [(20, 0.85), (24, 0.93), (32, 0.98), (40, 0.99)])
+def test_random_keys_are_found(letters, length, least):
+    rng = random.Random(length)
+    found = sum(bool(sc.entropy_spans("key " + "".join(rng.choice(letters) for _ in range(length)) + " done")) for _ in range(500))
+    assert found >= least * 500
+
+
+def test_spans_inside_others_add_nothing():
+    rng = random.Random(9)
+    for _ in range(400):
+        spans = sorted({(a, a + rng.randrange(20, 60), rng.choice(sc.KINDS)) for a in (rng.randrange(100) for _ in range(rng.randrange(8)))})
+        base = [x for x in spans if x[2] in sc.LEAST]
+        with patch.object(sc, "base_spans", lambda t, b=base: b), patch.object(sc, "entropy_spans", lambda t, s=spans: [x for x in s if x[2] not in sc.LEAST]):
+            got = sc.scan_text("")[1]
+        kept = {x for x in spans if x[2] not in sc.LEAST and not any(y != x and y[0] <= x[0] and x[1] <= y[1] and (y[:2] != x[:2] or y[2] in sc.LEAST or sc.KINDS.index(y[2]) < sc.KINDS.index(x[2])) for y in spans)}
+        assert set(got) == kept | set(base)
+
+
+def test_many_keys_in_one_text_take_time_in_proportion():
+    rng = random.Random(10)
+    text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32)) for _ in range(20_000))
+    began = time.process_time()
+    assert len(sc.scan_text(text)[1]) >= 19_000
+    assert time.process_time() - began < 8

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import shards
+from tessera.llm.common import Scratch
 
 from .helpers import MESSY, empty, messy, table
 
@@ -21,6 +22,44 @@ def test_matrix_is_hypergeometric():
     assert np.abs(got - np.array([1, 16, 36, 16, 1]) / 70).max() < 0.03
 
 
+def test_draws_of_many_rows_are_hypergeometric():
+    """The way of more than 10^9 rows a side, against the probabilities of a small case and the moments of a large one."""
+    rng, n = np.random.default_rng(3), 20_000
+
+    def draw(good, bad, k):
+        p = k / (good + bad)
+        x, y = int(rng.binomial(good, p)), int(rng.binomial(bad, p))
+        return x - shards._picked(rng, x, y, x + y - k) if x + y >= k else x + shards._picked(rng, good - x, bad - y, k - x - y)
+
+    got = np.bincount([draw(4, 4, 4) for _ in range(n)], minlength=5) / n
+    assert np.abs(got - np.array([1, 16, 36, 16, 1]) / 70).max() < 0.02
+    good, bad, k = 3_000_000_000, 2_000_000_000, 1_000_000
+    draws = np.array([shards._draw(rng, good, bad, k) for _ in range(300)])
+    sd = np.sqrt(k * 0.6 * 0.4)
+    assert abs(draws.mean() - 0.6 * k) < 4 * sd / np.sqrt(300) and 0.8 < draws.std() / sd < 1.2
+
+
+def test_placement_equals_brute_force(spark):
+    """From the row numbers of the input: the local order, the matrix, and the order in each shard."""
+    docs, seed, n = table(spark, [(i, f"text {i}") for i in range(500)]).repartition(5), 17, 24
+    docs = Scratch(spark, "test").save(docs, "docs")
+    from pyspark.sql import functions as F
+
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.shiftright("row", 33).alias("part"), F.xxhash64(F.lit(seed), "row").alias("local"), F.xxhash64(F.lit(seed + 1), "row").alias("key")).collect()
+    parts = sorted({r.part for r in rows})
+    sent = shards.matrix([sum(r.part == p for r in rows) for p in parts], n, seed)
+    shard = {}
+    for p, counts in zip(parts, sent, strict=True):
+        own = iter(sorted((r for r in rows if r.part == p), key=lambda r: (r.local, r.row)))
+        for s, c in enumerate(counts):
+            shard |= {next(own).doc_id: s for _ in range(c)}
+    want = []
+    for s in range(n):
+        own = sorted((r for r in rows if shard[r.doc_id] == s), key=lambda r: (r.key, r.row))
+        want += [(r.doc_id, s, k) for k, r in enumerate(own)]
+    assert sorted((r.doc_id, r.shard, r.slot) for r in shards.assign(docs, n, seed).collect()) == sorted(want)
+
+
 def test_rows_are_dealt_evenly_and_without_gaps(spark, monkeypatch):
     docs = table(spark, [(i, f"text {i}") for i in range(1000)]).repartition(6)
     for block in (100_000, 7):
