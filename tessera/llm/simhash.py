@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import token_batches as tb
 from .common import Scratch, batch, documents, text_key, texts
 
 BITS = 64
@@ -47,23 +48,27 @@ HOT = 30
 WIDE_ROWS = 500
 #: Bits of the sketches by which pairs are ruled out before their sets are fetched.
 SKETCH_BITS = 1024
-#: Hot shingles that are sent to all tasks.
-MOST_HOT = 200_000
+#: Hot shingles that are sent to all tasks, and texts whose places are.
+MOST_HOT, MOST_BROADCAST = 200_000, 200_000
+#: Shingles of prefixes that a batch of texts sends, and that one task sees.
+BATCH_ENTRIES, PART_ENTRIES = 200_000, 1_000_000
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """SimHash of the word shingles of a text; no words: zero."""
-    words = text.lower().split()
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of the word shingles, in turn; of fewer words, of all of them."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= shingle:
-        h = np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
-    else:
-        flat = b" ".join(words)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        ends = (starts + sizes)[shingle - 1 :]
-        h = np.array([xxhash.xxh64_intdigest(flat[a:z], 42) for a, z in zip(starts.tolist(), ends.tolist(), strict=False)], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    flat = b" ".join(words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    ends = (starts + sizes)[shingle - 1 :]
+    return np.array([xxhash.xxh64_intdigest(flat[a:z], 42) for a, z in zip(starts.tolist(), ends.tolist(), strict=False)], np.uint64)
+
+
+def fingerprint(h: np.ndarray) -> int:
+    """SimHash of shingle hashes; none: zero."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -78,7 +83,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                yield batch(schema, b.column(0), b.column(2), np.array([fingerprint(x, shingle) for x in texts(b.column(1))], np.uint64).view(np.int64))
+                yield batch(schema, b.column(0), b.column(2), np.array([fingerprint(shingle_hashes(x.lower().split(), shingle)) for x in texts(b.column(1))], np.uint64).view(np.int64))
 
     return documents(docs, id_col, text_col).withColumn("key", text_key(F.col("text"))).mapInArrow(run, "doc_id long, key long, fp long")
 
@@ -370,19 +375,6 @@ def classes(docs: DataFrame, limit: int = 3, shingle: int = 3, id_col: str = "do
     return rows.join(named, "fp").select("doc_id", "key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
-    """Hashes of the distinct word shingles, in order."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
-    flat = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    ends = (starts + sizes)[shingle - 1 :]
-    return np.unique(np.array([xxhash.xxh64_intdigest(flat[a:z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=False)], np.uint64))
-
-
 def prefix(own: np.ndarray, similarity: float, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles of a set in one order of all shingles: by hash, but hot ones last and by their counts.
 
@@ -407,12 +399,15 @@ def reachable(size_a, place_a, size_b, place_b, similarity: float, least=np.mini
     return least(size_a - place_a, size_b - place_b) >= (size_a + size_b) * (similarity / (1 + similarity)) - 1e-6
 
 
-SHARED = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
-SHARED_SQL = "bucket long, node long, size int, place int"
+#: Pairs (a, b) and, where ``place`` isn't null, nodes b of buckets a.
+SHARED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
+SHARED_SQL = "a long, b long, size int, place int"
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+ASKED = pa.schema([("part", pa.int32()), ("columns", pa.list_(pa.binary())), ("bucket", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
+ASKED_SQL = "part int, columns array<binary>, bucket long, node long, size int, place int"
 
 
-def _whole_buckets(batches: Iterator[pa.RecordBatch], thin=lambda columns: columns) -> Iterator[list[np.ndarray]]:
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of some whole buckets at a time; rows come in the order of the buckets."""
     parts, rows = [], 0
     for b in chain(batches, [None]):
@@ -424,26 +419,33 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], thin=lambda columns: colum
         held = [np.concatenate(x) for x in zip(*parts, strict=True)]
         if not len(held[0]):
             continue
-        held = thin(held)
         done = len(held[0]) if b is None else int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on
         if done:
             yield [x[:done] for x in held]
         parts, rows = [[x[done:] for x in held]], 0
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each node of the buckets of two nodes or more; rows come in the order of bucket and node."""
-
-    def once(columns):
-        bucket, node = columns[:2]
-        on = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])])
-        return [x[on] for x in columns]
+def _shared(similarity: float):
+    """Of one range of shingles, from what batches of texts sent: pairs of each bucket's first node with its others, and buckets of three or more."""
 
-    for bucket, node, size, place in _whole_buckets(batches, once):
+    def run(table: pa.Table) -> pa.Table:
+        sent = [[tb.unpack(c) for c in r] for r in table.column("columns").to_pylist()]
+        bucket, node, size, place = (np.concatenate(x) for x in zip(*[(c[0], c[1][c[2]], c[3][c[2]], c[4]) for c in sent], strict=True))
+        order = np.lexsort((node, bucket))
+        bucket, node, size, place = bucket[order], node[order].view(np.int64), size[order], place[order]
+        once = np.ones(len(bucket), bool)
+        once[1:] = (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])
+        bucket, node, size, place = (x[once] for x in (bucket, node, size, place))
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
         n = np.diff(edge)
-        many = np.repeat(n > 1, n)
-        yield batch(SHARED, bucket[many], node[many], size[many], place[many])
+        first, many = np.repeat(edge[:-1], n), np.repeat(n, n)
+        x = np.flatnonzero((many > 1) & (first != np.arange(len(bucket))) & reachable(size, place, size[first], place[first], similarity))
+        pair = np.unique(np.stack([np.minimum(node[x], node[first[x]]), np.maximum(node[x], node[first[x]])]), axis=1)
+        none = pa.nulls(pair.shape[1], pa.int32())
+        rest = many > 2
+        return pa.Table.from_batches([batch(SHARED, pair[0], pair[1], none, none), batch(SHARED, bucket[rest].view(np.int64), node[rest], size[rest], place[rest])])
+
+    return run
 
 
 def _all_pairs(similarity: float):
@@ -476,42 +478,45 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     shingle of their prefixes, which all such texts do; each is verified on the
     sets unless its two texts are in one component by links that were.  So that
     a large group of near copies isn't compared pair by pair, a bucket first
-    tries the one of its nodes with most links with all others, twice, and only
-    then all that is left.  Texts that differ in case and white space alone are
+    tries one of its nodes with all others, then of what is left the one with
+    most links, and only then all.  Texts that differ in case and white space alone are
     one node, and so are repeated rows, and texts without words, nulls among
     them.  Null ids are passed over where another id is in the component.  An
     empty table gives no rows.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("fp", pa.int64())])
+    most = (1 - similarity) / (1 + similarity)
 
-    def save_wide(df: DataFrame, name: str) -> DataFrame:
-        return scratch.save_wide(df, name, WIDE_ROWS)
+    def words_of(text: bytes) -> tuple[list[bytes], int]:
+        words = text.lower().split()
+        return words, xxhash.xxh64_intdigest(b" ".join(words), 7)
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                yield whole.slice(at, 1000)
-
-    def node_of(words: list[bytes]) -> int:
-        return xxhash.xxh64_intdigest(b" ".join(words), 7)
+    marked = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("sketch", pa.binary())])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches):
-            own = texts(b.column(1))
-            yield batch(schema, b.column(0), b.column(2), *(np.array(x, np.uint64).view(np.int64) for x in ([node_of(x.lower().split()) for x in own], [fingerprint(x, shingle) for x in own])))
+        for b in batches:
+            found = []
+            for x in texts(b.column(1)):
+                words, node = words_of(x)
+                h = shingle_hashes(words, shingle)
+                own = np.unique(h)
+                found.append((np.uint64(node).view(np.int64), np.uint64(fingerprint(h)).view(np.int64), len(own), sketch(own)))
+            if found:
+                yield batch(marked, b.column(0), b.column(2), *[list(x) for x in zip(*found, strict=True)])
 
     source = documents(docs, id_col, text_col).withColumn("key", text_key(F.col("text")))
-    rows = scratch.save(source.mapInArrow(mark, "doc_id long, key long, node long, fp long"), "rows")
-    nodes = scratch.save(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "key")).alias("of"), F.min("fp").alias("fp")), "nodes")
-    n = max(1, nodes.count())
+    rows = scratch.save_wide(source.mapInArrow(mark, "doc_id long, key long, node long, fp long, size int, sketch binary"), "rows", WIDE_ROWS)
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "key")).alias("of"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("sketch").alias("sketch"))
+    nodes = scratch.save(nodes, "nodes")
+    one = nodes.agg(F.count("*"), F.sum("size")).first()
+    n, entries = max(1, one[0]), int((1 - similarity) * (one[1] or 0)) + 2 * one[0]
 
     counted = pa.schema([("shingle", pa.int64())])
 
     def shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches):
+        for b in batches:
             for x in texts(b.column(0)):
-                yield batch(counted, shingle_set(x.lower().split(), shingle).view(np.int64))
+                yield batch(counted, np.unique(shingle_hashes(words_of(x)[0], shingle)).view(np.int64))
 
     # the sample steers only the cost: any order of shingles finds every pair
     sample = source.where(F.pmod("key", F.lit(max(1, n // HOT_SAMPLE))) == 0).dropDuplicates(["key"])
@@ -519,39 +524,62 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     hot_rows = sample.select("text").mapInArrow(shingles_of, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "shingle").limit(MOST_HOT).collect()
     hot, counts = np.array([r.shingle for r in hot_rows], np.int64).view(np.uint64), np.array([r.n for r in hot_rows], np.int64)
     counts, hot = counts[np.argsort(hot)], np.sort(hot)
-    keys = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("place", pa.int32())])
+    parts = tb.parts_for(entries, PART_ENTRIES)
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 100):
-                done = {}
-                for x in texts(whole.column(0).slice(at, 100)):
-                    words = x.lower().split()
-                    if words and (node := node_of(words)) not in done:
-                        own = shingle_set(words, shingle)
-                        done[node] = len(own), prefix(own, similarity, hot, counts)
-                if done:
-                    sizes, found = [x[0] for x in done.values()], [x[1] for x in done.values()]
-                    many = [len(x) for x in found]
-                    place = np.concatenate([np.arange(x, dtype=np.int32) for x in many])
-                    yield batch(keys, np.concatenate(found).view(np.int64), np.repeat(np.array(list(done), np.uint64).view(np.int64), many), np.repeat(np.array(sizes, np.int32), many), place)
-
-    buckets = source.select("text").mapInArrow(keys_of, "bucket long, node long, size int, place int").repartition("bucket").sortWithinPartitions("bucket", "node")
-    shared = scratch.save(buckets.mapInArrow(_shared, SHARED_SQL), "shared")
+        """Shingles of prefixes: as packed questions by ranges, but those of many texts, which one task may not hold, as rows (part -1)."""
+
+        def close(done: dict) -> Iterator[tuple]:
+            node, size = np.array(list(done), np.uint64), np.array([x[0] for x in done.values()], np.int32)
+            own = [x[1] for x in done.values()]
+            key = np.concatenate(own)
+            many = np.array([len(x) for x in own])
+            of, place = np.repeat(np.arange(len(own), dtype=np.int32), many), np.concatenate([np.arange(x, dtype=np.int32) for x in many])
+            if len(hot):
+                is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                for k in np.flatnonzero(is_hot).tolist():
+                    yield -1, None, (key[k].view(np.int64), node[of[k]].view(np.int64), size[of[k]], place[k])
+                key, of, place = key[~is_hot], of[~is_hot], place[~is_hot]
+            order = np.argsort(key)
+            key, of, place = key[order], of[order], place[order]
+            at = np.append(np.searchsorted(key, tb.edges(parts)), len(key))
+            for p in np.flatnonzero(np.diff(at)).tolist():
+                own_ = slice(at[p], at[p + 1])
+                used, short = np.unique(of[own_], return_inverse=True)
+                yield p, [tb.pack(x) for x in (key[own_], node[used], short.astype(np.int32), size[used], place[own_])], None
+
+        done, held = {}, 0
+        for b in chain(batches, [None]):
+            for x in texts(b.column(0)) if b is not None else []:
+                words, node = words_of(x)
+                if words and node not in done:
+                    own = np.unique(shingle_hashes(words, shingle))
+                    done[node] = len(own), prefix(own, similarity, hot, counts)
+                    held += len(done[node][1])
+            if done and (b is None or held >= BATCH_ENTRIES):
+                found = list(close(done))
+                done, held = {}, 0
+                if found:
+                    p, c, k = zip(*found, strict=True)
+                    yield batch(ASKED, list(p), list(c), *([x and int(x[i]) for x in k] for i in range(4)))
+
+    asked = scratch.save_wide(source.select("text").mapInArrow(keys_of, ASKED_SQL), "asked", WIDE_ROWS)
+    found = scratch.save_wide(asked.where("part >= 0").select("part", "columns").groupBy("part").applyInArrow(_shared(similarity), SHARED_SQL), "shared")
+    near = lambda *names: reachable(*map(F.col, names), similarity, F.least)
+    shared, stars = found.where("place IS NOT NULL").select(F.col("a").alias("bucket"), F.col("b").alias("node"), "size", "place"), found.where("place IS NULL").select("a", "b")
+    if len(hot):
+        crowd = scratch.save(asked.where("part = -1").select("bucket", "node", "size", "place").dropDuplicates(["bucket", "node"]), "crowd")
+        first = crowd.groupBy("bucket").agg(F.min(F.struct("node", "size", "place")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+        crowd = crowd.join(first, "bucket")
+        stars = stars.unionByName(crowd.where("node != hub.node").where(near("size", "place", "hub.size", "hub.place")).select(F.col("node").alias("a"), F.col("hub.node").alias("b")))
+        shared = shared.unionByName(crowd.where("n > 2").select("bucket", "node", "size", "place"))
+
     row_key = lambda i, key: F.xxhash64(i, F.col(i).isNull(), key)
-    probed = scratch.save(links(nodes.select("node", "fp"), scratch, probe), "probed")
-    asked = shared.select("node").unionByName(probed.select(F.col("a").alias("node"))).unionByName(probed.select(F.col("b").alias("node"))).distinct()
-    need = nodes.join(asked, "node").select("node", row_key("of.doc_id", "of.key").alias("row"))
-    sets = pa.schema([("node", pa.int64()), ("sketch", pa.binary()), ("size", pa.int32()), ("shingles", pa.binary())])
+    sets = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches):
-            own = [shingle_set(x.lower().split(), shingle) for x in texts(b.column(1))]
-            yield batch(sets, b.column(0), [sketch(x) for x in own], [len(x) for x in own], [x.tobytes() for x in own])
-
-    # repeated rows are thinned by the join's own key, so texts move once
-    found = source.select(row_key("doc_id", "key").alias("row"), "text").join(need, "row").groupBy("row", "node").agg(F.first("text").alias("text"))
-    found = save_wide(found.select("node", "text").mapInArrow(sets_of, "node long, sketch binary, size int, shingles binary"), "sets")
+        for b in batches:
+            yield batch(sets, b.column(0), [np.unique(shingle_hashes(words_of(x)[0], shingle)).tobytes() for x in texts(b.column(1))])
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -559,10 +587,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (2, 4))
                 differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
                 size = b.column(3).to_numpy().astype(np.int64) + b.column(5).to_numpy()
-                yield batch(LINKS, b.column(0), b.column(1)).filter(pa.array(differ <= size * ((1 - similarity) / (1 + similarity)) + 1e-6))
+                yield batch(LINKS, b.column(0), b.column(1)).filter(pa.array(differ <= size * most + 1e-6))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches):
+        for b in batches:
             on = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -570,15 +598,24 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
                 on.append(common >= similarity * (len(x) + len(y) - common))
             yield batch(LINKS, b.column(0), b.column(1)).filter(pa.array(on, pa.bool_()))
 
+    light = lambda own, x, n: nodes.select(F.col("node").alias(own), F.col("sketch").alias(x), F.col("size").alias(n))
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{name}")
-        light = lambda own, x, n: found.select(F.col("node").alias(own), F.col("sketch").alias(x), F.col("size").alias(n))
+        """Those of the pairs that are similar: first by sketches, then on the sets of the texts that are left."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs.join(light("a", "x", "n"), "a").join(light("b", "y", "m"), "b").select("a", "b", "x", "n", "y", "m")
         pairs = scratch.save(pairs.mapInArrow(maybe, "a long, b long"), f"maybe-{name}")
-        both = pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        out = save_wide(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), f"links-{name}")
-        scratch.drop(f"pairs-{name}")
-        scratch.drop(f"maybe-{name}")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        need = scratch.save(nodes.join(ends, "node").select("node", row_key("of.doc_id", "of.key").alias("row")), f"need-{name}")
+        if need.count() <= MOST_BROADCAST:
+            need = F.broadcast(need)
+        # repeated rows are thinned by the join's own key, so texts move once
+        own = source.select(row_key("doc_id", "key").alias("row"), "text").join(need, "row").groupBy("row", "node").agg(F.first("text").alias("text"))
+        own = scratch.save_wide(own.select("node", "text").mapInArrow(sets_of, "node long, shingles binary"), f"sets-{name}", WIDE_ROWS)
+        both = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        out = scratch.save_wide(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), f"links-{name}", WIDE_ROWS)
+        for table in ("maybe", "need", "sets"):
+            scratch.drop(f"{table}-{name}")
         return out
 
     def open_buckets(edges: DataFrame, name: str) -> DataFrame:
@@ -589,16 +626,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         mixed = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
         return scratch.save(now.join(mixed, "bucket", "left_semi").select(*now.columns), f"open-{name}")
 
-    near = lambda *names: reachable(*map(F.col, names), similarity, F.least)
-    edges = verified(probed, "probed")
-    for turn in ("first", "second"):
-        left = open_buckets(edges, turn)
-        hub = left.groupBy("bucket").agg(F.max(F.struct("degree", "node", "size", "place", "label")).alias("hub"))
-        tried = left.join(hub, "bucket").where("label != hub.label").where(near("size", "place", "hub.size", "hub.place"))
-        edges = edges.unionByName(verified(tried.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), turn))
-        scratch.drop(f"open-{turn}")
-    left = open_buckets(edges, "all").select("bucket", "node", "size", "place", "label").join(found.select("node", "sketch"), "node")
-    left = left.select("bucket", "node", F.col("size"), "place", "label", "sketch").repartition("bucket").sortWithinPartitions("bucket", "node")
+    edges = verified(links(nodes.select("node", "fp"), scratch, probe).unionByName(stars), "first")
+    shared = open_buckets(edges, "hub")  # buckets that are closed stay so
+    hub = shared.groupBy("bucket").agg(F.max(F.struct("degree", "node", "size", "place", "label")).alias("hub"))
+    tried = shared.join(hub, "bucket").where("label != hub.label").where(near("size", "place", "hub.size", "hub.place"))
+    shared = shared.select("bucket", "node", "size", "place")
+    edges = edges.unionByName(verified(tried.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), "hub"))
+    left = open_buckets(edges, "all").select("bucket", "node", "size", "place", "label").join(nodes.select("node", "sketch"), "node")
+    left = left.select("bucket", "node", "size", "place", "label", "sketch").repartition("bucket").sortWithinPartitions("bucket", "node")
     edges = edges.unionByName(verified(left.mapInArrow(_all_pairs(similarity), "a long, b long"), "all"))
     root = components(edges, scratch)
     named = nodes.join(root.withColumnRenamed("node", "own"), nodes["node"] == F.col("own"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))

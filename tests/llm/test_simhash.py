@@ -158,7 +158,7 @@ def test_templated_texts_on_near_fingerprints_are_all_found(spark):
 
 def test_texts_on_one_fingerprint_are_told_apart(spark, monkeypatch):
     """As if all fingerprints were equal, thousands of texts of which few are alike."""
-    monkeypatch.setattr(sh, "fingerprint", lambda text, shingle: 5)
+    monkeypatch.setattr(sh, "fingerprint", lambda h: 5)
     rng, docs = np.random.default_rng(22), []
     for k in range(2500):
         words = [f"w{v}" for v in rng.integers(0, 10**6, 30)]
@@ -181,3 +181,20 @@ def test_near_duplicates_of_messy_and_empty_tables(spark):
     got = rows_of(sh.near_duplicates(messy(spark)), "doc_id", "component_id")
     assert len(got) == len(MESSY) and {c for i, c in got if i in (1, 2)} == {1} and {c for i, c in got if i in (3, 4, 5)} == {3}
     assert sh.near_duplicates(empty(spark)).count() == 0
+
+
+def test_hot_shingles_and_small_parts_lose_nothing(spark, monkeypatch):
+    """Templates that most texts share, several parts and batches, and groups of near copies of each other."""
+    monkeypatch.setattr(sh, "BATCH_ENTRIES", 500)
+    monkeypatch.setattr(sh, "PART_ENTRIES", 300)
+    rng, docs = np.random.default_rng(23), []
+    template = [f"t{i}" for i in range(50)]
+    for k in range(300):
+        own = list(template)
+        for at in rng.choice(50, int(rng.integers(1, 4)), replace=False):
+            own[at] = f"w{rng.integers(0, 40)}"
+        docs.append((k, " ".join(own if k % 3 else own + [f"x{k}y{i}" for i in range(30)])))
+    docs += [(300 + k, docs[5][1]) for k in range(200)]
+    near, want = components_by_brute_force(docs)
+    assert 5 < len(set(want.values())) < 400
+    assert {r.doc_id: r.component_id for r in sh.near_duplicates(table(spark, docs)).collect()} == want
