@@ -330,7 +330,7 @@ def _open(word_parts: int):
             own = inverse[at : at + len(c[3])]
             count[own] += c[4]  # a batch asks about a pair once
             if len(own):
-                yield part, one, [tb.pack(own.astype(np.int32))], None
+                yield part, one, [tb.pack(np.diff(own, prepend=0).astype(np.int32))], None  # a batch's pairs come in the same order
             at += len(own)
         contexts, first, sizes = np.unique(pair >> np.uint64(32), return_index=True, return_counts=True)
         customers, spread = np.add.reduceat(count, first), np.ones(len(contexts), np.int32)
@@ -412,7 +412,7 @@ def _predict(word_parts: int, known: int, roots: list[dict]):
                     total += own.count - DISCOUNT * of_pair + open_[own.of] * parent[own.word]
                 total = (total / (SWEEPS * (STRENGTH + own.customers[own.of]))).astype(np.float32)
                 for asked in row["asked"]:
-                    yield _rows([(row["part"], asked["batch"], [tb.pack(total[tb.unpack(asked["columns"][0])])], None)])
+                    yield _rows([(row["part"], asked["batch"], [tb.pack(total[np.cumsum(tb.unpack(asked["columns"][0]))])], None)])
 
     return run
 
@@ -501,7 +501,7 @@ def score(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str
         customers = t.context_counts(every)
         context, token, count, _ = t.pairs()
         part, spread = _part_of(number[context], number[token], customers[context], hot, parts)
-        order = np.argsort(part, kind="stable")
+        order = np.lexsort((number[token], number[context], part))
         part, context, token, count, spread = (x[order] for x in (part, context, token, count, spread))
         new = np.ones(len(part), bool)
         new[1:] = (part[1:] != part[:-1]) | (context[1:] != context[:-1])
@@ -555,7 +555,7 @@ def score(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str
                 customers = t.context_counts(every)
                 context, token, _, pair = t.pairs()
                 part, _ = _part_of(number[context], number[token], customers[context], hot, parts)
-                order = np.argsort(part, kind="stable")
+                order = np.lexsort((number[token], number[context], part))
                 at = np.searchsorted(part[order], np.arange(parts + 1))
                 p = np.zeros(len(context))
                 for r in row["predicted"]:
