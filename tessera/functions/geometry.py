@@ -95,8 +95,8 @@ def rotate_intrinsics(k: Column, w: Column, h: Column, rot: Column) -> Column:
 
 
 def rotate_pose(pose: Column, rot: Column) -> Column:
-    """A 4 x 4 pose after rot quarter turns about the viewing axis."""
-    turns = [(1, 0, 0, 1), (0, -1, 1, 0), (-1, 0, 0, -1), (0, 1, -1, 0)]
+    """A 4 x 4 pose after the image was turned by rot quarter turns: the camera turns the other way about its axis."""
+    turns = [(1, 0, 0, 1), (0, 1, -1, 0), (-1, 0, 0, -1), (0, -1, 1, 0)]
     z = lambda a, b, c, d: matrix([a, b, 0, 0, c, d, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1])
     out = matmul(z(*turns[0]), pose, 4)
     for k in (1, 2, 3):

@@ -23,6 +23,27 @@ def resize_long_side(w: Column, h: Column, long_side: int) -> tuple[Column, Colu
     return F.bround(w * scale, 0).cast("int"), F.bround(h * scale, 0).cast("int")
 
 
+def resize_long_truncated(w: Column, h: Column, long_side: int) -> tuple[Column, Column]:
+    """The longer side becomes long_side; both are truncated."""
+    longest = F.greatest(w, h)
+    return (w * long_side / longest).cast("int"), (h * long_side / longest).cast("int")
+
+
+def extractor_resize(w: Column, h: Column, resize: list[int]) -> tuple[Column, Column, Column, Column]:
+    """New width and height, truncated, and the scales of x and y: [n] for the long side, [h, w] for both."""
+    if len(resize) == 1:
+        sx = sy = resize[0] / F.greatest(w, h)
+    else:
+        sy, sx = resize[0] / h, resize[1] / w
+    return (w * sx).cast("int"), (h * sy).cast("int"), sx, sy
+
+
+def rescale_to_multiple(w: Column, h: Column, df: int = 32) -> tuple[Column, Column, Column, Column]:
+    """Sizes down to a multiple, and the factors that take coordinates there back."""
+    w_new, h_new = floor_to_multiple(w, df), floor_to_multiple(h, df)
+    return w_new, h_new, w / w_new, h / h_new
+
+
 def floor_to_multiple(v: Column, df: int) -> Column:
     return (F.floor(v / df) * df).cast("int")
 
@@ -102,6 +123,17 @@ def above(table: DataFrame, threshold: float, score: str = "score") -> DataFrame
     return table.where(F.col(score) > threshold)
 
 
+def mask_to_keypoints(mask: DataFrame, threshold: float = 0.5, size: float = 3.0) -> DataFrame:
+    """(image_id, kp_idx, x, y, score, size): each pixel (image_id, y, x, p) above the threshold, numbered row by row."""
+    order = Window.partitionBy("image_id").orderBy("y", "x")
+    return mask.where(F.col("p") > threshold).select("image_id", (F.row_number().over(order) - 1).alias("kp_idx"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("p").alias("score"), F.lit(size).alias("size"))
+
+
+def first_n(table: DataFrame, n: int) -> DataFrame:
+    """The first n keypoints of each image by their numbers, without sorting."""
+    return table.where(F.col("kp_idx") < n)
+
+
 def remove_borders(table: DataFrame, border: int, w: Column, h: Column) -> DataFrame:
     return table.where((F.col("x") >= border) & (F.col("x") < w - border) & (F.col("y") >= border) & (F.col("y") < h - border))
 

@@ -1,9 +1,9 @@
 """Nearest neighbours between the two descriptor sets of each image pair, and the tests on them.
 
 A descriptor set is a table (pair_id, idx, descriptor); the two sets meet on
-pair_id.  Real-valued neighbours are found by blocked matrix products: the
-query rows of a pair are cut into blocks of a bounded size, and each block sees
-the pair's base rows once.  Binary ones stay in built-in expressions.
+pair_id.  Neighbours are found by blocks: both sides of a pair are cut into
+blocks of a bounded size, a task sees two blocks, and what the tasks keep of
+each query row is merged.  Approximate ones look into the nearest cells only.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query rows of one block.
+#: Rows of one block.
 BLOCK_ROWS = 4_096
 #: Distances held at once in a task.
 CELLS = 1 << 22
@@ -26,42 +26,130 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
 
 
+def _best(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the k nearest rows of b for each of a, by (distance, place)."""
+    norms, take, found, far = (b**2).sum(axis=1), min(k, len(b)), [], []
+    for at in range(0, len(a), max(1, CELLS // len(b))):
+        x = a[at : at + max(1, CELLS // len(b))]
+        rough = norms[None, :] - 2 * x @ b.T
+        near = np.argpartition(rough, min(take + 1, len(b) - 1), axis=1)[:, : take + 2]  # two spare ones, for ties
+        exact = np.sqrt(((x[:, None, :] - b[near]) ** 2).sum(axis=2))
+        order = np.lexsort((near, np.round(exact, 12)), axis=1)[:, :take]
+        found.append(np.take_along_axis(near, order, 1))
+        far.append(np.take_along_axis(exact, order, 1))
+    return np.concatenate(found), np.concatenate(far)
+
+
+def _cogrouped(left: DataFrame, right: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """run(key, left, right) of the groups; both sides may come from one table, so the right one's columns are named anew."""
+    names = right.columns
+    own = right.toDF(*[f"right_{c}" for c in names])
+
+    def call(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        return run(key, left, right.rename_columns(names) if right.num_columns else right)
+
+    return left.groupBy(*keys).cogroup(own.groupBy(*[f"right_{c}" for c in keys])).applyInArrow(call, schema)
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(pair_id, i, j, d): the k nearest of the rows that meet on the keys; the first key is pair_id."""
+    pair_type = left.schema["pair_id"].dataType.simpleString()
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        i, j, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("idx")
+            near, d = _best(_matrix(left["descriptor"]), _matrix(right["descriptor"]), k)
+            i, j, d = np.repeat(left["idx"].to_numpy(), near.shape[1]), right["idx"].to_numpy()[near].ravel(), d.ravel()
+        pair = pa.array([key[0].as_py()] * len(i), left.schema.field("pair_id").type if left.num_columns else right.schema.field("pair_id").type)
+        return pa.table([pair, pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64)), pa.array(d.astype(np.float64))], names=["pair_id", "i", "j", "d"])
+
+    return _cogrouped(left, right, keys, run, f"pair_id {pair_type}, i long, j long, d double")
+
+
+def _ranked(candidates: DataFrame, k: int) -> DataFrame:
+    """(pair_id, i, rank, j, d): the k best of what several blocks or cells found for a query row."""
+    order = Window.partitionBy("pair_id", "i").orderBy(F.round("d", 12), "j")
+    return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("pair_id", "i", "rank", "j", "d")
+
+
 def nearest(queries: DataFrame, base: DataFrame, k: int = 2, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(pair_id, i, rank, j, d): the k nearest base rows of each query row, by (Euclidean distance, idx).
 
+    Both sides of a pair are cut into blocks, each block of queries meets each
+    block of base rows in a task of its own, and the k best of each are merged.
     Candidates come from the expanded product, and the distances of the k that
     stay are worked out from differences.  Null descriptors are left out.
     """
     queries, base = queries.where("descriptor IS NOT NULL"), base.where("descriptor IS NOT NULL")
-    sizes = queries.groupBy("pair_id").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    cut = queries.join(sizes, "pair_id").select("pair_id", F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int").alias("block"), "idx", "descriptor")
-    many = sizes.select(F.col("pair_id").alias("of"), "blocks")
-    spread = base.toDF(*[f"base_{c}" for c in base.columns])
-    spread = spread.join(many, spread["base_pair_id"] == many["of"]).select(F.col("base_pair_id").alias("of"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("base_block"), F.col("base_idx").alias("idx"), F.col("base_descriptor").alias("descriptor"))
-    pair_type = queries.schema["pair_id"].dataType.simpleString()
+    count = lambda t, n: t.groupBy("pair_id").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(n))
+    sizes = count(queries, "rows").join(count(base, "columns"), "pair_id")
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {n: [] for n in ("i", "rank", "j", "d")}
-        if left.num_rows and right.num_rows:
-            right = right.sort_by("idx")
-            a, b, i, j = _matrix(left["descriptor"]), _matrix(right["descriptor"]), left["idx"].to_numpy(), right["idx"].to_numpy()
-            norms, take = (b**2).sum(axis=1), min(k, len(b))
-            for at in range(0, len(a), max(1, CELLS // len(b))):
-                x = a[at : at + max(1, CELLS // len(b))]
-                rough = norms[None, :] - 2 * x @ b.T
-                near = np.argpartition(rough, min(take + 1, len(b) - 1), axis=1)[:, : take + 2]  # two spare ones, for ties
-                exact = np.sqrt(((x[:, None, :] - b[near]) ** 2).sum(axis=2))
-                order = np.lexsort((near, np.round(exact, 12)), axis=1)[:, :take]
-                near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
-                out["i"].append(np.repeat(i[at : at + len(x)], take))
-                out["rank"].append(np.tile(np.arange(1, take + 1, dtype=np.int32), len(x)))
-                out["j"].append(j[near].ravel())
-                out["d"].append(exact.ravel())
-        cols = {n: np.concatenate(v) if v else np.zeros(0) for n, v in out.items()}
-        pair = pa.array([key[0].as_py()] * len(cols["i"]), left.schema.field("pair_id").type if left.num_columns else right.schema.field("pair_id").type)
-        return pa.table([pair, pa.array(cols["i"].astype(np.int64)), pa.array(cols["rank"].astype(np.int32)), pa.array(cols["j"].astype(np.int64)), pa.array(cols["d"].astype(np.float64))], names=["pair_id", "i", "rank", "j", "d"])
-
-    return cut.groupBy("pair_id", "block").cogroup(spread.groupBy("of", "base_block")).applyInArrow(run, f"pair_id {pair_type}, i long, rank int, j long, d double")
+    def cut(t: DataFrame, own: str, other: str) -> DataFrame:
+        t = t.join(sizes, "pair_id").select("pair_id", "idx", "descriptor", F.pmod(F.xxhash64("idx"), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+        return t.select("pair_id", "rows", "columns", "idx", "descriptor")
+
+    return _ranked(_met(cut(queries, "rows", "columns"), cut(base, "columns", "rows"), ["pair_id", "rows", "columns"], k), k)
+
+
+def approximate(queries: DataFrame, base: DataFrame, k: int = 2, cells: int | None = None, recall: float = 0.95, sample: int = 20_000, trials: int = 500, seed: int = 5) -> DataFrame:
+    """As nearest, among the base rows of the cells whose centres are nearest to the query row.
+
+    Centres are learned by k-means from at most ``sample`` base rows, those with
+    the least hashes.  Every base row is in one cell; every query row looks into
+    as many cells as ``trials`` query rows need to find that share of their
+    neighbours among the sample.  About the root of the number of base rows is
+    taken for ``cells``.  A query row of a pair without base rows there has no
+    neighbours.
+    """
+    base, queries = base.where("descriptor IS NOT NULL"), queries.where("descriptor IS NOT NULL")
+    cells = cells or max(1, min(4096, int(base.count() ** 0.5)))
+    some = lambda t, n: np.array([r.descriptor for r in t.orderBy(F.xxhash64(F.lit(seed), "idx"), "idx").limit(n).select("descriptor").collect()], float)
+    known, tried = some(base, sample), some(queries, trials)
+    learned = _centres(known, cells, seed) if len(known) else np.zeros((0, 0))
+    probes = _probes(learned, known, tried, k, recall) if len(known) and len(tried) else 1
+
+    def cells_of(many: int):
+        def run(batches):
+            for b in batches:
+                x = _matrix(pa.chunked_array([b.column(2)])) if b.num_rows else np.zeros((0, 0))
+                if not len(x) or not len(learned):
+                    continue
+                rough = (learned**2).sum(axis=1)[None, :] - 2 * x @ learned.T
+                own = np.argsort(rough, axis=1, kind="stable")[:, :many]
+                at = pa.array(np.repeat(np.arange(len(x)), own.shape[1]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(own.ravel().astype(np.int32)), b.column(1).take(at), b.column(2).take(at)], names=["pair_id", "cell", "idx", "descriptor"])
+
+        return run
+
+    def dealt(t: DataFrame, many: int) -> DataFrame:
+        t = t.select("pair_id", "idx", "descriptor")
+        kind = lambda c: t.schema[c].dataType.simpleString()
+        return t.mapInArrow(cells_of(many), f"pair_id {kind('pair_id')}, cell int, idx {kind('idx')}, descriptor {kind('descriptor')}")
+
+    return _ranked(_met(dealt(queries, probes), dealt(base, 1), ["pair_id", "cell"], k), k)
+
+
+def _probes(centres: np.ndarray, known: np.ndarray, tried: np.ndarray, k: int, recall: float) -> int:
+    """The fewest nearest cells that hold that share of the k neighbours of the tried rows among the known ones."""
+    by_distance = lambda a, b: (b**2).sum(axis=1)[None, :] - 2 * a @ b.T
+    near, _ = _best(tried, known, k)
+    own = by_distance(known, centres).argmin(axis=1)
+    rank = np.argsort(np.argsort(by_distance(tried, centres), axis=1, kind="stable"), axis=1)
+    need = np.sort(np.take_along_axis(rank, own[near], axis=1).ravel())
+    return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)]) + 1
+
+
+def _centres(x: np.ndarray, cells: int, seed: int, rounds: int = 10) -> np.ndarray:
+    """k-means: random rows first, then means; a cell without rows keeps its centre."""
+    centres = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        own = ((centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T).argmin(axis=1)
+        size = np.bincount(own, minlength=len(centres))
+        total = np.zeros_like(centres)
+        np.add.at(total, own, x)
+        centres = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centres)
+    return centres
 
 
 def top_two(neighbours: DataFrame) -> DataFrame:
@@ -104,13 +192,47 @@ def inverse_ratio(similarity_top: DataFrame) -> DataFrame:
     return similarity_top.withColumn("score", F.try_divide(d("s2"), d("s1")))
 
 
-def hamming(queries: DataFrame, base: DataFrame, k: int = 2) -> DataFrame:
-    """(pair_id, i, rank, j, d): k nearest of binary descriptors, held as arrays of longs; ties by idx."""
-    q = queries.select("pair_id", F.col("idx").alias("i"), F.col("descriptor").alias("x"))
-    b = base.select("pair_id", F.col("idx").alias("j"), F.col("descriptor").alias("y"))
-    d = F.aggregate(F.zip_with("x", "y", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda acc, v: acc + v)
-    order = Window.partitionBy("pair_id", "i").orderBy("d", "j")
-    return q.join(b, "pair_id").select("pair_id", "i", "j", d.alias("d")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("pair_id", "i", "rank", "j", "d")
+def hamming(queries: DataFrame, base: DataFrame, k: int = 2, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(pair_id, i, rank, j, d): k nearest of binary descriptors, held as arrays of longs; ties by idx.
+
+    Blocks of both sides meet as in nearest; each block keeps the k best of a
+    query row, and only those are merged.
+    """
+    count = lambda t, n: t.groupBy("pair_id").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(n))
+    sizes = count(queries, "rows").join(count(base, "columns"), "pair_id")
+
+    def cut(t: DataFrame, own: str, other: str) -> DataFrame:
+        t = t.join(sizes, "pair_id").select("pair_id", "idx", "descriptor", F.pmod(F.xxhash64("idx"), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+        return t.select("pair_id", "rows", "columns", F.col("idx").cast("long").alias("idx"), "descriptor")
+
+    pair_type = queries.schema["pair_id"].dataType.simpleString()
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        i, j, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("idx")
+            a, b = (_words(t["descriptor"]) for t in (left, right))
+            take, near, far = min(k, len(b)), [], []
+            for at in range(0, len(a), max(1, CELLS // len(b))):
+                x = a[at : at + max(1, CELLS // len(b))]
+                bits = sum(np.bitwise_count(x[:, None, w] ^ b[None, :, w]).astype(np.int64) for w in range(b.shape[1]))
+                code = bits * len(b) + np.arange(len(b))  # by distance, then by place
+                own = np.sort(np.partition(code, take - 1, axis=1)[:, :take], axis=1)
+                near.append(own % len(b))
+                far.append(own // len(b))
+            near, d = np.concatenate(near), np.concatenate(far).ravel()
+            i, j = np.repeat(left["idx"].to_numpy(), take), right["idx"].to_numpy()[near].ravel()
+        pair = pa.array([key[0].as_py()] * len(i), left.schema.field("pair_id").type if left.num_columns else right.schema.field("pair_id").type)
+        return pa.table([pair, pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64)), pa.array(d.astype(np.int32))], names=["pair_id", "i", "j", "d"])
+
+    keys = ["pair_id", "rows", "columns"]
+    return _ranked(_cogrouped(cut(queries, "rows", "columns"), cut(base, "columns", "rows"), keys, run, f"pair_id {pair_type}, i long, j long, d int"), k)
+
+
+def _words(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(len(flat), -1)
 
 
 def hamming_lsh(queries: DataFrame, base: DataFrame, k: int = 2, tables: int = 6, key_bits: int = 12) -> DataFrame:
@@ -142,8 +264,8 @@ def sign_bits(descriptor: Column) -> Column:
 
 
 def match(queries: DataFrame, base: DataFrame, method: str = "nn", ratio: float = 0.75, cross_check: bool = False) -> DataFrame:
-    """(pair_id, i, j, d) by name: nn, binary or binary_lsh; the ratio test, or with cross_check the mutual best."""
-    finders = {"nn": nearest, "binary": hamming, "binary_lsh": hamming_lsh}
+    """(pair_id, i, j, d) by name: nn, nn_approximate, binary or binary_lsh; the ratio test, or with cross_check the mutual best."""
+    finders = {"nn": nearest, "nn_approximate": approximate, "binary": hamming, "binary_lsh": hamming_lsh}
     if method not in finders:
         raise NotImplementedError(method)
     find = finders[method]

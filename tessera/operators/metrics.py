@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as geo
+
 #: The epipolar threshold of each data set.
 EPIPOLAR_THRESHOLDS = {"scannet": 5e-4, "megadepth": 1e-4, "gl3d": 1e-4}
 
@@ -67,6 +69,24 @@ def keep_last(table: DataFrame, keys: Sequence[str], position: str) -> DataFrame
     return got.select(*keys, "x.*", "first_seen")
 
 
+def epipolar_errors(matches: DataFrame, poses: DataFrame) -> DataFrame:
+    """matches (pair_id, x1, y1, x2, y2, ...), of any layers and sides, with ``epi_err``; poses: (pair_id, rotation, translation, k0, k1).
+
+    The essential matrix of each pair is worked out once, on the pairs.
+    """
+    e = geo.essential(F.col("rotation"), [F.col("translation")[k] for k in range(3)])
+    cameras = poses.select("pair_id", e.alias("e_"), F.col("k0").alias("k0_"), F.col("k1").alias("k1_"))
+    d = geo.symmetric_epipolar((F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")), F.col("e_"), F.col("k0_"), F.col("k1_"))
+    return matches.join(cameras, "pair_id").withColumn("epi_err", d).drop("e_", "k0_", "k1_")
+
+
+def rank_mean(values: DataFrame, names: Sequence[str], average: bool = True) -> DataFrame:
+    """(name, value) over the rows of all ranks: the mean of each of the columns, or the sum."""
+    agg = F.avg if average else F.sum
+    one = values.agg(*[agg(F.col(n).cast("double")).alias(n) for n in names])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])).alias("x")).select("x.*")
+
+
 def aggregate_metrics(results: DataFrame, threshold: float, thresholds: Sequence[float] = (5, 10, 20)) -> DataFrame:
     """(metric, value) of results (identifier, position, r_err, t_err, epi_errs array): last row of each identifier, AUC of the larger error, precision."""
     last = keep_last(results, ["identifier"], "position")
@@ -109,7 +129,11 @@ def confusion(decisions: DataFrame, predicted: str = "predicted", truth: str = "
 
 
 def expand_sequences(counts: DataFrame, name: str = "sequence", n: str = "n", order: str = "position") -> DataFrame:
-    """(sequence, pair_index, offset) from (position, sequence, n): a row for each pair, numbered through all sequences; offset is the sequence's first."""
+    """(sequence, pair_index, offset) from (position, sequence, n): a row for each pair, numbered through all sequences; offset is the sequence's first.
+
+    One row for each sequence is summed up in order: sequences are image
+    folders, whose pairs are the rows that grow.
+    """
     before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     t = counts.withColumn("offset", F.coalesce(F.sum(n).over(before), F.lit(0))).where(F.col(n) > 0)
     return t.select(name, "offset", F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("k")).select(name, (F.col("offset") + F.col("k")).alias("pair_index"), "offset")

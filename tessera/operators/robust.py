@@ -13,8 +13,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.transforms import affine_from_points, quaternion_from_matrix
+from ..functions import geometry as geo
+from ..functions.transforms import affine_from_points, quaternion_from_matrix, superimposition_matrix
 
 
 def _norm(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,22 +67,25 @@ def sampson_errors(f: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(d), d, np.inf)
 
 
-def ransac(p: np.ndarray, q: np.ndarray, fit: Callable, errors: Callable, sample: int, threshold: float, confidence: float, most: int, rng: np.random.Generator) -> tuple[np.ndarray | None, np.ndarray]:
-    """Model and inliers of the best sample, refitted to its inliers while that keeps more."""
+def ransac(p: np.ndarray, q: np.ndarray, fit: Callable, errors: Callable, sample: int, threshold: float, confidence: float, most: int, rng: np.random.Generator, minimal: Callable | None = None) -> tuple[np.ndarray | None, np.ndarray]:
+    """Model and inliers of the best sample, refitted to its inliers while that keeps more.
+
+    ``minimal``: all models of a sample, where ``fit`` needs more points.
+    """
     n, best, mask, need, tried = len(p), None, np.zeros(len(p), bool), most, 0
     while tried < min(need, most):
         tried += 1
         at = rng.choice(n, sample, replace=False)
-        model = fit(p[at], q[at])
-        if model is None:
-            continue
-        own = errors(model, p, q) < threshold
-        if own.sum() > mask.sum():
-            best, mask = model, own
-            share = min(1 - 1e-9, mask.mean() ** sample)
-            need = int(np.ceil(np.log(max(1e-12, 1 - confidence)) / np.log(1 - share))) if share > 0 else most
+        for model in minimal(p[at], q[at]) if minimal else [fit(p[at], q[at])]:
+            if model is None:
+                continue
+            own = errors(model, p, q) < threshold
+            if own.sum() > mask.sum():
+                best, mask = model, own
+                share = min(1 - 1e-9, mask.mean() ** sample)
+                need = int(np.ceil(np.log(max(1e-12, 1 - confidence)) / np.log(1 - share))) if share > 0 else most
     for _ in range(5):
-        if best is None or mask.sum() < sample:
+        if best is None or mask.sum() < (8 if minimal else sample):
             break
         model = fit(p[mask], q[mask])
         own = errors(model, p, q) < threshold if model is not None else mask & False
@@ -155,28 +160,85 @@ def fundamental(matches: DataFrame, threshold: float = 1.0, most: int = 2000, co
     return _grouped(matches, key, "f array<double>, n int, inliers int", estimate)
 
 
-def relative_pose(matches: DataFrame, threshold: float = 1.0, most: int = 2000, confidence: float = 0.99999, identity_fallback: bool = False, key: str = "pair_id") -> DataFrame:
+def fit_essential(p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
+    """Of eight points or more: the eight-point fit, with equal singular values."""
+    f = fit_fundamental(p, q)
+    if f is None:
+        return None
+    u, _, vh = np.linalg.svd(f)
+    return u @ np.diag([1.0, 1.0, 0.0]) @ vh
+
+
+#: Powers of (x, y, z) up to degree three, those of degree three first.
+_POWERS = sorted(((a, b, c) for a in range(4) for b in range(4 - a) for c in range(4 - a - b)), key=lambda m: (-sum(m), [-v for v in m]))
+_PLACE = {m: k for k, m in enumerate(_POWERS)}
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials, held as cubes of coefficients by powers."""
+    out = np.zeros((4, 4, 4))
+    for i, j, k in np.argwhere(a):
+        for u, v, w in np.argwhere(b):
+            out[i + u, j + v, k + w] += a[i, j, k] * b[u, v, w]
+    return out
+
+
+def five_points(p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+    """All essential matrices of five correspondences in camera coordinates, up to ten.
+
+    The matrices that meet the five constraints are x A + y B + z C + D; the
+    cubic equations of an essential matrix, its determinant and its trace
+    condition, are reduced to a multiplication by x in the ring of what is left,
+    whose eigenvectors hold the solutions.
+    """
+    m = (_hom(q)[:, :, None] * _hom(p)[:, None, :]).reshape(len(p), 9)
+    basis = np.linalg.svd(m)[2][-4:].reshape(4, 3, 3)
+    e = np.zeros((3, 3, 4, 4, 4))
+    for k, at in enumerate(((1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 0))):
+        e[:, :, *at] = basis[k]
+    times = lambda a, b: sum(_product(x, y) for x, y in zip(a, b, strict=True))
+    square = [[times(e[r], e[c]) for c in range(3)] for r in range(3)]
+    trace = square[0][0] + square[1][1] + square[2][2]
+    rows = [2 * times(square[r], e[:, c]) - _product(trace, e[r, c]) for r in range(3) for c in range(3)]
+    minor = lambda a, b: _product(e[1, a], e[2, b]) - _product(e[1, b], e[2, a])
+    rows.append(times(e[0], [minor(1, 2), minor(2, 0), minor(0, 1)]))
+    system = np.array([[r[at] for at in _POWERS] for r in rows])
+    try:
+        reduced = np.linalg.solve(system[:, :10], system[:, 10:])
+    except np.linalg.LinAlgError:
+        return []
+    action = np.zeros((10, 10))
+    for k, (a, b, c) in enumerate(_POWERS[10:]):
+        to = _PLACE[a + 1, b, c]
+        if to < 10:
+            action[k] = -reduced[to]
+        else:
+            action[k, to - 10] = 1
+    values, vectors = np.linalg.eig(action)
+    out = []
+    for k in np.flatnonzero((np.abs(values.imag) < 1e-9 * (1 + np.abs(values.real))) & (np.abs(vectors[-1]) > 1e-12)):
+        own = (vectors[:, k] / vectors[-1, k]).real
+        x, y, z = (own[_PLACE[at] - 10] for at in ((1, 0, 0), (0, 1, 0), (0, 0, 1)))
+        one = x * basis[0] + y * basis[1] + z * basis[2] + basis[3]
+        out.append(one / np.linalg.norm(one))
+    return out
+
+
+def relative_pose(matches: DataFrame, threshold: float = 1.0, most: int = 1000, confidence: float = 0.99999, identity_fallback: bool = False, key: str = "pair_id") -> DataFrame:
     """(key, rotation, translation array, inliers) from (key, x1, y1, x2, y2, k0, k1 arrays).
 
     Points are normalised by the cameras, the threshold by the mean focal
-    length; the essential matrix is the rank-two fit with equal singular
-    values.  Fewer than eight matches give nulls, or the identity if asked for.
+    length; samples of five points give the essential matrices that are tried.
+    Fewer than five matches give nulls, or the identity if asked for.
     """
 
-    def fit(p, q):
-        f = fit_fundamental(p, q)
-        if f is None:
-            return None
-        u, _, vh = np.linalg.svd(f)
-        return u @ np.diag([1.0, 1.0, 0.0]) @ vh
-
     def estimate(p, q, first, rng):
         k0, k1 = (np.array(first[k], float).reshape(3, 3) for k in ("k0", "k1"))
         norm = lambda x, k: (x - k[[0, 1], [2, 2]]) / k[[0, 1], [0, 1]]
         a, b = norm(p, k0), norm(q, k1)
         e, mask = (None, None)
-        if len(p) >= 8:
-            e, mask = ransac(a, b, fit, sampson_errors, 8, threshold / np.mean([k0[0, 0], k1[1, 1], k0[0, 0], k1[1, 1]]), confidence, most, rng)
+        if len(p) >= 5:
+            e, mask = ransac(a, b, fit_essential, sampson_errors, 5, threshold / np.mean([k0[0, 0], k1[1, 1], k0[0, 0], k1[1, 1]]), confidence, most, rng, five_points)
         if e is None or mask.sum() < 5:
             return {"rotation": np.eye(3).ravel().tolist(), "translation": [0.0, 0.0, 0.0], "inliers": 0} if identity_fallback else {}
         r, t, front = decompose_essential(e, a[mask], b[mask])
@@ -185,6 +247,24 @@ def relative_pose(matches: DataFrame, threshold: float = 1.0, most: int = 2000,
     return _grouped(matches, key, "rotation array<double>, translation array<double>, inliers int", estimate, ("k0", "k1"))
 
 
+def pose_errors(poses: DataFrame, truth: DataFrame, key: str = "pair_id") -> DataFrame:
+    """(key, r_err, t_err) in degrees of estimated poses (key, rotation, translation) against truth (key, rotation, translation).
+
+    A pair without an estimate has infinite errors.
+    """
+    t = truth.select(key, F.col("rotation").alias("r1"), F.col("translation").alias("t1")).join(poses.select(key, F.col("rotation").alias("r2"), F.col("translation").alias("t2")), key, "left")
+    parts = lambda c: [F.col(c)[k] for k in range(3)]
+    lost = F.lit(float("inf"))
+    return t.select(key, F.when(F.col("r2").isNull(), lost).otherwise(geo.rotation_error(F.col("r2"), F.col("r1"))).alias("r_err"), F.when(F.col("t2").isNull(), lost).otherwise(geo.translation_error(parts("t2"), parts("t1"))).alias("t_err"))
+
+
+def with_inliers(matches: DataFrame, models: DataFrame, threshold: float, key: str = "pair_id") -> DataFrame:
+    """matches with ``inlier``, by the reprojection error of the pair's homography (key, h); null where it has none."""
+    own = matches.join(models.select(key, F.col("h").alias("model")), key, "left")
+    d = geo.reprojection_error(F.col("model"), (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")))
+    return own.withColumn("inlier", F.when(F.col("model").isNotNull(), F.coalesce(d < threshold, F.lit(False)))).drop("model")
+
+
 def affine(matches: DataFrame, shear: bool = True, scale: bool = True, usesvd: bool = True, key: str = "pair_id") -> DataFrame:
     """(key, m array): least squares registration of each pair's points; null with fewer than three."""
 
@@ -194,37 +274,49 @@ def affine(matches: DataFrame, shear: bool = True, scale: bool = True, usesvd: b
     return _grouped(matches, key, "m array<double>", estimate)
 
 
-def _borders(line: np.ndarray, size: np.ndarray) -> np.ndarray | None:
-    """Where a line enters and leaves an image, if it does so at two sides."""
-    a, b, c = line
-    w, h = size
-    a_, b_ = a + (1e-8 if a >= 0 else -1e-8), b + (1e-8 if b >= 0 else -1e-8)
-    ends = [(0, -c / b_), (w - 1, (-c - a * (w - 1)) / b_), (-c / a_, 0), ((-c - b * (h - 1)) / a_, h - 1)]
-    inside = [e for k, e in enumerate(ends) if 0 <= e[k < 2] <= (h - 1 if k < 2 else w - 1)]
-    return np.array(inside) if len(inside) == 2 else None
+def _on_lines(lines: np.ndarray, size: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A point of each line inside an image, at a share of the way through it, and which lines cross the image.
+
+    A line runs from its point nearest to the origin along its direction; each
+    coordinate is inside for a range of the way, and the image for what the
+    ranges have in common.
+    """
+    normal = lines[:, :2]
+    square = np.maximum((normal**2).sum(axis=1), 1e-300)
+    foot, ahead = -normal * (lines[:, 2] / square)[:, None], np.column_stack([-lines[:, 1], lines[:, 0]]) / np.sqrt(square)[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ends = np.sort(np.stack([-foot / ahead, (size - 1 - foot) / ahead]), axis=0)
+    level = np.abs(ahead) < 1e-12  # along a side: inside all the way, or nowhere
+    inside = (foot >= 0) & (foot <= size - 1)
+    ends[0] = np.where(level, np.where(inside, -np.inf, np.inf), ends[0])
+    ends[1] = np.where(level, np.where(inside, np.inf, -np.inf), ends[1])
+    start, end = ends[0].max(axis=1), ends[1].min(axis=1)
+    crosses = np.isfinite(start) & np.isfinite(end) & (start < end)
+    way = np.where(crosses, start + share * (end - start), 0.0)
+    return foot + ahead * way[:, None], crosses
+
+
+def _gap(lines: np.ndarray, points: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Distances from lines, in image diagonals."""
+    return np.abs((lines * _hom(points)).sum(axis=1)) / (np.hypot(lines[:, 0], lines[:, 1]) + 1e-8) / np.linalg.norm(size)
 
 
 def geometric_distance(f1: np.ndarray, f2: np.ndarray, size1: np.ndarray, size2: np.ndarray, samples: int = 1000, seed: int = 1234) -> float:
-    """Mean normalised distance between the epipolar geometries of two matrices, from random points; 1 if none can be drawn."""
-    rng, sizes = np.random.default_rng(seed), (np.asarray(size1, float), np.asarray(size2, float))
-
-    def once(f, g):
-        x = (sizes[0] - 1) * rng.random(2)
-        ends = _borders(f @ np.append(x, 1), sizes[1])
-        if ends is None:
-            return None
-        y = ends[0] + (ends[1] - ends[0]) * rng.random()
-        gap = lambda line, p, s: abs(line @ np.append(p, 1)) / (np.hypot(*line[:2]) + 1e-8) / np.linalg.norm(s)
-        return (gap(g @ np.append(x, 1), y, sizes[1]) + gap(g.T @ np.append(y, 1), x, sizes[0])) / 2
-
-    got: list[float] = []
-    for _ in range(10 * samples):
-        if (a := once(f1, f2)) is None or (b := once(f2, f1)) is None:
-            continue
-        got.append((a + b) / 2)
-        if len(got) == samples:
-            break
-    return float(np.mean(got)) if got else 1.0
+    """Mean normalised distance between the epipolar geometries of two matrices; 1 if no point can be drawn.
+
+    A point of the first image and one on its line by one matrix are a pair,
+    whose distances to each other's lines by the other matrix are averaged,
+    both ways.  All tries are drawn at once, and the first ``samples`` count
+    whose lines cross the second image by both matrices.
+    """
+    rng, one, two = np.random.default_rng(seed), np.asarray(size1, float), np.asarray(size2, float)
+    total, valid = np.zeros(10 * samples), np.ones(10 * samples, bool)
+    for f, g in ((f1, f2), (f2, f1)):
+        x = (one - 1) * rng.random((10 * samples, 2))
+        y, crosses = _on_lines(_hom(x) @ f.T, two, rng.random(10 * samples))
+        valid &= crosses
+        total += (_gap(_hom(x) @ g.T, y, two) + _gap(_hom(y) @ g, x, one)) / 2
+    return float(total[valid][:samples].mean() / 2) if valid.any() else 1.0
 
 
 def fundamental_distance(pairs: DataFrame, key: str = "pair_id", samples: int = 1000) -> DataFrame:
@@ -252,3 +344,41 @@ def random_homography(rng: np.random.Generator, perturb: float = 0.25) -> np.nda
     """From the corners of the unit square to corners moved by up to ``perturb``."""
     corners = np.array([[0, 0], [0, 1], [1, 0], [1, 1]], float)
     return fit_homography(corners, corners + rng.uniform(-perturb, perturb, (4, 2)))
+
+
+def _each(table: DataFrame, key: str, columns: tuple[str, ...], schema: str, f: Callable[[dict], tuple]) -> DataFrame:
+    """(key, ...) with f of each row, in Arrow batches."""
+    kind = table.schema[key].dataType.simpleString()
+    names, types = zip(*[x.split() for x in schema.split(", ")], strict=True)
+    arrow = {"double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+
+    def run(batches):
+        for b in batches:
+            found = [f(r) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([x[k] for x in found], arrow[t]) for k, t in enumerate(types)]], names=[key, *names])
+
+    return table.select(key, *columns).mapInArrow(run, f"{key} {kind}, {schema}")
+
+
+def pose_differences(poses: DataFrame, key: str = "pair_id") -> DataFrame:
+    """(key, r_err, t_err) in degrees of rows (key, r_true, t_true, r, t): rotations by quaternions, directions up to sign."""
+    square = lambda v: np.reshape(v, (3, 3))
+    return _each(poses, key, ("r_true", "t_true", "r", "t"), "r_err double, t_err double", lambda x: pose_difference(square(x["r_true"]), np.array(x["t_true"]), square(x["r"]), np.array(x["t"])))
+
+
+def random_homographies(pairs: DataFrame, perturb: float = 0.25, seed: int = 0, key: str = "pair_id") -> DataFrame:
+    """(key, h array): a random homography of the unit square for each key, the same in every run."""
+    return _each(pairs, key, (), "h array<double>", lambda x: (random_homography(np.random.default_rng([seed, zlib.crc32(repr(x[key]).encode())]), perturb).ravel().tolist(),))
+
+
+def superimpositions(matches: DataFrame, scale: bool = False, usesvd: bool = True, key: str = "pair_id") -> DataFrame:
+    """(key, m array): the rigid transform, or the similarity, of each pair's points in space (x1, y1, z1, x2, y2, z2), 4 x 4; null with fewer than three."""
+    kind = matches.schema[key].dataType.simpleString()
+    names = ("x1", "y1", "z1", "x2", "y2", "z2")
+
+    def run(table: pa.Table) -> pa.Table:
+        at = np.column_stack([table.sort_by([(c, "ascending") for c in names])[c].to_numpy().astype(float) for c in names])
+        m = superimposition_matrix(at[:, :3].T, at[:, 3:].T, scale, usesvd).ravel().tolist() if len(at) >= 3 else None
+        return pa.table([table[key].slice(0, 1).combine_chunks(), pa.array([m], pa.list_(pa.float64()))], names=[key, "m"])
+
+    return matches.dropna(subset=list(names)).select(key, *names).groupBy(key).applyInArrow(run, f"{key} {kind}, m array<double>")

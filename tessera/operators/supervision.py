@@ -59,6 +59,25 @@ def correspondences(left: DataFrame, right: DataFrame, near: float, far: float)
     return matches, rows.where(F.col("d") > far).select("pair_id", "i"), cols.where(F.col("d") > far).select("pair_id", "j")
 
 
+def best_of_same_place(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(pair_id, i, j): of keypoints that share a match's places, the two whose descriptors agree most, ties to the smaller indices.
+
+    left and right: (pair_id, idx, x, y, descriptor).  Descriptors are only
+    fetched for matches with such keypoints.
+    """
+    place = lambda t, i, g: t.select("pair_id", F.col("idx").alias(i), F.struct("x", "y").alias(g))
+    many = lambda t, g, n: t.groupBy("pair_id", F.struct("x", "y").alias(g)).agg(F.count("*").alias(n))
+    m = matches.select("pair_id", "i", "j").join(place(left, "i", "a"), ["pair_id", "i"]).join(place(right, "j", "b"), ["pair_id", "j"])
+    m = m.join(many(left, "a", "na"), ["pair_id", "a"]).join(many(right, "b", "nb"), ["pair_id", "b"])
+    alone = m.where("na = 1 AND nb = 1").select("pair_id", "i", "j")
+    several = m.where("na > 1 OR nb > 1").select("pair_id", F.col("i").alias("mi"), F.col("j").alias("mj"), "a", "b")
+    side = lambda t, i, g, d: t.select("pair_id", F.struct("x", "y").alias(g), F.col("idx").alias(i), F.col("descriptor").alias(d))
+    met = several.join(side(left, "i", "a", "u"), ["pair_id", "a"]).join(side(right, "j", "b", "v"), ["pair_id", "b"])
+    dot = F.aggregate(F.zip_with("u", "v", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
+    best = met.groupBy("pair_id", "mi", "mj").agg(F.min(F.struct((-dot).alias("d"), "i", "j")).alias("m"))
+    return alone.unionByName(best.select("pair_id", F.col("m.i").alias("i"), F.col("m.j").alias("j")))
+
+
 def at_valid(points: DataFrame, mask: DataFrame) -> DataFrame:
     """Points (image_id, cell, x, y) of padded cells go to the origin; mask: (image_id, cell) of the cells that count."""
     t = points.join(mask.select("image_id", "cell", F.lit(True).alias("on")), ["image_id", "cell"], "left")
@@ -101,8 +120,17 @@ def padded_samples(found: DataFrame, truth: DataFrame, n: int, least_truth: int,
 
 
 def rank_split(items: DataFrame, ranks: int, seed: int, key: str) -> DataFrame:
-    """Adds ``rank``: a seeded permutation dealt to ranks of equal sizes; items short of a whole round are there twice."""
-    order = Window.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key)
-    t = items.withColumn("place", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(1))))
-    spare = t.where(F.col("place") < F.pmod(-F.col("n"), F.lit(ranks))).withColumn("place", F.col("place") + F.col("n"))
-    return t.unionByName(spare).withColumn("rank", F.pmod("place", F.lit(ranks)).cast("int")).drop("place", "n")
+    """Adds ``rank``: a seeded permutation dealt to ranks of equal sizes; items short of a whole round are there twice.
+
+    Keys are distinct.  Items are permuted inside blocks of their hashes, and
+    only the blocks' sizes are summed up in order.
+    """
+    n = items.count()
+    blocks = max(1, n // 100_000)
+    t = items.withColumn("hash", F.xxhash64(F.lit(seed), F.col(key).cast("string"))).withColumn("block", F.pmod("hash", F.lit(blocks)))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = t.groupBy("block").agg(F.count("*").alias("size")).withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
+    order = Window.partitionBy("block").orderBy("hash", key)
+    t = t.join(F.broadcast(starts) if blocks <= 100_000 else starts, "block").withColumn("place", F.col("start") + F.row_number().over(order) - 1)
+    spare = t.where(F.col("place") < -n % ranks).withColumn("place", F.col("place") + n)
+    return t.unionByName(spare).withColumn("rank", F.pmod("place", F.lit(ranks)).cast("int")).drop("place", "hash", "block", "start")

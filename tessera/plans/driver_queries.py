@@ -17,6 +17,7 @@ from ..functions import geometry as geo
 from ..functions import transforms as tr
 from ..operators import assign, keypoints, knn, metrics, robust
 from ..streaming import frames
+from . import registry
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,13 +104,22 @@ def inverse_ratio_score(spark, d):
     return knn.inverse_ratio(t).select("i", F.round("score", 5).alias("score"))
 
 
-BITS = """WITH c AS (SELECT vec_id, list_sum([CASE WHEN embedding[k] > 0 THEN 1::BIGINT << (k - 1) ELSE 0 END FOR k IN range(1, 63)])::BIGINT AS w FROM embeddings),
+@query("SELECT true AS every_row, true AS recall_90")
+def approximate_knn(spark, d):
+    """Every query row has two neighbours, and nine of ten are those of nearest."""
+    a, b = sides(spark, d)
+    found, exact = knn.approximate(a, b, 2), knn.nearest(a, b, 2).select("pair_id", "i", "j", F.lit(True).alias("near"))
+    t = found.join(exact, ["pair_id", "i", "j"], "left").agg(F.count("*").alias("n"), F.count("near").alias("hits"))
+    n = a.count()
+    return t.select((F.col("n") == 2 * n).alias("every_row"), (F.col("hits") >= 0.9 * 2 * n).alias("recall_90"))
+
+
+BITS = """WITH c AS (SELECT vec_id, list_sum([CASE WHEN embedding[k] > 0 THEN 1::BIGINT << (k - 1) ELSE 0 END FOR k IN range(1, 64)])::BIGINT + CASE WHEN embedding[64] > 0 THEN -9223372036854775808 ELSE 0 END AS w FROM embeddings),
 a AS (SELECT vec_id AS i, w AS x FROM c WHERE vec_id % 2 = 0), b AS (SELECT vec_id AS j, w AS y FROM c WHERE vec_id % 2 = 1) """
 
 
 def codes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    # the first 62 dimensions, as BITS has it; sign_bits takes all that it is given
-    return tuple(s.select("pair_id", "idx", knn.sign_bits(F.slice("descriptor", 1, 62)).alias("descriptor")) for s in sides(spark, d))
+    return tuple(s.select("pair_id", "idx", knn.sign_bits(F.col("descriptor")).alias("descriptor")) for s in sides(spark, d))
 
 
 @query(BITS + "SELECT i, r AS rank, j, d FROM (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM (SELECT i, j, bit_count(xor(x, y))::BIGINT AS d FROM a, b)) WHERE r <= 2")
@@ -486,12 +496,13 @@ def fundamental_inlier_rate(spark, d):
     return geo_points(spark, d).agg(r6(F.avg(inlier.cast("double"))).alias("rate"))
 
 
-@query("SELECT vec_id, round(least(a, 360 - a), 4) AS rotation, round(least(b, 180 - b), 4) AS translation FROM (SELECT vec_id, (vec_id * 7 % 360)::DOUBLE AS a, degrees(acos(cos(radians((vec_id * 11 % 180)::DOUBLE)))) AS b FROM embeddings) WHERE a BETWEEN 5 AND 355 AND a NOT BETWEEN 175 AND 185")
+@query("SELECT vec_id, round(least(a, 360 - a), 3) AS rotation, round(least(b, 180 - b), 4) AS translation FROM (SELECT vec_id, (vec_id * 7 % 360)::DOUBLE AS a, degrees(acos(cos(radians((vec_id * 11 % 180)::DOUBLE)))) AS b FROM embeddings)")
 def pose_errors(spark, d):
+    # acos loses half of the digits near 0 and 180 degrees, so degrees are rounded to three places
     a, b, o = F.radians(F.expr("CAST(vec_id * 7 % 360 AS DOUBLE)")), F.radians(F.expr("CAST(vec_id * 11 % 180 AS DOUBLE)")), F.lit(0.0)
     turn = F.array(F.cos(a), -F.sin(a), o, F.sin(a), F.cos(a), o, o, o, F.lit(1.0))
-    t = table(spark, d, "embeddings").where("vec_id * 7 % 360 BETWEEN 5 AND 355 AND vec_id * 7 % 360 NOT BETWEEN 175 AND 185")
-    return t.select("vec_id", F.round(geo.rotation_error(turn, geo.matrix([1, 0, 0, 0, 1, 0, 0, 0, 1])), 4).alias("rotation"), F.round(geo.translation_error([F.cos(b) * 2, F.sin(b) * 2, o], [F.lit(3.0), o, o]), 4).alias("translation"))
+    t = table(spark, d, "embeddings")
+    return t.select("vec_id", F.round(geo.rotation_error(turn, geo.matrix([1, 0, 0, 0, 1, 0, 0, 0, 1])), 3).alias("rotation"), F.round(geo.translation_error([F.cos(b) * 2, F.sin(b) * 2, o], [F.lit(3.0), o, o]), 4).alias("translation"))
 
 
 @query(GEO + """, z AS (SELECT *, 2 + (id % 5) * 0.5 AS z FROM p), c AS (SELECT id, x, y, ((x - 320) / 500 * z + 0.1) AS cx, ((y - 240) / 510 * z - 0.2313) AS cy, z + 0.05 AS cz FROM z), w AS (SELECT id, (500 * cx + 320 * cz) / (cz + 1e-4) AS wx, (510 * cy + 240 * cz) / (cz + 1e-4) AS wy, cz FROM c)
@@ -521,41 +532,85 @@ def quaternion_slerp(spark, d):
     return table(spark, d, "embeddings").select("vec_id", r6(q[0]).alias("qw"), r6(q[1]).alias("qx"))
 
 
-# grouped estimation: rows only here, planted truth in tests
+# grouped estimation of planted models: the inliers are those that were left where the model puts them
+
+OUT = "(vec_id // 10) % 10 < 3"
 
 
 def _planted(spark: SparkSession, d: str) -> DataFrame:
     x, y = geo.perspective(geo.matrix(H), pq()[0])
     t = geo_points(spark, d).select(F.expr("id % 10").alias("pair_id"), "id", F.col("x").alias("x1"), F.col("y").alias("y1"), x.alias("x2"), y.alias("y2"))
-    return t.withColumn("x2", F.when(F.expr("(id div 10) % 10 < 3"), F.col("x2") + 60 + F.expr("id % 50")).otherwise(F.col("x2"))).drop("id")
+    return t.withColumn("x2", F.when(F.expr("(id div 10) % 10 < 3"), F.col("x2") + 60 + F.expr("id % 50")).otherwise(F.col("x2")))
 
 
-@query()
+@query(f"SELECT vec_id % 10 AS pair_id, count(*) AS n, count(*) FILTER (NOT ({OUT})) AS inliers, round(avg(CASE WHEN {OUT} THEN 0.0 ELSE 1 END), 6) AS ratio, 0.0::DOUBLE AS error FROM embeddings GROUP BY 1")
 def ransac_homography(spark, d):
-    return robust.homography(_planted(spark, d), 5.0).select("pair_id", "n", "inliers", r6("ratio").alias("ratio"), r6("error").alias("error"))
+    return robust.homography(_planted(spark, d), 5.0).select("pair_id", big("n").alias("n"), big("inliers").alias("inliers"), r6("ratio").alias("ratio"), F.abs(r6("error")).alias("error"))
+
+
+@query(f"SELECT vec_id % 10 AS pair_id, vec_id AS id, NOT ({OUT}) AS inlier FROM embeddings")
+def homography_inliers(spark, d):
+    m = _planted(spark, d)
+    return robust.with_inliers(m, robust.homography(m, 5.0), 5.0).select("pair_id", "id", "inlier")
+
+
+@query(f"SELECT vec_id % 10 AS pair_id, vec_id AS id, round(((vec_id * 37) % 640)::DOUBLE, 6) AS x1, CASE WHEN {OUT} THEN 'outlier' ELSE 'inlier' END AS kind FROM embeddings")
+def match_segments(spark, d):
+    m = _planted(spark, d)
+    return registry.match_segments(robust.with_inliers(m, robust.homography(m, 5.0), 5.0), 640, "id").select("pair_id", "id", r6("x1").alias("x1"), "kind")
+
+
+def _two_views(spark: SparkSession, d: str) -> DataFrame:
+    """Points at many depths, seen from two cameras; some are moved across their lines."""
+    k, pose = geo.matrix(K), geo.matrix(POSE)
+    x, y, _ = geo.warp(pq()[0], F.expr("CAST(2 + (id * 13 % 17) * 0.4 AS DOUBLE)"), pose, k, k)
+    t = geo_points(spark, d).select(F.expr("id % 10").alias("pair_id"), "id", F.col("x").alias("x1"), F.col("y").alias("y1"), x.alias("x2"), y.alias("y2"))
+    return t.withColumn("x2", F.when(F.expr("(id div 10) % 10 < 3"), F.col("x2") + 90 + F.expr("id % 50")).otherwise(F.col("x2")))
 
 
-@query()
+#: A shift mostly upwards, so that epipolar lines are steep.
+POSE = (1.0, 0.0, 0.0, 0.05, 0.0, 1.0, 0.0, -0.9, 0.0, 0.0, 1.0, 0.1, 0.0, 0.0, 0.0, 1.0)
+
+
+@query(f"SELECT vec_id % 10 AS pair_id, count(*) AS n, count(*) FILTER (NOT ({OUT})) AS inliers FROM embeddings GROUP BY 1")
 def ransac_fundamental(spark, d):
-    return robust.fundamental(_planted(spark, d)).select("pair_id", "n", "inliers")
+    return robust.fundamental(_two_views(spark, d), threshold=0.5).select("pair_id", big("n").alias("n"), big("inliers").alias("inliers"))
+
+
+@query("SELECT DISTINCT vec_id % 10 AS pair_id, true AS rotation_found, true AS direction_found FROM embeddings")
+def essential_pose(spark, d):
+    """Poses from samples of five, against the planted one, to half a degree."""
+    m = _two_views(spark, d).withColumn("k0", geo.matrix(K)).withColumn("k1", geo.matrix(K))
+    truth = m.select("pair_id").distinct().withColumn("rotation", geo.matrix([1, 0, 0, 0, 1, 0, 0, 0, 1])).withColumn("translation", geo.matrix([0.05, -0.9, 0.1]))
+    e = robust.pose_errors(robust.relative_pose(m, 0.5), truth)
+    return e.select("pair_id", (F.col("r_err") < 0.5).alias("rotation_found"), (F.col("t_err") < 0.5).alias("direction_found"))
+
+
+@query("SELECT DISTINCT vec_id % 10 AS pair_id, vec_id % 10 = 3 AS lost FROM embeddings")
+def failed_pose_is_infinite(spark, d):
+    """A pair with four matches has no pose."""
+    m = _two_views(spark, d).withColumn("k0", geo.matrix(K)).withColumn("k1", geo.matrix(K))
+    truth = m.select("pair_id").distinct().withColumn("rotation", geo.matrix([1, 0, 0, 0, 1, 0, 0, 0, 1])).withColumn("translation", geo.matrix([0.05, -0.9, 0.1]))
+    e = robust.pose_errors(robust.relative_pose(m.where("pair_id <> 3 OR id < 40"), 0.5), truth)
+    return e.select("pair_id", ((F.col("r_err") == float("inf")) & (F.col("t_err") == float("inf"))).alias("lost"))
 
 
-@query()
+@query("SELECT DISTINCT vec_id % 10 AS pair_id, 0.9::DOUBLE AS m00, 0.1::DOUBLE AS m01, 30.0::DOUBLE AS m02, -0.05::DOUBLE AS m10, 1.1::DOUBLE AS m11, -20.0::DOUBLE AS m12 FROM embeddings")
 def affine_registration(spark, d):
-    return robust.affine(_planted(spark, d)).select("pair_id", r6(F.col("m")[0]).alias("m00"))
+    t = geo_points(spark, d).select(F.expr("id % 10").alias("pair_id"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.expr("0.9 * x + 0.1 * y + 30").cast("double").alias("x2"), F.expr("-0.05 * x + 1.1 * y - 20").cast("double").alias("y2"))
+    return robust.affine(t).select("pair_id", *[r6(F.col("m")[3 * r + c]).alias(f"m{r}{c}") for r in range(2) for c in range(3)])
 
 
-@query()
+@query("SELECT vec_id % 10 AS pair_id, count(*) AS n, vec_id % 10 < 6 AS same FROM embeddings GROUP BY ALL")
 def verify_pairs(spark, d):
-    """From matches of each pair of labels to a decision: the whole classical pipeline."""
-    e = table(spark, d, "embeddings")
-    label = e.select("vec_id", "label")
-    a, b = sides(spark, d)
-    m = knn.mutual_nn(a, b, RATIO).join(label.select(F.col("vec_id").alias("i"), F.col("label").alias("la")), "i").join(label.select(F.col("vec_id").alias("j"), F.col("label").alias("lb")), "j")
-    at = lambda v, k, n: F.expr(f"CAST(({v} * {k}) % {n} AS DOUBLE)")
-    m = m.select((F.col("la") * 10 + F.col("lb")).alias("pair_id"), at("i", 37, 640).alias("x1"), at("i", 91, 480).alias("y1"), at("j", 37, 640).alias("x2"), at("j", 91, 480).alias("y2"))
-    h = robust.homography(m, 5.0)
-    return h.select("pair_id", "n", "inliers", r6("ratio").alias("ratio"), metrics.decide(F.col("ratio"), F.col("error"), *metrics.DECISIONS["classical"]).alias("same"))
+    """From keypoints of both images to a decision: as many tenths of a pair's points are out of place as its number says."""
+    x, y = geo.perspective(geo.matrix(H), pq()[0])
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("descriptor"))
+    t = geo_points(spark, d).join(e, "id").select(F.expr("id % 10").alias("pair_id"), F.col("id").alias("idx"), F.col("x"), F.col("y"), x.alias("u"), y.alias("v"), F.lit(1.0).alias("score"), "descriptor")
+    moved = F.when(F.expr("(idx div 10) % 10 < pair_id"), F.col("u") + 60 + F.expr("idx * 31 % 397")).otherwise(F.col("u"))
+    side = lambda x, y: t.select("pair_id", "idx", x.alias("x"), y.alias("y"), "score", "descriptor")
+    found = registry.verify(side(F.col("x"), F.col("y")), side(moved, F.when(F.expr("(idx div 10) % 10 < pair_id"), F.col("v") - F.expr("idx * 17 % 211")).otherwise(F.col("v"))), registry.PRESETS["classical"].with_(matcher="nn", keypoints=1_000_000))
+    return found.select("pair_id", big("n").alias("n"), "same")
 
 
 # streams, in their batch form

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field, fields, replace
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import keypoints, knn, metrics, robust
+from ..sources import corpus, images
 
 
 class FeatureExtractor(Protocol):
@@ -51,6 +52,26 @@ PRESETS = {
     "coarse_to_fine": Parameters("nn", 0.9, True, 4000, False, "coarse_to_fine", "coarse_to_fine", {"threshold": 0.2, "border": 2}),
 }
 
+
+
+def merged(base: Parameters, changes: Mapping[str, object]) -> Parameters:
+    """base with the values of a configuration file; names in either case, unknown ones are an error."""
+    known, out = {f.name for f in fields(Parameters)}, {}
+    for name, value in changes.items():
+        if name.lower() not in known:
+            raise KeyError(name)
+        out[name.lower()] = {**base.options, **{k.lower(): v for k, v in value.items()}} if name.lower() == "options" else value
+    return base.with_(**out)
+
+
+def read_parameters(base: Parameters, path: str) -> Parameters:
+    """base with the values of a YAML file on the driver."""
+    import yaml
+
+    with open(path) as f:
+        return merged(base, yaml.safe_load(f) or {})
+
+
 _components: dict[tuple[str, str], Callable] = {}
 
 
@@ -65,10 +86,14 @@ def component(kind: str, name: str) -> Callable:
     return _components[kind, name]
 
 
-for _name in ("nn", "binary", "binary_lsh"):
+for _name in ("nn", "nn_approximate", "binary", "binary_lsh"):
     register("matcher", _name, lambda a, b, p, n=_name: knn.match(a, b, n, p.ratio, p.cross_check))
 register("evaluator", "auc", metrics.pose_auc)
 register("evaluator", "sequences", metrics.sequence_slices)
+register("reader", "correspondences", corpus.correspondences)
+register("reader", "images", images.read_images)
+register("extractor", "stored", lambda keypoint_table, p: keypoints.top_k(keypoint_table, p.keypoints))
+register("extractor", "stored_root", lambda keypoint_table, p: keypoints.top_k(keypoint_table, p.keypoints).withColumn("descriptor", keypoints.root_normalize(F.col("descriptor").cast("array<double>"))))
 
 
 def verify(left: DataFrame, right: DataFrame, parameters: Parameters) -> DataFrame:
@@ -98,7 +123,7 @@ def write_results(results: DataFrame, path: str) -> None:
     results.write.partitionBy("modality", "gt").mode("overwrite").parquet(path)
 
 
-def match_segments(matches: DataFrame, width: int) -> DataFrame:
+def match_segments(matches: DataFrame, width: int, *extra: str) -> DataFrame:
     """(pair_id, x1, y1, x2, y2, kind) to draw both images side by side: inlier, outlier, or match without a homography."""
     kind = F.when(F.col("inlier").isNull(), "match").when(F.col("inlier"), "inlier").otherwise("outlier")
-    return matches.select("pair_id", "x1", "y1", (F.col("x2") + width).alias("x2"), "y2", kind.alias("kind"))
+    return matches.select("pair_id", *extra, "x1", "y1", (F.col("x2") + width).alias("x2"), "y2", kind.alias("kind"))
