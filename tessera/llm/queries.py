@@ -55,7 +55,7 @@ def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.assign(shards.digest(table(spark, sf_dir, "documents")))
-    return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_secrets, op4_simhash, op5_mixing, op6_quality, op7_substrings, op8_line_rules, op9_pitman_yor, op10_shards)}

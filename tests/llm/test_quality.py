@@ -1,9 +1,13 @@
+import math
 import zlib
+from unittest.mock import patch
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import quality
+from tessera.llm import quality as q
 
 from .helpers import MESSY, empty, messy, rows_of
 
@@ -52,3 +56,53 @@ def test_a_pair_of_features_is_learned():
     y = ((x[:, 2] > 0.5) ^ (x[:, 9] > 0.5)).astype(float)
     model = quality.Model(x, y)
     assert (2, 9) in model.pairs and ((model.score(x) > 0.5) == y).mean() > 0.97
+
+
+def brute_tree(g, h):
+    """Leaves by trying each cut of each leaf."""
+    worth = lambda a, z: sum(g[a:z]) ** 2 / (sum(h[a:z]) + q.RIDGE)
+    leaves = [(0, len(g))]
+    while len(leaves) < q.LEAVES:
+        cuts = [(worth(a, m) + worth(m, z) - worth(a, z), -k, -m) for k, (a, z) in enumerate(leaves) for m in range(a + 1, z)]
+        best = max(cuts, default=(0, 0, 0))
+        if best[0] <= 1e-9:
+            break
+        a, z = leaves.pop(-best[1])
+        leaves += [(a, -best[2]), (-best[2], z)]
+    out = np.zeros(len(g))
+    for a, z in leaves:
+        out[a:z] = sum(g[a:z]) / (sum(h[a:z]) + q.RIDGE)
+    return out
+
+
+def test_trees_equal_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        g, h = rng.normal(size=12), rng.uniform(0.1, 2, 12)
+        assert np.allclose(q._tree(g, h), brute_tree(g, h))
+        a, b = rng.normal(size=(5, 5)), rng.uniform(0.1, 2, (5, 5))
+        best = max(sum(a[s, t].sum() ** 2 / (b[s, t].sum() + q.RIDGE) for s in (slice(0, i), slice(i, 5)) for t in (slice(0, j), slice(j, 5))) for i in range(1, 5) for j in range(1, 5))
+        assert q._quadrants(a, b)[0] == pytest.approx(best)
+
+
+def test_scores_equal_brute_force():
+    """Every bin looked up one by one, and the boosting done again with slow trees."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, len(q.FEATURES)))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=300) > 0).astype(float)
+    with patch.object(q, "ROUNDS", 3), patch.object(q, "PAIR_ROUNDS", 2):
+        model = q.Model(x, y)
+        total, tables = np.full(300, model.base), [np.zeros(q.BINS) for _ in q.FEATURES]
+        bins = [np.array([sum(e <= v for e in edges) for v in x[:, f]]) for f, edges in enumerate(model.edges)]
+        for _ in range(3):
+            for f, b in enumerate(bins):
+                p = 1 / (1 + np.exp(-total))
+                step = q.RATE * brute_tree([float((y - p)[b == k].sum()) for k in range(q.BINS)], [float((p * (1 - p))[b == k].sum()) for k in range(q.BINS)])
+                tables[f] += step
+                total = total + step[b]
+    assert all(np.allclose(a, b) for a, b in zip(tables, model.tables, strict=True))
+    for row, got in zip(x[:50], model.score(x[:50]), strict=True):
+        s = model.base + sum(t[sum(e <= v for e in edges)] for v, edges, t in zip(row, model.edges, model.tables, strict=True))
+        for (a, b), t in zip(model.pairs, model.pair_tables, strict=True):
+            s += t[sum(e <= row[a] for e in model.coarse[a]) * q.PAIR_BINS + sum(e <= row[b] for e in model.coarse[b])]
+        assert got == pytest.approx(1 / (1 + math.exp(-s)))
