@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,42 +159,59 @@ def pad_grid(table: DataFrame, images: DataFrame, value: str = "value") -> DataF
     return grid.join(have, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("valid", F.lit(False)).alias("valid"))
 
 
-# suppression: neighbours meet on grid cells as wide as the radius
-
-
-def near_pairs(table: DataFrame, radius: float, group: str = "image_id") -> DataFrame:
-    """(group, a, b, sa, sb) of different keypoints within the radius in x and in y."""
-    cell = lambda c: F.floor(F.col(c) / (radius + 1))
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    a = table.select(F.col(group), F.col("kp_idx").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("score").alias("sa"), cell("x").alias("cx"), cell("y").alias("cy"), steps.alias("s"))
-    a = a.select(group, "a", "xa", "ya", "sa", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
-    b = table.select(F.col(group), F.col("kp_idx").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("score").alias("sb"), cell("x").alias("cx"), cell("y").alias("cy"))
-    met = a.join(b, [group, "cx", "cy"])
-    return met.where((F.abs(F.col("xa") - F.col("xb")) <= radius) & (F.abs(F.col("ya") - F.col("yb")) <= radius) & (F.col("a") != F.col("b"))).select(group, "a", "b", "sa", "sb")
+# suppression
 
 
 def nms(table: DataFrame, radius: float, rounds: int = 2, group: str = "image_id") -> DataFrame:
     """Keypoints that survive: the maxima of their windows; then, ``rounds`` times, the maxima of what no survivor covers.
 
     A covered keypoint counts as score 0 in a round, as empty places do.  Ties
-    survive together.  Keypoints have scores above 0.
+    survive together.  Keypoints have scores above 0.  Only keypoints within
+    the radius meet; the keypoints of an image and their neighbours, of which
+    there are few, go through the rounds in one task.
     """
-    near = near_pairs(table, radius, group).select(group, F.col("a").alias("kp_idx"), "b", "sb")
-    every = table.select(group, "kp_idx", "score")
-    alive = every.withColumn("kept", F.lit(False)).withColumn("now", F.col("score"))
-    for step in range(rounds + 1):
-        now = alive.select(group, F.col("kp_idx").alias("b"), F.col("now").alias("nb"), F.col("kept").alias("kb"))
-        if step:
-            cover = near.join(now, [group, "b"]).groupBy(group, "kp_idx").agg(F.max("kb").alias("covered"))
-            alive = alive.join(cover, [group, "kp_idx"], "left").withColumn("covered", F.col("kept") | F.coalesce("covered", F.lit(False)))
-            alive = alive.select(group, "kp_idx", "score", "kept", "covered", F.when(F.col("covered"), 0.0).otherwise(F.col("score")).alias("now"))
-            now = alive.select(group, F.col("kp_idx").alias("b"), F.col("now").alias("nb"))
-        most = near.join(now.select(group, "b", "nb"), [group, "b"]).groupBy(group, "kp_idx").agg(F.max("nb").alias("most"))
-        alive = alive.join(most, [group, "kp_idx"], "left")
-        peak = F.col("now") >= F.coalesce("most", F.lit(0.0))
-        fresh = peak & ~F.col("covered") if step else peak
-        alive = alive.select(group, "kp_idx", "score", (F.col("kept") | fresh).alias("kept"), F.col("now"))
-    return table.join(alive.where("kept").select(group, "kp_idx"), [group, "kp_idx"], "left_semi")
+    names = ("kp_idx", "x", "y", "score")
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y, score = (table[c].to_numpy().astype(float) for c in names[1:])
+        a, b = _neighbours(x, y, radius)
+
+        def most(values: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(values))
+            np.maximum.at(out, a, values[b])
+            return out
+
+        kept = score >= most(score)
+        for _ in range(rounds):
+            covered = kept | (most(kept.astype(float)) > 0)
+            now = np.where(covered, 0.0, score)
+            kept = kept | (~covered & (now >= most(now)))
+        return table.select([group, "kp_idx"]).filter(pa.array(kept))
+
+    kind = lambda c: table.schema[c].dataType.simpleString()
+    alive = table.select(group, *names).groupBy(group).applyInArrow(run, f"{group} {kind(group)}, kp_idx {kind('kp_idx')}")
+    return table.join(alive, [group, "kp_idx"], "left_semi")
+
+
+def _neighbours(x: np.ndarray, y: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ordered pairs of different points within the radius in x and in y: of cells as wide, next to each other."""
+    cx, cy = (np.floor(v / (radius + 1)).astype(np.int64) for v in (x, y))
+    cx, cy = cx - cx.min() + 1, cy - cy.min() + 1
+    width = int(cy.max()) + 2
+    code = cx * width + cy
+    order = np.argsort(code, kind="stable")
+    held, left, right = code[order], [], []
+    for dx in (-1, 0, 1):
+        for dy in (-1, 0, 1):
+            want = code + dx * width + dy
+            low, high = np.searchsorted(held, want), np.searchsorted(held, want, side="right")
+            many = high - low
+            a = np.repeat(np.arange(len(x)), many)
+            b = order[np.arange(len(a)) + np.repeat(low - np.cumsum(many) + many, many)]
+            on = (a != b) & (np.abs(x[a] - x[b]) <= radius) & (np.abs(y[a] - y[b]) <= radius)
+            left.append(a[on])
+            right.append(b[on])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def seeds(matches: DataFrame, k: int, bar: float, radius_share: float) -> DataFrame:
@@ -201,19 +220,28 @@ def seeds(matches: DataFrame, k: int, bar: float, radius_share: float) -> DataFr
     Non-mutual matches score -1; a match with a stronger one nearer than
     radius_share times the mean distance in both images scores -1, and so does
     one below the bar.  The best min(survivors + 2, k) stay, so up to two
-    suppressed ones may.
+    suppressed ones may.  The matches of a pair meet in one task, which compares
+    them block by block.
     """
-    m = matches.withColumn("s", F.when(F.col("mutual"), F.col("score")).otherwise(-1.0))
-    # the mean over all ordered pairs, itself included
-    a = m.select("pair_id", F.col("i").alias("a"), F.col("x1").alias("xa1"), F.col("y1").alias("ya1"), F.col("x2").alias("xa2"), F.col("y2").alias("ya2"), F.col("s").alias("sa"))
-    b = m.select("pair_id", F.col("i").alias("b"), F.col("x1").alias("xb1"), F.col("y1").alias("yb1"), F.col("x2").alias("xb2"), F.col("y2").alias("yb2"), F.col("s").alias("sb"))
-    d = a.join(b, "pair_id").select("pair_id", F.col("a").alias("i"), "sa", "sb", F.hypot(F.col("xa1") - F.col("xb1"), F.col("ya1") - F.col("yb1")).alias("d1"), F.hypot(F.col("xa2") - F.col("xb2"), F.col("ya2") - F.col("yb2")).alias("d2"))
-    radius = d.groupBy("pair_id").agg((radius_share * F.avg("d1")).alias("r1"), (radius_share * F.avg("d2")).alias("r2"))
-    weak = d.join(radius, "pair_id").where("sa < sb AND NOT (d1 >= r1 AND d2 >= r2)").select("pair_id", "i").distinct().withColumn("weak", F.lit(True))
-    m = m.join(weak, ["pair_id", "i"], "left").withColumn("s", F.when(F.coalesce("weak", F.lit(False)) | (F.col("s") < bar), -1.0).otherwise(F.col("s")))
-    order, whole = Window.partitionBy("pair_id").orderBy(F.col("s").desc(), "i"), Window.partitionBy("pair_id")
-    m = m.withColumn("survivors", F.sum((F.col("s") > 0).cast("int")).over(whole)).withColumn("rank", F.row_number().over(order))
-    return m.where(F.col("rank") <= F.least(F.col("survivors") + 2, F.lit(k))).select("pair_id", "rank", "i", "j", F.col("s").alias("score"))
+    names = ("x1", "y1", "x2", "y2")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        i, j = table["i"].to_numpy(), table["j"].to_numpy()
+        x1, y1, x2, y2 = (table[c].to_numpy().astype(float) for c in names)
+        s = np.where(table["mutual"].to_numpy(zero_copy_only=False), table["score"].to_numpy(), -1.0)
+        n = len(s)
+        blocks = [slice(a, a + max(1, (1 << 21) // n)) for a in range(0, n, max(1, (1 << 21) // n))]
+        far = lambda b, x, y: np.hypot(x[b, None] - x[None, :], y[b, None] - y[None, :])
+        r1, r2 = (radius_share * sum(far(b, x, y).sum() for b in blocks) / (n * n) for x, y in ((x1, y1), (x2, y2)))
+        weak = np.concatenate([((s[b, None] < s[None, :]) & ~((far(b, x1, y1) >= r1) & (far(b, x2, y2) >= r2))).any(axis=1) for b in blocks])
+        s = np.where(weak | (s < bar), -1.0, s)
+        best = np.lexsort((i, -s))[: min(int((s > 0).sum()) + 2, k)]
+        return pa.table([table["pair_id"].take(pa.array(best)), pa.array(np.arange(1, len(best) + 1, dtype=np.int32)), pa.array(i[best]), pa.array(j[best]), pa.array(s[best])], names=["pair_id", "rank", "i", "j", "score"])
+
+    kind = lambda c: matches.schema[c].dataType.simpleString()
+    own = matches.select("pair_id", "i", "j", *names, F.col("score").cast("double").alias("score"), F.coalesce("mutual", F.lit(False)).alias("mutual"))
+    return own.groupBy("pair_id").applyInArrow(run, f"pair_id {kind('pair_id')}, rank int, i {kind('i')}, j {kind('j')}, score double")
 
 
 def sample_descriptors(points: DataFrame, grid: DataFrame, stride: int = 8) -> DataFrame:
