@@ -46,8 +46,8 @@ HOT_SAMPLE = 10_000
 HOT = 30
 #: Rows of texts or sets that go to a worker at once.
 WIDE_ROWS = 500
-#: Bits of the sketches by which pairs are ruled out before their sets are fetched.
-SKETCH_BITS = 1024
+#: Bits, at least, of the sketches by which pairs are ruled out before their sets are fetched.
+SKETCH_BITS = 256
 #: Hot shingles that are sent to all tasks, and texts whose places are.
 MOST_HOT, MOST_BROADCAST = 200_000, 200_000
 #: Shingles of prefixes that a batch of texts sends, and that one task sees.
@@ -389,9 +389,40 @@ def prefix(own: np.ndarray, similarity: float, hot: np.ndarray, counts: np.ndarr
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """Bits that each shingle of a set flips one of: those of two sets differ in no more bits than the sets in shingles."""
-    flips = np.bincount((own >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
-    return np.packbits(flips & 1).tobytes()
+    """Bits that each shingle of a set flips one of, two or more for each shingle: those of two sets differ in no more bits than the sets in shingles.
+
+    The number of bits is a power of two, and half as many are the halves'
+    difference, so sketches of different lengths can be compared.
+    """
+    bits = max(SKETCH_BITS, 1 << (2 * len(own) - 1).bit_length()) if len(own) else SKETCH_BITS
+    flips = np.bincount((own >> np.uint64(24)).astype(np.int64) & (bits - 1), minlength=bits)
+    return np.packbits(flips & 1, bitorder="little").tobytes()
+
+
+class Sketches:
+    """Many sketches, compared by places."""
+
+    def __init__(self, drawn: list[bytes]):
+        self.size = np.fromiter(map(len, drawn), np.int64, len(drawn))
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(self.size).tolist():  # sketches of this length, and of longer ones what is left at it
+            own = np.flatnonzero(self.size >= size)
+            place = np.full(len(drawn), -1)
+            place[own] = np.arange(len(own))
+            folded = np.zeros((len(own), size // 8), np.uint64)
+            for k, i in enumerate(own.tolist()):
+                folded[k] = np.bitwise_xor.reduce(np.frombuffer(drawn[i], np.uint64).reshape(-1, size // 8), axis=0)
+            self.rows[size] = place, folded
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many bits the sketches of the places differ, at the length of the shorter."""
+        size, out = np.minimum(self.size[a], self.size[b]), np.zeros(len(a), np.int64)
+        for s, (place, rows) in self.rows.items():
+            on = np.flatnonzero(size == s)
+            for at in range(0, len(on), max(1, (1 << 22) // s)):
+                some = on[at : at + max(1, (1 << 22) // s)]
+                out[some] = np.bitwise_count(rows[place[a[some]]] ^ rows[place[b[some]]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def reachable(size_a, place_a, size_b, place_b, similarity: float, least=np.minimum):
@@ -407,14 +438,14 @@ ASKED = pa.schema([("part", pa.int32()), ("columns", pa.list_(pa.binary())), ("b
 ASKED_SQL = "part int, columns array<binary>, bucket long, node long, size int, place int"
 
 
-def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of some whole buckets at a time; rows come in the order of the buckets."""
+def _whole_buckets(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[np.ndarray]]:
+    """Columns of some whole buckets at a time, ``least`` rows or more; rows come in the order of the buckets."""
     parts, rows = [], 0
     for b in chain(batches, [None]):
         if b is not None and b.num_rows:
             parts.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
             rows += b.num_rows
-        if not parts or (b is not None and rows < 1 << 16):
+        if not parts or (b is not None and rows < least):
             continue
         held = [np.concatenate(x) for x in zip(*parts, strict=True)]
         if not len(held[0]):
@@ -453,15 +484,14 @@ def _all_pairs(similarity: float):
     most = (1 - similarity) / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, node, size, place, label, drawn in _whole_buckets(batches):
-            bits, at, lag = np.frombuffer(b"".join(drawn), np.uint64).reshape(len(bucket), -1), np.arange(len(bucket)), 1
+        for bucket, node, size, place, label, drawn in _whole_buckets(batches, 1 << 13):
+            sketches, at, lag = Sketches(drawn.tolist()), np.arange(len(bucket)), 1
             while len(at):
                 at = at[at + lag < len(bucket)]
                 at = at[bucket[at] == bucket[at + lag]]
                 a = at[(label[at] != label[at + lag]) & reachable(size[at], place[at], size[at + lag], place[at + lag], similarity)]
                 if len(a):
-                    differ = np.bitwise_count(bits[a] ^ bits[a + lag]).sum(axis=1, dtype=np.int64)
-                    a = a[differ <= (size[a].astype(np.int64) + size[a + lag]) * most + 1e-6]
+                    a = a[sketches.differ(a, a + lag) <= (size[a].astype(np.int64) + size[a + lag]) * most + 1e-6]
                     x, y = node[a], node[a + lag]
                     yield batch(LINKS, np.minimum(x, y), np.maximum(x, y))
                 lag += 1
@@ -584,8 +614,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (2, 4))
-                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                sketches, n = Sketches(b.column(2).to_pylist() + b.column(4).to_pylist()), np.arange(b.num_rows)
+                differ = sketches.differ(n, n + b.num_rows)
                 size = b.column(3).to_numpy().astype(np.int64) + b.column(5).to_numpy()
                 yield batch(LINKS, b.column(0), b.column(1)).filter(pa.array(differ <= size * most + 1e-6))
 

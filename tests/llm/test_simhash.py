@@ -198,3 +198,16 @@ def test_hot_shingles_and_small_parts_lose_nothing(spark, monkeypatch):
     near, want = components_by_brute_force(docs)
     assert 5 < len(set(want.values())) < 400
     assert {r.doc_id: r.component_id for r in sh.near_duplicates(table(spark, docs)).collect()} == want
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(24)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 5, 100, 130, 900, 1500, 20_000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 4 // 5], rng.integers(0, 2**63, len(s) // 3).astype(np.uint64)])) for s in sets]
+    sketches = sh.Sketches([sh.sketch(s) for s in sets])
+    a, b = np.indices((len(sets), len(sets))).reshape(2, -1)
+    for x, y, n in zip(a.tolist(), b.tolist(), sketches.differ(a, b).tolist(), strict=True):
+        apart = len(np.setxor1d(sets[x], sets[y]))
+        assert n <= apart and (apart > 0) >= (n > 0)
+        if len(sets[x]) > 90 and 0.8 < len(sets[x]) / max(1, len(sets[y])) < 1.25:
+            assert n >= 0.3 * apart  # tells much of the difference
