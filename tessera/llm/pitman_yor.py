@@ -242,6 +242,13 @@ def _part_of(context: np.ndarray, token: np.ndarray, counts: np.ndarray, hot: in
     return ((home + step) % np.uint64(parts)).astype(np.int32), spread
 
 
+def _order(part: np.ndarray, context: np.ndarray, token: np.ndarray, parts: int) -> np.ndarray:
+    """By part, then by the numbers of the pair."""
+    by_pair = np.argsort(context << np.uint64(32) | token)  # pairs differ
+    part = part[by_pair]
+    return by_pair[np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")]
+
+
 ROWS = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("columns", pa.list_(pa.binary())), ("stats", pa.list_(pa.float64()))])
 ROWS_SQL = "part int, batch long, columns array<binary>, stats array<double>"
 
@@ -480,7 +487,7 @@ def score(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str
     Reruns agree.  There is room for 2^32 distinct words; more are an error.
     """
     scratch = Scratch(docs.sparkSession, "lm")
-    batches = tb.build(docs, scratch, True, None, id_col, text_col)
+    batches = tb.build(docs, scratch, True, id_col, text_col)
     size = tb.total_words(batches)
     word_parts, parts = tb.parts_for(size, PART_WORDS), tb.parts_for(size, PART_PAIRS)
 
@@ -501,7 +508,7 @@ def score(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str
         customers = t.context_counts(every)
         context, token, count, _ = t.pairs()
         part, spread = _part_of(number[context], number[token], customers[context], hot, parts)
-        order = np.lexsort((number[token], number[context], part))
+        order = _order(part, number[context], number[token], parts)
         part, context, token, count, spread = (x[order] for x in (part, context, token, count, spread))
         new = np.ones(len(part), bool)
         new[1:] = (part[1:] != part[:-1]) | (context[1:] != context[:-1])
@@ -555,7 +562,7 @@ def score(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str
                 customers = t.context_counts(every)
                 context, token, _, pair = t.pairs()
                 part, _ = _part_of(number[context], number[token], customers[context], hot, parts)
-                order = np.lexsort((number[token], number[context], part))
+                order = _order(part, number[context], number[token], parts)
                 at = np.searchsorted(part[order], np.arange(parts + 1))
                 p = np.zeros(len(context))
                 for r in row["predicted"]:

@@ -175,7 +175,7 @@ def dedup(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id_col: str
     if not 0 < anchor <= least <= anchor + 31:
         raise ValueError("an anchor has to be shorter than a window by 31 words at most")
     scratch = Scratch(docs.sparkSession, "substrings")
-    batches = tb.build(docs, scratch, False, None, id_col, text_col)
+    batches = tb.build(docs, scratch, False, id_col, text_col)
     parts = tb.parts_for(tb.total_words(batches), PART_WORDS)
 
     def seeds(row):

@@ -17,12 +17,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch, documents, texts
+from .common import Scratch, batch, documents
 
 #: Words after which a batch is closed; a longer document is a batch of its own.
 BATCH_WORDS = 300_000
@@ -30,8 +31,8 @@ BATCH_WORDS = 300_000
 #: Rows of texts that go to a worker at once.
 TEXT_ROWS = 1000
 
-SCHEMA = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary()), ("index", pa.binary()), ("extra", pa.binary())])
-SQL = "batch long, doc_ids array<long>, sizes binary, words binary, index binary, extra binary"
+SCHEMA = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary()), ("index", pa.binary())])
+SQL = "batch long, doc_ids array<long>, sizes binary, words binary, index binary"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -51,7 +52,7 @@ class Batch:
     """One stored batch: ``words`` (distinct), ``index`` of each word of all documents in turn, ``starts`` of the documents."""
 
     def __init__(self, row: dict):
-        self.number, self.doc_ids, self.extra = row["batch"], row["doc_ids"], row["extra"]
+        self.number, self.doc_ids = row["batch"], row["doc_ids"]
         self.sizes = unpack(row["sizes"]).astype(np.int64)
         self.words = zstandard.decompress(row["words"]).split()
         self.index = unpack(row["index"])
@@ -67,40 +68,45 @@ class Batch:
         return np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
 
 
-def build(docs: DataFrame, scratch: Scratch, lower: bool, extra: Callable[[list[bytes]], bytes] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Batches of the words between white space of docs, A-Z in lower case if asked for.
+def split(column: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array]:
+    """Number of words of each text, and the words of all, between ASCII white space; null has none."""
+    texts = pc.fill_null(column, "")
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    words, size = parts.flatten(), np.diff(parts.offsets.to_numpy()).astype(np.int64)
+    full = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty word
+    of = np.repeat(np.arange(len(size)), size)[full.to_numpy(zero_copy_only=False)]
+    return np.bincount(of, minlength=len(size)), words.filter(full).cast(pa.binary())
 
-    ``extra``: bytes of a fixed length for each document, from its words.
-    """
+
+def build(docs: DataFrame, scratch: Scratch, lower: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Batches of the words between white space of docs, A-Z in lower case if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, ids, sizes, flat, more = TaskContext.get().partitionId() << 32, [], [], [], []
+        number, ids, sizes, held, many = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def close():
-            words = list(set(flat))
-            place = dict(zip(words, range(len(words)), strict=True))
-            index = np.fromiter(map(place.__getitem__, flat), np.int32, len(flat))
+            coded = pa.chunked_array(held, pa.binary()).combine_chunks().dictionary_encode()
+            coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+            index, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
             order = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")  # frequent words have small numbers
             rank = np.empty(len(words), np.int32)
             rank[order] = np.arange(len(words))
             named = b" ".join([words[i] for i in order.tolist()])
-            return batch(SCHEMA, [number], [ids], [pack(np.array(sizes, np.int32))], [zstandard.compress(named, 1)], [pack(rank[index])], [b"".join(more)])
+            return batch(SCHEMA, [number], [ids], [pack(np.concatenate(sizes).astype(np.int32))], [zstandard.compress(named, 1)], [pack(rank[index])])
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                for one, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-                    words = (text.lower() if lower else text).split()
-                    ids.append(one)
-                    sizes.append(len(words))
-                    flat += words
-                    if extra:
-                        more.append(extra(words))
-                    if len(flat) >= BATCH_WORDS:
-                        yield close()
-                        number, ids, sizes, flat, more = number + 1, [], [], [], []
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
+                size, words = split(b.column(1), lower)
+                ids += b.column(0).to_pylist()
+                sizes.append(size)
+                held.append(words)
+                many += len(words)
+                if many >= BATCH_WORDS:
+                    yield close()
+                    number, ids, sizes, held, many = number + 1, [], [], [], 0
         if ids:
             yield close()
 
