@@ -201,7 +201,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
-    """docs, all columns, without the rows that are rejected; an untrained model rejects none."""
+    """docs, all columns, without the rows that are rejected; an untrained model rejects none.
+
+    Null texts count as empty.  Rows are judged alone, so repeated rows and ties
+    play no part; an empty table stays empty.
+    """
     names = docs.columns
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, **columns))
     if not model.value.trained or text_col not in names:

@@ -677,7 +677,8 @@ def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """docs, all columns, with one row of each component of near duplicates: that of the least id.
 
     Of rows with that id one stays, with the least hash of its text.  A
-    component of null ids alone keeps one row.
+    component of null ids alone keeps one row.  Texts without words, nulls among
+    them, are one component; an empty table stays empty.
     """
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
