@@ -49,14 +49,20 @@ def _own_folder(application: str) -> str:
 
 @contextmanager
 def few_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs run inside give Python workers at most so many rows at once."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(min(int(before), rows) if int(before) > 0 else rows))
+    """Jobs run inside read wide rows few at a time, and give Python workers at most so many at once."""
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.parquet.columnarReaderBatchSize": max(16, rows)}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, str(min(int(before[k]), v) if int(before[k]) > 0 else v))
     try:
         yield
     finally:
-        spark.conf.set(setting, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+#: Bytes of wide rows that a writer holds, about.
+WIDE = {"parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false"}
 
 
 class Scratch:
@@ -92,7 +98,7 @@ class Scratch:
         spark, table = self.spark, f"tessera_{uuid.uuid4().hex[:16]}"
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         with few_rows(spark, rows):
-            df.write.format("parquet").bucketBy(buckets, key).option("path", self.at(name)).option("compression", "uncompressed").saveAsTable(table)
+            df.write.format("parquet").bucketBy(buckets, key).options(path=self.at(name), compression="uncompressed", **WIDE).saveAsTable(table)
         out = spark.table(table)
         spark.sql(f"DROP TABLE {table}")  # of an outside path: the entry goes, the files stay
         return out
@@ -100,7 +106,7 @@ class Scratch:
     def save_wide(self, df: DataFrame, name: str, rows: int = 4, **options) -> DataFrame:
         """save of a table that is made from wide rows."""
         with few_rows(self.spark, rows):
-            return self.save(df, name, **options)
+            return self.save(df, name, **WIDE | options)
 
     def drop(self, name: str = "") -> None:
         jvm = self.spark._jvm
