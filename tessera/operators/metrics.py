@@ -18,25 +18,19 @@ def pose_auc(errors: DataFrame, thresholds: Sequence[float], error: str = "error
 
     Between errors the curve is straight, from (0, 0); beyond the last error
     below the threshold it is flat.  Errors may be infinite; nulls count as
-    infinite.  Distinct errors are counted before anything is ordered, so one
-    task sees distinct values only, and no group's rows are gathered.
+    infinite.  Summed by parts, the area of m errors e below t, of n in all, is
+    (m t - sum e + max e / 2) / n, so nothing has to be ordered.
     """
-    keys = list(group)
-    t = errors.select(*keys, F.coalesce(F.col(error).cast("double"), F.lit(float("inf"))).alias("e"))
-    counts = t.groupBy(*keys, "e").agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*keys).orderBy("e") if keys else Window.orderBy("e")
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    c = counts.withColumn("total", F.sum("n").over(whole)).withColumn("upto", F.sum("n").over(order)).withColumn("before", F.lag("e", 1, 0.0).over(order))
-    # up to an error e of n rows: a slope from the error before to (e, first of n), then up at e
-    c = c.withColumn("first", (F.col("upto") - F.col("n") + 1) / F.col("total")).withColumn("low", (F.col("upto") - F.col("n")) / F.col("total"))
-    marks = F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")
-    c = c.select("*", marks)
-    below = F.col("e") < F.col("threshold")
-    area = F.sum(F.when(below, (F.col("first") + F.col("low")) / 2 * (F.col("e") - F.col("before"))))
-    last = F.max(F.when(below, F.col("e")))
-    recall = F.max(F.when(below, F.col("upto") / F.col("total")))
-    out = c.groupBy(*keys, "threshold").agg(area.alias("area"), last.alias("last"), recall.alias("recall"))
-    return out.select(*keys, "threshold", F.coalesce((F.col("area") + F.col("recall") * (F.col("threshold") - F.col("last"))) / F.col("threshold"), F.lit(0.0)).alias("auc"))
+    e = F.coalesce(F.col(error).cast("double"), F.lit(float("inf")))
+    t = errors.select(*group, e.alias("e"))
+    parts = [F.count("*").alias("n")]
+    for k, x in enumerate(thresholds):
+        below = F.when(F.col("e") < float(x), F.col("e"))
+        parts += [F.count(below).alias(f"m{k}"), F.sum(below).alias(f"s{k}"), F.max(below).alias(f"x{k}")]
+    out = t.groupBy(*group).agg(*parts).where("n > 0")
+    area = lambda k, x: F.coalesce((F.col(f"m{k}") * float(x) - F.col(f"s{k}") + F.col(f"x{k}") / 2) / F.col("n") / float(x), F.lit(0.0))
+    each = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("threshold"), area(k, x).alias("auc")) for k, x in enumerate(thresholds)])).alias("a")
+    return out.select(*group, each).select(*group, "a.*")
 
 
 def approximate_auc(errors: DataFrame, edges: Sequence[float], error: str = "error") -> DataFrame:
