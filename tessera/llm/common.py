@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -108,6 +109,11 @@ class Scratch:
         with few_rows(self.spark, rows):
             return self.save(df, name, **WIDE | options)
 
+    def tidy(self) -> None:
+        """Shuffle files go when the driver collects what stood for their jobs; this has it do so now."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.at(name) if name else self.path)

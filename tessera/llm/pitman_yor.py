@@ -496,6 +496,7 @@ def score(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str
         return tb.deal(t.b.number, t.keys, word_parts, t.counts().astype(np.int32))
 
     seen = scratch.save_wide(tb.answer(tb.ask(batches, words), _word_counts(word_parts)), "seen")
+    scratch.tidy()
     known, total, most = _totals(seen)
     if most * word_parts >= 1 << 32:
         raise ValueError("more distinct words than numbers for them")
@@ -525,6 +526,8 @@ def score(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str
 
     opened = tb.ask(rows, pairs).groupBy("part").applyInArrow(_open(word_parts), ROWS_SQL)
     static = scratch.bucketed(opened, "restaurants", "part")
+    del opened
+    scratch.tidy()
     restaurants = static.where("batch = -1").select("part", "columns")
     state, replies, roots, root_tables = None, None, [], float(known)
     rng = np.random.default_rng([seed, 1 << 34])
@@ -548,8 +551,13 @@ def score(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str
             scratch.drop(f"swept{sweep - 1}")
             scratch.drop(f"root{sweep - 1}")
         state, replies = new, told
+        del new, told, to_root
+        scratch.tidy()
     asked = static.where("batch >= 0").groupBy("part").agg(F.collect_list(F.struct("batch", "columns")).alias("asked"))
     predicted = scratch.save_wide(with_replies().join(asked, "part").mapInArrow(_predict(word_parts, known, roots), ROWS_SQL).select("part", "batch", "columns"), "predicted")
+    for name in ("restaurants", f"swept{BURN_IN + SWEEPS}", f"root{BURN_IN + SWEEPS}"):
+        scratch.drop(name)
+    scratch.tidy()
     rows = tb.joined(tb.joined(batches, seen, "seen"), predicted, "predicted")
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -571,6 +579,6 @@ def score(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str
                 yield batch(schema, t.b.doc_ids, t.held_out, t.b.sizes + 1, np.add.reduceat((every[t.token] > 0).astype(np.int64), t.starts), np.full(len(t.starts), total), np.add.reduceat(base, t.starts), np.add.reduceat(np.log10(p)[pair], t.starts))
 
     out = scratch.save_wide(rows.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores", rows=1)
-    for name in ("batches", "seen", "restaurants", f"swept{BURN_IN + SWEEPS}", f"root{BURN_IN + SWEEPS}", "predicted"):
+    for name in ("batches", "seen", "predicted"):
         scratch.drop(name)
     return out

@@ -595,6 +595,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
 
     asked = scratch.save_wide(source.select("text").mapInArrow(keys_of, ASKED_SQL), "asked", WIDE_ROWS)
     found = scratch.save_wide(asked.where("part >= 0").select("part", "columns").groupBy("part").applyInArrow(_shared(similarity), SHARED_SQL), "shared")
+    scratch.tidy()
     near = lambda *names: reachable(*map(F.col, names), similarity, F.least)
     shared, stars = found.where("place IS NOT NULL").select(F.col("a").alias("bucket"), F.col("b").alias("node"), "size", "place"), found.where("place IS NULL").select("a", "b")
     if len(hot):
@@ -646,6 +647,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         out = scratch.save_wide(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), f"links-{name}", WIDE_ROWS)
         for table in ("maybe", "need", "sets"):
             scratch.drop(f"{table}-{name}")
+        del pairs, ends, need, own, both
+        scratch.tidy()
         return out
 
     def open_buckets(edges: DataFrame, name: str) -> DataFrame:

@@ -184,6 +184,7 @@ def dedup(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id_col: str
         return tb.deal(s.b.number, keys, parts, several.astype(np.uint8))
 
     shared = scratch.save_wide(tb.answer(tb.ask(batches, seeds), _which_are_shared), "shared")
+    scratch.tidy()
     rows = tb.joined(batches, shared, "shared")
 
     def occurrences(row):
@@ -198,6 +199,7 @@ def dedup(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id_col: str
             yield part, s.b.number, [tb.pack(x) for x in (key[own], ids[own], s.hashes[used[beyond:]], place.astype(np.int32))]
 
     told = scratch.save_wide(tb.answer(tb.ask(rows, occurrences), _extend_all), "told")
+    scratch.tidy()
     rows = tb.joined(rows, told, "told")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", span)])
