@@ -257,12 +257,9 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
     return batch(ROWS, *[list(x) for x in zip(*found, strict=True)]) if found else pa.RecordBatch.from_pylist([], ROWS)
 
 
-def _by_word_part(numbers: np.ndarray, word_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order of word numbers by part and rank, the parts that are there, and where each begins in that order."""
-    part = numbers % np.uint64(word_parts)
-    order = np.lexsort((numbers, part))
-    parts, first = np.unique(part[order], return_index=True)
-    return order, parts.astype(np.int64), np.append(first, len(order))
+def _by_word_part(numbers: np.ndarray, word_parts: int) -> np.ndarray:
+    """The order of word numbers by part and rank."""
+    return np.lexsort((numbers, numbers % np.uint64(word_parts)))
 
 
 class _Restaurants:
@@ -279,8 +276,7 @@ class _Restaurants:
         self.busy = np.flatnonzero(self.count > 1)
         self.busy_words, self.busy_word = np.unique(self.word[self.busy], return_inverse=True)
         hot = np.flatnonzero(self.spread > 1)
-        order, _, _ = _by_word_part(self.contexts[hot], word_parts)
-        self.hot = hot[order]
+        self.hot = hot[_by_word_part(self.contexts[hot], word_parts)]
 
     def _parts(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the numbers of each part of the words begin; they are in the order of _by_word_part."""
@@ -348,7 +344,7 @@ def _open(word_parts: int):
             here = contexts[place] == hot[0].astype(np.uint64)
             customers[place[here]] = hot[1][here]
         words, word = np.unique(pair & np.uint64(0xFFFFFFFF), return_inverse=True)
-        order, _, _ = _by_word_part(words, word_parts)
+        order = _by_word_part(words, word_parts)
         place = np.empty(len(words), np.int32)
         place[order] = np.arange(len(words))
         kept = (contexts.astype(np.uint32), sizes.astype(np.int32), customers, spread, words[order].astype(np.uint32), place[word], count)
