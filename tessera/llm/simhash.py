@@ -51,7 +51,7 @@ SKETCH_BITS = 256
 #: Hot shingles that are sent to all tasks, and texts whose places are.
 MOST_HOT, MOST_BROADCAST = 200_000, 200_000
 #: Shingles of prefixes that a batch of texts sends, and that one task sees.
-BATCH_ENTRIES, PART_ENTRIES = 200_000, 1_000_000
+BATCH_ENTRIES, PART_ENTRIES = 200_000, 250_000
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
@@ -461,7 +461,8 @@ def _shared(similarity: float):
 
     def run(table: pa.Table) -> pa.Table:
         sent = [[tb.unpack(c) for c in r] for r in table.column("columns").to_pylist()]
-        bucket, node, size, place = (np.concatenate(x) for x in zip(*[(c[0], c[1][c[2]], c[3][c[2]], c[4]) for c in sent], strict=True))
+        bucket, node, size, place = (np.concatenate([f(c) for c in sent]) for f in (lambda c: c[0], lambda c: c[1][c[2]], lambda c: c[3][c[2]], lambda c: c[4]))
+        del sent
         order = np.lexsort((node, bucket))
         bucket, node, size, place = bucket[order], node[order].view(np.int64), size[order], place[order]
         once = np.ones(len(bucket), bool)
@@ -471,10 +472,14 @@ def _shared(similarity: float):
         n = np.diff(edge)
         first, many = np.repeat(edge[:-1], n), np.repeat(n, n)
         x = np.flatnonzero((many > 1) & (first != np.arange(len(bucket))) & reachable(size, place, size[first], place[first], similarity))
-        pair = np.unique(np.stack([np.minimum(node[x], node[first[x]]), np.maximum(node[x], node[first[x]])]), axis=1)
-        none = pa.nulls(pair.shape[1], pa.int32())
+        low, high = np.minimum(node[x], node[first[x]]), np.maximum(node[x], node[first[x]])
+        order = np.lexsort((high, low))
+        low, high = low[order], high[order]
+        new = np.ones(len(low), bool)
+        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        none = pa.nulls(int(new.sum()), pa.int32())
         rest = many > 2
-        return pa.Table.from_batches([batch(SHARED, pair[0], pair[1], none, none), batch(SHARED, bucket[rest].view(np.int64), node[rest], size[rest], place[rest])])
+        return pa.Table.from_batches([batch(SHARED, low[new], high[new], none, none), batch(SHARED, bucket[rest].view(np.int64), node[rest], size[rest], place[rest])])
 
     return run
 
