@@ -99,10 +99,13 @@ def line_fails(line: Column, doc: Column) -> Column:
 
 
 def has_phrase(text: Column) -> Column:
-    out = F.lit(False)
-    for phrase in BOILERPLATE:
-        out = out | F.contains(F.lower(text), F.lit(phrase))
-    return out
+    def any_of(low: Column) -> Column:
+        out = F.lit(False)
+        for phrase in BOILERPLATE:
+            out = out | F.contains(low, F.lit(phrase))
+        return out
+
+    return let(F.lower(text), any_of)
 
 
 def repeated(hashes: Column, width: int) -> Column:
