@@ -86,7 +86,7 @@ def changed_cameras(spark, d):
     return geo_points(spark, d).select("id", scaled.alias("s"), turned.alias("t")).select("id", *cells(F.col("s"), {"fx": 0, "skew": 1, "fy": 4, "cy": 5}), *cells(F.col("t"), {"turned_fx": 0, "turned_cx": 2, "turned_fy": 4, "turned_cy": 5}))
 
 
-@query("""SELECT vec_id, round(CASE vec_id % 4 WHEN 0 THEN a WHEN 1 THEN e WHEN 2 THEN -a ELSE -e END, 6) + 0.0 AS m00, round(CASE vec_id % 4 WHEN 0 THEN e WHEN 1 THEN -a WHEN 2 THEN -e ELSE a END, 6) + 0.0 AS m10, round(CASE vec_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN -0.25 WHEN 2 THEN -0.5 ELSE 0.25 END, 6) AS m03, round(c, 6) AS m20
+@query("""SELECT vec_id, round(CASE vec_id % 4 WHEN 0 THEN a WHEN 1 THEN e WHEN 2 THEN -a ELSE -e END, 6) + 0.0 AS m00, round(CASE vec_id % 4 WHEN 0 THEN e WHEN 1 THEN -a WHEN 2 THEN -e ELSE a END, 6) + 0.0 AS m10, CASE vec_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN -0.25 WHEN 2 THEN -0.5 ELSE 0.25 END::DOUBLE AS m03, round(c, 6) AS m20
 FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS e, embedding[3]::DOUBLE AS c FROM embeddings)""")
 def turned_poses(spark, d):
     e = lambda k: F.col("embedding")[k].cast("double")
