@@ -50,6 +50,8 @@ WIDE_ROWS = 500
 SKETCH_BITS = 256
 #: Hot shingles that are sent to all tasks, and texts whose places are.
 MOST_HOT, MOST_BROADCAST = 200_000, 200_000
+#: How often some nodes of a bucket are tried with all its others, and how many of them.
+TURNS, HUBS = 2, 8
 #: Shingles of prefixes that a batch of texts sends, and that one task sees.
 BATCH_ENTRIES, PART_ENTRIES = 200_000, 250_000
 
@@ -513,8 +515,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     shingle of their prefixes, which all such texts do; each is verified on the
     sets unless its two texts are in one component by links that were.  So that
     a large group of near copies isn't compared pair by pair, a bucket first
-    tries one of its nodes with all others, then of what is left the one with
-    most links, and only then all.  Texts that differ in case and white space alone are
+    tries one of its nodes with all others, then, twice, eight others, and only
+    what is in different components after that pair by pair.  Texts that differ in case and white space alone are
     one node, and so are repeated rows, and texts without words, nulls among
     them.  Null ids are passed over where another id is in the component.  An
     empty table gives no rows.
@@ -657,19 +659,20 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         return out
 
     def open_buckets(edges: DataFrame, name: str) -> DataFrame:
-        """Rows of the buckets that still have two components or more, with the component and number of links of each node."""
-        ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
-        known = scratch.save(components(edges, scratch).join(ends, "node"), f"known-{name}")
-        now = shared.join(known, "node", "left").select(*shared.columns, F.coalesce("root", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        """Rows of the buckets that still have two components or more, with the component of each node."""
+        known = components(edges, scratch)
+        now = shared.join(known, "node", "left").select(*shared.columns, F.coalesce("root", "node").alias("label"))
         mixed = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
         return scratch.save(now.join(mixed, "bucket", "left_semi").select(*now.columns), f"open-{name}")
 
     edges = verified(links(nodes.select("node", "fp"), scratch, probe).unionByName(stars), "first")
-    shared = open_buckets(edges, "hub")  # buckets that are closed stay so
-    hub = shared.groupBy("bucket").agg(F.max(F.struct("degree", "node", "size", "place", "label")).alias("hub"))
-    tried = shared.join(hub, "bucket").where("label != hub.label").where(near("size", "place", "hub.size", "hub.place"))
-    shared = shared.select("bucket", "node", "size", "place")
-    edges = edges.unionByName(verified(tried.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), "hub"))
+    for turn in range(TURNS):
+        now = open_buckets(edges, f"turn{turn}")  # buckets that are closed stay so
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(turn), "node"), "node")
+        hubs = now.withColumn("k", F.row_number().over(order)).where(F.col("k") <= HUBS).select("bucket", F.struct("node", "size", "place", "label").alias("hub"))
+        tried = now.join(hubs, "bucket").where("label != hub.label").where(near("size", "place", "hub.size", "hub.place"))
+        edges = edges.unionByName(verified(tried.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), f"turn{turn}"))
+        shared = now.select("bucket", "node", "size", "place")
     left = open_buckets(edges, "all").select("bucket", "node", "size", "place", "label").join(nodes.select("node", "sketch"), "node")
     left = left.select("bucket", "node", "size", "place", "label", "sketch").repartition("bucket").sortWithinPartitions("bucket", "node")
     edges = edges.unionByName(verified(left.mapInArrow(_all_pairs(similarity), "a long, b long"), "all"))
