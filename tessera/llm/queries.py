@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_rules, mixing, pitman_yor, quality, secrets, shards, simhash, sql, substrings, token_files
+from . import decontam, line_rules, mixing, pitman_yor, quality, secrets, shards, simhash, sql, substrings, token_files, yinyang
 from .common import Scratch
 
 
@@ -58,5 +58,9 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_secrets, op4_simhash, op5_mixing, op6_quality, op7_substrings, op8_line_rules, op9_pitman_yor, op10_shards)}
-SQL: dict[str, str] = {"op2_decontamination": sql.OP2, "op7_substrings": sql.OP7, "op8_line_rules": sql.OP8}
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.digest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_secrets, op4_simhash, op5_mixing, op6_quality, op7_substrings, op8_line_rules, op9_pitman_yor, op10_shards, op11_yinyang)}
+SQL: dict[str, str] = {"op2_decontamination": sql.OP2, "op7_substrings": sql.OP7, "op8_line_rules": sql.OP8, "op11_yinyang": sql.op11()}

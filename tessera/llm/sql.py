@@ -42,3 +42,17 @@ r AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(k,
 f AS (SELECT doc_id, list_sum([length(x) FOR x IN l IF {_FAILS}]) / nullif(list_sum([length(x) FOR x IN l]), 0)::DOUBLE AS lost FROM d),
 b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(translate(text, '{SYMBOLS}', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(f.lost, 0) AS lost FROM d LEFT JOIN r USING (doc_id) LEFT JOIN f USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost <= {MOST_LOST} AS kept FROM b"""
+
+
+def op11(k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256, seed: int = 2) -> str:
+    """Every distance in every round, round after round."""
+    out = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS c, x AS y FROM v ORDER BY sha256('{seed}:' || vec_id) LIMIT {k})"""]
+    for i in range(rounds + 1):
+        near = f"SELECT r, c, list_sum([(a[1] - a[2]) * (a[1] - a[2]) FOR a IN list_zip(x, y)])::BIGINT AS d FROM v, c{i}"
+        out.append(f"a{i} AS MATERIALIZED (SELECT r, c, d FROM ({near}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        if i < rounds:
+            sums = f"SELECT c, j, floor(sum(x[j]) / count(*))::BIGINT AS m FROM a{i} JOIN v USING (r), range(1, {dim + 1}) t(j) GROUP BY c, j"
+            out.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(n.y, c{i}.y) AS y FROM c{i} LEFT JOIN (SELECT c, list(m ORDER BY j) AS y FROM ({sums}) GROUP BY c) n USING (c))")
+    return "WITH " + ",\n".join(out) + f"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(y, ',')) AS centroid_sha256 FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (c)"""
