@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fim, line_rules, mixing, pitman_yor, quality, secrets, shards, simhash, sql, substrings, token_files, yinyang
+from . import decontam, fim, line_rules, mixing, pitman_yor, quality, secrets, shards, simhash, sql, substrings, token_files, warc, yinyang
 from .common import Scratch
 
 
@@ -62,10 +62,17 @@ def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op12")
+    warc.write(table(spark, sf_dir, "pages"), scratch.at("archives"))
+    records = scratch.save(warc.sound(warc.read(spark, scratch.at("archives"), payload=False)).drop("fields", "payload"), "records")
+    return warc.resolved(records)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, text = fim.transform(table(spark, sf_dir, "documents")), fim.restored(F.col("output"), F.col("form"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_secrets, op4_simhash, op5_mixing, op6_quality, op7_substrings, op8_line_rules, op9_pitman_yor, op10_shards, op11_yinyang, op13_fill_in_middle)}
-SQL: dict[str, str] = {"op2_decontamination": sql.OP2, "op7_substrings": sql.OP7, "op8_line_rules": sql.OP8, "op11_yinyang": sql.op11(), "op13_fill_in_middle": sql.OP13}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_secrets, op4_simhash, op5_mixing, op6_quality, op7_substrings, op8_line_rules, op9_pitman_yor, op10_shards, op11_yinyang, op12_warc, op13_fill_in_middle)}
+SQL: dict[str, str] = {"op2_decontamination": sql.OP2, "op7_substrings": sql.OP7, "op8_line_rules": sql.OP8, "op11_yinyang": sql.op11(), "op12_warc": sql.OP12, "op13_fill_in_middle": sql.OP13}
