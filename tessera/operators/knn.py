@@ -27,16 +27,33 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _best(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and distances of the k nearest rows of b for each of a, by (distance, place)."""
+    """Places and distances of the k nearest rows of b for each of a, by (distance, place).
+
+    The expanded product gives rough squares; whatever lies within their
+    rounding of the k-th is a candidate, however many rows tie, and candidates
+    are put in order by distances from differences.
+    """
     norms, take, found, far = (b**2).sum(axis=1), min(k, len(b)), [], []
+    rounding = 4 * (b.shape[1] + 4) * np.finfo(float).eps
     for at in range(0, len(a), max(1, CELLS // len(b))):
         x = a[at : at + max(1, CELLS // len(b))]
+        own = (x**2).sum(axis=1)
         rough = norms[None, :] - 2 * x @ b.T
-        near = np.argpartition(rough, min(take + 1, len(b) - 1), axis=1)[:, : take + 2]  # two spare ones, for ties
-        exact = np.sqrt(((x[:, None, :] - b[near]) ** 2).sum(axis=2))
-        order = np.lexsort((near, np.round(exact, 12)), axis=1)[:, :take]
-        found.append(np.take_along_axis(near, order, 1))
-        far.append(np.take_along_axis(exact, order, 1))
+        rough = np.where(np.isnan(rough), np.inf, rough)
+        last = np.partition(rough, take - 1, axis=1)[:, take - 1]
+        with np.errstate(invalid="ignore"):
+            slack = rounding * (own + norms.max()) + 4e-12 * np.sqrt(np.maximum(last + own, 0)) + 1e-23
+        bound = np.where(np.isfinite(last), last + slack, np.inf)
+        row, near = np.nonzero(rough <= bound[:, None])
+        exact = np.empty(len(row))
+        step = max(1, CELLS // b.shape[1])
+        for lo in range(0, len(row), step):
+            exact[lo : lo + step] = np.sqrt(((x[row[lo : lo + step]] - b[near[lo : lo + step]]) ** 2).sum(axis=1))
+        order = np.lexsort((near, np.round(exact, 12), row))
+        first = np.searchsorted(row, np.arange(len(x)))  # rows are in order already
+        best = order[first[:, None] + np.arange(take)[None, :]]
+        found.append(near[best])
+        far.append(exact[best])
     return np.concatenate(found), np.concatenate(far)
 
 

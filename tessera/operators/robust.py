@@ -7,6 +7,7 @@ seeded by the pair, so results don't depend on how rows arrive.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..functions.transforms import affine_from_points, quaternion_from_matrix, superimposition_matrix
+from ..functions.transforms import affine_from_points, superimposition_matrix
 
 
 def _norm(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -331,13 +332,16 @@ def fundamental_distance(pairs: DataFrame, key: str = "pair_id", samples: int =
     return pairs.select(key, "f1", "f2", "size1", "size2").mapInArrow(run, f"{key} {kind}, sgd double")
 
 
+def _turn(r: np.ndarray) -> float:
+    """Angle of a rotation: its sine is half the length of the skew part's vector, its cosine half the trace less one."""
+    across = np.array([r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]])
+    return math.atan2(float(np.linalg.norm(across)), float(np.trace(r)) - 1)
+
+
 def pose_difference(r_true: np.ndarray, t_true: np.ndarray, r: np.ndarray, t: np.ndarray) -> tuple[float, float]:
-    """Degrees between rotations, by quaternions, and between directions up to sign."""
-    q, p = quaternion_from_matrix(r), quaternion_from_matrix(r_true)
-    lost = max(1e-15, 1 - float(q @ p) ** 2)
-    unit = lambda v: np.ravel(v) / (np.linalg.norm(v) + 1e-15)
-    lost_t = max(1e-15, 1 - float(unit(t) @ unit(t_true)) ** 2)
-    return float(np.degrees(np.arccos(1 - 2 * lost))), float(np.degrees(np.arccos(np.sqrt(1 - lost_t))))
+    """Degrees of the rotation between two rotations, and between the lines of two directions; a direction of length 0 is along any."""
+    a, b = np.ravel(t_true).astype(float), np.ravel(t).astype(float)
+    return math.degrees(_turn(np.asarray(r_true, float).T @ np.asarray(r, float))), math.degrees(math.atan2(float(np.linalg.norm(np.cross(a, b))), abs(float(a @ b))))
 
 
 def random_homography(rng: np.random.Generator, perturb: float = 0.25) -> np.ndarray:
@@ -361,7 +365,7 @@ def _each(table: DataFrame, key: str, columns: tuple[str, ...], schema: str, f:
 
 
 def pose_differences(poses: DataFrame, key: str = "pair_id") -> DataFrame:
-    """(key, r_err, t_err) in degrees of rows (key, r_true, t_true, r, t): rotations by quaternions, directions up to sign."""
+    """(key, r_err, t_err) in degrees of rows (key, r_true, t_true, r, t): between rotations, and between directions up to sign."""
     square = lambda v: np.reshape(v, (3, 3))
     return _each(poses, key, ("r_true", "t_true", "r", "t"), "r_err double, t_err double", lambda x: pose_difference(square(x["r_true"]), np.array(x["t_true"]), square(x["r"]), np.array(x["t"])))
 

@@ -104,6 +104,27 @@ def inverse_ratio_score(spark, d):
     return knn.inverse_ratio(t).select("i", F.round("score", 5).alias("score"))
 
 
+COPIES = """WITH a AS (SELECT vec_id AS i, round(embedding[1]::DOUBLE * 4) AS x1, round(embedding[2]::DOUBLE * 4) AS x2 FROM embeddings WHERE vec_id % 2 = 0),
+b AS (SELECT vec_id AS j, round(embedding[1]::DOUBLE * 4) AS y1, round(embedding[2]::DOUBLE * 4) AS y2 FROM embeddings WHERE vec_id % 2 = 1),
+n AS (SELECT i, j, s, row_number() OVER (PARTITION BY i ORDER BY s, j) AS r, row_number() OVER (PARTITION BY j ORDER BY s, i) AS c FROM (SELECT i, j, (x1 - y1) ** 2 + (x2 - y2) ** 2 AS s FROM a, b)) """
+
+
+def copied_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Descriptors of few different values, far from the origin: most are copies of others."""
+    coarse = lambda k: F.round(F.col("descriptor")[k].cast("double") * 4) + 1_000_000
+    return tuple(s.select("pair_id", "idx", F.array(coarse(0), coarse(1)).alias("descriptor")) for s in sides(spark, d))
+
+
+@query(COPIES + "SELECT i, r AS rank, j, s AS square FROM n WHERE r <= 5")
+def knn_of_copies(spark, d):
+    return knn.nearest(*copied_sides(spark, d), 5).select("i", big("rank").alias("rank"), "j", F.round(F.col("d") * F.col("d"), 6).alias("square"))
+
+
+@query(COPIES + "SELECT i, j FROM n WHERE r = 1 AND c = 1")
+def mutual_nn_of_copies(spark, d):
+    return knn.mutual_nn(*copied_sides(spark, d), None).select("i", "j")
+
+
 @query("SELECT true AS every_row, true AS recall_90")
 def approximate_knn(spark, d):
     """Every query row has two neighbours, and nine of ten are those of nearest."""

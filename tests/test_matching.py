@@ -44,6 +44,41 @@ def test_ties_go_to_the_smaller_index(spark):
     assert [r.j for r in knn.nearest(a, b, 2).orderBy("rank").collect()] == [3, 5]
 
 
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+@pytest.mark.parametrize("k", [1, 2, 9, 50])
+def test_copies_come_in_the_order_of_their_index(spark, offset, k):
+    """Tables of copies, and distances that the expanded product can't tell apart."""
+    rng = np.random.default_rng(8)
+    some = rng.normal(size=(6, 5)) + offset
+    a = [("x", i, (some[i % 6] + rng.integers(0, 2) * 1e-5).tolist()) for i in range(30)]
+    b = [("x", j, some[j % 3].tolist()) for j in range(90)] + [("x", j, (some[0] + rng.normal(size=5) * 1e-4).tolist()) for j in range(90, 130)]
+    kind = "pair_id string, idx long, descriptor array<double>"
+    want = {}
+    for _, i, u in a:
+        near = sorted((round(float(np.sqrt(((np.array(u) - np.array(v)) ** 2).sum())), 12), j) for _, j, v in b)
+        want |= {(i, r): j for r, (_, j) in enumerate(near[:k], 1)}
+    for rows in (4096, 16):
+        got = knn.nearest(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), k, rows).collect()
+        assert {(r.i, r["rank"]): r.j for r in got} == want
+
+
+def test_mutual_and_ratio_tests_on_copies(spark):
+    same = [0.6, 0.8]
+    a = descriptors(spark, [("x", i, same) for i in range(5)] + [("x", 9, [1.0, 0.0])])
+    b = descriptors(spark, [("x", 300 + j, same) for j in range(30)] + [("x", 999, [1.0, 0.1])])
+    got = {r.i: (r.j, r.d1, r.d2) for r in knn.top_two(knn.nearest(a, b, 2)).collect()}
+    assert all(got[i] == (300, 0.0, 0.0) for i in range(5)) and got[9][0] == 999
+    assert [(r.i, r.j) for r in knn.mutual_nn(a, b, None).orderBy("i").collect()] == [(0, 300), (9, 999)]
+    assert [(r.i, r.j) for r in knn.match(a, b, "nn", 0.75).collect()] == [(9, 999)]
+
+
+def test_descriptors_that_are_no_numbers(spark):
+    a = descriptors(spark, [("x", 0, [float("nan"), 0.0]), ("x", 1, [0.0, 0.0])])
+    b = descriptors(spark, [("x", 5, [float("nan"), 0.0]), ("x", 6, [3.0, 4.0]), ("x", 7, [float("inf"), 0.0])])
+    got = {(r.i, r["rank"]): r.j for r in knn.nearest(a, b, 2).collect()}
+    assert got[1, 1] == 6 and set(got) == {(0, 1), (0, 2), (1, 1), (1, 2)}
+
+
 def test_unknown_method(spark):
     with pytest.raises(NotImplementedError):
         knn.match(None, None, "none")
