@@ -9,7 +9,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import keypoints, knn, metrics, robust
+from ..operators import features, keypoints, knn, metrics, robust
+from ..shared import stored
 from ..sources import corpus, images
 
 
@@ -86,6 +87,10 @@ def component(kind: str, name: str) -> Callable:
     return _components[kind, name]
 
 
+def _rooted(keypoint_table: DataFrame) -> DataFrame:
+    return keypoint_table.withColumn("descriptor", keypoints.root_normalize(F.col("descriptor").cast("array<double>")))
+
+
 for _name in ("nn", "nn_approximate", "binary", "binary_lsh"):
     register("matcher", _name, lambda a, b, p, n=_name: knn.match(a, b, n, p.ratio, p.cross_check))
 register("evaluator", "auc", metrics.pose_auc)
@@ -93,29 +98,57 @@ register("evaluator", "sequences", metrics.sequence_slices)
 register("reader", "correspondences", corpus.correspondences)
 register("reader", "images", images.read_images)
 register("extractor", "stored", lambda keypoint_table, p: keypoints.top_k(keypoint_table, p.keypoints))
-register("extractor", "stored_root", lambda keypoint_table, p: keypoints.top_k(keypoint_table, p.keypoints).withColumn("descriptor", keypoints.root_normalize(F.col("descriptor").cast("array<double>"))))
+register("extractor", "stored_root", lambda keypoint_table, p: _rooted(keypoints.top_k(keypoint_table, p.keypoints)))
+register("extractor", "sift", lambda images, p: features.blobs(images, p.keypoints))
+register("extractor", "root_sift", lambda images, p: _rooted(features.blobs(images, p.keypoints)))
+register("extractor", "orb", lambda images, p: features.corners(images, p.keypoints))
 
 
-def verify(left: DataFrame, right: DataFrame, parameters: Parameters) -> DataFrame:
-    """(pair_id, n, inliers, ratio, error, same) from keypoint tables (pair_id, idx, x, y, score, descriptor) of both images of each pair.
+def matched(left: DataFrame, right: DataFrame, parameters: Parameters) -> DataFrame:
+    """(pair_id, i, j, d, x1, y1, x2, y2) from keypoint tables (pair_id, idx, x, y, score, descriptor) of both images of each pair.
 
-    The best keypoints, their matches, a robust homography, and the decision;
-    a pair with fewer than two keypoints on a side has no matches and isn't
-    the same.
+    The matches of the best keypoints; pairs with fewer than two keypoints on a
+    side have none.
     """
     best = lambda t: keypoints.top_k(t.withColumn("kp_idx", F.col("idx")), parameters.keypoints, "pair_id").drop("rank", "kp_idx")
     many = lambda t: t.join(t.groupBy("pair_id").agg(F.count("*").alias("n")).where("n >= 2").select("pair_id"), "pair_id", "left_semi")
     a, b = many(best(left)), many(best(right))
     if parameters.root:
-        a, b = (t.withColumn("descriptor", keypoints.root_normalize(F.col("descriptor").cast("array<double>"))) for t in (a, b))
+        a, b = _rooted(a), _rooted(b)
     found = component("matcher", parameters.matcher)(a.select("pair_id", "idx", "descriptor"), b.select("pair_id", "idx", "descriptor"), parameters)
     at = lambda t, i, x, y: t.select("pair_id", F.col("idx").alias(i), F.col("x").alias(x), F.col("y").alias(y))
-    matches = found.join(at(a, "i", "x1", "y1"), ["pair_id", "i"]).join(at(b, "j", "x2", "y2"), ["pair_id", "j"])
+    return found.join(at(a, "i", "x1", "y1"), ["pair_id", "i"]).join(at(b, "j", "x2", "y2"), ["pair_id", "j"])
+
+
+def verify(left: DataFrame, right: DataFrame, parameters: Parameters) -> DataFrame:
+    """(pair_id, n, inliers, ratio, error, h, same) from keypoint tables as ``matched`` takes them.
+
+    The matches, a robust homography, and the decision; a pair without
+    matches isn't the same.
+    """
     threshold, most = robust.HOMOGRAPHY[parameters.homography]
-    h = robust.homography(matches, threshold, most)
+    h = robust.homography(matched(left, right, parameters), threshold, most)
     every = left.select("pair_id").unionByName(right.select("pair_id")).distinct()
     out = every.join(h, "pair_id", "left")
-    return out.select("pair_id", F.coalesce("n", F.lit(0)).alias("n"), "inliers", "ratio", "error", metrics.decide(F.col("ratio"), F.col("error"), *metrics.DECISIONS[parameters.decision]).alias("same"))
+    return out.select("pair_id", F.coalesce("n", F.lit(0)).alias("n"), "inliers", "ratio", "error", "h", metrics.decide(F.col("ratio"), F.col("error"), *metrics.DECISIONS[parameters.decision]).alias("same"))
+
+
+def sides(pairs: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The keypoint tables of both images of pairs (pair_id, file1, file2); an image of many pairs is extracted once and given to each."""
+    own = lambda file: pairs.select("pair_id", F.col(file).alias("image_id")).join(features, "image_id").select("pair_id", F.col("kp_idx").cast("long").alias("idx"), "x", "y", "score", "descriptor")
+    return own("file1"), own("file2")
+
+
+def verify_images(pairs: DataFrame, images: DataFrame, extractor: str, parameters: Parameters) -> DataFrame:
+    """As verify, for every pair (pair_id, file1, file2) of images, by a registered extractor; pairs of unread images aren't the same.
+
+    Every pair has its row, and one without keypoints on both sides has no
+    matches.  The features are worked out once and stored in the shared folder;
+    ``feature_store`` keeps them from run to run.
+    """
+    features_ = stored(component("extractor", extractor)(images, parameters), "features")
+    found = verify(*(stored(s, "side") for s in sides(pairs, features_)), parameters)
+    return pairs.select("pair_id").join(found, "pair_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "same": F.coalesce("same", F.lit(False))})
 
 
 def write_results(results: DataFrame, path: str) -> None:

@@ -23,7 +23,7 @@ def copy(to):
 
 @pytest.mark.parametrize("left", ["nothing", "pipeline", "empty folder"])
 def test_queries_without_the_training_data_operators(tmp_path, left):
-    from tessera.plans import more_queries
+    from tessera.plans import queries
 
     folder = copy(tmp_path / "repo")
     shutil.rmtree(folder / "tessera" / "llm", ignore_errors=True)
@@ -32,4 +32,4 @@ def test_queries_without_the_training_data_operators(tmp_path, left):
         (folder / "corpus_pipeline.py").unlink(missing_ok=True)
     if left == "empty folder":
         (folder / "tessera" / "llm" / "__pycache__").mkdir(parents=True)
-    assert names(folder) == set(more_queries.QUERIES)
+    assert names(folder) == set(queries.QUERIES)

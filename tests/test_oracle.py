@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import more_queries as dq
+from tessera.plans import queries as dq
 
 SF = "/root/testdata/sf0.01"
 
