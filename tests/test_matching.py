@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -177,3 +178,25 @@ def test_sign_bits_have_every_dimension(spark):
         for r in got:
             bits = [int(w) >> k & 1 for w in r.w for k in range(64)]
             assert len(r.w) == -(-n // 64) and bits == [*(x[r.i] > 0).astype(int), *[0] * (64 * len(r.w) - n)]
+
+
+@pytest.mark.parametrize("iterations", [0, 1, 5])
+def test_large_pairs_agree_with_small_ones(spark, monkeypatch, iterations):
+    """Pairs beyond the bound go by row and column, and no exchange keeps a pair together."""
+    rng = np.random.default_rng(11)
+    rows = [(p, i, j, float(rng.normal())) for p, m, n in (("a", 12, 9), ("b", 4, 5)) for i in range(m) for j in range(n)]
+    s = spark.createDataFrame(rows, "pair_id string, i long, j long, s double")
+    filled = assign.masses(assign.with_dustbins(s, 0.4), own_side=True)
+    key = lambda t: {(r.pair_id, r.i, r.j): r for r in t.collect()}
+    runs = {n: f for n, f in (("p", lambda: assign.dual_softmax(s)), ("p2", lambda: assign.sinkhorn(filled, iterations)), ("s", lambda: assign.log_optimal_transport(s, 0.4, iterations)))}
+    want = {n: key(f()) for n, f in runs.items()}
+    monkeypatch.setattr(assign, "MOST_CELLS", 40)
+    for n, f in runs.items():
+        made = f()
+        got = key(made)
+        assert set(got) == set(want[n])
+        for k, r in got.items():
+            assert r[n[0]] == pytest.approx(want[n][k][n[0]], rel=1e-9, abs=1e-12)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        if n == "p" or iterations in (1, 5):
+            assert re.search(r"hashpartitioning\(pair_id#\d+, i#", plan) and re.search(r"hashpartitioning\(pair_id#\d+, j#", plan)
