@@ -193,6 +193,37 @@ def nms(table: DataFrame, radius: float, rounds: int = 2, group: str = "image_id
     return table.join(alive, [group, "kp_idx"], "left_semi")
 
 
+def cell_scores(cells: DataFrame, side: int = 8) -> DataFrame:
+    """(image_id, y, x, p) from scores (image_id, cy, cx, scores) of cells of side x side pixels, row by row, with a last one for "none".
+
+    The softmax over all of them, of which the last is dropped; rows without
+    all their scores give no pixels.
+    """
+    n = side * side
+    t = cells.where((F.size("scores") == n + 1) & F.forall("scores", lambda v: v.isNotNull()))
+    e = F.transform("scores", lambda v: F.exp(v.cast("double") - F.array_max("scores")))
+    t = t.select("image_id", "cy", "cx", e.alias("e")).withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, v: a + v))
+    t = t.select("image_id", "cy", "cx", "total", F.posexplode(F.slice("e", 1, n)).alias("k", "v"))
+    return t.select("image_id", (F.col("cy") * side + F.floor(F.col("k") / side)).alias("y"), (F.col("cx") * side + F.pmod("k", F.lit(side))).alias("x"), (F.col("v") / F.col("total")).alias("p"))
+
+
+def nms_tiled(table: DataFrame, radius: float, rounds: int = 2, tile: float = 512.0) -> DataFrame:
+    """As nms, image by image in tiles, so that a large image is several tasks.
+
+    Whether a keypoint stays is told by those within the radius, and with each
+    round by those within two radii more: so far a tile looks beyond its sides,
+    and keeps what lies inside.
+    """
+    halo = radius * (1 + 2 * rounds)
+    if tile <= 0:
+        raise ValueError("tiles have a size")
+    near = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))
+    t = table.select("image_id", "kp_idx", "x", "y", "score").select("*", F.explode(near("x")).alias("tx")).select("*", F.explode(near("y")).alias("ty"))
+    kept = nms(t.withColumn("tile", F.concat_ws(" ", F.col("image_id").cast("string"), "tx", "ty")), radius, rounds, "tile")
+    own = kept.where((F.floor(F.col("x") / tile) == F.col("tx")) & (F.floor(F.col("y") / tile) == F.col("ty")))
+    return table.join(own.select("image_id", "kp_idx"), ["image_id", "kp_idx"], "left_semi")
+
+
 def _neighbours(x: np.ndarray, y: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """Ordered pairs of different points within the radius in x and in y: of cells as wide, next to each other."""
     cx, cy = (np.floor(v / (radius + 1)).astype(np.int64) for v in (x, y))

@@ -47,16 +47,28 @@ def correspondences(left: DataFrame, right: DataFrame, near: float, far: float)
     left and right: (pair_id, idx, x, y, px, py), px and py being the place in
     the other image.  The distance of two keypoints is the larger of the two
     reprojection distances; a match is nearest both ways and below ``near``; a
-    row without a partner has none below ``far``.
+    row without a partner has none up to ``far``, in a pair with both sides.
+    Only keypoints within the larger bound ``reach`` of each other's places
+    meet, by cells of that size: what decides lies no farther, since the
+    distance is at least that of one reprojection.
     """
+    reach = max(near, far, 1e-9)
     a = left.select("pair_id", F.col("idx").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("px").alias("apx"), F.col("py").alias("apy"))
     b = right.select("pair_id", F.col("idx").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("px").alias("bpx"), F.col("py").alias("bpy"))
+    cell = lambda c, k=0: F.floor(F.col(c) / reach).cast("long") + k
+    around = F.explode(F.array(*[F.struct(cell("apx", u).alias("cx"), cell("apy", v).alias("cy")) for u in (-1, 0, 1) for v in (-1, 0, 1)])).alias("cell")
     d = F.greatest(F.hypot(F.col("apx") - F.col("bx"), F.col("apy") - F.col("by")), F.hypot(F.col("bpx") - F.col("ax"), F.col("bpy") - F.col("ay")))
-    met = a.join(b, "pair_id").select("pair_id", "i", "j", d.alias("d"))
+    met = a.select("*", around).join(b.withColumn("cell", F.struct(cell("bx").alias("cx"), cell("by").alias("cy"))), ["pair_id", "cell"])
+    met = met.select("pair_id", "i", "j", d.alias("d")).where(F.col("d") <= reach)
     rows = met.groupBy("pair_id", "i").agg(F.min(F.struct("d", "j")).alias("m")).select("pair_id", "i", F.col("m.j").alias("j"), F.col("m.d").alias("d"))
     cols = met.groupBy("pair_id", "j").agg(F.min(F.struct("d", "i")).alias("m")).select("pair_id", "j", F.col("m.i").alias("i"), F.col("m.d").alias("d"))
     matches = rows.join(cols.select("pair_id", "i", "j"), ["pair_id", "i", "j"], "left_semi").where(F.col("d") < near)
-    return matches, rows.where(F.col("d") > far).select("pair_id", "i"), cols.where(F.col("d") > far).select("pair_id", "j")
+
+    def alone(own: DataFrame, other: DataFrame, partners: DataFrame, n: str) -> DataFrame:
+        paired = own.join(other.select("pair_id").distinct(), "pair_id", "left_semi")
+        return paired.join(partners.where(F.col("d") <= far), ["pair_id", n], "left_anti").select("pair_id", n)
+
+    return matches, alone(a, b, rows, "i"), alone(b, a, cols, "j")
 
 
 def best_of_same_place(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
