@@ -30,13 +30,13 @@ CLASSES = {
     "entropy_lower": (re.compile(r"[0-9a-z]{20,}"), 3.5),
     "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.8),
 }
-#: What looks random and is no secret: numbers, words without a digit (random letters alone are passed over with them), UUIDs, paths of words, counting and placeholders.
+#: What stands for a secret, or counts: a candidate is cut at these, and what is left is looked at by itself.
+PLACEHOLDER = re.compile(r"(?i)example|sample|placeholder|dummy|changeme|xxxx+|0123456789|1234567890|abcdefghij|(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Fa-f])")
+#: What looks random and is no secret: numbers, words without a digit (random letters alone are passed over with them), and paths of words.
 ALLOWED = (
     re.compile(r"[0-9+/_=-]*"),
     re.compile(r"[A-Za-z+/_=-]*"),
-    re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),
     re.compile(r"/?([A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}"),
-    re.compile(r"(?i).*(example|sample|placeholder|dummy|changeme|xxxx|0123456789|1234567890|abcdefghij).*"),
 )
 #: c * log2(c), in units of 2^-32 so that adding and taking away leaves no rounding error.
 _C_LOG_C = [0, *(round(c * math.log2(c) * 2**32) for c in range(1, WINDOW + 2))]
@@ -81,17 +81,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
+def pieces(candidate: str) -> Iterator[tuple[int, str]]:
+    """What placeholders leave of a candidate, with its places; what is shorter than a window can't count."""
+    at = 0
+    for m in [*PLACEHOLDER.finditer(candidate), None]:
+        end = m.start() if m else len(candidate)
+        if end - at >= WINDOW:
+            yield at, candidate[at:end]
+        at = m.end() if m else end
+
+
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of high entropy, without what the allow-list has."""
+    """(start, end, kind) of high entropy, without what the allow-list has: whole pieces or spans of its shapes, and placeholders.
+
+    A key glued to a placeholder, a path or a name is found; the placeholder
+    itself is never part of a span.
+    """
     out = []
     for candidate in CANDIDATE.finditer(text):
-        if any(a.fullmatch(candidate[0]) for a in ALLOWED):
-            continue
-        for kind, (shape, least) in CLASSES.items():
-            for run in shape.finditer(candidate[0]):
-                for s, e in entropy_runs(run[0], least):
-                    if not any(a.fullmatch(run[0][s:e]) for a in ALLOWED):
-                        out.append((candidate.start() + run.start() + s, candidate.start() + run.start() + e, kind))
+        for at, piece in pieces(candidate[0]):
+            if any(a.fullmatch(piece) for a in ALLOWED):
+                continue
+            for kind, (shape, least) in CLASSES.items():
+                for run in shape.finditer(piece):
+                    for s, e in entropy_runs(run[0], least):
+                        if not any(a.fullmatch(run[0][s:e]) for a in ALLOWED):
+                            start = candidate.start() + at + run.start()
+                            out.append((start + s, start + e, kind))
     return out
 
 
