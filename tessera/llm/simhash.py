@@ -487,16 +487,23 @@ def _shared(similarity: float):
 
 
 def _all_pairs(similarity: float):
-    """Pairs of nodes of a bucket that are in different components so far and may be similar, by sizes, places and sketches."""
+    """Pairs of nodes of a group that are in different components so far and may be similar, by sizes, places and sketches.
+
+    Rows are in the order of (group, size).  ``side`` says which of two blocks
+    a row is of, -1 where there is one; a guest, of the band below, isn't
+    compared with guests.  A node meets those after it in the order as long as
+    their sizes can be similar.
+    """
     most = (1 - similarity) / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, node, size, place, label, drawn in _whole_buckets(batches, 1 << 13):
-            sketches, at, lag = Sketches(drawn.tolist()), np.arange(len(bucket)), 1
+        for group, node, size, place, label, side, guest, drawn in _whole_buckets(batches, 1 << 13):
+            sketches, at, lag = Sketches(drawn.tolist()), np.arange(len(group)), 1
             while len(at):
-                at = at[at + lag < len(bucket)]
-                at = at[bucket[at] == bucket[at + lag]]
-                a = at[(label[at] != label[at + lag]) & reachable(size[at], place[at], size[at + lag], place[at + lag], similarity)]
+                at = at[at + lag < len(group)]
+                at = at[(group[at] == group[at + lag]) & (size[at + lag] * similarity <= size[at] + 1e-6)]
+                met = (label[at] != label[at + lag]) & ((side[at] < 0) | (side[at] != side[at + lag])) & ~(guest[at] & guest[at + lag])
+                a = at[met & reachable(size[at], place[at], size[at + lag], place[at + lag], similarity)]
                 if len(a):
                     a = a[sketches.differ(a, a + lag) <= (size[a].astype(np.int64) + size[a + lag]) * most + 1e-6]
                     x, y = node[a], node[a + lag]
@@ -506,6 +513,34 @@ def _all_pairs(similarity: float):
     return run
 
 
+#: Nodes of a block of a crowded bucket: a task compares two blocks.
+BLOCK_NODES = 4096
+
+
+def _grouped(left: DataFrame, similarity: float) -> DataFrame:
+    """(group, node, size, place, label, side, guest, sketch): the groups whose nodes are compared pair by pair, each of two blocks at most.
+
+    left: (bucket, node, size, place, label, sketch).  A bucket of up to
+    BLOCK_NODES nodes is one group.  A larger one is cut into bands of sizes
+    that similar sets can have, each with the nodes of the band below as
+    guests; a band is dealt into blocks by hashes, and each two of its blocks,
+    and each block by itself, are a group.  So every pair that can be similar
+    meets in one group, and no task holds more than two blocks.
+    """
+    crowded = left.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_NODES).select("bucket", F.lit(True).alias("crowded"))
+    t = left.join(crowded, "bucket", "left")
+    one, none = F.lit(-1).cast("int"), F.lit(False)
+    small = t.where("crowded IS NULL").select(F.xxhash64("bucket", F.lit(-1), F.lit(0), F.lit(0)).alias("group"), "node", "size", "place", "label", one.alias("side"), none.alias("guest"), "sketch")
+    band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / float(-np.log(similarity) * (1 + 1e-9))).cast("int")  # similar sizes are less than a band apart, whatever the rounding
+    large = t.where("crowded").withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("guest", F.col("band") != F.col("own"))
+    blocks = large.groupBy("bucket", "band").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"), F.min("guest").alias("guests")).where("NOT guests")  # a band of guests alone has nothing to compare
+    large = large.join(blocks, ["bucket", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), one).otherwise((F.col("block") > F.col("other")).cast("int"))
+    group = F.xxhash64("bucket", "band", F.least("block", "other"), F.greatest("block", "other"))
+    return small.unionByName(large.select(group.alias("group"), "node", "size", "place", "label", side.alias("side"), "guest", "sketch"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, probe: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, key, root, component_id long.
 
@@ -674,7 +709,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         edges = edges.unionByName(verified(tried.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), f"turn{turn}"))
         shared = now.select("bucket", "node", "size", "place")
     left = open_buckets(edges, "all").select("bucket", "node", "size", "place", "label").join(nodes.select("node", "sketch"), "node")
-    left = left.select("bucket", "node", "size", "place", "label", "sketch").repartition("bucket").sortWithinPartitions("bucket", "node")
+    left = _grouped(left, similarity).repartition("group").sortWithinPartitions("group", "size", "node")
     edges = edges.unionByName(verified(left.mapInArrow(_all_pairs(similarity), "a long, b long"), "all"))
     root = components(edges, scratch)
     named = nodes.join(root.withColumnRenamed("node", "own"), nodes["node"] == F.col("own"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))

@@ -183,8 +183,10 @@ def test_near_duplicates_of_messy_and_empty_tables(spark):
     assert sh.near_duplicates(empty(spark)).count() == 0
 
 
-def test_hot_shingles_and_small_parts_lose_nothing(spark, monkeypatch):
-    """Templates that most texts share, several parts and batches, and groups of near copies of each other."""
+@pytest.mark.parametrize("block", [5, 4096])
+def test_hot_shingles_and_small_parts_lose_nothing(spark, monkeypatch, block):
+    """Templates that most texts share, several parts and batches, groups of near copies of each other, and crowded buckets in blocks."""
+    monkeypatch.setattr(sh, "BLOCK_NODES", block)
     monkeypatch.setattr(sh, "BATCH_ENTRIES", 500)
     monkeypatch.setattr(sh, "PART_ENTRIES", 300)
     rng, docs = np.random.default_rng(23), []
@@ -200,6 +202,41 @@ def test_hot_shingles_and_small_parts_lose_nothing(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in sh.near_duplicates(table(spark, docs)).collect()} == want
 
 
+def test_crowded_buckets_meet_in_bounded_groups(spark, monkeypatch):
+    """Every pair of similar sizes meets once at least, and no group has more than two blocks."""
+    monkeypatch.setattr(sh, "BLOCK_NODES", 60)
+    rng = np.random.default_rng(31)
+    rows = [(b, 1000 * b + i, int(rng.integers(1, 200)), 0, i, None) for b, n in ((1, 900), (2, 50), (3, 61)) for i in range(n)]
+    left = spark.createDataFrame(rows, "bucket long, node long, size int, place int, label long, sketch binary")
+    groups = {}
+    for r in sh._grouped(left, 0.8).collect():
+        groups.setdefault(r.group, []).append(r)
+    assert max(map(len, groups.values())) <= 2 * 60 * 1.6
+    met = {(min(x.node, y.node), max(x.node, y.node)) for g in groups.values() for k, x in enumerate(g) for y in g[:k] if (x.side < 0 or x.side != y.side) and not (x.guest and y.guest)}
+    want = {(min(x[1], y[1]), max(x[1], y[1])) for k, x in enumerate(rows) for y in rows[:k] if x[0] == y[0] and min(x[2], y[2]) >= 0.8 * max(x[2], y[2])}
+    assert want <= met
+
+
+def test_twenty_thousand_templated_texts_in_one_bucket(spark):
+    """Pairs of a large bucket that sizes, places and sketches let through, in tasks of two blocks, against all of them."""
+    rng = np.random.default_rng(32)
+    template = rng.integers(0, 2**63, 81).astype(np.uint64)
+    sets = [np.unique(np.concatenate([template, rng.integers(0, 2**63, 19).astype(np.uint64)])) for _ in range(5000)]
+    sets[777] = np.unique(np.concatenate([sets[10][:-2], rng.integers(0, 2**63, 2).astype(np.uint64)]))
+    rows = [(1, i, len(s), 10, i, bytearray(sh.sketch(s))) for i, s in enumerate(sets)]
+    rows += [(1, i, 300 + i % 400, 299, i, bytearray(sh.sketch(sets[0]))) for i in range(5000, 20_000)]  # places leave these nothing in common
+    left = spark.createDataFrame(rows, "bucket long, node long, size int, place int, label long, sketch binary")
+    grouped = sh._grouped(left, 0.8).repartition(32, "group").sortWithinPartitions("group", "size", "node")
+    assert grouped.groupBy("group").count().agg({"count": "max"}).first()[0] <= 2 * sh.BLOCK_NODES * 1.2
+    got = {(r.a, r.b) for r in grouped.mapInArrow(sh._all_pairs(0.8), "a long, b long").collect()}
+    assert (10, 777) in got and all(b < 5000 for _, b in got)
+    sketches, n = sh.Sketches([sh.sketch(s) for s in sets]), np.arange(5000)
+    for a in range(0, 5000, 500):
+        b = n[n > a]
+        close = b[sketches.differ(np.full(len(b), a), b) <= (len(sets[a]) + np.array([len(sets[k]) for k in b])) / 9 + 1e-6]
+        assert {(a, int(k)) for k in close} == {p for p in got if p[0] == a}
+
+
 def test_sketches_differ_in_no_more_bits_than_sets():
     rng = np.random.default_rng(24)
     sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 5, 100, 130, 900, 1500, 20_000)]
