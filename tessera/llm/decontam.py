@@ -27,7 +27,7 @@ WINDOW = 10
 #: Words after which a shard is closed; a longer document is a shard of its own.
 SHARD_WORDS = 400_000
 #: Bytes of test texts in one block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 3 << 20
 #: Every so many text positions, a suffix position is kept.
 SAMPLE_EVERY = 8
 #: Texts that go to a worker at once, and shards.
@@ -211,24 +211,29 @@ class Shard:
 
 
 class Phrases:
-    """Windows of test items, as numbers of their words."""
+    """Windows of test items, as numbers of their words: arrays alone, of about 100 bytes for each word of the items while they are made."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int):
         number: dict[bytes, int] = {}
         self.ids = sorted({i for i, _ in items}, key=lambda i: (i is not None, str(i)))
         place = {x: k for k, x in enumerate(self.ids)}
-        found: dict[tuple[int, ...], set[int]] = {}
-        for i, text in items:
-            own = [number.setdefault(w, len(number)) for w in words_of((text or "").encode())]
-            for at in range(max(1, len(own) - window + 1) if own else 0):
-                found.setdefault(tuple(own[at : at + window]), set()).add(place[i])
-        self.words = list(number)
-        self.lengths = np.array([len(w) for w in found], np.int64)
-        self.windows = np.full((len(found), window), -1, np.int32)
-        for k, w in enumerate(found):
-            self.windows[k, : len(w)] = w
-        self.first = np.concatenate([[0], np.cumsum([len(x) for x in found.values()])]).astype(np.int64)
-        self.items = np.array([i for x in found.values() for i in sorted(x)], np.int64)
+        own = [np.array([number.setdefault(w, len(number)) for w in words_of((text or "").encode())], np.int32) for _, text in items]
+        size = np.array([len(x) for x in own], np.int64)
+        starts = np.cumsum(size) - size
+        flat = np.concatenate([*own, np.full(window, -1, np.int32)])
+        many = np.where(size > 0, np.maximum(1, size - window + 1), 0)
+        of = np.repeat(np.arange(len(items)), many)
+        begin = _ranges(starts, many)
+        rows = np.empty((len(begin), window), np.int32)
+        for k in range(window):
+            rows[:, k] = np.where(k < size[of], flat[begin + k], -1)  # a shorter item is one window, padded
+        _, first, inverse = np.unique(rows.view(np.dtype((np.void, 4 * window))).ravel(), return_index=True, return_inverse=True)
+        self.words, self.windows = list(number), rows[first]
+        self.lengths = (self.windows >= 0).sum(axis=1)
+        owner = np.array([place[i] for i, _ in items], np.int64)
+        pair = np.unique(inverse.ravel() * np.int64(max(1, len(self.ids))) + owner[of])
+        self.items = pair % max(1, len(self.ids))
+        self.first = np.searchsorted(pair // max(1, len(self.ids)), np.arange(len(first) + 1)).astype(np.int64)
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -301,7 +306,8 @@ def index(docs: DataFrame, scratch: Scratch, name: str = "index", id_col: str =
 def hits(shards: DataFrame, bench: DataFrame, scratch: Scratch, window: int = WINDOW, name: str = "hits", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(shard, place, spans, items) of the documents that have windows of test items; spans of several blocks may overlap.
 
-    An item is in one block.
+    An item is in one block.  Each block is found in one pass over the stored
+    index, so a benchmark of n blocks is n passes.
     """
     items = pick(bench, item=item_col, text=text_col).select(F.col("item").cast("long"), F.col("text").cast("string"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import re
 
 import numpy as np
@@ -108,3 +109,30 @@ def test_query_equals_its_sql(spark):
     folder, names = "/root/testdata/sf0.001", ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     sql = queries.SQL["op2_decontamination"].replace("FROM documents", f"FROM '{folder}/documents.parquet'").replace("FROM benchmark", f"FROM '{folder}/benchmark.parquet'")
     assert rows_of(queries.op2_decontamination(spark, folder), *names) == sorted(duckdb.sql(sql).fetchall(), key=repr)
+
+
+def test_windows_of_items_by_definition():
+    rng = random.Random(4)
+    items = [(rng.choice([None, 1, 2, 3, 11]), rng.choice([None, "", "a", " ".join(rng.choice("abc") for _ in range(rng.randrange(9)))])) for _ in range(60)]
+    for window in (1, 3, 5):
+        p = dc.Phrases(items, window)
+        want = {}
+        for i, text in items:
+            w = (text or "").split()
+            for k in range(max(1, len(w) - window + 1) if w else 0):
+                want.setdefault(tuple(w[k : k + window]), set()).add(i)
+        got = {tuple(p.words[x].decode() for x in row[: p.lengths[k]]): {p.ids[i] for i in p.items[p.first[k] : p.first[k + 1]]} for k, row in enumerate(p.windows.tolist())}
+        assert got == want and len(p.windows) == len(want)
+    assert len(dc.Phrases([], 5).windows) == len(dc.Phrases([(1, ""), (None, None)], 5).windows) == 0
+
+
+def test_memory_of_a_block():
+    """A whole block of items costs the driver less than 200 MB."""
+    rng = random.Random(1)
+    items = [(i, " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(60_000)}" for _ in range(60))) for i in range(dc.BLOCK_BYTES // 375)]
+    assert sum(len(t) for _, t in items) > 0.9 * dc.BLOCK_BYTES
+    tracemalloc.start()
+    dc.Phrases(items, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
