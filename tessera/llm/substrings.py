@@ -12,7 +12,10 @@ document has too are merged into maximal repeats, and those go.
 
 No pair of documents is ever formed, so a passage of many documents costs as
 much as its occurrences, and a batch sends occurrences with equal surroundings
-once.
+once.  An anchor of more occurrences than a task should hold is extended where
+it stands: each of its windows goes to the task that the window's own hash
+names, which knows the window's least id, so the anchor is spread over all
+tasks.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ LEAST = 13
 ANCHOR = 7
 #: Words, about, whose anchors one task extends.
 PART_WORDS = 1_000_000
+#: Occurrences of an anchor that one task extends.
+HOT = 200_000
 _NULL_ID = -(2**63)
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -75,11 +80,11 @@ class _Seeds:
         self.key = gram[self.place] if len(self.place) else np.zeros(0, np.uint64)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors in order, and which of them several documents of the batch have."""
+        """Distinct anchors in order, and twice their occurrences in the batch, one more if several of its documents have them."""
         order = np.argsort(self.key, kind="stable")  # documents stay in order
         key, first, count = np.unique(self.key[order], return_index=True, return_counts=True)
         doc = self.doc[order]
-        return key, doc[first] != doc[first + count - 1]
+        return key, 2 * count + (doc[first] != doc[first + count - 1])
 
     def around(self, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Words to the right of anchors and, from there on, to the left, outwards; -1 beyond the text."""
@@ -89,9 +94,9 @@ class _Seeds:
         inside = (at >= b.starts[doc, None]) & (at < b.starts[doc + 1, None])
         return np.where(inside, b.index[np.clip(at, 0, max(0, len(b.index) - 1))], -1)
 
-    def occurrences(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def occurrences(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the anchors that other documents have: which, the number of the surroundings of each, and of each
-        surroundings in the order of the anchor the anchor, the least id and the words around it."""
+        surroundings in the order of the anchor the anchor, the least id, the words around it, and if the anchor is hot."""
         keys, _ = self.keys()
         on = np.flatnonzero(shared[np.searchsorted(keys, self.key)] > 0) if len(keys) else np.zeros(0, np.int64)
         words = self.around(self.place[on], self.doc[on])
@@ -103,7 +108,27 @@ class _Seeds:
         number, first = _groups(a, second)
         least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, number, _order(self.b.doc_ids)[self.doc[on]])
-        return on, number, a[first], least, words[first]
+        hot = shared[np.searchsorted(keys, a[first])] > 1 if len(keys) else np.zeros(0, bool)
+        return on, number, a[first], least, words[first], hot
+
+    def windows(self, key: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of surroundings: the row and the words to the left of each window that its text has, and two hashes of it, by the first of them."""
+        side, rows, lefts, first, second = self.side, [], [], [], []
+        hashes = np.where(words >= 0, self.hashes[words], np.uint64(0)) if len(self.hashes) else np.zeros(words.shape, np.uint64)
+        for k in range(side + 1):
+            own = np.concatenate([np.arange(side, side + k), np.arange(side - k)]).astype(int)
+            on = np.flatnonzero((words[:, own] >= 0).all(axis=1))
+            h = [tb.mixed(key[on] + np.uint64(k + 1)), tb.mixed(key[on] ^ np.uint64(_FACTORS[1] - k))]
+            with np.errstate(over="ignore"):
+                for c in own.tolist():
+                    h = [tb.mixed(x * np.uint64(f) + hashes[on, c]) for x, f in zip(h, _FACTORS, strict=True)]
+            rows.append(on)
+            lefts.append(np.full(len(on), k))
+            first.append(h[0])
+            second.append(h[1])
+        rows, lefts, first, second = (np.concatenate(x) for x in (rows, lefts, first, second))
+        order = np.lexsort((second, first))
+        return rows[order], lefts[order], first[order], second[order]
 
 
 def _extended(start: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
@@ -143,13 +168,26 @@ def extend(anchors: np.ndarray, ids: np.ndarray, words: np.ndarray) -> np.ndarra
     return out
 
 
-def _which_are_shared(columns: list[list[np.ndarray]], part: int) -> list[list[np.ndarray]]:
-    keys = np.concatenate([c[0] for c in columns])
+def _which_are_shared(columns: list[list[np.ndarray]], part: int, hot: int = HOT) -> list[list[np.ndarray]]:
+    """0 for an anchor of one document, 1 for one of several, 2 where it stands in more than ``hot`` places."""
+    keys, told = np.concatenate([c[0] for c in columns]), np.concatenate([c[1] for c in columns]).astype(np.int64)
     own, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
     shared = count > 1
-    np.logical_or.at(shared, inverse, np.concatenate([c[1] for c in columns]) > 0)
+    np.logical_or.at(shared, inverse, (told & 1) > 0)
+    places = np.zeros(len(own), np.int64)
+    np.add.at(places, inverse, told >> 1)
+    answer = shared.astype(np.uint8) + (shared & (places > hot)).astype(np.uint8)
     cuts = np.cumsum([len(c[0]) for c in columns])[:-1]
-    return [[x.astype(np.uint8)] for x in np.split(shared[inverse], cuts)]
+    return [[x] for x in np.split(answer[inverse], cuts)]
+
+
+def _least_ids(columns: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+    """columns: two hashes of each window of hot anchors, and the least id of a batch; the least of all."""
+    group, _ = _groups(np.concatenate([c[0] for c in columns]), np.concatenate([c[1] for c in columns]))
+    ids = np.concatenate([c[2] for c in columns])
+    least = np.full(int(group.max(initial=0)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, ids)
+    return [[x] for x in np.split(least[group], np.cumsum([len(c[0]) for c in columns])[:-1])]
 
 
 def _extend_all(columns: list[list[np.ndarray]], part: int) -> list[list[np.ndarray]]:
@@ -163,7 +201,15 @@ def _extend_all(columns: list[list[np.ndarray]], part: int) -> list[list[np.ndar
     return [[x] for x in np.split(bits, np.cumsum(sizes)[:-1])]
 
 
-def dedup(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _once(first: np.ndarray, second: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of windows in order: the first of each, the number of each one's, and the least id of each."""
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    number, at = np.cumsum(new) - 1, np.flatnonzero(new)
+    return at, number, np.minimum.reduceat(ids, at) if len(at) else ids
+
+
+def dedup(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed long, kept_sha256 string, spans array<struct<start,end>>.
 
     Words go that a window of ``least`` words covers whose words also start in a
@@ -181,15 +227,21 @@ def dedup(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id_col: str
     def seeds(row):
         s = _Seeds(row, least, anchor)
         keys, several = s.keys()
-        return tb.deal(s.b.number, keys, parts, several.astype(np.uint8))
+        return tb.deal(s.b.number, keys, parts, several.astype(np.int64))
 
-    shared = scratch.save_wide(tb.answer(tb.ask(batches, seeds), _which_are_shared), "shared")
+    shared = scratch.save_wide(tb.answer(tb.ask(batches, seeds), lambda columns, part: _which_are_shared(columns, part, hot)), "shared")
     scratch.tidy()
     rows = tb.joined(batches, shared, "shared")
 
     def occurrences(row):
         s = _Seeds(row, least, anchor)
-        _, _, key, ids, words = s.occurrences(tb.gathered(row["shared"], 0))
+        _, _, key, ids, words, is_hot = s.occurrences(tb.gathered(row["shared"], 0))
+        if is_hot.any():  # parts of their own, behind the others
+            at, _, first, second = s.windows(key[is_hot], words[is_hot])
+            one, _, low = _once(first, second, ids[is_hot][at])
+            for part, number, packed in tb.deal(s.b.number, first[one], parts, second[one], low):
+                yield part + parts, number, packed
+        key, ids, words = key[~is_hot], ids[~is_hot], words[~is_hot]
         at = np.append(np.searchsorted(key, tb.edges(parts)), len(key))
         for part in np.flatnonzero(np.diff(at)).tolist():
             own = slice(at[part], at[part + 1])
@@ -198,7 +250,10 @@ def dedup(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id_col: str
             place = place.ravel() - beyond
             yield part, s.b.number, [tb.pack(x) for x in (key[own], ids[own], s.hashes[used[beyond:]], place.astype(np.int32))]
 
-    told = scratch.save_wide(tb.answer(tb.ask(rows, occurrences), _extend_all), "told")
+    def extended(columns: list[list[np.ndarray]], part: int) -> list[list[np.ndarray]]:
+        return _extend_all(columns, part) if part < parts else _least_ids(columns)
+
+    told = scratch.save_wide(tb.answer(tb.ask(rows, occurrences), extended), "told")
     scratch.tidy()
     rows = tb.joined(rows, told, "told")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -210,8 +265,15 @@ def dedup(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, id_col: str
                 row = some.slice(i, 1).to_pylist()[0]
                 s = _Seeds(row, least, anchor)
                 b, ids = s.b, _order(row["doc_ids"])
-                on, number, _, first, _ = s.occurrences(tb.gathered(row["shared"], 0))
-                bits = tb.gathered(row["told"], 0).astype(np.uint32)
+                on, number, key, first, words, is_hot = s.occurrences(tb.gathered(row["shared"], 0))
+                bits = np.zeros(len(first), np.uint32)
+                bits[~is_hot] = tb.gathered([r for r in row["told"] or [] if r["part"] < parts], 0).astype(np.uint32)
+                if is_hot.any():
+                    lowest = tb.gathered([r for r in row["told"] or [] if r["part"] >= parts], 0)
+                    at, left, one, two = s.windows(key[is_hot], words[is_hot])
+                    _, which, _ = _once(one, two, first[is_hot][at])
+                    mine = np.flatnonzero(is_hot)[at]
+                    np.bitwise_or.at(bits, mine, (lowest[which] < first[mine]).astype(np.uint32) << left.astype(np.uint32))
                 # of windows with one anchor and equal surroundings, those of the least id here are its own
                 known = np.full(len(s.place), 0, np.uint32)
                 if len(on):

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from tessera.llm import substrings as ss
 from tessera.llm import token_batches as tb
 
@@ -30,7 +32,9 @@ def test_messy_tables(spark):
     assert ss.dedup(empty(spark)).count() == 0
 
 
-def test_overlapping_repeats_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [0, 20, 200_000])
+def test_overlapping_repeats_equal_brute_force(spark, monkeypatch, hot):
+    """Also where all anchors, or some, are spread by their windows."""
     monkeypatch.setattr(tb, "BATCH_WORDS", 500)
     monkeypatch.setattr(tb, "parts_for", lambda words, entries=0: 5)
     rng = random.Random(6)
@@ -44,13 +48,35 @@ def test_overlapping_repeats_equal_brute_force(spark, monkeypatch):
             words += own[a:] if rng.random() < 0.7 else [rng.choice("abcdefghxyz") for _ in range(rng.randrange(20))]
         docs.append((rng.choice([i, i, i, None]), " ".join(words)))
     docs += docs[:10] + [(500, LONG), (499, "x " + LONG)]
-    out = ss.dedup(table(spark, docs))
+    out = ss.dedup(table(spark, docs), hot=hot)
     assert rows_of(out, *NAMES) == brute(docs)
     for r in out.collect():
         spans = [(s.start, s.end) for s in r.spans]
         assert sum(e - s for s, e in spans) == r.n_removed and all(e - s >= 13 for s, e in spans) and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_a_hot_anchor_is_spread_over_parts(spark, monkeypatch):
+    """Thousands of surroundings of one anchor: no part gets more than its share of their windows."""
+    import numpy as np
+
+    seen = []
+    monkeypatch.setattr(tb, "parts_for", lambda words, entries=0: 16)
+    answer = tb.answer
+
+    def counted(questions, reply):
+        entries = [(r.part, len(tb.unpack(r["columns"][0]))) for r in questions.select("part", "columns").collect()]
+        seen.append({p: sum(n for q, n in entries if q == p) for p, _ in entries})
+        return answer(questions, reply)
+
+    monkeypatch.setattr(tb, "answer", counted)
+    rng = np.random.default_rng(1)
+    fixed = " ".join("the quick brown fox jumps over dogs".split())
+    docs = [(i, " ".join([*(f"l{v}" for v in rng.integers(0, 3, 8)), fixed, *(f"r{v}" for v in rng.integers(0, 3, 8))])) for i in range(3000)]
+    assert rows_of(ss.dedup(table(spark, docs), hot=500), *NAMES) == brute(docs)
+    behind = {p: n for p, n in seen[-1].items() if p >= 16}
+    assert len(behind) == 16 and max(behind.values()) < 2 * sum(behind.values()) / 16 and sum(behind.values()) > 3000
+
+
 def test_extension_equals_all_windows():
     """Of a few anchors with random words around them."""
     import numpy as np
