@@ -134,7 +134,8 @@ def fundamental_inlier(x: Point, y: Point, f: Column, size1: Point, size2: Point
 
 
 def _angle(c: Column) -> Column:
-    return F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c))))
+    """Null for null, which the bounds alone would pass over."""
+    return F.when(c.isNotNull(), F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c)))))
 
 
 def rotation_error(r: Column, truth: Column) -> Column:
@@ -143,10 +144,10 @@ def rotation_error(r: Column, truth: Column) -> Column:
 
 
 def translation_error(t: Sequence[Column], truth: Sequence[Column], ignore_below: float = 0.0) -> Column:
-    """Degrees between two directions, up to sign; 0 where the true one is shorter than ignore_below."""
+    """Degrees between two directions, up to sign; 0 where the true one is shorter than ignore_below, null where one is no direction."""
     norm = lambda v: F.sqrt(sum(c * c for c in v))
     e = _angle(F.try_divide(sum(a * b for a, b in zip(t, truth, strict=True)), norm(t) * norm(truth)))
-    return F.when(norm(truth) < ignore_below, F.lit(0.0)).otherwise(F.least(e, 180 - e))
+    return F.when(norm(truth) < ignore_below, F.lit(0.0)).otherwise(F.when(e.isNotNull(), F.least(e, 180 - e)))
 
 
 def warp(p: Point, depth: Column, pose: Column, k0: Column, k1: Column, width: int = 4) -> tuple[Column, Column, Column]:

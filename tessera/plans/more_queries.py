@@ -12,6 +12,7 @@ from ..functions import geometry as geo
 from ..functions import transforms as tr
 from ..operators import assign, keypoints, metrics, robust
 from ..operators import supervision as sup
+from ..shared import stored
 from ..sources import corpus
 from ..streaming import frames
 from .driver_queries import GEO, POINTS, QUERIES, SQL, K, big, geo_points, points, pq, query, r6, table
@@ -170,18 +171,20 @@ def quaternion_functions(spark, d):
     return t.select("vec_id", *cells(F.col("turn"), {"qw": 0, "qx": 1}), *cells(F.col("m"), {"m00": 0, "m01": 1}), *cells(tr.quaternion_inverse(h), {"inv_x": 1}), (r6(tr.quaternion_real(h)) + 0.0).alias("re"), *cells(tr.quaternion_imag(h), {"im_z": 2}), *cells(tr.quaternion_conjugate(h), {"conj_y": 2}))
 
 
-@query("SELECT vec_id, true AS same, true AS back, true AS rotation_back, true AS scale_back, true AS euler_back, true AS quaternion_back FROM embeddings")
+@query("SELECT vec_id, true AS same, true AS back, true AS rotation_back, round(abs(embedding[7]::DOUBLE), 6) AS angle, 2.5::DOUBLE AS factor, round(embedding[4]::DOUBLE, 5) + 0.0 AS origin_x, true AS euler_back, true AS quaternion_back FROM embeddings")
 def transforms_and_back(spark, d):
-    """Matrices times their inverses, and what recoveries give again."""
+    """Matrices times their inverses, and what recoveries give again: the angle, the factor and the origin that were put in."""
     turn, move = tr.rotation_matrix(F.col("angle"), F.col("p")), tr.translation_matrix([F.col("q")[k] for k in range(3)])
     t = vectors(spark, d).withColumn("turn", turn).withColumn("m", tr.concatenate_matrices(move, F.col("turn")))
+    t = stored(t, "transforms")  # else each use works the matrices out again
     t = t.withColumn("eye", tr.concatenate_matrices(tr.inverse_rigid(F.col("m")), F.col("m"))).withColumn("inverse", tr.apply("inverse_matrix")(F.col("m")))
     t = t.withColumn("spun", tr.apply("rotation_from_matrix")(F.col("turn"))).withColumn("s", tr.scale_matrix(F.lit(2.5), F.col("q"))).withColumn("stretched", tr.apply("scale_from_matrix")(F.col("s")))
     t = t.withColumn("angles", tr.apply("euler_from_matrix")(F.col("turn"))).withColumn("quaternion", tr.apply("quaternion_from_matrix")(F.col("turn")))
+    t = stored(t, "recovered")
     again = tr.rotation_matrix(F.col("spun")[0], F.slice("spun", 2, 3))
     by_euler = tr.euler_matrix([F.col("angles")[k] for k in range(3)])
-    size = F.abs(F.col("stretched")[0] - 2.5) < 1e-6
-    return t.select("vec_id", tr.is_same_transform(F.col("eye"), tr.identity_matrix()).alias("same"), tr.is_same_transform(F.col("inverse"), tr.inverse_rigid(F.col("m"))).alias("back"), tr.is_same_transform(again, F.col("turn")).alias("rotation_back"), size.alias("scale_back"), tr.is_same_transform(by_euler, F.col("turn")).alias("euler_back"), tr.is_same_transform(tr.quaternion_matrix(F.col("quaternion")), F.col("turn")).alias("quaternion_back"))
+    values = [r6(F.abs(F.col("spun")[0])).alias("angle"), r6(F.col("stretched")[0]).alias("factor"), (F.round(F.col("stretched")[1], 5) + 0.0).alias("origin_x")]
+    return t.select("vec_id", tr.is_same_transform(F.col("eye"), tr.identity_matrix()).alias("same"), tr.is_same_transform(F.col("inverse"), tr.inverse_rigid(F.col("m"))).alias("back"), tr.is_same_transform(again, F.col("turn")).alias("rotation_back"), *values, tr.is_same_transform(by_euler, F.col("turn")).alias("euler_back"), tr.is_same_transform(tr.quaternion_matrix(F.col("quaternion")), F.col("turn")).alias("quaternion_back"))
 
 
 @query("SELECT vec_id, round(1 + abs(a), 4) AS sx, round(b, 4) + 0.0 AS shear_xy, round(c, 4) + 0.0 AS turn_x, round(a, 4) + 0.0 AS move_x FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings)")
@@ -192,19 +195,21 @@ def decomposed_matrices(spark, d):
     return t.select("vec_id", *[(F.round(F.col("x")[k], 4) + 0.0).alias(n) for n, k in (("sx", 0), ("shear_xy", 3), ("turn_x", 6), ("move_x", 9))])
 
 
-@query(ROTATED + "SELECT r.vec_id % 10 AS pair_id, true AS found FROM r GROUP BY 1")
+@query("SELECT DISTINCT vec_id % 10 AS pair_id, 1.0 + vec_id % 10 AS move_x, -2.0::DOUBLE AS move_y, round(0.2 + (vec_id % 10) / 10, 6) AS angle FROM embeddings")
 def superimposed_points(spark, d):
-    """Points in space and their places after one rigid motion for all."""
-    m = tr.concatenate_matrices(tr.translation_matrix([F.lit(1.0), F.lit(-2.0), F.lit(0.5)]), tr.rotation_matrix(F.lit(0.7), geo.matrix([1, 2, 2])))
+    """Points in space and their places after one rigid motion for each pair: its move and angle."""
+    pair = F.expr("vec_id % 10")
+    m = tr.concatenate_matrices(tr.translation_matrix([1.0 + pair, F.lit(-2.0), F.lit(0.5)]), tr.rotation_matrix(0.2 + pair / 10, geo.matrix([1, 2, 2])))
     t = vectors(spark, d).withColumn("m", m)
     at = lambda r: sum((F.col("m")[4 * r + c] * F.col("q")[c] for c in range(3)), F.col("m")[4 * r + 3])
-    t = t.select(F.expr("vec_id % 10").alias("pair_id"), *[F.col("q")[k].alias(n) for k, n in enumerate(("x1", "y1", "z1"))], *[at(k).alias(n) for k, n in enumerate(("x2", "y2", "z2"))])
-    return robust.superimpositions(t).select("pair_id", tr.is_same_transform(F.transform("m", lambda v: F.round(v, 8)), F.transform(m, lambda v: F.round(v, 8))).alias("found"))
+    t = t.select(pair.alias("pair_id"), *[F.col("q")[k].alias(n) for k, n in enumerate(("x1", "y1", "z1"))], *[at(k).alias(n) for k, n in enumerate(("x2", "y2", "z2"))])
+    turn = F.acos((F.col("m")[0] + F.col("m")[5] + F.col("m")[10] - 1) / 2)
+    return robust.superimpositions(t).select("pair_id", r6(F.col("m")[3]).alias("move_x"), r6(F.col("m")[7]).alias("move_y"), r6(turn).alias("angle"))
 
 
 @query("SELECT vec_id, round(least(a, 360 - a), 2) AS r_err, round(least(b, 180 - b), 2) AS t_err FROM (SELECT vec_id, (vec_id * 7 % 360)::DOUBLE AS a, (vec_id * 11 % 180)::DOUBLE AS b FROM embeddings)")
 def pose_differences(spark, d):
-    """By quaternions; 10^-15 is the least loss that is told, which is below a hundredth of a degree."""
+    """Between rotations and between directions, exact near no turn and near half a turn."""
     a, b, o = F.radians(F.expr("CAST(vec_id * 7 % 360 AS DOUBLE)")), F.radians(F.expr("CAST(vec_id * 11 % 180 AS DOUBLE)")), F.lit(0.0)
     turn = F.array(F.cos(a), -F.sin(a), o, F.sin(a), F.cos(a), o, o, o, F.lit(1.0))
     t = table(spark, d, "embeddings").select("vec_id", geo.matrix([1, 0, 0, 0, 1, 0, 0, 0, 1]).alias("r_true"), geo.matrix([3, 0, 0]).alias("t_true"), turn.alias("r"), F.array(F.cos(b) * 2, F.sin(b) * 2, o).alias("t"))
@@ -221,15 +226,16 @@ def random_homographies(spark, d):
     return h.join(again, "pair_id").select("pair_id", (far <= 0.25 + 1e-9).alias("moves_corners"), (F.col("h") == F.col("h2")).alias("again"))
 
 
-@query("SELECT n_nationkey::BIGINT AS pair_id, true AS zero, true AS far FROM nation")
+@query("SELECT s_suppkey AS pair_id, 0.0::DOUBLE AS none, round((1 + s_suppkey % 50) / 800.0::DOUBLE, 6) AS shifted FROM supplier")
 def fundamental_distance(spark, d):
-    """A matrix is at no distance from itself, scaled, and at some from another one."""
-    e = geo.matrix([0.0, -1e-6, 5e-4, 1.2e-6, 0.0, -4e-3, -6e-4, 3.5e-3, 0.05])
-    other = geo.matrix([0.0, 2e-6, -3e-3, -1.5e-6, 0.0, 1e-3, 2.5e-3, -1.5e-3, 0.1])
+    """Of level epipolar lines from themselves, scaled, and from those so many pixels lower, in diagonals of 800."""
+    t = table(spark, d, "supplier").select(big("s_suppkey").alias("pair_id"), (1 + F.col("s_suppkey") % 50).cast("double").alias("lower"))
+    level = lambda by, down: F.array(*[F.lit(0.0)] * 5, -by, F.lit(0.0), by, by * down)
     size = geo.matrix([640, 480])
-    pairs = table(spark, d, "nation").select(big("n_nationkey").alias("pair_id"), e.alias("f1"), F.transform(e, lambda v: v * (1 + F.col("n_nationkey"))).alias("f2"), size.alias("size1"), size.alias("size2"))
-    near, away = robust.fundamental_distance(pairs, samples=200), robust.fundamental_distance(pairs.withColumn("f2", other), samples=200)
-    return near.join(away.select("pair_id", F.col("sgd").alias("far")), "pair_id").select("pair_id", (F.col("sgd") < 1e-4).alias("zero"), (F.col("far") > 0.01).alias("far"))
+    pairs = t.select("pair_id", "lower", level(F.lit(1.0), F.lit(0.0)).alias("f1"), size.alias("size1"), size.alias("size2"))
+    same = robust.fundamental_distance(pairs.withColumn("f2", level(F.col("lower"), F.lit(0.0))), samples=100)
+    other = robust.fundamental_distance(pairs.withColumn("f2", level(F.lit(2.0), F.col("lower"))), samples=100)
+    return same.join(other.select("pair_id", F.col("sgd").alias("other")), "pair_id").select("pair_id", (r6("sgd") + 0.0).alias("none"), r6("other").alias("shifted"))
 
 
 @query(GEO + "SELECT id, round(abs(1e-3 * x * u + 2e-3 * y * v - 1.5 * u + 0.5 * v + 20) / (sqrt((1e-3 * x - 1.5) ** 2 + (2e-3 * y + 0.5) ** 2) + 1e-8), 6) AS d FROM p")

@@ -6,12 +6,13 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, fields, replace
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, keypoints, knn, metrics, robust
 from ..shared import stored
-from ..sources import corpus, images
+from ..sources import corpus, hdf5, images
+from ..streaming import camera
 
 
 class FeatureExtractor(Protocol):
@@ -97,6 +98,21 @@ register("evaluator", "auc", metrics.pose_auc)
 register("evaluator", "sequences", metrics.sequence_slices)
 register("reader", "correspondences", corpus.correspondences)
 register("reader", "images", images.read_images)
+
+
+def _source(name: str, source: type) -> Callable:
+    """A reader by one of the library's own data sources: (spark, path, schema or none, options)."""
+
+    def read(spark: SparkSession, path: str, schema: str | None = None, **options) -> DataFrame:
+        spark.dataSource.register(source)
+        r = spark.read.format(name).options(**options)
+        return (r.schema(schema) if schema else r).load(path)
+
+    return read
+
+
+register("reader", "hdf5", _source("hdf5", hdf5.Hdf5Source))
+register("reader", "frames", _source("frames", camera.FrameSource))
 register("extractor", "stored", lambda keypoint_table, p: keypoints.top_k(keypoint_table, p.keypoints))
 register("extractor", "stored_root", lambda keypoint_table, p: _rooted(keypoints.top_k(keypoint_table, p.keypoints)))
 register("extractor", "sift", lambda images, p: features.blobs(images, p.keypoints))
