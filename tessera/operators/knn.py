@@ -84,6 +84,48 @@ def _met(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFram
     return _cogrouped(left, right, keys, run, f"pair_id {pair_type}, i long, j long, d double")
 
 
+def _met_bits(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The same for binary descriptors and Hamming distances, by (distance, idx)."""
+    pair_type = left.schema["pair_id"].dataType.simpleString()
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        i, j, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("idx")
+            a, b = (_words(t["descriptor"]) for t in (left, right))
+            take, near, far = min(k, len(b)), [], []
+            for at in range(0, len(a), max(1, CELLS // len(b))):
+                x = a[at : at + max(1, CELLS // len(b))]
+                bits = sum(np.bitwise_count(x[:, None, w] ^ b[None, :, w]).astype(np.int64) for w in range(b.shape[1]))
+                code = bits * len(b) + np.arange(len(b))  # by distance, then by place
+                own = np.sort(np.partition(code, take - 1, axis=1)[:, :take], axis=1)
+                near.append(own % len(b))
+                far.append(own // len(b))
+            near, d = np.concatenate(near), np.concatenate(far).ravel()
+            i, j = np.repeat(left["idx"].to_numpy(), take), right["idx"].to_numpy()[near].ravel()
+        pair = pa.array([key[0].as_py()] * len(i), left.schema.field("pair_id").type if left.num_columns else right.schema.field("pair_id").type)
+        return pa.table([pair, pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64)), pa.array(d.astype(np.int32))], names=["pair_id", "i", "j", "d"])
+
+    return _cogrouped(left, right, keys, run, f"pair_id {pair_type}, i long, j long, d int")
+
+
+def _blocked(queries: DataFrame, base: DataFrame, keys: list[str], met, k: int, block_rows: int) -> DataFrame:
+    """met(queries, base, keys, k) of rows (*keys, idx, descriptor), pair_id being the first key.
+
+    Both sides of a key are cut into blocks, and each block of queries meets
+    each block of base rows in a task of its own, so a key of any number of
+    rows is many tasks.
+    """
+    count = lambda t, n: t.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(n))
+    sizes = count(queries, "rows").join(count(base, "columns"), keys)
+
+    def cut(t: DataFrame, own: str, other: str) -> DataFrame:
+        t = t.join(sizes, keys).select(*keys, "idx", "descriptor", F.pmod(F.xxhash64("idx"), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+        return t.select(*keys, "rows", "columns", F.col("idx").cast("long").alias("idx"), "descriptor")
+
+    return met(cut(queries, "rows", "columns"), cut(base, "columns", "rows"), [*keys, "rows", "columns"], k)
+
+
 def _ranked(candidates: DataFrame, k: int) -> DataFrame:
     """(pair_id, i, rank, j, d): the k best of what several blocks or cells found for a query row."""
     order = Window.partitionBy("pair_id", "i").orderBy(F.round("d", 12), "j")
@@ -99,14 +141,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 2, block_rows: int = B
     stay are worked out from differences.  Null descriptors are left out.
     """
     queries, base = queries.where("descriptor IS NOT NULL"), base.where("descriptor IS NOT NULL")
-    count = lambda t, n: t.groupBy("pair_id").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(n))
-    sizes = count(queries, "rows").join(count(base, "columns"), "pair_id")
-
-    def cut(t: DataFrame, own: str, other: str) -> DataFrame:
-        t = t.join(sizes, "pair_id").select("pair_id", "idx", "descriptor", F.pmod(F.xxhash64("idx"), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
-        return t.select("pair_id", "rows", "columns", "idx", "descriptor")
-
-    return _ranked(_met(cut(queries, "rows", "columns"), cut(base, "columns", "rows"), ["pair_id", "rows", "columns"], k), k)
+    return _ranked(_blocked(queries, base, ["pair_id"], _met, k, block_rows), k)
 
 
 def approximate(queries: DataFrame, base: DataFrame, k: int = 2, cells: int | None = None, recall: float = 0.95, sample: int = 20_000, trials: int = 500, seed: int = 5) -> DataFrame:
@@ -117,7 +152,7 @@ def approximate(queries: DataFrame, base: DataFrame, k: int = 2, cells: int | No
     as many cells as ``trials`` query rows need to find that share of their
     neighbours among the sample.  About the root of the number of base rows is
     taken for ``cells``.  A query row of a pair without base rows there has no
-    neighbours.
+    neighbours.  A crowded cell is cut into blocks as a pair is in nearest.
     """
     base, queries = base.where("descriptor IS NOT NULL"), queries.where("descriptor IS NOT NULL")
     cells = cells or max(1, min(4096, int(base.count() ** 0.5)))
@@ -144,7 +179,7 @@ def approximate(queries: DataFrame, base: DataFrame, k: int = 2, cells: int | No
         kind = lambda c: t.schema[c].dataType.simpleString()
         return t.mapInArrow(cells_of(many), f"pair_id {kind('pair_id')}, cell int, idx {kind('idx')}, descriptor {kind('descriptor')}")
 
-    return _ranked(_met(dealt(queries, probes), dealt(base, 1), ["pair_id", "cell"], k), k)
+    return _ranked(_blocked(dealt(queries, probes), dealt(base, 1), ["pair_id", "cell"], _met, k, BLOCK_ROWS), k)
 
 
 def _probes(centres: np.ndarray, known: np.ndarray, tried: np.ndarray, k: int, recall: float) -> int:
@@ -215,35 +250,7 @@ def hamming(queries: DataFrame, base: DataFrame, k: int = 2, block_rows: int = B
     Blocks of both sides meet as in nearest; each block keeps the k best of a
     query row, and only those are merged.
     """
-    count = lambda t, n: t.groupBy("pair_id").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(n))
-    sizes = count(queries, "rows").join(count(base, "columns"), "pair_id")
-
-    def cut(t: DataFrame, own: str, other: str) -> DataFrame:
-        t = t.join(sizes, "pair_id").select("pair_id", "idx", "descriptor", F.pmod(F.xxhash64("idx"), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
-        return t.select("pair_id", "rows", "columns", F.col("idx").cast("long").alias("idx"), "descriptor")
-
-    pair_type = queries.schema["pair_id"].dataType.simpleString()
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        i, j, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if left.num_rows and right.num_rows:
-            right = right.sort_by("idx")
-            a, b = (_words(t["descriptor"]) for t in (left, right))
-            take, near, far = min(k, len(b)), [], []
-            for at in range(0, len(a), max(1, CELLS // len(b))):
-                x = a[at : at + max(1, CELLS // len(b))]
-                bits = sum(np.bitwise_count(x[:, None, w] ^ b[None, :, w]).astype(np.int64) for w in range(b.shape[1]))
-                code = bits * len(b) + np.arange(len(b))  # by distance, then by place
-                own = np.sort(np.partition(code, take - 1, axis=1)[:, :take], axis=1)
-                near.append(own % len(b))
-                far.append(own // len(b))
-            near, d = np.concatenate(near), np.concatenate(far).ravel()
-            i, j = np.repeat(left["idx"].to_numpy(), take), right["idx"].to_numpy()[near].ravel()
-        pair = pa.array([key[0].as_py()] * len(i), left.schema.field("pair_id").type if left.num_columns else right.schema.field("pair_id").type)
-        return pa.table([pair, pa.array(i.astype(np.int64)), pa.array(j.astype(np.int64)), pa.array(d.astype(np.int32))], names=["pair_id", "i", "j", "d"])
-
-    keys = ["pair_id", "rows", "columns"]
-    return _ranked(_cogrouped(cut(queries, "rows", "columns"), cut(base, "columns", "rows"), keys, run, f"pair_id {pair_type}, i long, j long, d int"), k)
+    return _ranked(_blocked(queries, base, ["pair_id"], _met_bits, k, block_rows), k)
 
 
 def _words(column: pa.ChunkedArray) -> np.ndarray:
@@ -252,24 +259,22 @@ def _words(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(len(flat), -1)
 
 
-def hamming_lsh(queries: DataFrame, base: DataFrame, k: int = 2, tables: int = 6, key_bits: int = 12) -> DataFrame:
+def hamming_lsh(queries: DataFrame, base: DataFrame, k: int = 2, tables: int = 6, key_bits: int = 12, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """As hamming, among base rows that agree with the query row in all ``key_bits`` sampled bits of one of the tables.
 
     Table t samples bit (t * 11 + b * 5) mod 64 of the first word for each b.
+    Rows of one key meet in blocks; each keeps the k best of a query row, and
+    those of all its keys are merged.
     """
 
     def keys(table: DataFrame) -> DataFrame:
         word = F.col("descriptor")[0]
         key = lambda t: sum((F.shiftright(word, (t * 11 + b * 5) % 64).bitwiseAND(F.lit(1)) * (1 << b) for b in range(key_bits)), F.lit(0))
-        return table.withColumn("key", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), key(t).alias("v")) for t in range(tables)])))
-
-    q = keys(queries).select("pair_id", "key", F.col("idx").alias("i"))
-    b = keys(base).select("pair_id", "key", F.col("idx").alias("j"))
-    met = q.join(b, ["pair_id", "key"]).select("pair_id", "i", "j").distinct()
-    met = met.join(queries.select("pair_id", F.col("idx").alias("i"), F.col("descriptor").alias("x")), ["pair_id", "i"]).join(base.select("pair_id", F.col("idx").alias("j"), F.col("descriptor").alias("y")), ["pair_id", "j"])
-    d = F.aggregate(F.zip_with("x", "y", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda acc, v: acc + v)
-    order = Window.partitionBy("pair_id", "i").orderBy("d", "j")
-    return met.select("pair_id", "i", "j", d.alias("d")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("pair_id", "i", "rank", "j", "d")
+        each = F.explode(F.array(*[(key(t) + F.lit(t << key_bits)).cast("long") for t in range(tables)]))
+        return table.where("descriptor IS NOT NULL").select("pair_id", each.alias("key"), "idx", "descriptor")
+
+    met = _blocked(keys(queries), keys(base), ["pair_id", "key"], _met_bits, k, block_rows)
+    return _ranked(met.distinct(), k)  # several tables may have the same neighbour
 
 
 def sign_bits(descriptor: Column) -> Column:

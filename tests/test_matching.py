@@ -200,3 +200,19 @@ def test_large_pairs_agree_with_small_ones(spark, monkeypatch, iterations):
         plan = made._jdf.queryExecution().executedPlan().toString()
         if n == "p" or iterations in (1, 5):
             assert re.search(r"hashpartitioning\(pair_id#\d+, i#", plan) and re.search(r"hashpartitioning\(pair_id#\d+, j#", plan)
+
+
+def test_hash_tables_in_blocks_of_any_size(spark):
+    """Also with a key that holds most rows."""
+    rng = np.random.default_rng(12)
+    words = lambda n: [int(v) for v in np.where(rng.random(n) < 0.6, rng.integers(0, 8, n), rng.integers(-(2**62), 2**62, n))]
+    kind = "pair_id string, idx long, descriptor array<bigint>"
+    a, b = [("x", i, [v]) for i, v in enumerate(words(60))] + [("x", 99, None)], [("x", j, [v]) for j, v in enumerate(words(80))]
+    key = lambda v, t: tuple(v >> ((t * 11 + c * 5) % 64) & 1 for c in range(12))
+    want = {}
+    for _, i, u in a[:-1]:
+        near = sorted((int(u[0] ^ v[0]).bit_count() if u[0] ^ v[0] >= 0 else int((u[0] ^ v[0]) & (2**64 - 1)).bit_count(), j) for _, j, v in b if any(key(u[0], t) == key(v[0], t) for t in range(6)))
+        want |= {(i, r): (j, d) for r, (d, j) in enumerate(near[:3], 1)}
+    for rows in (4096, 7):
+        got = knn.hamming_lsh(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), 3, block_rows=rows).collect()
+        assert {(r.i, r["rank"]): (r.j, r.d) for r in got} == want
