@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from ..shared import stored
 
 #: The epipolar threshold of each data set.
 EPIPOLAR_THRESHOLDS = {"scannet": 5e-4, "megadepth": 1e-4, "gl3d": 1e-4}
@@ -122,15 +123,26 @@ def confusion(decisions: DataFrame, predicted: str = "predicted", truth: str = "
     return c.withColumn("accuracy", F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))).withColumn("far", F.try_divide("fp", F.col("fp") + F.col("tn"))).withColumn("frr", F.try_divide("fn", F.col("fn") + F.col("tp")))
 
 
-def expand_sequences(counts: DataFrame, name: str = "sequence", n: str = "n", order: str = "position") -> DataFrame:
-    """(sequence, pair_index, offset) from (position, sequence, n): a row for each pair, numbered through all sequences; offset is the sequence's first.
+def running_before(table: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """table with ``name``: the sum of value over all rows of a smaller order; ties in any order.
 
-    One row for each sequence is summed up in order: sequences are image
-    folders, whose pairs are the rows that grow.
+    Rows are dealt by ranges of the order; only the ranges' sums, one for each
+    task, are added up in one place.
     """
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    t = counts.withColumn("offset", F.coalesce(F.sum(n).over(before), F.lit(0))).where(F.col(n) > 0)
-    return t.select(name, "offset", F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("k")).select(name, (F.col("offset") + F.col("k")).alias("pair_index"), "offset")
+    ranged = table.repartitionByRange(F.col(order).asc_nulls_first()).withColumn("range_id", F.spark_partition_id())
+    ranged = stored(ranged, "ranges")
+    sums = ranged.groupBy("range_id").agg(F.sum(value).alias("range_sum"))
+    before = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("range_id", F.coalesce(F.sum("range_sum").over(before), F.lit(0)).alias("range_start"))
+    inside = Window.partitionBy("range_id").orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(starts), "range_id")  # a row for each task of the exchange before
+    return out.withColumn(name, F.col("range_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).select(*table.columns, name)
+
+
+def expand_sequences(counts: DataFrame, name: str = "sequence", n: str = "n", order: str = "position") -> DataFrame:
+    """(sequence, pair_index, offset) from (position, sequence, n): a row for each pair, numbered through all sequences; offset is the sequence's first."""
+    t = running_before(counts.select(F.col(name).alias("sequence"), F.col(n).alias("n"), F.col(order).alias("position")), "position", "n", "offset").where("n > 0")
+    return t.select("sequence", "offset", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).select(F.col("sequence").alias(name), (F.col("offset") + F.col("k")).alias("pair_index"), "offset")
 
 
 def sequence_slices(results: DataFrame, width: int = 1000, threshold: float = 0.05) -> DataFrame:

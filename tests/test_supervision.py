@@ -68,3 +68,17 @@ def test_registry(spark):
     right = [("same", i, *map(float, q[i, :2] / q[i, 2]), 1.0, (d[i] + 0.001).tolist()) for i in range(60)] + [("one", 0, 1.0, 1.0, 1.0, d[0].tolist())]
     got = {r.pair_id: (r.n, r.same) for r in registry.verify(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), registry.PRESETS["seeded_graph"]).collect()}
     assert got == {"same": (60, True), "one": (0, False)}
+
+
+def test_running_sums_over_ranges(spark):
+    from tessera.operators import metrics
+
+    rng = np.random.default_rng(4)
+    rows = [(int(p), int(rng.integers(0, 5)), f"s{p}") for p in rng.permutation(500)]
+    t = spark.createDataFrame(rows, "position int, n int, sequence string").repartition(7)
+    want, at = {}, 0
+    for p, n, s in sorted(rows):
+        want |= {(s, at + k): at for k in range(n)}
+        at += n
+    assert {(r.sequence, r.pair_index): r.offset for r in metrics.expand_sequences(t).collect()} == want
+    assert metrics.expand_sequences(t.limit(0)).count() == 0
