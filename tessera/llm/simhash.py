@@ -518,9 +518,9 @@ BLOCK_NODES = 4096
 
 
 def _grouped(left: DataFrame, similarity: float) -> DataFrame:
-    """(group, node, size, place, label, side, guest, sketch): the groups whose nodes are compared pair by pair, each of two blocks at most.
+    """(group, node, size, place, label, side, guest): the groups whose nodes are compared pair by pair, each of two blocks at most.
 
-    left: (bucket, node, size, place, label, sketch).  A bucket of up to
+    left: (bucket, node, size, place, label), narrow rows of a stored table.  A bucket of up to
     BLOCK_NODES nodes is one group.  A larger one is cut into bands of sizes
     that similar sets can have, each with the nodes of the band below as
     guests; a band is dealt into blocks by hashes, and each two of its blocks,
@@ -530,7 +530,7 @@ def _grouped(left: DataFrame, similarity: float) -> DataFrame:
     crowded = left.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_NODES).select("bucket", F.lit(True).alias("crowded"))
     t = left.join(crowded, "bucket", "left")
     one, none = F.lit(-1).cast("int"), F.lit(False)
-    small = t.where("crowded IS NULL").select(F.xxhash64("bucket", F.lit(-1), F.lit(0), F.lit(0)).alias("group"), "node", "size", "place", "label", one.alias("side"), none.alias("guest"), "sketch")
+    small = t.where("crowded IS NULL").select(F.xxhash64("bucket", F.lit(-1), F.lit(0), F.lit(0)).alias("group"), "node", "size", "place", "label", one.alias("side"), none.alias("guest"))
     band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / float(-np.log(similarity) * (1 + 1e-9))).cast("int")  # similar sizes are less than a band apart, whatever the rounding
     large = t.where("crowded").withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("guest", F.col("band") != F.col("own"))
     blocks = large.groupBy("bucket", "band").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"), F.min("guest").alias("guests")).where("NOT guests")  # a band of guests alone has nothing to compare
@@ -538,7 +538,7 @@ def _grouped(left: DataFrame, similarity: float) -> DataFrame:
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), one).otherwise((F.col("block") > F.col("other")).cast("int"))
     group = F.xxhash64("bucket", "band", F.least("block", "other"), F.greatest("block", "other"))
-    return small.unionByName(large.select(group.alias("group"), "node", "size", "place", "label", side.alias("side"), "guest", "sketch"))
+    return small.unionByName(large.select(group.alias("group"), "node", "size", "place", "label", side.alias("side"), "guest"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, probe: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -708,8 +708,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         tried = now.join(hubs, "bucket").where("label != hub.label").where(near("size", "place", "hub.size", "hub.place"))
         edges = edges.unionByName(verified(tried.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), f"turn{turn}"))
         shared = now.select("bucket", "node", "size", "place")
-    left = open_buckets(edges, "all").select("bucket", "node", "size", "place", "label").join(nodes.select("node", "sketch"), "node")
-    left = _grouped(left, similarity).repartition("group").sortWithinPartitions("group", "size", "node")
+    left = _grouped(open_buckets(edges, "all"), similarity).join(nodes.select("node", "sketch"), "node")  # sketches move once
+    left = left.select("group", "node", "size", "place", "label", "side", "guest", "sketch").repartition("group").sortWithinPartitions("group", "size", "node")
     edges = edges.unionByName(verified(left.mapInArrow(_all_pairs(similarity), "a long, b long"), "all"))
     root = components(edges, scratch)
     named = nodes.join(root.withColumnRenamed("node", "own"), nodes["node"] == F.col("own"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))

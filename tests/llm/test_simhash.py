@@ -206,8 +206,8 @@ def test_crowded_buckets_meet_in_bounded_groups(spark, monkeypatch):
     """Every pair of similar sizes meets once at least, and no group has more than two blocks."""
     monkeypatch.setattr(sh, "BLOCK_NODES", 60)
     rng = np.random.default_rng(31)
-    rows = [(b, 1000 * b + i, int(rng.integers(1, 200)), 0, i, None) for b, n in ((1, 900), (2, 50), (3, 61)) for i in range(n)]
-    left = spark.createDataFrame(rows, "bucket long, node long, size int, place int, label long, sketch binary")
+    rows = [(b, 1000 * b + i, int(rng.integers(1, 200)), 0, i) for b, n in ((1, 900), (2, 50), (3, 61)) for i in range(n)]
+    left = spark.createDataFrame(rows, "bucket long, node long, size int, place int, label long")
     groups = {}
     for r in sh._grouped(left, 0.8).collect():
         groups.setdefault(r.group, []).append(r)
@@ -226,7 +226,7 @@ def test_twenty_thousand_templated_texts_in_one_bucket(spark):
     rows = [(1, i, len(s), 10, i, bytearray(sh.sketch(s))) for i, s in enumerate(sets)]
     rows += [(1, i, 300 + i % 400, 299, i, bytearray(sh.sketch(sets[0]))) for i in range(5000, 20_000)]  # places leave these nothing in common
     left = spark.createDataFrame(rows, "bucket long, node long, size int, place int, label long, sketch binary")
-    grouped = sh._grouped(left, 0.8).repartition(32, "group").sortWithinPartitions("group", "size", "node")
+    grouped = sh._grouped(left.drop("sketch"), 0.8).join(left.select("node", "sketch"), "node").select("group", "node", "size", "place", "label", "side", "guest", "sketch").repartition(32, "group").sortWithinPartitions("group", "size", "node")
     assert grouped.groupBy("group").count().agg({"count": "max"}).first()[0] <= 2 * sh.BLOCK_NODES * 1.2
     got = {(r.a, r.b) for r in grouped.mapInArrow(sh._all_pairs(0.8), "a long, b long").collect()}
     assert (10, 777) in got and all(b < 5000 for _, b in got)
