@@ -31,12 +31,17 @@ def _hom(p: np.ndarray) -> np.ndarray:
     return np.column_stack([p, np.ones(len(p))])
 
 
+def right_singular(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and all right singular vectors; of many rows only their triangular factor is decomposed, so no square of the rows is held."""
+    return np.linalg.svd(np.linalg.qr(m, mode="r") if len(m) > m.shape[1] else m)[1:]
+
+
 def fit_homography(p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
     """Normalised direct linear transform of four points or more."""
     (a, ta), (b, tb) = _norm(p), _norm(q)
     z, o = np.zeros((len(a), 3)), _hom(a)
     m = np.vstack([np.hstack([o, z, -b[:, :1] * o]), np.hstack([z, o, -b[:, 1:] * o])])
-    _, s, vh = np.linalg.svd(m)
+    s, vh = right_singular(m)
     if s[7] < 1e-9 * s[0]:
         return None
     h = np.linalg.inv(tb) @ vh[-1].reshape(3, 3) @ ta
@@ -54,7 +59,7 @@ def fit_fundamental(p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
     """Normalised eight-point algorithm, rank two."""
     (a, ta), (b, tb) = _norm(p), _norm(q)
     m = (_hom(b)[:, :, None] * _hom(a)[:, None, :]).reshape(len(a), 9)
-    u, s, vh = np.linalg.svd(np.linalg.svd(m)[2][-1].reshape(3, 3))
+    u, s, vh = np.linalg.svd(right_singular(m)[1][-1].reshape(3, 3))
     f = tb.T @ (u @ np.diag([s[0], s[1], 0]) @ vh) @ ta
     n = np.linalg.norm(f)
     return f / n if n > 1e-12 else None
@@ -84,7 +89,8 @@ def ransac(p: np.ndarray, q: np.ndarray, fit: Callable, errors: Callable, sample
             if own.sum() > mask.sum():
                 best, mask = model, own
                 share = min(1 - 1e-9, mask.mean() ** sample)
-                need = int(np.ceil(np.log(max(1e-12, 1 - confidence)) / np.log(1 - share))) if share > 0 else most
+                tries = np.log(max(1e-12, 1 - confidence)) / np.log1p(-share) if share > 0 else most
+                need = math.ceil(min(tries, most))  # a share below rounding asks for more than any integer
     for _ in range(5):
         if best is None or mask.sum() < (8 if minimal else sample):
             break

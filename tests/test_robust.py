@@ -70,3 +70,33 @@ def test_geometric_distance_tells_matrices_apart(spark):
 def test_random_homography_moves_corners():
     h = robust.random_homography(np.random.default_rng(4))
     assert np.abs(robust.homography_errors(h, np.array([[0, 0], [1, 1.0]]), np.array([[0, 0], [1, 1.0]]))).max() < 0.5
+
+
+def test_few_agreeing_of_many_ask_for_most_samples():
+    """A best share whose eighth power is below rounding: the number of samples has no integer, and the most are tried."""
+    rng = np.random.default_rng(4)
+    p, q = rng.uniform(0, 640, (4000, 2)), rng.uniform(0, 640, (4000, 2))
+    one = np.array([[0, 0, 1.0], [0, 0, 0], [-1, 0, 0]])
+    errors = lambda f, p, q: np.where(np.arange(len(p)) < 20, 0.0, 9.0)
+    model, mask = robust.ransac(p, q, lambda p, q: one, errors, 8, 1.0, 1 - 1e-5, 7, rng)
+    assert model is one and mask.sum() == 20
+
+
+def test_fits_hold_no_square_of_the_points():
+    """Models of 20,000 points take far less than the 3 GB and more that a square matrix of the points would."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    p = rng.uniform(0, 640, (20_000, 2))
+    q = np.column_stack([p, np.ones(len(p))]) @ H.T
+    q = q[:, :2] / q[:, 2:]
+    tracemalloc.start()
+    try:
+        h = robust.fit_homography(p, q)
+        f = robust.fit_fundamental(p, q + rng.normal(0, 1, q.shape))
+        a = tr.affine_from_points(p.T, (p @ H[:2, :2].T + H[:2, 2]).T)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.allclose(h, H, atol=1e-7) and f is not None and np.allclose(a[:2], H[:2])
+    assert most < 200e6
