@@ -128,3 +128,18 @@ def test_rows_of_approximate_neighbours_without_base(spark):
     t = spark.createDataFrame([(1, i, [float(i), 0.0]) for i in range(30)], "pair_id int, idx long, descriptor array<double>")
     assert knn.approximate(t, t.limit(0)).count() == 0
     assert knn.approximate(t, t, 1).where("i = j AND d = 0").count() >= 28
+
+
+def test_images_of_a_small_table_are_many_tasks(spark):
+    """Keys in one partition, as a small file has them, are dealt to several before images are drawn from them, and pairs before distances are sampled."""
+    from pyspark.sql import functions as F
+
+    from tessera.plans import image_queries
+
+    keys = spark.range(64).coalesce(1).withColumnRenamed("id", "key")
+    got = image_queries.drawn(keys, lambda k: {"one": b"x"}).select("path", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.path for r in got) == sorted(f"{k}/one" for k in range(64)) and len({r.task for r in got}) > 1
+    level = F.expr("array(0D, 0D, 0D, 0D, 0D, -1D, 0D, 1D, 0D)")
+    pairs = keys.select(F.col("key").alias("pair_id"), level.alias("f1"), level.alias("f2"), F.expr("array(640D, 480D)").alias("size1"), F.expr("array(640D, 480D)").alias("size2"))
+    far = robust.fundamental_distance(pairs, samples=5).select("sgd", F.spark_partition_id().alias("task")).collect()
+    assert len(far) == 64 and len({r.task for r in far}) > 1
