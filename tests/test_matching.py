@@ -216,3 +216,31 @@ def test_hash_tables_in_blocks_of_any_size(spark):
     for rows in (4096, 7):
         got = knn.hamming_lsh(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), 3, block_rows=rows).collect()
         assert {(r.i, r["rank"]): (r.j, r.d) for r in got} == want
+
+
+@pytest.mark.parametrize("block", [3, 2_048])
+def test_assignment_from_descriptors_equals_that_from_scores(spark, monkeypatch, block):
+    """In blocks of any size, with pairs that lack a side; nothing is stored that has a row for a pair of keypoints."""
+    from tessera.operators import assign_descriptors as blocks
+
+    rng = np.random.default_rng(12)
+    side = lambda sizes: [(p, k, rng.normal(size=4).tolist()) for p, n in sizes for k in range(n)]
+    a, b = side([("a", 12), ("b", 4), ("c", 3)]), side([("a", 9), ("b", 5), ("d", 2)])
+    rows = [(p, i, j, 2.0 * float(np.dot(x, y))) for p, i, x in a for q, j, y in b if p == q]
+    s = spark.createDataFrame(rows, "pair_id string, i long, j long, s double")
+    left, right = (spark.createDataFrame(t, "pair_id string, idx long, descriptor array<double>") for t in (a, b))
+    key = lambda t, c: {(r.pair_id, r.i, r.j): r[c] for r in t.collect()}
+    filled = assign.masses(assign.with_dustbins(s, 0.4), own_side=True)
+    z = assign.log_optimal_transport(s, 0.4, 3)
+    want = [key(assign.dual_softmax(s).where("p > 0.01"), "p"), key(assign.sinkhorn(filled, 3), "p"), key(z, "s"), key(assign.log_optimal_transport(s, 0.4, 0), "s"), key(z.withColumn("p", F.exp("s")).where("i >= 0 AND j >= 0 AND p > 0.05"), "p")]
+    kept = {(r.pair_id, r.i, r.j) for r in assign.without_dustbin_winners(z.withColumnRenamed("s", "p")).collect()}
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", block)
+    sizes = []
+    store = blocks.stored
+    monkeypatch.setattr(blocks, "stored", lambda t, n: (made := store(t, n), sizes.append((n, made.count())))[0])
+    t = blocks.Transport(left, right, 2.0, 0.4, 3)
+    got = [key(blocks.dual_softmax(left, right, 2.0, 0.01), "p"), key(blocks.sinkhorn(left, right, 2.0, 0.4, 3), "p"), key(t.cells(), "s"), key(blocks.Transport(left, right, 2.0, 0.4, 0).cells(), "s"), key(t.cells(0.05), "p")]
+    for one, other in zip(got, want, strict=True):
+        assert one == pytest.approx(other, rel=1e-9, abs=1e-12)
+    assert {(r.pair_id, r.i, r.j) for r in t.without_dustbin_winners().collect()} == kept
+    assert all(n <= 18 for name, n in sizes if name != "above")
