@@ -22,6 +22,8 @@ from .knn import BLOCK_ROWS, _cogrouped, _matrix
 
 #: Copies of a set's matrix, between which its queries are dealt, so that a set of very many queries isn't one task's.
 COPIES = 16
+#: Least rows of a tile.
+TILE_ROWS = 4_096
 
 
 def elu_plus_one(v: Column) -> Column:
@@ -110,12 +112,14 @@ def linear(queries: DataFrame, keys: DataFrame, heads: int = 1, eps: float = 1e-
 def softmax(queries: DataFrame, keys: DataFrame, heads: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(set_id, i, out): for each query the values weighed by softmax(q k / sqrt(d)), head by head; null where the set has no keys.
 
-    A set's queries and keys are cut into blocks of a bounded size; each block
-    of queries meets each block of keys in a task of its own.
+    A set's queries and keys are cut into tiles, and each tile of queries meets
+    each tile of keys in a task of its own, which compares ``block_rows`` of
+    either at a time.  Rows move once for every tile of the other side, so tiles
+    are no smaller than TILE_ROWS, however small the blocks are.
     """
     q = queries.where("q IS NOT NULL").select("set_id", F.col("i").cast("long").alias("i"), "q")
     k = keys.where("k IS NOT NULL AND v IS NOT NULL").select("set_id", F.col("j").cast("long").alias("j"), "k", "v")
-    count = lambda t, n: t.groupBy("set_id").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(n))
+    count = lambda t, n: t.groupBy("set_id").agg(F.ceil(F.count("*") / max(block_rows, TILE_ROWS)).cast("int").alias(n))
     sizes = count(q, "rows").join(count(k, "columns"), "set_id")
 
     def cut(t: DataFrame, own: str, other: str, by: str) -> DataFrame:
@@ -130,10 +134,19 @@ def softmax(queries: DataFrame, keys: DataFrame, heads: int = 1, block_rows: int
         most, total, values = np.zeros((0, heads)), np.zeros((0, heads)), np.zeros((0, 0))
         if n:
             x, y, v = (_heads(_matrix(t[c]), heads) for t, c in ((left, "q"), (right, "k"), (right, "v")))
-            score = np.einsum("nhd,mhd->nhm", x, y) / np.sqrt(x.shape[2])
-            most = score.max(axis=2)
-            e = np.exp(score - most[:, :, None])
-            total, values = e.sum(axis=2), np.einsum("nhm,mhe->nhe", e, v).reshape(n, -1)
+            most, total, values = np.full((n, heads), -np.inf), np.zeros((n, heads)), np.zeros((n, heads, v.shape[2]))
+            x = x / np.sqrt(x.shape[2])
+            for lo in range(0, n, block_rows):
+                at = slice(lo, lo + block_rows)
+                for to in range(0, len(y), block_rows):
+                    k, w = y[to : to + block_rows], v[to : to + block_rows]
+                    score = np.matmul(x[at].transpose(1, 0, 2), k.transpose(1, 2, 0))  # head, query, key
+                    top = np.maximum(most[at], score.max(axis=2).T)
+                    e, less = np.exp(score - top.T[:, :, None]), np.exp(most[at] - top)
+                    total[at] = total[at] * less + e.sum(axis=2).T
+                    values[at] = values[at] * less[:, :, None] + np.matmul(e, w.transpose(1, 0, 2)).transpose(1, 0, 2)
+                    most[at] = top
+            values = values.reshape(n, -1)
         lists = lambda m: pa.array(list(m), pa.list_(pa.float64()))
         return pa.table([pa.array([key[0].as_py()] * n, set_type), left["i"] if n else pa.array([], pa.int64()), lists(most), lists(total), lists(values)], names=["set_id", "i", "most", "total", "part"])
 

@@ -97,3 +97,20 @@ def test_correspondences_equal_all_pairs(spark, near, far):
     assert sorted((r.pair_id, r.i, r.j, r.d) for r in m.collect()) == sorted((p, i, j, w) for (p, i), (w, j) in best_i.items() if best_j[p, j][1] == i and w < near)
     assert sorted((r.pair_id, r.i) for r in u.collect()) == sorted(k for k, (w, _) in best_i.items() if w > far)
     assert sorted((r.pair_id, r.j) for r in v.collect()) == sorted(k for k, (w, _) in best_j.items() if w > far)
+
+
+def test_small_blocks_move_rows_once_for_each_tile(spark, monkeypatch):
+    """Blocks of two rows in tiles of 40: the same attention, and a row is there once; tiles of seven merge to the same."""
+    from tessera.operators import attention
+
+    rng = np.random.default_rng(15)
+    q = spark.createDataFrame([(1, i, rng.normal(size=4).tolist()) for i in range(30)], "set_id long, i long, q array<double>")
+    k = spark.createDataFrame([(1, j, (30 * rng.normal(size=4)).tolist(), rng.normal(size=2).tolist()) for j in range(25)], "set_id long, j long, k array<double>, v array<double>")
+    moved, met = [], attention._cogrouped
+    monkeypatch.setattr(attention, "_cogrouped", lambda left, *more: moved.append(left.count()) or met(left, *more))
+    out = []
+    for tile, block in ((40, 2), (7, 3), (40, 64)):
+        monkeypatch.setattr(attention, "TILE_ROWS", tile)
+        out.append(np.array([r.out for r in attention.softmax(q, k, 2, block).orderBy("i").collect()]))
+    assert moved == [30, 4 * 30, 30]
+    assert np.allclose(out[0], out[2]) and np.allclose(out[1], out[2])
