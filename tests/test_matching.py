@@ -244,3 +244,31 @@ def test_assignment_from_descriptors_equals_that_from_scores(spark, monkeypatch,
         assert one == pytest.approx(other, rel=1e-9, abs=1e-12)
     assert {(r.pair_id, r.i, r.j) for r in t.without_dustbin_winners().collect()} == kept
     assert all(n <= 18 for name, n in sizes if name != "above")
+
+
+def test_copies_are_compared_once():
+    """Thousands of rows of nine values: the nearest by brute force, without all the ties held at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(13)
+    a, b = (rng.integers(-1, 2, (3_000, 2)).astype(float) for _ in range(2))
+    tracemalloc.start()
+    try:
+        near, d = knn._best(a, b, 3)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    far = np.sqrt(((a[:200, None] - b[None]) ** 2).sum(axis=2))
+    want = np.argsort(far, axis=1, kind="stable")[:, :3]
+    assert (near[:200] == want).all() and np.allclose(d[:200], np.take_along_axis(far, want, axis=1))
+    assert most < 20e6
+
+
+def test_neighbours_come_in_bounded_parts(monkeypatch):
+    rng = np.random.default_rng(14)
+    x, y = rng.integers(0, 40, (2, 300)).astype(float)
+    monkeypatch.setattr(keypoints, "PAIRS", 500)
+    parts = list(keypoints._neighbours(x, y, 5))
+    got = sorted(p for a, b in parts for p in zip(a.tolist(), b.tolist(), strict=True))
+    assert got == [(i, j) for i in range(300) for j in range(300) if i != j and abs(x[i] - x[j]) <= 5 and abs(y[i] - y[j]) <= 5]
+    assert max(len(a) for a, _ in parts) <= 500
