@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..shared import stored
+from .knn import _cogrouped
 
 
 # sizes
@@ -259,34 +263,67 @@ def _neighbours(x: np.ndarray, y: np.ndarray, radius: float) -> Iterator[tuple[n
                 start = stop
 
 
+#: Places of one block, and distances held at once.
+PLACES, DISTANCES = 4_096, 1 << 20
+
+
+def _around(places: DataFrame, run: Callable[[np.ndarray, pa.Table, pa.Table], pa.Array], kind: str) -> DataFrame:
+    """(pair_id, side, x, y, value) of places (pair_id, side, x, y, n, top, r): run(distances, own, others) of each block of places with each other.
+
+    The places of a pair and side are cut into blocks, and two blocks are a
+    task's, so distances grow with the square of the places, but no task does.
+    """
+    keys, cell = ["pair_id", "side"], F.pmod(F.xxhash64("x", "y"), F.col("blocks")).cast("int")
+    sizes = places.groupBy(*keys).agg(F.ceil(F.count("*") / PLACES).cast("int").alias("blocks"))
+    t = places.join(sizes, keys)
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["x", "y", "n", "top", "r"]
+    left = t.select(*keys, cell.alias("a"), each.alias("b"), *columns)
+    right = t.select(*keys, cell.alias("b"), each.alias("a"), *columns).select(*keys, "a", "b", *columns)
+
+    def met(key, own: pa.Table, others: pa.Table) -> pa.Table:
+        values, n = [], own.num_rows if own.num_columns and others.num_columns and others.num_rows else 0
+        if n:
+            u, v = others["x"].to_numpy(), others["y"].to_numpy()
+            step = max(1, DISTANCES // len(u))
+            for lo in range(0, n, step):
+                some = own.slice(lo, step)
+                values.append(run(np.hypot(some["x"].to_numpy()[:, None] - u, some["y"].to_numpy()[:, None] - v), some, others))
+        head = [pa.array([k.as_py()] * n, t) for k, t in zip(key[:2], types, strict=True)]
+        return pa.table([*head, *(own[c] if n else pa.array([], pa.float64()) for c in ("x", "y")), pa.array(np.concatenate(values) if n else [], pa.float64())], names=[*keys, "x", "y", "value"])
+
+    types = [to_arrow_type(places.schema[k].dataType) for k in keys]
+    return _cogrouped(left, right, [*keys, "a", "b"], met, f"pair_id {kind}, side int, x double, y double, value double")
+
+
 def seeds(matches: DataFrame, k: int, bar: float, radius_share: float) -> DataFrame:
     """Seeds of each pair from (pair_id, i, j, x1, y1, x2, y2, score, mutual).
 
     Non-mutual matches score -1; a match with a stronger one nearer than
-    radius_share times the mean distance in both images scores -1, and so does
+    radius_share times the mean distance in either image scores -1, and so does
     one below the bar.  The best min(survivors + 2, k) stay, so up to two
-    suppressed ones may.  The matches of a pair meet in one task, which compares
-    them block by block.
+    suppressed ones may.  In each image the places of a pair's matches are
+    compared, each once, by its number of matches and its highest score.
     """
-    names = ("x1", "y1", "x2", "y2")
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("i")
-        i, j = table["i"].to_numpy(), table["j"].to_numpy()
-        x1, y1, x2, y2 = (table[c].to_numpy().astype(float) for c in names)
-        s = np.where(table["mutual"].to_numpy(zero_copy_only=False), table["score"].to_numpy(), -1.0)
-        n = len(s)
-        blocks = [slice(a, a + max(1, (1 << 21) // n)) for a in range(0, n, max(1, (1 << 21) // n))]
-        far = lambda b, x, y: np.hypot(x[b, None] - x[None, :], y[b, None] - y[None, :])
-        r1, r2 = (radius_share * sum(far(b, x, y).sum() for b in blocks) / (n * n) for x, y in ((x1, y1), (x2, y2)))
-        weak = np.concatenate([((s[b, None] < s[None, :]) & ~((far(b, x1, y1) >= r1) & (far(b, x2, y2) >= r2))).any(axis=1) for b in blocks])
-        s = np.where(weak | (s < bar), -1.0, s)
-        best = np.lexsort((i, -s))[: min(int((s > 0).sum()) + 2, k)]
-        return pa.table([table["pair_id"].take(pa.array(best)), pa.array(np.arange(1, len(best) + 1, dtype=np.int32)), pa.array(i[best]), pa.array(j[best]), pa.array(s[best])], names=["pair_id", "rank", "i", "j", "score"])
-
-    kind = lambda c: matches.schema[c].dataType.simpleString()
-    own = matches.select("pair_id", "i", "j", *names, F.col("score").cast("double").alias("score"), F.coalesce("mutual", F.lit(False)).alias("mutual"))
-    return own.groupBy("pair_id").applyInArrow(run, f"pair_id {kind('pair_id')}, rank int, i {kind('i')}, j {kind('j')}, score double")
+    kind = matches.schema["pair_id"].dataType.simpleString()
+    number = lambda c: F.col(c).cast("double").alias(c)
+    mutual = F.when(F.coalesce("mutual", F.lit(False)), F.col("score").cast("double")).otherwise(-1.0)
+    own = stored(matches.select("pair_id", "i", "j", *map(number, ("x1", "y1", "x2", "y2")), mutual.alias("s")), "matches")
+    at = lambda side: own.select("pair_id", F.lit(side).alias("side"), F.col(f"x{side}").alias("x"), F.col(f"y{side}").alias("y"), "s")
+    places = stored(at(1).unionByName(at(2)).groupBy("pair_id", "side", "x", "y").agg(F.count("*").cast("double").alias("n"), F.max("s").alias("top")), "places")
+    total = _around(places.withColumn("r", F.lit(0.0)), lambda far, a, b: far @ b["n"].to_numpy() * a["n"].to_numpy(), kind).groupBy("pair_id", "side").agg(F.sum("value").alias("total"))
+    count = places.groupBy("pair_id", "side").agg(F.sum("n").alias("all"))
+    radii = stored(total.join(count, ["pair_id", "side"]).select("pair_id", "side", (radius_share * (F.col("total") / (F.col("all") * F.col("all")))).alias("r")), "radii")
+    near = _around(places.join(radii, ["pair_id", "side"]), lambda far, a, b: np.where(far >= a["r"].to_numpy()[:, None], -np.inf, b["top"].to_numpy()).max(axis=1), kind)
+    best = near.groupBy("pair_id", "side", "x", "y").agg(F.max("value").alias("best"))
+    side = lambda n: best.where(F.col("side") == n).select("pair_id", F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"), F.col("best").alias(f"best{n}"))
+    t = own.join(side(1), ["pair_id", "x1", "y1"]).join(side(2), ["pair_id", "x2", "y2"])
+    weak = (F.col("s") < F.greatest("best1", "best2")) | (F.col("s") < bar)
+    t = stored(t.select("pair_id", "i", "j", F.when(weak, -1.0).otherwise(F.col("s")).alias("score")), "scored")
+    alive = t.groupBy("pair_id").agg(F.count_if(F.col("score") > 0).alias("alive"))
+    order = Window.partitionBy("pair_id").orderBy(F.col("score").desc(), "i")
+    ranked = t.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.join(alive, "pair_id").where(F.col("rank") <= F.col("alive") + 2).select("pair_id", "rank", "i", "j", "score")
 
 
 def sample_descriptors(points: DataFrame, grid: DataFrame, stride: int = 8) -> DataFrame:

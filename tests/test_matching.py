@@ -272,3 +272,24 @@ def test_neighbours_come_in_bounded_parts(monkeypatch):
     got = sorted(p for a, b in parts for p in zip(a.tolist(), b.tolist(), strict=True))
     assert got == [(i, j) for i in range(300) for j in range(300) if i != j and abs(x[i] - x[j]) <= 5 and abs(y[i] - y[j]) <= 5]
     assert max(len(a) for a, _ in parts) <= 500
+
+
+def test_seeds_in_blocks_of_any_size(spark, monkeypatch):
+    """Against all matches with all, with matches of one place; no group of an exchange has all of a pair."""
+    rng = np.random.default_rng(16)
+    rows = [(p, i, i, *map(float, rng.integers(0, 60, 4)), float(rng.integers(1, 9)), bool(rng.random() < 0.8)) for p, n in ((1, 90), (2, 1)) for i in range(n)]
+    t = spark.createDataFrame(rows, "pair_id long, i long, j long, x1 double, y1 double, x2 double, y2 double, score double, mutual boolean")
+    want = []
+    for p in (1, 2):
+        own = [r for r in rows if r[0] == p]
+        at, s = np.array([r[3:7] for r in own]), np.array([r[7] if r[8] else -1.0 for r in own])
+        d = [np.hypot(*(at[:, None, c : c + 2] - at[None, :, c : c + 2]).transpose(2, 0, 1)) for c in (0, 2)]
+        weak = ((s[:, None] < s[None]) & ~((d[0] >= 0.3 * d[0].mean()) & (d[1] >= 0.3 * d[1].mean()))).any(axis=1)
+        s = np.where(weak | (s < 1.5), -1.0, s)
+        best = np.lexsort((np.arange(len(s)), -s))[: min(int((s > 0).sum()) + 2, 10)]
+        want += [(p, k + 1, int(i), int(i), s[i]) for k, i in enumerate(best)]
+    groups, met = [], keypoints._cogrouped
+    monkeypatch.setattr(keypoints, "PLACES", 20)
+    monkeypatch.setattr(keypoints, "_cogrouped", lambda left, right, keys, *more: groups.append(left.groupBy(*keys).count().agg(F.max("count")).first()[0]) or met(left, right, keys, *more))
+    assert sorted(tuple(r) for r in keypoints.seeds(t, 10, 1.5, 0.3).collect()) == sorted(want)
+    assert len(groups) == 2 and max(groups) < 45
