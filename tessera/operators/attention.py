@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .knn import BLOCK_ROWS, _cogrouped, _matrix
+from .knn import _cogrouped, _matrix
 
 #: Copies of a set's matrix, between which its queries are dealt, so that a set of very many queries isn't one task's.
 COPIES = 16
 #: Least rows of a tile.
 TILE_ROWS = 4_096
+#: Queries and keys that are compared at a time there.
+BLOCK_ROWS = 4_096
 
 
 def elu_plus_one(v: Column) -> Column:

@@ -293,3 +293,35 @@ def test_seeds_in_blocks_of_any_size(spark, monkeypatch):
     monkeypatch.setattr(keypoints, "_cogrouped", lambda left, right, keys, *more: groups.append(left.groupBy(*keys).count().agg(F.max("count")).first()[0]) or met(left, right, keys, *more))
     assert sorted(tuple(r) for r in keypoints.seeds(t, 10, 1.5, 0.3).collect()) == sorted(want)
     assert len(groups) == 2 and max(groups) < 45
+
+
+@pytest.mark.parametrize("query_rows,blocks,most", [(256, 24, 65_536), (7, 3, 65_536), (7, 3, 25)])
+def test_rows_that_look_into_many_cells_move_once_for_each_block(spark, monkeypatch, query_rows, blocks, most):
+    """With all cells that the rows need, the neighbours of nearest; no row moves once for each of its cells."""
+    rng = np.random.default_rng(21)
+    kind = "pair_id string, idx long, descriptor array<double>"
+    side = lambda n: [("x", i, rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(n)]
+    a, b = spark.createDataFrame(side(50), kind), spark.createDataFrame([*side(60), ("y", 3, [0.0] * 5)], kind)
+    want = {(r.i, r["rank"]): (r.j, r.d) for r in knn.nearest(a, b, 3).collect()}
+    moved, met = [], knn._cogrouped
+    monkeypatch.setattr(knn, "_cogrouped", lambda left, right, *more: moved.append((left.count(), right.where("pair_id = 'x'").count())) or met(left, right, *more))
+    for name, value in (("QUERY_ROWS", query_rows), ("QUERY_BLOCKS", blocks), ("MOST_ROWS", most)):
+        monkeypatch.setattr(knn, name, value)
+    for cells in (1, 9):
+        got = knn.approximate(a, b, 3, cells, recall=1.0).collect()
+        assert {(r.i, r["rank"]): (r.j, r.d) for r in got} == want
+    rows, columns = max(-(-50 // max(query_rows, most)), min(-(-50 // query_rows), blocks)), -(-60 // most)
+    assert moved == [(50 * columns, 60 * rows)] * 2
+
+
+def test_large_sides_have_larger_blocks(spark, monkeypatch):
+    """A side of 40 rows in blocks of two moves as often as there may be blocks, not once for each two rows of the other side."""
+    rng = np.random.default_rng(22)
+    t = descriptors(spark, [("x", i, rng.normal(size=2).tolist()) for i in range(40)])
+    want = knn.nearest(t, t, 2).orderBy("i", "rank").collect()
+    moved, met = [], knn._cogrouped
+    monkeypatch.setattr(knn, "_cogrouped", lambda left, *more: moved.append(left.count()) or met(left, *more))
+    assert knn.nearest(t, t, 2, 2).orderBy("i", "rank").collect() == want
+    monkeypatch.setattr(knn, "MOST_ROWS", 3)
+    assert knn.nearest(t, t, 2, 2).orderBy("i", "rank").collect() == want
+    assert moved == [40 * 12, 40 * 14]
