@@ -22,8 +22,11 @@ A boundary takes about 2 + log2(ids / documents) bits, and a select sample of
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,23 +98,77 @@ class EliasFano:
         return ((ones - np.arange(self.n)) << self.low_bits) | self._low(np.arange(self.n))
 
 
+#: White space of the library's pattern (Unicode's White_Space).
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_OTHER, _WORD = f"[^A-Za-z\x80-\U0010ffff{_SPACE}]", f"[^\\x00-@\\[-`{{-\x7f{_SPACE}]"  # ASCII but letters, and the rest
+#: A text in pieces, cut where white space begins and after an ASCII letter before any other ASCII character.
+_PIECES = re.compile(f"[{_SPACE}]*+(?:{_OTHER}*+{_WORD}++(?<=[A-Za-z])|[^{_SPACE}]+)|[{_SPACE}]+")
+_BEFORE_SPACE = re.compile(f"[^{_SPACE}](?=[{_SPACE}])")
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, end id appended.
 
-    A text goes through the library as it is and in one piece; the strings of
-    special tokens become their ids, as the library has it by default.
+    The library first cuts a text by a pattern of contractions, letters,
+    numbers, others (each with one blank before it, if there is one) and white
+    space, and works on what it has cut.  Nothing in that pattern goes on from a
+    character that isn't white space to one that is, or from a letter to a
+    character that is no letter, and nothing looks back.  So the ids of a text
+    are those of its _PIECES, each of which goes through the library once and is
+    remembered.  A text with the string of a special token, which becomes its id
+    as the library has it by default, and any text of a tokenizer with another
+    pattern, goes through the library in one piece.
     """
 
+    #: Pieces that are remembered, twice as many at most, and characters of one.
+    KNOWN, LONGEST = 400_000, 40
+
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
+        self.code = {2: "H", 4: "I"}[self.width]
         self.end = np.array([end_id], self.kind).tobytes()
+        how = json.loads(self.tokenizer.to_str())
+        pattern = {k: v for k, v in (how["pre_tokenizer"] or {}).items() if k != "trim_offsets"}
+        self.in_pieces = pattern == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} and how["model"]["type"] == "BPE" and not how["model"].get("dropout") and not any(how[k] for k in ("normalizer", "truncation", "padding"))
+        self.special = [x["content"] for x in how["added_tokens"]]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special tokens by their pieces; pieces of which there are too many are forgotten, those not seen for longest first."""
+        pieces = [_PIECES.findall(x) for x in texts]
+        found = [list(map(self.known.get, x)) for x in pieces]
+        missing = {p for x, f in zip(pieces, found, strict=True) for p, i in zip(x, f, strict=True) if i is None}
+        got = {p: self.older[p] for p in missing if p in self.older}
+        new = list(missing - got.keys())
+        got |= zip(new, self._ids(new), strict=True)
+        if len(self.known) + len(got) > self.KNOWN:
+            self.known, self.older = {}, self.known
+        self.known |= got if max(map(len, got), default=0) <= self.LONGEST else {p: i for p, i in got.items() if len(p) <= self.LONGEST}
+        return [b"".join([got[p] if i is None else i for p, i in zip(x, f, strict=True)]) for x, f in zip(pieces, found, strict=True)]
+
+    def _long(self, text: str) -> bytes:
+        """Ids of a long text, some of its pieces at a time."""
+        out, at = [], 0
+        while at < len(text):
+            end = _BEFORE_SPACE.search(text, at + BATCH_CHARS)
+            to = end.end() if end else len(text)
+            out += self._joined([text[at:to]])
+            at = to
+        return b"".join(out)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() + self.end for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        whole = [not self.in_pieces or any(s in x for s in self.special) for x in texts]
+        by_library = iter(self._ids([x for x, w in zip(texts, whole, strict=True) if w]))
+        by_pieces = iter(self._joined([x for x, w in zip(texts, whole, strict=True) if not w and len(x) <= BATCH_CHARS]))
+        return [(next(by_library) if w else next(by_pieces) if len(x) <= BATCH_CHARS else self._long(x)) + self.end for x, w in zip(texts, whole, strict=True)]
 
 
 #: A worker's encoder serves its later tasks too.

@@ -47,6 +47,27 @@ def test_encoder_equals_the_library_on_odd_texts():
     assert 50256 in np.frombuffer(encoder(["a <|endoftext|> b"])[0], encoder.kind)
 
 
+@pytest.mark.parametrize("known,batch", [(400_000, 1 << 20), (30, 12)])
+def test_pieces_have_the_ids_of_whole_texts_and_are_encoded_once(monkeypatch, known, batch):
+    """Texts of odd words and white space, long ones cut, few pieces remembered: equal to the library; a repeated word doesn't go through it again."""
+    rng = random.Random(6)
+    odd = [*PARTS, *"\x1c\x1d\x1e\x1f\x00\x7f\u180e\u200b\ufeff\x85", *"'.,;:!?-_()[]{}@`^|~/\\\"", "'ll", "'LL", "l'", "café", "ÉTÉ", "Ⅷ", "²", "½", "ｱ", "日本", "क्षि", "привет", "123", "a1b2", "x_y"]
+    monkeypatch.setattr(tf.Encoder, "KNOWN", known)
+    monkeypatch.setattr(tf, "BATCH_CHARS", batch)
+    encoder = tf.Encoder(tf.tokenizer_path(), 2)
+    assert encoder.in_pieces
+    for _ in range(40):
+        texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(40))) for _ in range(150)]
+        assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder(texts)] == reference(texts)
+        assert len(encoder.known) <= known + 10_000
+    encoder, through = tf.Encoder(tf.tokenizer_path(), 2), []
+    ids = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: through.extend(texts) or ids(texts))
+    for text in ("one two, one", "one, one two", "two one,"):
+        encoder([text] * 3)
+    assert sorted(through) == sorted(["one", " two", ",", " one", "two"])
+
+
 def test_lots_hold_every_row_once(monkeypatch):
     monkeypatch.setattr(tf, "BATCH_CHARS", 10)
     b = pa.record_batch({"i": pa.array(range(6)), "x": pa.array(["abc", None, "", "x" * 50, "defghij", "k"])})
