@@ -100,10 +100,25 @@ class EliasFano:
 
 #: White space of the library's pattern (Unicode's White_Space).
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_OTHER, _WORD = f"[^A-Za-z\x80-\U0010ffff{_SPACE}]", f"[^\\x00-@\\[-`{{-\x7f{_SPACE}]"  # ASCII but letters, and the rest
-#: A text in pieces, cut where white space begins and after an ASCII letter before any other ASCII character.
-_PIECES = re.compile(f"[{_SPACE}]*+(?:{_OTHER}*+{_WORD}++(?<=[A-Za-z])|[^{_SPACE}]+)|[{_SPACE}]+")
 _BEFORE_SPACE = re.compile(f"[^{_SPACE}](?=[{_SPACE}])")
+#: Kinds of bytes in UTF-8: white space, ASCII letters, other ASCII, bytes of other characters, and of these the first ones of white space.
+_WHITE, _LETTER, _OTHER, _FAR, _MAYBE = range(5)
+_FAR_WHITE = [chr(c).encode() for c in range(0x80, 0x3001) if re.match(f"[{_SPACE}]", chr(c))]
+_KINDS = bytes(_MAYBE if c in {x[0] for x in _FAR_WHITE} else _FAR if c > 127 else _WHITE if re.match(f"[{_SPACE}]", chr(c)) else _LETTER if chr(c).isalpha() else _OTHER for c in range(256))
+
+
+def _cuts(data: bytes, starts: np.ndarray) -> np.ndarray:
+    """Where pieces of the texts that start there begin: at each start, where white space begins, and after an ASCII letter before any other ASCII character."""
+    kind = np.frombuffer(bytearray(data.translate(_KINDS)), np.uint8)
+    for at in np.flatnonzero(kind == _MAYBE).tolist():
+        n = 2 if data[at] < 0xE0 else 3
+        if data[at : at + n] in _FAR_WHITE:
+            kind[at : at + n] = _WHITE
+    white = kind == _WHITE
+    cut = np.zeros(len(kind), bool)
+    cut[1:] = white[1:] & ~white[:-1] | (kind[1:] == _OTHER) & (kind[:-1] == _LETTER)
+    cut[starts[starts < len(kind)]] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
@@ -114,13 +129,13 @@ class Encoder:
     space, and works on what it has cut.  Nothing in that pattern goes on from a
     character that isn't white space to one that is, or from a letter to a
     character that is no letter, and nothing looks back.  So the ids of a text
-    are those of its _PIECES, each of which goes through the library once and is
-    remembered.  A text with the string of a special token, which becomes its id
+    are those of its pieces (_cuts), each of which goes through the library once
+    and is remembered; Arrow tells which pieces of a lot are equal.  A text with the string of a special token, which becomes its id
     as the library has it by default, and any text of a tokenizer with another
     pattern, goes through the library in one piece.
     """
 
-    #: Pieces that are remembered, twice as many at most, and characters of one.
+    #: Pieces that are remembered, twice as many at most, and bytes of one.
     KNOWN, LONGEST = 400_000, 40
 
     def __init__(self, path: str, end_id: int):
@@ -135,24 +150,39 @@ class Encoder:
         pattern = {k: v for k, v in (how["pre_tokenizer"] or {}).items() if k != "trim_offsets"}
         self.in_pieces = pattern == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} and how["model"]["type"] == "BPE" and not how["model"].get("dropout") and not any(how[k] for k in ("normalizer", "truncation", "padding"))
         self.special = [x["content"] for x in how["added_tokens"]]
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without special tokens by their pieces; pieces of which there are too many are forgotten, those not seen for longest first."""
-        pieces = [_PIECES.findall(x) for x in texts]
-        found = [list(map(self.known.get, x)) for x in pieces]
-        missing = {p for x, f in zip(pieces, found, strict=True) for p, i in zip(x, f, strict=True) if i is None}
+        raw = [x.encode() for x in texts]
+        data, starts = b"".join(raw), np.cumsum([0, *map(len, raw)])
+        begins = _cuts(data, starts)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(begins, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        of = self._of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        which = pieces.indices.to_numpy()
+        # the ids of all pieces in a row: place k of a piece is place k of its ids among those of the different pieces
+        ids, n = np.frombuffer(b"".join(of), self.kind), np.array([len(x) for x in of], np.int64) // self.width
+        size = n[which]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        out = ids[np.repeat((np.cumsum(n) - n)[which] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        at = (self.width * ends[np.searchsorted(begins, starts)]).tolist()
+        return [out[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+
+    def _of(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of different pieces."""
+        found = list(map(self.known.get, pieces))
+        missing = [p for p, i in zip(pieces, found, strict=True) if i is None]
         got = {p: self.older[p] for p in missing if p in self.older}
-        new = list(missing - got.keys())
-        got |= zip(new, self._ids(new), strict=True)
+        new = [p for p in missing if p not in got]
+        got |= zip(new, self._ids([p.decode() for p in new]), strict=True)
         if len(self.known) + len(got) > self.KNOWN:
             self.known, self.older = {}, self.known
         self.known |= got if max(map(len, got), default=0) <= self.LONGEST else {p: i for p, i in got.items() if len(p) <= self.LONGEST}
-        return [b"".join([got[p] if i is None else i for p, i in zip(x, f, strict=True)]) for x, f in zip(pieces, found, strict=True)]
+        return [got[p] if i is None else i for p, i in zip(pieces, found, strict=True)]
 
     def _long(self, text: str) -> bytes:
         """Ids of a long text, some of its pieces at a time."""

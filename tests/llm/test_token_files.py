@@ -68,6 +68,23 @@ def test_pieces_have_the_ids_of_whole_texts_and_are_encoded_once(monkeypatch, kn
     assert sorted(through) == sorted(["one", " two", ",", " one", "two"])
 
 
+def test_equal_pieces_of_a_lot_are_looked_up_once():
+    """However often a piece is in a lot, it is one question to what is remembered; ids stay those of the library, by white space of all kinds."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+    texts = ["one two, " * 1000, "", "one\xa0 two\u3000\x85one,é two«\u2028 two\u200b one " * 500, "", "two"]
+    encoder = tf.Encoder(tf.tokenizer_path(), 2)
+    encoder.known = Counted()
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder(texts)] == reference(texts)
+    assert Counted.asked < 20
+
+
 def test_lots_hold_every_row_once(monkeypatch):
     monkeypatch.setattr(tf, "BATCH_CHARS", 10)
     b = pa.record_batch({"i": pa.array(range(6)), "x": pa.array(["abc", None, "", "x" * 50, "defghij", "k"])})
