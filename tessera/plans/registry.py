@@ -131,6 +131,8 @@ def matched(left: DataFrame, right: DataFrame, parameters: Parameters) -> DataFr
     a, b = many(best(left)), many(best(right))
     if parameters.root:
         a, b = _rooted(a), _rooted(b)
+    # the matcher counts, cuts and reads them several times, each of which would sort all descriptors anew
+    a, b = stored(a, "keypoints"), stored(b, "keypoints")
     found = component("matcher", parameters.matcher)(a.select("pair_id", "idx", "descriptor"), b.select("pair_id", "idx", "descriptor"), parameters)
     at = lambda t, i, x, y: t.select("pair_id", F.col("idx").alias(i), F.col("x").alias(x), F.col("y").alias(y))
     return found.join(at(a, "i", "x1", "y1"), ["pair_id", "i"]).join(at(b, "j", "x2", "y2"), ["pair_id", "j"])

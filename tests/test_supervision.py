@@ -70,6 +70,14 @@ def test_registry(spark):
     assert got == {"same": (60, True), "one": (0, False)}
 
 
+def test_keypoints_of_a_pair_are_ranked_once_for_all_uses(spark):
+    """What the matcher reads several times isn't sorted again each time: the only windows left are its own."""
+    side = spark.range(40).selectExpr("id % 2 AS pair_id", "id AS idx", "id * 1.0D AS x", "id * 2.0D AS y", "1.0D AS score", "array(id * 1.0D, id * id * 1.0D, 1.0D) AS descriptor")
+    found = registry.matched(side, side, registry.PRESETS["learned_detector"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    assert {(r.pair_id, r.i, r.j) for r in found.collect()} == {(k % 2, k, k) for k in range(40)}
+
+
 def test_running_sums_over_ranges(spark):
     from tessera.operators import metrics
 
