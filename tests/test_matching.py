@@ -325,3 +325,14 @@ def test_large_sides_have_larger_blocks(spark, monkeypatch):
     monkeypatch.setattr(knn, "MOST_ROWS", 3)
     assert knn.nearest(t, t, 2, 2).orderBy("i", "rank").collect() == want
     assert moved == [40 * 12, 40 * 14]
+
+
+def test_blocks_grow_before_they_become_more(spark):
+    """A row of a large side moves four times, and numbers are rounded as SQL has it."""
+    from tessera.operators import assign_descriptors as blocks
+
+    sizes = spark.createDataFrame([(0, 30_000, 3_000), (1, 300_000, 10)], "pair_id int, m long, n long")
+    t = spark.createDataFrame([(0, 5, [1.0], 0.0), (1, 6, [1.0], 0.0)], "pair_id int, idx long, descriptor array<double>, w double")
+    moved = lambda own, other: {r.pair_id: r["count"] for r in blocks._blocks(t, sizes, own, other).groupBy("pair_id").count().collect()}
+    assert moved("m", "n") == {0: 2, 1: 1} and moved("n", "m") == {0: 4, 1: 5}
+    assert blocks._rounded(np.array([0.5, 1.5, -2.5, 0.49999999999999994, -1e-9]), 0).tolist() == [1, 2, -3, 0, 0]
